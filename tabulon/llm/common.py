@@ -82,12 +82,16 @@ def parts(spark: SparkSession) -> int:
 
 
 def plain_string(col) -> pa.Array:
-    """A string column as one contiguous array without nulls."""
+    """A string column as one contiguous array without nulls.
+
+    The copy matters: after a cast, a slice's offsets still begin inside its old
+    buffer, and the string kernels then read other bytes.
+    """
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if not pa.types.is_large_string(col.type):
         col = col.cast(pa.large_string())
-    return pc.fill_null(col, "")
+    return pa.concat_arrays([pc.fill_null(col, "")])
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
