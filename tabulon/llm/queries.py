@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from .common import text_table
+from .media import media_columns
+from .mixing import mix
 from .neardup import MinHashParams, document_components, repeated_paragraphs
+from .sentencepieces import encode_documents
+from .token_files import read_token_files, write_token_files
 
 QUERIES = {}
 ORACLE = {}
@@ -26,6 +32,32 @@ def op6_paragraph_dedup(spark, sf_dir):
     return repeated_paragraphs(text_table(spark, sf_dir))
 
 
+@query
+def op4_source_mix(spark, sf_dir):
+    """The part of each document in a mix with source weights 1, 2, 3, 1, 2, ..."""
+    return mix(text_table(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query
+def op7_sentencepiece(spark, sf_dir):
+    """Ids of every document by a prefix table, and what they decode to."""
+    return encode_documents(text_table(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op9_token_files(spark, sf_dir):
+    """Ids of every document, written to flat files in doc_id order and read back."""
+    shards = write_token_files(text_table(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_token_files(shards)
+
+
+@query
+def op10_media_columns(spark, sf_dir):
+    """Every document as an image in a tar shard, and what its stored bytes say."""
+    columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return media_columns(text_table(spark, sf_dir)).select(*columns, "width", "height")
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,3 +103,34 @@ ORACLE["op6_paragraph_dedup"] = (
            c.size AS component_size, c.id = c.root AS kept
     FROM comp c JOIN items i ON i.id = c.id WHERE c.size > 1"""
 )
+
+ORACLE["op4_source_mix"] = r"""
+    WITH RECURSIVE d AS MATERIALIZED (
+      SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+             md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+      FROM documents),
+    s AS MATERIALIZED (
+      SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+             CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS w
+      FROM d GROUP BY source),
+    total AS (SELECT CAST(sum(source_size) AS DOUBLE) AS t FROM s),
+    -- reshare what stopped sources leave, until none is above
+    share AS (
+      SELECT 0 AS step, t / (SELECT sum(w) FROM s) AS level FROM total
+      UNION ALL
+      SELECT step + 1, (SELECT (max(total.t) - coalesce(sum(s.source_size * 3) FILTER (WHERE level * s.w > s.source_size * 3), 0))
+                        / sum(s.w) FILTER (WHERE level * s.w <= s.source_size * 3) FROM s, total)
+      FROM share WHERE step < 60),
+    last AS (SELECT level FROM share ORDER BY step DESC LIMIT 1),
+    b AS MATERIALIZED (
+      SELECT source, source_size,
+             CASE WHEN level * w > source_size * 3 THEN CAST(source_size * 3 AS DOUBLE) ELSE level * w END AS target
+      FROM s, last),
+    p AS (
+      SELECT d.*, b.source_size, b.target, CAST(floor(b.target + 0.5) AS BIGINT) AS budget,
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+    SELECT doc_id, size, source_size, target, source,
+           CAST(CASE WHEN source_size = 0 THEN 0
+                ELSE (budget // source_size) * size + least(greatest(budget % source_size - before, 0), size) END AS BIGINT) AS taken
+    FROM p"""
