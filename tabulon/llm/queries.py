@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from .common import text_table
+from .licences import END, HINT, MARK, compiled, scan_licences
 from .media import media_columns
 from .mixing import mix
 from .neardup import MinHashParams, document_components, repeated_paragraphs
+from .neighbours import nearest, usable
+from .quality import held_out, quality_model, scored
 from .sentencepieces import encode_documents
 from .token_files import read_token_files, write_token_files
 
@@ -32,6 +36,21 @@ def op6_paragraph_dedup(spark, sf_dir):
     return repeated_paragraphs(text_table(spark, sf_dir))
 
 
+@query
+def op2_inverted_multi_index(spark, sf_dir):
+    """The 10 nearest vectors of every vector whose id is divisible by 100."""
+    vectors = usable(text_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return nearest(vectors, vectors.where("id % 100 = 0"), 10)
+
+
+@query
+def op3_licence_scan(spark, sf_dir):
+    """Known licence sentences of every document, in order, and the licences that their sequence makes."""
+    found = scan_licences(text_table(spark, sf_dir))
+    joined = {c: F.array_join(c, " ") for c in ("sentence_ids", "licences")}
+    return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.size("licences").cast("long").alias("n_licences"), *[v.alias(k) for k, v in joined.items()])
+
+
 @query
 def op4_source_mix(spark, sf_dir):
     """The part of each document in a mix with source weights 1, 2, 3, 1, 2, ..."""
@@ -44,6 +63,14 @@ def op7_sentencepiece(spark, sf_dir):
     return encode_documents(text_table(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op8_quality_votes(spark, sf_dir):
+    """Quality of every document by the votes of its nearest labelled texts."""
+    docs = text_table(spark, sf_dir)
+    model = quality_model(docs, text_table(spark, sf_dir, "labels"))
+    return scored(docs.withColumn("held_out", held_out()), model, ["doc_id", "held_out"])
+
+
 @query
 def op9_token_files(spark, sf_dir):
     """Ids of every document, written to flat files in doc_id order and read back."""
@@ -134,3 +161,32 @@ ORACLE["op4_source_mix"] = r"""
            CAST(CASE WHEN source_size = 0 THEN 0
                 ELSE (budget // source_size) * size + least(greatest(budget % source_size - before, 0), size) END AS BIGINT) AS taken
     FROM p"""
+
+
+def _licence_sql() -> str:
+    known, rules = compiled()
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    table = "MAP {" + ", ".join(f"{quoted(k)}: '{v}'" for k, v in known.items()) + "}"
+    look = "(SELECT m FROM known)[trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))]"
+    rest, steps = "r0", []
+    for i, (licence, own) in enumerate(rules):
+        key = "".join(f"<{x}>" for x in own)
+        steps.append(f"r{i + 1} AS (SELECT doc_id, ids, list_concat(l, list_transform(range(len(string_split(rest, '{key}')) - 1), lambda x: '{licence}')) AS l, replace(rest, '{key}', '|') AS rest FROM r{i})")
+    return rf"""
+    WITH known AS (SELECT {table} AS m),
+    cut AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '{END}', '\1{MARK}', 'g'), '{MARK}') AS s FROM documents),
+    one AS (SELECT doc_id, s, generate_subscripts(s, 1) AS i FROM cut),
+    unit AS (SELECT doc_id, i, s[i] AS s, {look.format("s[i]")} AS whole FROM one WHERE regexp_matches(s[i], '{HINT}')),
+    line AS (SELECT doc_id, i, 0 AS j, whole AS id FROM unit WHERE whole IS NOT NULL
+             UNION ALL
+             SELECT doc_id, i, j, {look.format("string_split(s, chr(10))[j]")} FROM (SELECT *, generate_subscripts(string_split(s, chr(10)), 1) AS j FROM unit WHERE whole IS NULL AND contains(s, chr(10)))),
+    ids AS (SELECT doc_id, list(id ORDER BY i, j) AS ids FROM line WHERE id IS NOT NULL GROUP BY doc_id),
+    r0 AS (SELECT d.doc_id, coalesce(ids, []) AS ids, CAST([] AS VARCHAR[]) AS l,
+                  coalesce(array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''), '') AS rest FROM documents d LEFT JOIN ids USING (doc_id)),
+    {", ".join(steps)}
+    SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, CAST(len(l) AS BIGINT) AS n_licences,
+           coalesce(array_to_string(ids, ' '), '') AS sentence_ids, coalesce(array_to_string(list_sort(l), ' '), '') AS licences
+    FROM r{len(rules)}"""
+
+
+ORACLE["op3_licence_scan"] = _licence_sql()
