@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from . import language_model
 from .common import text_table
 from .licences import END, HINT, MARK, compiled, scan_licences
 from .media import media_columns
@@ -36,6 +37,12 @@ def op6_paragraph_dedup(spark, sf_dir):
     return repeated_paragraphs(text_table(spark, sf_dir))
 
 
+@query
+def op1_pitman_yor(spark, sf_dir):
+    """Log10 probability of every document under the language model and under add-one unigrams."""
+    return language_model.score(language_model.fit(text_table(spark, sf_dir), language_model.every_seventh()))
+
+
 @query
 def op2_inverted_multi_index(spark, sf_dir):
     """The 10 nearest vectors of every vector whose id is divisible by 100."""
