@@ -1,15 +1,83 @@
-"""A training corpus out of ``documents``, stage by stage."""
+"""A training corpus out of ``documents``, stage by stage.
+
+Each stage works on all rows that the one before it kept. Null and empty texts
+pass the quality stage with the labelled share of good texts as their score and
+the deduplication stages as they are; the mix, which counts words, has no use for
+them. Rows that are equal in doc_id and text are one document from the second
+stage on. Extra columns are carried along, whatever their names. An empty table
+stays empty.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tabulon.llm.common import store
+from tabulon.llm.mixing import take
+from tabulon.llm.neardup import MinHashParams, document_components, repeated_paragraphs
+from tabulon.llm.quality import quality_model, scored
+from tabulon.llm.sentencepieces import encode_documents
 
 #: The stages sample, cluster and tokenise: SQL can't express them; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the votes of their nearest labelled texts call good."""
+    model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    names = docs.columns
+    rows = docs.select(F.struct(*names).alias("row"), "text")
+    return scored(rows, model, ["row"]).where("predicted = 1").select("row.*")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id."""
+    kept = document_components(docs, MinHashParams()).where("kept or doc_id is null").select(F.col("doc_id").alias("__id")).distinct()
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    # repeated rows: the join has put the rows of an id together
+    again = Window.partitionBy("doc_id", "text").orderBy("doc_id")
+    return rows.withColumn("__n", F.row_number().over(again)).where("__n = 1").drop("__n")
+
+
+def drop_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without paragraphs of which an earlier document has a near copy; texts that keep nothing go."""
+    names = docs.columns
+    text_hash = F.xxhash64("text")
+    found = repeated_paragraphs(docs.select(F.struct("doc_id", text_hash.alias("h")).alias("doc_id"), "text"))
+    gone = found.where("not kept").groupBy(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.h").alias("__h")).agg(F.collect_set("part").alias("__gone"))
+    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash == F.col("__h")), "left")
+    left = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__gone", i.cast("long")))
+    rows = rows.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    rows = rows.where("__gone is null or trim(text) <> ''")
+    if "n_chars" in names:
+        rows = rows.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*names)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return take(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, digests and ids of every document of the mix."""
+    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"], with_ids=True)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_dedup", drop_near_copies),
+    ("substring_dedup", drop_repeated_paragraphs),
+    ("mix", mix_sources),
+    ("encode", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each one's result is written to the shared folder before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = store(stage(spark, docs, sf_dir), name)
     return docs

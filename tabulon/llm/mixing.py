@@ -106,21 +106,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST,
     return out.select("doc_id", "source", "size", "source_size", "target", "epochs", "partial", (F.col("epochs") * F.col("size") + F.col("partial")).alias("taken"))
 
 
-def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: rows of ``docs`` repeated as ``mixed`` says, the document at the cut ending after its last word taken.
+#: Between a word and the white space after it.
+WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
+
+
+def take(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, seed: str = "mix") -> DataFrame:
+    """The mix itself: rows of ``docs`` repeated as ``mix`` says, the document at a source's cut ending after its last word taken.
 
     Keeps the columns of ``docs``; n_chars, where there is one, follows the text.
-    Documents that the mix does not take have no row, nor have texts without words.
+    Rows that the mix does not take are left out, and so are texts without
+    words. Rows that are equal in doc_id and text all follow the plan of one.
     """
     names = docs.columns
-    plan = mixed.select(F.col("doc_id").alias("__id"), "epochs", "partial", F.col("size").alias("__size")).where("taken > 0").dropDuplicates(["__id"])
-    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")))
-    copies = F.when(F.col("partial") > 0, F.concat(F.array_repeat(F.col("__size"), F.col("epochs").cast("int")), F.array("partial"))).otherwise(
-        F.array_repeat(F.col("__size"), F.col("epochs").cast("int"))
-    )
-    cut = F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(
-        F.regexp_substr("text", F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), F.col("__words"), F.lit("}")))
-    )
+    text_hash = F.xxhash64("text")
+    mixed = mix(docs.select(F.struct("doc_id", text_hash.alias("h")).alias("doc_id"), "source", "text"), weights, most, seed)
+    plan = mixed.where("taken > 0").select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.h").alias("__h"), F.col("epochs").cast("int").alias("__epochs"), F.col("partial").alias("__partial"), F.col("size").alias("__size"))
+    plan = plan.dropDuplicates(["__id", "__h"])
+    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash == F.col("__h")))
+    whole = F.array_repeat(F.col("__size"), F.col("__epochs"))
+    copies = F.when(F.col("__partial") > 0, F.concat(whole, F.array("__partial"))).otherwise(whole)
+    cut = F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(F.array_join(F.slice(F.split("text", WORD_END), 1, F.col("__words").cast("int")), ""))
     rows = rows.withColumn("__words", F.explode(copies)).withColumn("text", cut)
     if "n_chars" in names:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

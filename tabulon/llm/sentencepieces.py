@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import plain_string, slices, word_codes
 from .segments import assemble
@@ -166,23 +168,18 @@ def encode_documents(docs: DataFrame, model: str, carry: list[str] | None = None
                 decimal = [str(i) for i in range(table.library.get_piece_size())]
             texts = plain_string(batch.column(batch.num_columns - 1))
             for a, b, offsets, ids in encode_texts(table, texts, end):
-                n, shas, decoded, lists, back = np.diff(offsets), [], [], [], []
+                n, shas, decoded, back = np.diff(offsets), [], [], []
                 for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     own = ids[x:y].tolist()
                     shas.append(hashlib.sha256(" ".join([decimal[i] for i in own]).encode()).hexdigest())
                     text = table.library.decode(own)
                     decoded.append(hashlib.sha256(text.encode()).hexdigest())
-                    if with_ids:
-                        lists.append(own)
                     if with_text:
                         back.append(text)
                 columns = [batch.column(i).slice(a, b - a) for i in range(len(carry))] + [pa.array(n), pa.array(shas), pa.array(decoded)]
-                columns += [pa.array(lists, pa.list_(pa.int32()))] * with_ids + [pa.array(back, pa.string())] * with_text
+                columns += [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))] * with_ids + [pa.array(back, pa.string())] * with_text
                 yield pa.record_batch(columns, names=[*carry, "n_tokens", "ids_sha256", "decoded_sha256", *extra])
 
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
-
     fields = [docs.schema[c] for c in carry] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids + [T.StructField("decoded", T.StringType())] * with_text
     return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, T.StructType(fields))
