@@ -1 +1,6 @@
-"""Part of tabulon: relations from spreadsheets, documents and tables, on Spark."""
+"""The registered queries: importing this package fills the registry."""
+
+from . import profiling
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "profiling"]
