@@ -1,6 +1,6 @@
 """The registered queries: importing this package fills the registry."""
 
-from . import profiling
+from . import layouts, profiling
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "profiling"]
+__all__ = ["ORACLE", "QUERIES", "layouts", "profiling"]
