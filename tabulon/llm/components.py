@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import store
@@ -35,11 +35,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     before = None
     for _ in range(max_rounds):
-        now = store(_small_star(_large_star(now)), "stars")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == before:
+        seen = Observation()  # counts as the round is written, so that it needs no job of its own
+        mark = (F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+        now = store(_small_star(_large_star(now)).observe(seen, *mark), "stars")
+        if seen.get == before:
             break
-        before = mark
+        before = seen.get
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(

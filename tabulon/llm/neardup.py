@@ -3,14 +3,16 @@
 1. Every item becomes its set of word shingles (64-bit hashes of k lower-cased
    words; the whole sequence when it has fewer). Items with equal sets are one
    class from there on, so that thousands of copies cost one signature.
-2. Universal hash minima make a signature; bands of it make buckets. Each class
+2. Universal hash minima make a signature; bands of it make buckets, one bit of
+   each minimum makes the sketch by which signatures are verified. Each class
    meets the smallest class of each of its buckets (a star: linear in the
-   bucket), pairs whose signatures are far below the threshold go, and the
-   others are confirmed on their full sets.
-3. Confirmed links form components (large-star / small-star). Buckets that
-   still hold several components are compared across these components: first
-   the best partner of each class, then every remaining pair, so that no link
-   found by banding stays untested. Buckets of any size are dealt out in blocks.
+   bucket), pairs whose sketches are far below the threshold go, and the others
+   are confirmed on their full sets. Later pairs are verified by a byte of each
+   minimum, which tells almost as much as all of it.
+3. Buckets that still hold classes without a link to each other are compared
+   across these: first the best partner of each class, then, between components
+   (large-star / small-star), every remaining pair, so that no link found by
+   banding stays untested. Buckets of any size are dealt out in blocks.
 """
 
 from __future__ import annotations
@@ -20,12 +22,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import hash_strings, mix64, odd_constants, plain_string, ragged_take, slices, split_words, store, word_codes
 from .components import connected_components
@@ -39,7 +41,7 @@ class MinHashParams:
     percent: int = 80
     bands: int = 30
     rows: int = 4
-    slack: float = 0.13  # below the threshold, in signature similarity; 3.5 standard errors of 120 minima
+    slack: float = 4.0  # standard errors below the threshold at which a pair of signatures is still confirmed on sets
     block: int = 2048  # classes of one bucket that a task holds on either side
     bloom_bits: int = 1 << 23  # of the fixed-size filter that picks sets to load
     seed: int = 7
@@ -48,6 +50,18 @@ class MinHashParams:
     def size(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def apart(self) -> int:
+        """Bits in which two sketches may differ: a bit agrees with probability (1 + similarity) / 2."""
+        agree = (1 + self.percent / 100) / 2
+        return int(self.size * (1 - agree) + self.slack * (self.size * agree * (1 - agree)) ** 0.5)
+
+    @property
+    def least(self) -> int:
+        """Minima in which two signatures agree at least."""
+        agree = self.percent / 100
+        return int(self.size * agree - self.slack * (self.size * agree * (1 - agree)) ** 0.5)
+
 
 # ------------------------------------------------------------------- sets
 
@@ -65,6 +79,7 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
         m = len(h) - k + 1
         for j in range(k):
             raw[:m] += mix64(h[j : j + m] + odd[j])
+    del flat, index, words
     count = np.where(n >= k, n - k + 1, (n > 0).astype(np.int64))
     out_offsets = np.concatenate([[0], np.cumsum(count)])
     out = np.zeros(out_offsets[-1], np.uint64)
@@ -99,6 +114,16 @@ def minima(offsets: np.ndarray, hashes: np.ndarray, p: MinHashParams) -> np.ndar
     return out
 
 
+def bands_and_sketch(signatures: np.ndarray, p: MinHashParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket of each band, a bit of each minimum in 64-bit words, a byte of each): a bucket is a hash of the band's number and minima."""
+    rows = signatures.reshape(-1, p.bands, p.rows).astype(np.uint64)
+    buckets = mix64(mix64((rows * odd_constants(p.rows, p.seed + 2)).sum(2)) + np.arange(p.bands, dtype=np.uint64))
+    octets = (signatures * np.uint32(2654435761) >> np.uint32(24)).astype(np.uint8)
+    wide = np.zeros((len(octets), -(-p.size // 64) * 64), np.uint8)
+    wide[:, : p.size] = octets >> 7
+    return buckets.view(np.int64), np.packbits(wide, axis=1).view(np.int64), octets
+
+
 def _digests(offsets: np.ndarray, hashes: np.ndarray) -> list[bytes | None]:
     raw = memoryview(np.ascontiguousarray(hashes)).cast("B")
     return [
@@ -140,13 +165,16 @@ def _read_items(p: MinHashParams, min_words: int | None, schema: pa.Schema):
                     if len(seen) < 1 << 20:  # a memo of bounded size: a class met again is only sent again
                         seen.add(d)
                     new.append(i)
-            signatures: list[bytes | None] = [None] * len(digests)
+            buckets: list = [None] * len(digests)
+            sketches: list = [None] * len(digests)
+            octets: list = [None] * len(digests)
             if new:
                 at = np.array(new)
                 count = np.diff(offsets)[at]
                 own = hashes[ragged_take(offsets[at], count)]
-                for i, s in zip(new, minima(np.concatenate([[0], np.cumsum(count)]), own, p), strict=True):
-                    signatures[i] = s.tobytes()
+                made = bands_and_sketch(minima(np.concatenate([[0], np.cumsum(count)]), own, p), p)
+                for i, x, y, z in zip(new, *made, strict=True):
+                    buckets[i], sketches[i], octets[i] = x.tobytes(), y, z.tobytes()
             yield pa.record_batch(
                 [
                     batch.column("doc_id").take(pa.array(row)),
@@ -154,7 +182,9 @@ def _read_items(p: MinHashParams, min_words: int | None, schema: pa.Schema):
                     pa.array(n_words, pa.int64()),
                     pa.array(np.diff(offsets), pa.int64()),
                     pa.array(digests, pa.binary()),
-                    pa.array(signatures, pa.binary()),
+                    pa.array(buckets, pa.binary()),
+                    pa.array(sketches, pa.list_(pa.int64())),
+                    pa.array(octets, pa.binary()),
                 ],
                 schema=schema,
             )
@@ -185,23 +215,27 @@ def _bloom(nodes: DataFrame, bits: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def _bloom_test(bloom: np.ndarray, digests: list[bytes], bits: int) -> np.ndarray:
+    key = np.frombuffer(b"".join([d[:8] for d in digests]), np.uint64)
+    hit = np.ones(len(key), bool)
+    for at in _bloom_positions(key, bits):
+        hit &= (bloom[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return hit
+
+
 def _sets_of(rows: DataFrame, nodes: DataFrame, p: MinHashParams, min_words: int | None) -> DataFrame:
-    """(node, shingles): the full sets of ``nodes`` (digest, node), read again from the texts."""
-    filter_ = rows.sparkSession.sparkContext.broadcast(_bloom(nodes.select("digest"), p.bloom_bits))
+    """(digest, shingles) of about the classes ``nodes``, read again from the texts; a task sends a class once."""
+    shared = rows.sparkSession.sparkContext.broadcast(_bloom(nodes.select("digest"), p.bloom_bits))
 
     def run(batches):
-        bloom, seen = filter_.value, set()
+        seen: set[bytes] = set()
         for batch in slices(batches):
             _, _, texts = _items(batch, min_words)
             _, offsets, hashes = shingle_sets(texts, p.shingle)
             digests = _digests(offsets, hashes)
             some = [i for i, d in enumerate(digests) if d is not None and d not in seen]
-            key = np.frombuffer(b"".join(digests[i][:8] for i in some), np.uint64)
-            hit = np.ones(len(key), bool)
-            for at in _bloom_positions(key, p.bloom_bits):
-                hit &= (bloom[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
             ids, blobs = [], []
-            for i, h in zip(some, hit.tolist(), strict=True):
+            for i, h in zip(some, _bloom_test(shared.value, [digests[i] for i in some], p.bloom_bits).tolist(), strict=True):
                 if h and digests[i] not in seen:
                     if len(seen) < 1 << 20:
                         seen.add(digests[i])
@@ -209,8 +243,20 @@ def _sets_of(rows: DataFrame, nodes: DataFrame, p: MinHashParams, min_words: int
                     blobs.append(hashes[offsets[i] : offsets[i + 1]].tobytes())
             yield pa.record_batch([pa.array(ids, pa.binary()), pa.array(blobs, pa.binary())], names=["digest", "shingles"])
 
-    found = rows.select("text").mapInArrow(run, "digest binary, shingles binary")
-    return store(found.join(nodes, "digest").dropDuplicates(["node"]).select("node", "shingles"), "sets")
+    return store(rows.select("text").mapInArrow(run, "digest binary, shingles binary"), "sets")
+
+
+def _some_sets(pool: DataFrame, nodes: DataFrame, p: MinHashParams) -> DataFrame:
+    """(node, shingles) of the classes ``nodes`` (node, digest) out of the ``pool``; the filter keeps others out of the shuffle."""
+    shared = pool.sparkSession.sparkContext.broadcast(_bloom(nodes.select("digest"), p.bloom_bits))
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(_bloom_test(shared.value, b.column("digest").to_pylist(), p.bloom_bits)))
+
+    found = pool.mapInArrow(run, pool.schema).join(nodes, "digest")
+    return store(found.dropDuplicates(["node"]).select("node", "shingles"), "chosen")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFrame:
@@ -237,79 +283,111 @@ def _confirm(pairs: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFrame:
 # ---------------------------------------------------------------- candidates
 
 
-def _similar(pairs: DataFrame, signatures: DataFrame, p: MinHashParams) -> DataFrame:
-    """The pairs whose signatures agree in about the threshold's share of places, at least."""
-    least = p.percent / 100 - p.slack
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(bucket, node, sketch) for every band of every class."""
 
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(b.num_rows, p.size) for c in "xy")
-            yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array((x == y).mean(1) >= least))
+            if b.num_rows:
+                keys = np.frombuffer(b"".join(b.column("buckets").to_pylist()), np.int64)
+                each = len(keys) // b.num_rows
+                own = pa.array(np.repeat(np.arange(b.num_rows), each))
+                yield pa.record_batch([pa.array(keys), b.column("node").take(own), b.column("sketch").take(own)], names=["bucket", "node", "sketch"])
 
-    x = signatures.select(F.col("node").alias("b"), F.col("sig").alias("y"))
-    y = signatures.select(F.col("node").alias("a"), F.col("sig").alias("x"))
-    return pairs.join(x, "b").join(y, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return classes.select("node", "buckets", "sketch").mapInArrow(run, "bucket long, node long, sketch array<long>")
 
 
-def _bands(signatures: DataFrame, p: MinHashParams) -> DataFrame:
-    """(bucket, node): the bucket is a hash of the band's number and minima."""
-    odd = odd_constants(p.rows, p.seed + 2)
+def _apart(x: str, y: str, p: MinHashParams):
+    """Bits in which two sketches differ."""
+    words = -(-p.size // 64)
+    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, words)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
 
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, p.bands, p.rows).astype(np.uint64)
-            key = mix64(mix64((sig * odd).sum(2)) + np.arange(p.bands, dtype=np.uint64))
-            node = np.repeat(b.column("node").to_numpy(), p.bands)
-            yield pa.record_batch([pa.array(key.ravel().view(np.int64)), pa.array(node)], names=["bucket", "node"])
 
-    return signatures.select("node", "sig").mapInArrow(run, "bucket long, node long")
+FEW = 8
 
 
-def _across(members: DataFrame, sizes: DataFrame, p: MinHashParams, every: bool) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket that look similar.
+def _across(members: DataFrame, p: MinHashParams) -> DataFrame:
+    """Pairs (a, b) of different roots in one bucket whose signatures are near.
 
-    ``members``: bucket, node, root, sig. Buckets over ``block`` classes are dealt
-    out as pairs of blocks. Not ``every``: for each class outside the largest
-    component, its most similar partner only.
+    ``members``: bucket, size, node, root, octets. Buckets over ``block`` classes
+    are dealt out as pairs of blocks. In buckets of more than FEW, each class
+    outside the most common root is paired with its nearest partner only, unless
+    there is a column of full sets (shingles): then with one class of each other
+    root that it has a confirmed link with.
     """
-    least = p.percent / 100 - p.slack
+    exact = "shingles" in members.columns
     n = F.ceil(F.col("size") / p.block).cast("int")
     dealt = (
-        members.join(sizes, "bucket")
-        .withColumn("own", F.pmod(F.xxhash64("node"), n).cast("int"))
+        members.withColumn("own", F.pmod(F.xxhash64("node"), n).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-        .select("bucket", "node", "root", "sig", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "own", "octets", *["shingles"] * exact)
     )
+    sorted_ = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", ignore_index=True)
-        node, root, own = (pdf[c].to_numpy() for c in ("node", "root", "own"))
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), p.size)
-        roots, counts = np.unique(root, return_counts=True)
-        small = np.flatnonzero(root != roots[np.argmax(counts)])
-        a, b = [], []
-        for i in small.tolist():
-            like = (sig == sig[i]).mean(1)
-            like[root == root[i]] = 0
-            if key[1] != key[2]:
-                like[own == own[i]] = 0
-            if every:
-                hits = np.flatnonzero(like >= least)
-            else:
-                hits = np.array([np.argmax(like)])
-                hits = hits[like[hits] >= least]
-            a.append(np.full(len(hits), node[i]))
-            b.append(node[hits])
-        if not a:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    def groups(batches):
+        """Whole groups, in frames of about a million numbers."""
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            octets = np.frombuffer(b"".join(b.column("octets").to_pylist()), np.uint8).reshape(b.num_rows, p.size)
+            sets = np.array(b.column("shingles").to_pylist() if exact else [None] * b.num_rows, object)
+            now = [b.column(c).to_numpy() for c in ("bucket", "i", "j", "node", "root", "own")] + [octets, sets]
+            now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            same = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])
+            cut = len(same) if not same.all() else 0
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if cut else 0
+            if cut:
+                yield [x[:cut] for x in now]
+            held = [x[cut:] for x in now]
+        if held is not None:
+            yield held
+
+    def linked(one: bytes, others: list[bytes]) -> np.ndarray:
+        """Which of the sets are near copies of the first."""
+        x = np.frombuffer(one, np.uint64)
+        sizes = np.array([len(o) // 8 for o in others])
+        values = np.frombuffer(b"".join(others), np.uint64)
+        shared = np.add.reduceat(x[np.minimum(np.searchsorted(x, values), len(x) - 1)] == values, np.cumsum(sizes) - sizes, dtype=np.int64)
+        return 100 * shared >= p.percent * (len(x) + sizes - shared)
+
+    def run(batches):
+        for bucket, i, j, node, root, own, octets, sets in groups(batches):
+            new = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+            size = np.diff(np.concatenate([new, [len(bucket)]]))
+            a, b = [], []
+            for g in range(2, FEW + 1):  # small groups of one size: all their pairs at once
+                first = new[size == g]
+                for x in range(g):
+                    for y in range(x + 1, g):
+                        u, v = first + x, first + y
+                        may = (root[u] != root[v]) & ((i[u] == j[u]) | (own[u] != own[v]))
+                        u, v = u[may], v[may]
+                        near = (octets[u] == octets[v]).sum(1) >= p.least
+                        a.append(node[u[near]])
+                        b.append(node[v[near]])
+            for at, g in zip(new[size > FEW], size[size > FEW], strict=True):
+                u = slice(at, at + g)
+                roots, counts = np.unique(root[u], return_counts=True)
+                for k in np.flatnonzero(root[u] != roots[np.argmax(counts)]).tolist():
+                    like = (octets[u] == octets[at + k]).sum(1)
+                    like[root[u] == root[at + k]] = 0
+                    if i[at] != j[at]:
+                        like[own[u] == own[at + k]] = 0
+                    if exact:
+                        hits = np.flatnonzero(like >= p.least)
+                        if len(hits):
+                            hits = hits[linked(sets[at + k], sets[at + hits].tolist())]
+                            hits = hits[np.unique(root[at + hits], return_index=True)[1]]
+                    else:
+                        hits = np.array([np.argmax(like)])
+                        hits = hits[like[hits] >= p.least]
+                    a.append(np.full(len(hits), node[at + k]))
+                    b.append(node[at + hits])
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return sorted_.mapInArrow(run, "a long, b long").distinct()
 
 
 # ------------------------------------------------------------------ operator
@@ -325,55 +403,51 @@ def near_duplicates(docs: DataFrame, p: MinHashParams, min_words: int | None = N
     empty texts have no shingles and are linked with nothing; repeated rows and
     equal sets share a digest. An empty table gives empty results.
     """
-    spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
-    id_type = rows.schema["doc_id"].dataType
     schema = T.StructType(
-        [T.StructField("doc_id", id_type), T.StructField("part", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sig", T.BinaryType())]
-    )
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+        [
+            rows.schema["doc_id"], T.StructField("part", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_shingles", T.LongType()),
+            T.StructField("digest", T.BinaryType()), T.StructField("buckets", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("octets", T.BinaryType()),
+        ]
+    )
     items = store(rows.mapInArrow(_read_items(p, min_words, to_arrow_schema(schema)), schema), "items")
-    signatures = store(
-        items.where("sig is not null").groupBy("digest").agg(F.first("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()), "classes"
-    )
-    bands = _bands(signatures, p)
-    groups = bands.groupBy("bucket").agg(F.min("node").alias("center"), F.count("*").alias("size")).where("size > 1")
-    groups = store(groups, "buckets")
-    members = store(bands.join(groups, "bucket"), "members")
-    stars = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    # every class that shares a bucket may be looked at again: its set is loaded once
-    roots = None
-    sets = None
-    tested = None
-    found = None
-    for step in ("star", "best", "best", "every"):
-        if step == "star":
-            pairs = _similar(stars, signatures, p)
-        else:
-            labelled = members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            open_ = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-            open_ = store(open_.select("bucket", "size"), "open")
-            rest = labelled.join(open_.select("bucket"), "bucket", "left_semi").join(signatures.select("node", "sig"), "node")
-            pairs = _across(rest, open_, p, step == "every").join(tested, ["a", "b"], "left_anti")
-        pairs = store(pairs, "pairs")
-        if pairs.isEmpty():
-            if step == "every":
-                break
-            if step == "star":
-                roots, tested, found = spark.createDataFrame([], "node long, root long"), pairs, pairs
-            continue
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        if sets is not None:
-            nodes = nodes.join(sets.select("node"), "node", "left_anti")
-        fresh = _sets_of(rows, store(nodes.join(signatures.select("node", "digest"), "node"), "nodes"), p, min_words)
-        sets = fresh if sets is None else sets.union(fresh)
-        links = store(_confirm(pairs, sets, p), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = links if found is None else found.union(links)
-        roots = connected_components(found)
-    labels = roots.join(signatures.select("node", "digest"), "node").select("digest", "root")
-    return items.drop("sig"), labels
+    classes = items.where("buckets is not null").groupBy("digest").agg(F.first(F.struct("buckets", "sketch", "octets")).alias("x"))
+    classes = store(classes.select("digest", "x.*").withColumn("node", F.monotonically_increasing_id()), "classes")
+    buckets = _buckets(classes)
+    centers = buckets.groupBy("bucket").agg(F.min(F.struct("node", "sketch")).alias("center"), F.count("*").alias("size")).where("size > 1")
+    members = store(buckets.join(centers, "bucket"), "members")
+    stars = members.where("node <> center.node").where(_apart("sketch", "center.sketch", p) <= p.apart)
+    pairs = store(stars.select(F.col("center.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    members = members.select("bucket", "size", "node", "sketch")
+    pool = _sets_of(rows, members.select("node").distinct().join(classes.select("node", "digest"), "node"), p, min_words)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "digest"), "node")
+        return store(_confirm(pairs, _some_sets(pool, store(nodes, "nodes"), p), p), "links")
+
+    links = confirmed(pairs)
+    # one step is enough to see which buckets are done: a class goes with its smallest confirmed center
+    roots = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+    for every in (False, True):
+        labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+        rest = labelled.join(open_, "bucket").drop("sketch", "octets").join(classes.select("node", "octets"), "node")
+        rest = store(rest, "open")
+        large = rest.where(F.col("size") > FEW) if every else None
+        more = store(_across(rest.where(F.col("size") <= FEW) if every else rest, p).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            links, pairs = links.union(confirmed(more)), pairs.union(more)
+            roots = None
+        if every and not large.isEmpty():
+            # many near copies of each other: their sets come to the bucket, so that no pair has to leave it
+            nodes = store(large.select("node").distinct().join(classes.select("node", "digest"), "node"), "nodes")
+            links = links.union(store(_across(large.join(_some_sets(pool, nodes, p), "node"), p), "links"))
+            roots = None
+        if roots is None or not every:
+            roots = connected_components(links)
+        members = rest.drop("root")  # a bucket that is done stays done
+    labels = roots.join(classes.select("node", "digest"), "node").select("digest", "root")
+    return items.drop("buckets", "sketch", "octets"), labels
 
 
 def document_components(docs: DataFrame, p: MinHashParams = MinHashParams()) -> DataFrame:
