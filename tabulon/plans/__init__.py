@@ -1,6 +1,6 @@
 """The registered queries: importing this package fills the registry."""
 
-from . import layouts, profiling
+from . import formulas, layouts, profiling
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "layouts", "profiling"]
+__all__ = ["ORACLE", "QUERIES", "formulas", "layouts", "profiling"]
