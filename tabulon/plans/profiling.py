@@ -12,7 +12,7 @@ from ..operators import profile as P
 from ..operators import sequence as S
 from .registry import query, table
 
-LINE_ROW = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+LINE_ROW = "l_orderkey * 8 + l_linenumber"
 
 _LINE_CELLS = """
   SELECT l_orderkey * 8 + l_linenumber AS row, 1 AS col, 'l_orderkey' AS header, 'integer' AS kind, CAST(l_orderkey AS VARCHAR) AS text FROM lineitem
@@ -29,7 +29,7 @@ SELECT 'lineitem' AS sheet, col, header, count(*) AS n_cells, count(text) AS non
        min(kind) AS type, min(kind) AS kinds, min(text) AS first_sample
 FROM c GROUP BY col, header""")
 def column_profile(spark, sf_dir):
-    return P.column_profile(C.cells(table(spark, sf_dir, "lineitem"), "lineitem", LINE_ROW, _LINE_COLUMNS))
+    return P.column_profile(C.cells(table(spark, sf_dir, "lineitem"), "lineitem", F.expr(LINE_ROW), _LINE_COLUMNS))
 
 
 @query("""
