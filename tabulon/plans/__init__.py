@@ -1,6 +1,6 @@
 """The registered queries: importing this package fills the registry."""
 
-from . import documents, formulas, layouts, profiling
+from . import documents, formulas, layouts, profiling, structure
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "documents", "formulas", "layouts", "profiling"]
+__all__ = ["ORACLE", "QUERIES", "documents", "formulas", "layouts", "profiling", "structure"]
