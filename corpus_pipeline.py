@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import store
-from tabulon.llm.mixing import take
+from tabulon.llm.mixing import take, with_text
 from tabulon.llm.neardup import MinHashParams, document_components, repeated_paragraphs
 from tabulon.llm.quality import quality_model, scored
 from tabulon.llm.sentencepieces import encode_documents
@@ -24,36 +24,35 @@ from tabulon.llm.sentencepieces import encode_documents
 ORACLE_SQL = None
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """row (all columns), doc_id and text: no other name can clash with a column of the input."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the votes of their nearest labelled texts call good."""
     model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    names = docs.columns
-    rows = docs.select(F.struct(*names).alias("row"), "text")
-    return scored(rows, model, ["row"]).where("predicted = 1").select("row.*")
+    return scored(_packed(docs).select("row", "text"), model, ["row"]).where("predicted = 1").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id."""
-    kept = document_components(docs, MinHashParams()).where("kept or doc_id is null").select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    kept = document_components(docs, MinHashParams()).where("kept or doc_id is null").select(F.col("doc_id").alias("id")).distinct()
+    rows = _packed(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     # repeated rows: the join has put the rows of an id together
     again = Window.partitionBy("doc_id", "text").orderBy("doc_id")
-    return rows.withColumn("__n", F.row_number().over(again)).where("__n = 1").drop("__n")
+    return rows.withColumn("n", F.row_number().over(again)).where("n = 1").select("row.*")
 
 
 def drop_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without paragraphs of which an earlier document has a near copy; texts that keep nothing go."""
-    names = docs.columns
     text_hash = F.xxhash64("text")
     found = repeated_paragraphs(docs.select(F.struct("doc_id", text_hash.alias("h")).alias("doc_id"), "text"))
-    gone = found.where("not kept").groupBy(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.h").alias("__h")).agg(F.collect_set("part").alias("__gone"))
-    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash == F.col("__h")), "left")
-    left = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__gone", i.cast("long")))
-    rows = rows.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    rows = rows.where("__gone is null or trim(text) <> ''")
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*names)
+    gone = found.where("not kept").groupBy(F.col("doc_id.doc_id").alias("id"), F.col("doc_id.h").alias("h")).agg(F.collect_set("part").alias("gone"))
+    rows = _packed(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (text_hash == F.col("h")), "left")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i.cast("long"))), "\n")
+    rows = rows.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)).where("gone is null or trim(text) <> ''")
+    return with_text(rows, docs, F.col("gone").isNotNull())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

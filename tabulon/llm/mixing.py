@@ -117,16 +117,23 @@ def take(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST
     Rows that the mix does not take are left out, and so are texts without
     words. Rows that are equal in doc_id and text all follow the plan of one.
     """
-    names = docs.columns
     text_hash = F.xxhash64("text")
     mixed = mix(docs.select(F.struct("doc_id", text_hash.alias("h")).alias("doc_id"), "source", "text"), weights, most, seed)
-    plan = mixed.where("taken > 0").select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.h").alias("__h"), F.col("epochs").cast("int").alias("__epochs"), F.col("partial").alias("__partial"), F.col("size").alias("__size"))
-    plan = plan.dropDuplicates(["__id", "__h"])
-    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash == F.col("__h")))
-    whole = F.array_repeat(F.col("__size"), F.col("__epochs"))
-    copies = F.when(F.col("__partial") > 0, F.concat(whole, F.array("__partial"))).otherwise(whole)
-    cut = F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(F.array_join(F.slice(F.split("text", WORD_END), 1, F.col("__words").cast("int")), ""))
-    rows = rows.withColumn("__words", F.explode(copies)).withColumn("text", cut)
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*names)
+    plan = mixed.where("taken > 0").select(F.col("doc_id.doc_id").alias("id"), F.col("doc_id.h").alias("h"), F.col("epochs").cast("int").alias("epochs"), "partial", "size")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+    rows = rows.join(plan.dropDuplicates(["id", "h"]), F.col("doc_id").eqNullSafe(F.col("id")) & (text_hash == F.col("h")))
+    whole = F.array_repeat(F.col("size"), F.col("epochs"))
+    rows = rows.withColumn("words", F.explode(F.when(F.col("partial") > 0, F.concat(whole, F.array("partial"))).otherwise(whole)))
+    cut = F.array_join(F.slice(F.split("text", WORD_END), 1, F.col("words").cast("int")), "")
+    rows = rows.withColumn("text", F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(cut))
+    return with_text(rows, docs, F.col("words") < F.col("size"))
+
+
+def with_text(rows: DataFrame, docs: DataFrame, changed: Column) -> DataFrame:
+    """The columns of ``docs`` out of ``row``, with the new text, and n_chars with it where it has changed."""
+    out = []
+    for f in docs.schema:
+        old = F.col("row").getField(f.name)
+        new = F.col("text") if f.name == "text" else F.when(changed, F.length("text").cast(f.dataType)).otherwise(old) if f.name == "n_chars" else old
+        out.append(new.alias(f.name))
+    return rows.select(*out)
