@@ -53,7 +53,7 @@ RULES = {
 END = r"([.!?;:])[ \t\r\n]+|\n[ \t\r]*\n"
 MARK = "\x1e"
 #: Every known sentence matches this.
-HINT = "(?i)licen|permi|warrant|redistribut|liable|rights|software|copyright"
+HINT = "(?i)licen|cc0|permi|warrant|redistribut|liable|rights|software|copyright"
 
 
 def normal(sentence: str) -> str:
