@@ -33,6 +33,10 @@ from .common import hash_strings, mix64, odd_constants, plain_string, ragged_tak
 from .components import connected_components
 
 
+#: Bytes of text at once: a word takes some fifty bytes of hashes on the way to its shingles.
+SLICE = 6 << 20
+
+
 @dataclass(frozen=True)
 class MinHashParams:
     """``bands`` x ``rows`` minima: at similarity 0.8 the chance to miss a pair is (1 - 0.8^rows)^bands, 1e-7 here."""
@@ -43,7 +47,7 @@ class MinHashParams:
     rows: int = 4
     slack: float = 4.0  # standard errors below the threshold at which a pair of signatures is still confirmed on sets
     block: int = 2048  # classes of one bucket that a task holds on either side
-    bloom_bits: int = 1 << 23  # of the fixed-size filter that picks sets to load
+    bloom_bits: int = 1 << 26  # at most, of the filters that keep rows out of shuffles which they would not survive
     seed: int = 7
 
     @property
@@ -155,7 +159,7 @@ def _items(batch: pa.RecordBatch, min_words: int | None) -> tuple[np.ndarray, np
 def _read_items(p: MinHashParams, min_words: int | None, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             row, number, texts = _items(batch, min_words)
             n_words, offsets, hashes = shingle_sets(texts, p.shingle)
             digests = _digests(offsets, hashes)
@@ -195,47 +199,57 @@ def _read_items(p: MinHashParams, min_words: int | None, schema: pa.Schema):
 # ------------------------------------------------------- sets of some classes
 
 
+def _numbers(column: pa.Array) -> np.ndarray:
+    """64 bits of each key: a number itself, or the first bytes of a digest."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy().view(np.uint64)
+    return np.frombuffer(b"".join([x[:8] for x in column.to_pylist()]), np.uint64)
+
+
 def _bloom_positions(key: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mix64(key + np.uint64(i)) % np.uint64(bits)).astype(np.int64) for i in range(3)]
 
 
-def _bloom(nodes: DataFrame, bits: int) -> np.ndarray:
-    """A filter of a fixed size over the classes' digests; it travels as ``bits`` / 64 numbers at most."""
+def _bloom(keys: DataFrame, p: MinHashParams) -> np.ndarray:
+    """A filter over the first column of a stored table, 16 bits a key, ``bloom_bits`` at most.
+
+    It only spares a shuffle rows that will not join; when there are more keys than
+    it has room for it spares fewer, and nothing else changes.
+    """
+    bits = 1 << min(p.bloom_bits.bit_length() - 1, max(12, (16 * keys.count()).bit_length()))
 
     def positions(batches):
         for b in batches:
-            key = np.frombuffer(b"".join(x[:8] for x in b.column(0).to_pylist()), np.uint64)
-            at = np.unique(np.concatenate(_bloom_positions(key, bits))) if len(key) else np.zeros(0, np.int64)
+            at = np.unique(np.concatenate(_bloom_positions(_numbers(b.column(0)), bits))) if b.num_rows else np.zeros(0, np.int64)
             yield pa.record_batch([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["w", "v"])
 
-    words = nodes.mapInArrow(positions, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v"))
+    words = keys.select(keys.columns[0]).mapInArrow(positions, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v"))
     out = np.zeros(bits // 64, np.int64)
     got = words.toArrow()
     out[got["w"].to_numpy()] = got["v"].to_numpy()
     return out.view(np.uint64)
 
 
-def _bloom_test(bloom: np.ndarray, digests: list[bytes], bits: int) -> np.ndarray:
-    key = np.frombuffer(b"".join([d[:8] for d in digests]), np.uint64)
+def _bloom_test(bloom: np.ndarray, key: np.ndarray) -> np.ndarray:
     hit = np.ones(len(key), bool)
-    for at in _bloom_positions(key, bits):
+    for at in _bloom_positions(key, 64 * len(bloom)):
         hit &= (bloom[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
     return hit
 
 
 def _sets_of(rows: DataFrame, nodes: DataFrame, p: MinHashParams, min_words: int | None) -> DataFrame:
     """(digest, shingles) of about the classes ``nodes``, read again from the texts; a task sends a class once."""
-    shared = rows.sparkSession.sparkContext.broadcast(_bloom(nodes.select("digest"), p.bloom_bits))
+    shared = rows.sparkSession.sparkContext.broadcast(_bloom(nodes.select("digest"), p))
 
     def run(batches):
         seen: set[bytes] = set()
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             _, _, texts = _items(batch, min_words)
             _, offsets, hashes = shingle_sets(texts, p.shingle)
             digests = _digests(offsets, hashes)
             some = [i for i, d in enumerate(digests) if d is not None and d not in seen]
             ids, blobs = [], []
-            for i, h in zip(some, _bloom_test(shared.value, [digests[i] for i in some], p.bloom_bits).tolist(), strict=True):
+            for i, h in zip(some, _bloom_test(shared.value, _numbers(pa.array([digests[i] for i in some], pa.binary()))).tolist(), strict=True):
                 if h and digests[i] not in seen:
                     if len(seen) < 1 << 20:
                         seen.add(digests[i])
@@ -248,12 +262,12 @@ def _sets_of(rows: DataFrame, nodes: DataFrame, p: MinHashParams, min_words: int
 
 def _some_sets(pool: DataFrame, nodes: DataFrame, p: MinHashParams) -> DataFrame:
     """(node, shingles) of the classes ``nodes`` (node, digest) out of the ``pool``; the filter keeps others out of the shuffle."""
-    shared = pool.sparkSession.sparkContext.broadcast(_bloom(nodes.select("digest"), p.bloom_bits))
+    shared = pool.sparkSession.sparkContext.broadcast(_bloom(nodes.select("digest"), p))
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                yield b.filter(pa.array(_bloom_test(shared.value, b.column("digest").to_pylist(), p.bloom_bits)))
+                yield b.filter(pa.array(_bloom_test(shared.value, _numbers(b.column("digest")))))
 
     found = pool.mapInArrow(run, pool.schema).join(nodes, "digest")
     return store(found.dropDuplicates(["node"]).select("node", "shingles"), "chosen")
@@ -283,18 +297,21 @@ def _confirm(pairs: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFrame:
 # ---------------------------------------------------------------- candidates
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, node, sketch) for every band of every class."""
+def _buckets(classes: DataFrame, wanted: DataFrame | None = None, p: MinHashParams | None = None) -> DataFrame:
+    """(bucket, node) for every band of every class, or about those of the ``wanted`` buckets."""
+    shared = classes.sparkSession.sparkContext.broadcast(_bloom(wanted, p)) if wanted is not None else None
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 keys = np.frombuffer(b"".join(b.column("buckets").to_pylist()), np.int64)
-                each = len(keys) // b.num_rows
-                own = pa.array(np.repeat(np.arange(b.num_rows), each))
-                yield pa.record_batch([pa.array(keys), b.column("node").take(own), b.column("sketch").take(own)], names=["bucket", "node", "sketch"])
+                node = np.repeat(b.column("node").to_numpy(), len(keys) // b.num_rows)
+                if shared is not None:
+                    hit = _bloom_test(shared.value, keys.view(np.uint64))
+                    keys, node = keys[hit], node[hit]
+                yield pa.record_batch([pa.array(keys), pa.array(node)], names=["bucket", "node"])
 
-    return classes.select("node", "buckets", "sketch").mapInArrow(run, "bucket long, node long, sketch array<long>")
+    return classes.select("node", "buckets").mapInArrow(run, "bucket long, node long")
 
 
 def _apart(x: str, y: str, p: MinHashParams):
@@ -413,12 +430,14 @@ def near_duplicates(docs: DataFrame, p: MinHashParams, min_words: int | None = N
     items = store(rows.mapInArrow(_read_items(p, min_words, to_arrow_schema(schema)), schema), "items")
     classes = items.where("buckets is not null").groupBy("digest").agg(F.first(F.struct("buckets", "sketch", "octets")).alias("x"))
     classes = store(classes.select("digest", "x.*").withColumn("node", F.monotonically_increasing_id()), "classes")
-    buckets = _buckets(classes)
-    centers = buckets.groupBy("bucket").agg(F.min(F.struct("node", "sketch")).alias("center"), F.count("*").alias("size")).where("size > 1")
-    members = store(buckets.join(centers, "bucket"), "members")
-    stars = members.where("node <> center.node").where(_apart("sketch", "center.sketch", p) <= p.apart)
-    pairs = store(stars.select(F.col("center.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    members = members.select("bucket", "size", "node", "sketch")
+    centers = _buckets(classes).groupBy("bucket").agg(F.min("node").alias("center"), F.count("*").alias("size")).where("size > 1")
+    centers = store(centers, "buckets")
+    members = store(_buckets(classes, centers.select("bucket"), p).join(centers, "bucket"), "members")
+    sketches = classes.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
+    stars = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    stars = stars.join(sketches, "b").join(sketches.select(F.col("b").alias("a"), F.col("y").alias("x")), "a")
+    pairs = store(stars.where(_apart("x", "y", p) <= p.apart).select("a", "b"), "pairs")
+    members = members.select("bucket", "size", "node")
     pool = _sets_of(rows, members.select("node").distinct().join(classes.select("node", "digest"), "node"), p, min_words)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -431,7 +450,7 @@ def near_duplicates(docs: DataFrame, p: MinHashParams, min_words: int | None = N
     for every in (False, True):
         labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        rest = labelled.join(open_, "bucket").drop("sketch", "octets").join(classes.select("node", "octets"), "node")
+        rest = labelled.join(open_, "bucket").drop("octets").join(classes.select("node", "octets"), "node")
         rest = store(rest, "open")
         large = rest.where(F.col("size") > FEW) if every else None
         more = store(_across(rest.where(F.col("size") <= FEW) if every else rest, p).join(pairs, ["a", "b"], "left_anti"), "pairs")
