@@ -81,7 +81,7 @@ def op8_quality_votes(spark, sf_dir):
 @query
 def op9_token_files(spark, sf_dir):
     """Ids of every document, written to flat files in doc_id order and read back."""
-    shards = write_token_files(text_table(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    shards = write_token_files(text_table(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2, fold=True)
     return read_token_files(shards)
 
 

@@ -13,6 +13,8 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,26 +23,63 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import open_fs, parts, plain_string, scratch, slices, split_words, store, word_codes
+from .common import open_fs, parts, plain_string, ragged_take, scratch, slices, split_words, store, word_codes
 from .segments import assemble
 
 
 class WordEncoder:
-    """Ids of words by the tokenizers library, for a tokenizer that never joins across white space."""
+    """Ids of words by the tokenizers library, for a tokenizer that drops white space and never joins across it.
+
+    ``fold``: it also lower-cases texts and cuts letters from marks, so that case
+    and a word's last comma or full stop can be taken off before distinct words
+    are sought. Words that a slice has more than once are remembered, up to
+    MEMO of them, from task to task of a worker.
+    """
 
     MARK = "\x01"
+    MEMO = 400_000
 
-    def __init__(self, path: str, at_once: int = 256):
+    def __init__(self, path: str, fold: bool, at_once: int = 256):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self.fold = fold
         self.at_once = at_once
         mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.known: dict[str, int] = {}
+        self.known_lengths: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.known_ids: list[np.ndarray] = [np.zeros(0, np.uint32)]
+
+    def words(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """(offsets, words) of texts."""
+        if self.fold:
+            plain = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z0-9])([.,])([ \n])", r"\1 \2\3")
+            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, plain)  # may hold a special token, which has a case
+        return split_words(texts, lower=False)
+
+    def encode(self, words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start and number of each word's ids, ids)."""
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        fresh = [words[i] for i in new.tolist()]
+        lengths, ids = self._encode(fresh)
+        old_lengths, old_ids = np.concatenate(self.known_lengths), np.concatenate(self.known_ids)
+        self.known_lengths, self.known_ids = [old_lengths], [old_ids]
+        at[new] = len(old_lengths) + np.arange(len(new))
+        every = np.concatenate([old_lengths, lengths])
+        starts = np.cumsum(every) - every
+        often = np.flatnonzero(counts[new] > 1)[: max(0, self.MEMO - len(self.known))]
+        if len(often):
+            self.known.update(zip([fresh[i] for i in often.tolist()], range(len(old_lengths), len(old_lengths) + len(often)), strict=True))
+            first = np.cumsum(lengths) - lengths
+            self.known_lengths.append(lengths[often])
+            self.known_ids.append(ids[ragged_take(first[often], lengths[often])])
+        return starts[at], every[at], np.concatenate([old_ids, ids])
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each word, all ids). Words travel in groups, with a mark of its own id between them."""
         odd = [i for i, w in enumerate(words) if self.mark is None or self.MARK in w]
         plain = words if not odd else [w for w in words if self.mark is not None and self.MARK not in w]
@@ -64,14 +103,20 @@ class WordEncoder:
         return every, out
 
 
-def _write(folder: str, tokenizer: str, end_id: int):
+@lru_cache(maxsize=2)
+def encoder_of(path: str, fold: bool) -> WordEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return WordEncoder(path, fold)
+
+
+def _write(folder: str, tokenizer: str, end_id: int, fold: bool):
     def run(batches):
         shard = TaskContext.get().partitionId()
         fs, base = open_fs(f"{folder}/{shard:06d}-{uuid.uuid4().hex}")
         encoder, n_docs, n_ids, nulls, out = None, 0, 0, 0, {}
         for batch in slices(batches):
             if encoder is None:
-                encoder = WordEncoder(tokenizer)
+                encoder = encoder_of(tokenizer, fold)
                 kind = np.dtype("<u2" if max(encoder.vocabulary, end_id + 1) <= 1 << 16 else "<u4")
                 fs.create_dir(base.rpartition("/")[0], recursive=True)
                 out = {x: fs.open_output_stream(f"{base}.{x}") for x in ("bin", "idx", "doc")}
@@ -79,10 +124,9 @@ def _write(folder: str, tokenizer: str, end_id: int):
             ids = batch.column("doc_id")
             nulls += ids.null_count
             out["doc"].write(pc.fill_null(ids, 0).cast(pa.int64()).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-            offsets, flat = split_words(plain_string(batch.column("text")), lower=False)
+            offsets, flat = encoder.words(plain_string(batch.column("text")))
             index, words = word_codes(flat)
-            lengths, tokens = encoder.encode(words.to_pylist())
-            starts = np.cumsum(lengths) - lengths
+            starts, lengths, tokens = encoder.encode(words.to_pylist(), np.bincount(index, minlength=len(words)))
             for _, _, ends, part in assemble(offsets, index, starts, lengths, tokens.astype(kind), end_id):
                 out["bin"].write(part.astype(kind).tobytes())
                 out["idx"].write((ends[1:] + n_ids).astype("<i8").tobytes())
@@ -99,7 +143,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
     return run
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, fold: bool = False) -> DataFrame:
     """Write the ids of every text in ascending doc_id order; return the shards with their place in the stream.
 
     Shards: shard, path (without suffix), kind, n_docs, n_ids, nulls, base (ids
@@ -110,7 +154,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     spark = docs.sparkSession
     folder = folder or scratch(spark, "tokens")
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    shards = store(ordered.mapInArrow(_write(folder, tokenizer, end_id), "shard int, path string, kind string, n_docs long, n_ids long, nulls long"), "shards")
+    shards = store(ordered.mapInArrow(_write(folder, tokenizer, end_id, fold), "shard int, path string, kind string, n_docs long, n_ids long, nulls long"), "shards")
     # one row for each task that wrote: a prefix sum of a few numbers
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return store(shards.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "bases")
