@@ -10,7 +10,7 @@ from .common import text_table
 from .licences import END, HINT, MARK, compiled, scan_licences
 from .media import media_columns
 from .mixing import mix
-from .neardup import MinHashParams, document_components, repeated_paragraphs
+from .neardup import MinHashParams, document_components, repeated_paragraphs, repeated_passages
 from .neighbours import nearest, usable
 from .quality import held_out, quality_model, scored
 from .sentencepieces import encode_documents
@@ -37,6 +37,12 @@ def op6_paragraph_dedup(spark, sf_dir):
     return repeated_paragraphs(text_table(spark, sf_dir))
 
 
+@query
+def op6_repeated_passages(spark, sf_dir):
+    """Stretches of whole texts in runs of 50 words or more that occur again anywhere, wherever lines end."""
+    return repeated_passages(text_table(spark, sf_dir))
+
+
 @query
 def op1_pitman_yor(spark, sf_dir):
     """Log10 probability of every document under the language model and under add-one unigrams."""

@@ -102,6 +102,45 @@ def test_repeated_paragraphs(spark, odd):
     assert {r.doc_id for r in neardup.repeated_paragraphs(odd).collect()} == {5, 6}
 
 
+def brute_passages(texts: dict, size: int):
+    """(id, word) of every word that a run of ``size`` words covers which occurs earlier (texts without self-overlap)."""
+    first, out = {}, set()
+    for key in sorted(texts):
+        w = words(texts[key])
+        for i in range(len(w) - size + 1):
+            if first.setdefault(tuple(w[i : i + size]), (key, i)) != (key, i):
+                out |= {(key, j) for j in range(i, i + size)}
+    return out
+
+
+def test_repeated_passages_against_brute_force(spark):
+    rng = random.Random(4)
+    own = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(60)}" for _ in range(n)]
+    space = lambda w: "".join(x + rng.choice([" ", " ", " ", "\n", "  "]) for x in w)
+    shared = [own(n) for n in (49, 50, 54, 59, 120)]
+    texts = {}
+    for i in range(60):  # passages start and end inside lines and run over their ends
+        parts = [own(rng.randrange(0, 70))]
+        for x in rng.sample(shared, rng.randrange(0, 3)):
+            parts += [[y.upper() if rng.random() < 0.2 else y for y in x], own(rng.randrange(0, 70))]
+        texts[i] = space([y for x in parts for y in x])
+    texts[60] = texts[3]
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
+    found = neardup.repeated_passages(rows).collect()
+    got = {(r.doc_id, r.first_word + j) for r in found if not r.kept for j in range(r.n_words)}
+    want = brute_passages(texts, 50)
+    assert got == want and len({i for i, _ in want}) > 20
+    assert {r.doc_id for r in found if r.kept} - {r.doc_id for r in found if not r.kept}
+
+
+def test_repeated_passages_of_odd_rows(spark, odd, none):
+    assert neardup.repeated_passages(none).count() == 0
+    assert {(r.doc_id, r.first_word, r.n_words, r.kept) for r in neardup.repeated_passages(odd).collect()} == {(5, 0, 30_000, True), (6, 0, 30_000, False)}
+    again = spark.createDataFrame([(1, "a " * 200), (2, "b"), (None, " ".join(f"n{i}" for i in range(60)) + " x"), (None, " ".join(f"n{i}" for i in range(60)) + " y")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.first_word, r.n_words, r.kept) for r in neardup.repeated_passages(again).collect())
+    assert got == [(0, 0, 60, False), (0, 0, 60, True), (1, 0, 50, True), (1, 50, 150, False)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 101), (None, 5), (7, 3)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
