@@ -40,10 +40,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
-    kept = document_components(docs, MinHashParams()).where("kept or doc_id is null").select(F.col("doc_id").alias("id")).distinct()
-    rows = _packed(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    # repeated rows: the join has put the rows of an id together
+    """One row of each group of near copies: the smallest by (doc_id, nulls last, text hash), whatever ids the rows have."""
+    text_hash = F.xxhash64("text")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", text_hash.alias("h"))
+    kept = document_components(docs.select(key.alias("doc_id"), "text"), MinHashParams()).where("kept")
+    kept = kept.select(F.col("doc_id.doc_id").alias("id"), F.col("doc_id.h").alias("h")).distinct()
+    rows = _packed(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (text_hash == F.col("h")), "left_semi")
     again = Window.partitionBy("doc_id", "text").orderBy("doc_id")
     return rows.withColumn("n", F.row_number().over(again)).where("n = 1").select("row.*")
 

@@ -24,6 +24,16 @@ def test_near_copies_go(spark, docs):
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), DIR).count() == 0
 
 
+def test_near_copies_go_whatever_their_ids(spark):
+    one, two = ([f"{c}{i}" for i in range(90)] for c in "ab")
+    text = lambda w, end: " ".join([*w, end])
+    rows = [(None, text(one, "x")), (None, text(one, "y")), (8, text(one, "z")), (9, text(two, "x")), (9, text(two, "y")), (9, text(two, "y")), (None, "own text"), (9, "another text"), (None, None), (None, "")]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), DIR).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:3]) for r in got) == [(0, ""), (0, ""), (0, "own"), (8, "a0 "), (9, "ano"), (9, "b0 ")]
+    nulls = spark.createDataFrame([(None, text(one, "x")), (None, text(one, "y"))], "doc_id long, text string")
+    assert corpus_pipeline.drop_near_copies(spark, nulls, DIR).count() == 1
+
+
 def test_repeated_paragraphs_go(spark, docs):
     got = {r.doc_id: r for r in corpus_pipeline.drop_repeated_paragraphs(spark, docs.where("doc_id <> 3 or doc_id is null"), DIR).collect()}
     assert got[1].text.startswith("w0") and got[2].text == "other words here" and got[2].n_chars == 16
