@@ -120,9 +120,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, p: IndexParams
 
     Both inputs come from ``usable``. A query's own id is no candidate. Ties go
     to the smaller id. Vectors of another length than the sample's most common
-    one take no part. Of equal vectors the k + 1 smallest ids are indexed, which
-    is all that an answer can hold. Repeated rows count as rows; a query given
-    twice is answered once for each different vector. Empty inputs give none.
+    one take no part. Rows equal in id and vector are one. Of equal vectors the
+    k + 1 smallest ids are indexed, which is all that an answer can hold. A query
+    given twice is answered once for each different vector. Empty inputs give none.
     """
     spark = vectors.sparkSession
     sample = vectors.orderBy(F.xxhash64("id", F.lit(p.seed)), "id").limit(p.sample).toArrow()["v"].to_pylist()
@@ -142,7 +142,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, p: IndexParams
                 yield pa.record_batch([b.column("id"), b.column("v"), pa.array(shared.value.cells(v).astype(np.int32))], names=["id", "v", "cell"])
 
     few = Window.partitionBy("v").orderBy("id")
-    distinct = vectors.where(F.size("v") == dim).withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1).drop("n")
+    once = vectors.where(F.size("v") == dim).dropDuplicates(["id", "v"])
+    distinct = once.withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1).drop("n")
     coded = store(distinct.mapInArrow(cells, "id long, v array<double>, cell int"), "coded")
     # counts of cells: centroids squared at most
     counted = coded.groupBy("cell").count().toArrow()

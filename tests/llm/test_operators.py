@@ -230,6 +230,13 @@ def test_neighbours_of_odd_vectors(spark):
     assert neighbours.nearest(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_neighbours_beside_repeated_rows(spark):
+    rows = [(0, [1.0, 0.0])] * 15 + [(i, [1.0, 0.0]) for i in range(1, 4)] + [(9, [0.9, 0.1])] * 12
+    v = neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding")
+    got = {(r.query_id, r.rank): r.vec_id for r in neighbours.nearest(v, v.where("id = 0"), 10).collect()}
+    assert got == {(0, 1): 1, (0, 2): 2, (0, 3): 3, (0, 4): 9}
+
+
 # ------------------------------------------------------------------ licences
 
 
