@@ -13,17 +13,13 @@
    across these: first the best partner of each class, then, between components
    (large-star / small-star), every remaining pair, so that no link found by
    banding stays untested. Buckets of any size are dealt out in blocks.
-
-Repeated passages are found apart from this, wherever lines end. A window of
-``min_words`` words has two hashes: of all its words, and its anchor, the smallest
-hash of a run of half as many words in it, which most of its neighbours share.
-Anchors that occur once go first; the windows of the others are counted.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -235,6 +231,16 @@ def _bloom(keys: DataFrame, p: MinHashParams) -> np.ndarray:
     return out.view(np.uint64)
 
 
+@contextmanager
+def _filter(keys: DataFrame, p: MinHashParams):
+    """A broadcast filter over ``keys``, taken from all machines at the end: what it served has to be stored by then."""
+    shared = keys.sparkSession.sparkContext.broadcast(_bloom(keys, p))
+    try:
+        yield shared
+    finally:
+        shared.destroy()
+
+
 def _bloom_test(bloom: np.ndarray, key: np.ndarray) -> np.ndarray:
     hit = np.ones(len(key), bool)
     for at in _bloom_positions(key, 64 * len(bloom)):
@@ -244,7 +250,6 @@ def _bloom_test(bloom: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 def _sets_of(rows: DataFrame, nodes: DataFrame, p: MinHashParams, min_words: int | None) -> DataFrame:
     """(digest, shingles) of about the classes ``nodes``, read again from the texts; a task sends a class once."""
-    shared = rows.sparkSession.sparkContext.broadcast(_bloom(nodes.select("digest"), p))
 
     def run(batches):
         seen: set[bytes] = set()
@@ -262,20 +267,21 @@ def _sets_of(rows: DataFrame, nodes: DataFrame, p: MinHashParams, min_words: int
                     blobs.append(hashes[offsets[i] : offsets[i + 1]].tobytes())
             yield pa.record_batch([pa.array(ids, pa.binary()), pa.array(blobs, pa.binary())], names=["digest", "shingles"])
 
-    return store(rows.select("text").mapInArrow(run, "digest binary, shingles binary"), "sets")
+    with _filter(nodes.select("digest"), p) as shared:
+        return store(rows.select("text").mapInArrow(run, "digest binary, shingles binary"), "sets")
 
 
 def _some_sets(pool: DataFrame, nodes: DataFrame, p: MinHashParams) -> DataFrame:
     """(node, shingles) of the classes ``nodes`` (node, digest) out of the ``pool``; the filter keeps others out of the shuffle."""
-    shared = pool.sparkSession.sparkContext.broadcast(_bloom(nodes.select("digest"), p))
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 yield b.filter(pa.array(_bloom_test(shared.value, _numbers(b.column("digest")))))
 
-    found = pool.mapInArrow(run, pool.schema).join(nodes, "digest")
-    return store(found.dropDuplicates(["node"]).select("node", "shingles"), "chosen")
+    with _filter(nodes.select("digest"), p) as shared:
+        found = pool.mapInArrow(run, pool.schema).join(nodes, "digest")
+        return store(found.dropDuplicates(["node"]).select("node", "shingles"), "chosen")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFrame:
@@ -302,9 +308,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFrame:
 # ---------------------------------------------------------------- candidates
 
 
-def _buckets(classes: DataFrame, wanted: DataFrame | None = None, p: MinHashParams | None = None) -> DataFrame:
-    """(bucket, node) for every band of every class, or about those of the ``wanted`` buckets."""
-    shared = classes.sparkSession.sparkContext.broadcast(_bloom(wanted, p)) if wanted is not None else None
+def _buckets(classes: DataFrame, shared=None) -> DataFrame:
+    """(bucket, node) for every band of every class, or about those of the buckets in a broadcast filter."""
 
     def run(batches):
         for b in batches:
@@ -435,15 +440,33 @@ def near_duplicates(docs: DataFrame, p: MinHashParams, min_words: int | None = N
     items = store(rows.mapInArrow(_read_items(p, min_words, to_arrow_schema(schema)), schema), "items")
     classes = items.where("buckets is not null").groupBy("digest").agg(F.first(F.struct("buckets", "sketch", "octets")).alias("x"))
     classes = store(classes.select("digest", "x.*").withColumn("node", F.monotonically_increasing_id()), "classes")
+    pool = None
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        nonlocal pool
+        pool = pool if pool is not None else _sets_of(rows, nodes, p, min_words)
+        return pool
+
+    return items.drop("buckets", "sketch", "octets"), link_classes(classes, sets, p)
+
+
+def link_classes(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], p: MinHashParams) -> DataFrame:
+    """digest, root: the component of every class that is linked with another.
+
+    ``classes``: a stored table of node, digest, buckets, sketch and octets.
+    ``sets``: gives (digest, shingles) of at least the classes that it is asked for
+    (node, digest); it is asked once.
+    """
     centers = _buckets(classes).groupBy("bucket").agg(F.min("node").alias("center"), F.count("*").alias("size")).where("size > 1")
     centers = store(centers, "buckets")
-    members = store(_buckets(classes, centers.select("bucket"), p).join(centers, "bucket"), "members")
+    with _filter(centers.select("bucket"), p) as bloom:
+        members = store(_buckets(classes, bloom).join(centers, "bucket"), "members")
     sketches = classes.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
     stars = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(sketches, "b").join(sketches.select(F.col("b").alias("a"), F.col("y").alias("x")), "a")
     pairs = store(stars.where(_apart("x", "y", p) <= p.apart).select("a", "b"), "pairs")
     members = members.select("bucket", "size", "node")
-    pool = _sets_of(rows, members.select("node").distinct().join(classes.select("node", "digest"), "node"), p, min_words)
+    pool = sets(members.select("node").distinct().join(classes.select("node", "digest"), "node"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "digest"), "node")
@@ -470,8 +493,7 @@ def near_duplicates(docs: DataFrame, p: MinHashParams, min_words: int | None = N
         if roots is None or not every:
             roots = connected_components(links)
         members = rest.drop("root")  # a bucket that is done stays done
-    labels = roots.join(classes.select("node", "digest"), "node").select("digest", "root")
-    return items.drop("buckets", "sketch", "octets"), labels
+    return roots.join(classes.select("node", "digest"), "node").select("digest", "root")
 
 
 def document_components(docs: DataFrame, p: MinHashParams = MinHashParams()) -> DataFrame:
@@ -517,115 +539,3 @@ def repeated_paragraphs(docs: DataFrame, p: MinHashParams = MinHashParams(), min
         F.col("copies").alias("component_size"),
         (F.struct("doc_id", "part").eqNullSafe(F.col("first"))).alias("kept"),
     )
-
-
-# ------------------------------------------------------------------ passages
-
-
-def _runs_of(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the ``k`` words from each position on; ``h``: hashes of the words, ``k`` at least."""
-    odd = 0x9E3779B97F4A7C15
-    powers, back = np.full(len(h), odd, np.uint64), np.full(len(h), pow(odd, -1, 1 << 64), np.uint64)
-    powers[0] = back[0] = 1
-    np.multiply.accumulate(powers, out=powers)
-    np.multiply.accumulate(back, out=back)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers, dtype=np.uint64)])
-    return mix64((sums[k:] - sums[:-k]) * back[: len(h) - k + 1])
-
-
-def _least_of(x: np.ndarray, n: int) -> np.ndarray:
-    """Smallest of the ``n`` values from each position on."""
-    width = 1
-    while 2 * width <= n:
-        x, width = np.minimum(x[:-width], x[width:]), 2 * width
-    return np.minimum(x[: len(x) - (n - width)], x[n - width :])
-
-
-def _windows(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first word, anchor, hash of all words) of every window of ``size`` words."""
-    offsets, flat = split_words(texts)
-    if len(flat) < size:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
-    index, words = word_codes(flat)
-    h = mix64(hash_strings(words) + np.uint64(1))[index]
-    half = (size + 1) // 2
-    anchors, grams = _least_of(_runs_of(h, half), size - half + 1), _runs_of(h, size)
-    many = np.maximum(np.diff(offsets) - size + 1, 0)
-    at = ragged_take(offsets[:-1], many)
-    row = np.repeat(np.arange(len(many)), many)
-    return row, at - offsets[row], anchors[at], grams[at]
-
-
-def repeated_passages(docs: DataFrame, p: MinHashParams = MinHashParams(), min_words: int = 50) -> DataFrame:
-    """doc_id, text_hash, first_word, n_words, kept: the stretches of texts that lie in repeated runs of ``min_words`` words.
-
-    Words are those of the whole text, lower-cased; the ends of lines mean no more
-    than any white space. A run of ``min_words`` words that occurs more than once,
-    in different texts or in one, is kept where (doc_id, xxhash64 of the text,
-    place) is smallest. Runs that overlap are one stretch: a stretch that is not
-    kept holds what occurs before, one that is kept what occurs again, and the two
-    may overlap. Of a run that overlaps its own copy in the same text only the
-    words after the kept one are in the second stretch. Rows equal in doc_id and
-    text are one text. Texts without repeated runs have no row.
-    """
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    width = min_words - (min_words + 1) // 2 + 1
-
-    def anchors(batches):
-        for batch in slices(batches, limit=SLICE):
-            row, place, anchor, gram = _windows(plain_string(batch.column("text")), min_words)
-            if not len(row):
-                continue
-            # one place of an anchor lies in ``width`` windows in sequence at most: more of them, or equal ones among them, are repeats
-            new = np.flatnonzero((place == 0) | np.concatenate([[True], anchor[:-1] != anchor[1:]]))
-            run = np.repeat(new, np.diff(np.concatenate([new, [len(row)]])))
-            sent = (np.arange(len(row)) - run) % width == 0
-            near = np.zeros(len(row), bool)
-            for d in range(1, min(width, len(row))):
-                near[:-d] |= (gram[d:] == gram[:-d]) & (row[d:] == row[:-d])
-            yield pa.record_batch([pa.array(np.concatenate([anchor[sent], anchor[near]]).view(np.int64))], names=["anchor"])
-
-    again = rows.mapInArrow(anchors, "anchor long").groupBy("anchor").count().where("count > 1").select("anchor")
-    shared = rows.sparkSession.sparkContext.broadcast(_bloom(store(again, "anchors"), p))
-    schema = T.StructType([rows.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("text_hash", "place", "anchor", "gram"))])
-    arrow = to_arrow_schema(schema)
-
-    def windows(batches):
-        for batch in slices(batches, limit=SLICE):
-            row, place, anchor, gram = _windows(plain_string(batch.column("text")), min_words)
-            hit = np.flatnonzero(_bloom_test(shared.value, anchor))
-            for at in range(0, len(hit), 1 << 16):
-                i = hit[at : at + (1 << 16)]
-                own = pa.array(row[i])
-                numbers = [pa.array(x, pa.int64()) for x in (place[i], anchor[i].view(np.int64), gram[i].view(np.int64))]
-                yield pa.record_batch([batch.column("doc_id").take(own), batch.column("text_hash").take(own), *numbers], schema=arrow)
-
-    found = store(rows.mapInArrow(windows, schema), "windows")
-    key = F.struct("doc_id", "text_hash", "place")
-    firsts = found.groupBy("anchor", "gram").agg(F.min(key).alias("first"), F.max(key).alias("last"))
-    firsts = store(firsts.where(~F.col("first").eqNullSafe(F.col("last"))).drop("last"), "firsts")
-    held = found.join(firsts, ["anchor", "gram"])
-    kept = key.eqNullSafe(F.col("first"))
-    same = F.struct("doc_id", "text_hash").eqNullSafe(F.struct("first.doc_id", "first.text_hash"))
-    start = F.when(same & ~kept, F.greatest("place", F.col("first.place") + min_words)).otherwise(F.col("place"))
-    span = F.struct(start.alias("a"), (F.col("place") + min_words).alias("b"))
-    spans = held.select("doc_id", "text_hash", kept.alias("kept"), span.alias("s")).groupBy("doc_id", "text_hash", "kept").agg(F.array_sort(F.collect_set("s")).alias("s"))
-    out = T.StructType([rows.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("text_hash", "first_word", "n_words")), T.StructField("kept", T.BooleanType())])
-    made = to_arrow_schema(out)
-
-    def joined(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            s = batch.column("s")
-            row, flat = pc.list_parent_indices(s).to_numpy(), pc.list_flatten(s)
-            a, b = flat.field("a").to_numpy(), flat.field("b").to_numpy()
-            # windows are sorted by their first word, and with it by their last
-            new = np.ones(len(a), bool)
-            new[1:] = (row[1:] != row[:-1]) | (a[1:] > b[:-1])
-            at = np.flatnonzero(new)
-            last = np.concatenate([at[1:], [len(a)]]) - 1
-            own = pa.array(row[at])
-            yield pa.record_batch([batch.column("doc_id").take(own), batch.column("text_hash").take(own), pa.array(a[at]), pa.array(b[last] - a[at]), batch.column("kept").take(own)], schema=made)
-
-    return spans.mapInArrow(joined, out)

@@ -10,8 +10,9 @@ from .common import text_table
 from .licences import END, HINT, MARK, compiled, scan_licences
 from .media import media_columns
 from .mixing import mix
-from .neardup import MinHashParams, document_components, repeated_paragraphs, repeated_passages
+from .neardup import MinHashParams, document_components, repeated_paragraphs
 from .neighbours import nearest, usable
+from .passages import repeated_passages
 from .quality import held_out, quality_model, scored
 from .sentencepieces import encode_documents
 from .token_files import read_token_files, write_token_files
@@ -33,14 +34,14 @@ def op5_minhash_near_dedup(spark, sf_dir):
 
 @query
 def op6_paragraph_dedup(spark, sf_dir):
-    """Paragraphs of 50 words or more with a near copy anywhere (5-word shingles, similarity 0.8)."""
-    return repeated_paragraphs(text_table(spark, sf_dir))
+    """Stretches of 50 words or more that occur elsewhere too, wherever lines end: paragraphs with near copies (5-word shingles, similarity 0.8), grown."""
+    return repeated_passages(text_table(spark, sf_dir))
 
 
 @query
-def op6_repeated_passages(spark, sf_dir):
-    """Stretches of whole texts in runs of 50 words or more that occur again anywhere, wherever lines end."""
-    return repeated_passages(text_table(spark, sf_dir))
+def op6_long_lines(spark, sf_dir):
+    """The same banding over whole lines of 50 words or more that have a near copy anywhere."""
+    return repeated_paragraphs(text_table(spark, sf_dir))
 
 
 @query
@@ -129,7 +130,7 @@ ORACLE["op5_minhash_near_dedup"] = (
     FROM comp c LEFT JOIN n ON n.id = c.id"""
 )
 
-ORACLE["op6_paragraph_dedup"] = (
+ORACLE["op6_long_lines"] = (
     _components_sql(
         f"""SELECT {{'d': doc_id, 'p': CAST(p AS BIGINT)}} AS id, w FROM (
               SELECT doc_id, i - 1 AS p, {_WORDS.replace("coalesce(text, '')", 'lines[i]')} AS w

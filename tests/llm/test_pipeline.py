@@ -34,18 +34,18 @@ def test_near_copies_go_whatever_their_ids(spark):
     assert corpus_pipeline.drop_near_copies(spark, nulls, DIR).count() == 1
 
 
-def test_repeated_paragraphs_go(spark, docs):
-    got = {r.doc_id: r for r in corpus_pipeline.drop_repeated_paragraphs(spark, docs.where("doc_id <> 3 or doc_id is null"), DIR).collect()}
-    assert got[1].text.startswith("w0") and got[2].text == "other words here" and got[2].n_chars == 16
-    assert 4 not in got and got[5].text is None and got[None].text == "no id"
+def test_repeated_passages_go(spark, docs):
+    got = {r.doc_id: r for r in corpus_pipeline.drop_repeated_passages(spark, docs.where("doc_id <> 3 or doc_id is null"), DIR).collect()}
+    assert got[1].text.startswith("w0") and got[2].text == "other words here\nb" and got[2].n_chars == 18
+    assert got[4].text == "c" and got[5].text is None and got[None].text == "no id"
 
 
 def test_repeated_passages_go_wherever_lines_end(spark):
     shared = [f"p{i}" for i in range(56)]
     rows = [(1, "own words before " + " ".join(shared[:20]) + "\n" + " ".join(shared[20:]) + " and after\nlast"), (2, "second text " + " ".join(shared[:40]) + "\n" + " ".join(shared[40:]) + " goes on\nhere"), (3, "\n".join(shared)), (4, "third text")]
-    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_repeated_paragraphs(spark, spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long"), DIR).collect()}
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_repeated_passages(spark, spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long"), DIR).collect()}
     assert got == {1: (rows[0][1], len(rows[0][1])), 2: ("second text goes on\nhere", 24), 4: ("third text", 10)}
-    assert corpus_pipeline.without_words(" a\nb c\n\nd e ", [1], [{"first_word": 3, "n_words": 1}]) == " a\ne "
+    assert corpus_pipeline.without_words(" a\nb c\n\nd e ", [{"first_word": 1, "n_words": 3}]) == " a\n\ne "
 
 
 def test_mix_and_encode(spark, docs):
