@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.common import WORD, store
 from tabulon.llm.mixing import take, with_text
-from tabulon.llm.neardup import MinHashParams, document_components, repeated_paragraphs, repeated_passages
+from tabulon.llm.neardup import MinHashParams, document_components
+from tabulon.llm.passages import repeated_passages
 from tabulon.llm.quality import quality_model, scored
 from tabulon.llm.sentencepieces import encode_documents
 
@@ -50,15 +51,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return rows.withColumn("n", F.row_number().over(again)).where("n = 1").select("row.*")
 
 
-def without_words(text: str, lines, spans) -> str:
-    """``text`` without the words of the ``lines`` (numbers) and ``spans`` (first word, words); of the white space around a gap the side with more line ends stays."""
+def without_words(text: str, spans) -> str:
+    """``text`` without the words of the ``spans`` (first word, words); of the white space around a gap the side with more line ends stays."""
     words = [m.span() for m in re.finditer(WORD, text)]
     gone = np.zeros(len(words), bool)
     for span in spans:
         gone[span["first_word"] : span["first_word"] + span["n_words"]] = True
-    if len(lines):
-        ends = [m.start() for m in re.finditer("\n", text)]
-        gone |= np.isin(np.searchsorted(ends, [a for a, _ in words]), lines)
     left = np.flatnonzero(~gone).tolist()
     if not left:
         return ""
@@ -71,29 +69,23 @@ def without_words(text: str, lines, spans) -> str:
     return "".join(out) + (text[words[-1][1] :] if left[-1] == len(words) - 1 else "")
 
 
-def _without_words(text: pd.Series, lines: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else without_words(t, n, s) for t, n, s in zip(text, lines, spans, strict=True)], dtype=object)
+def _without_words(text: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else without_words(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
 
 
-def drop_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines of which an earlier document has a near copy, and without runs of 50 words that occur earlier, wherever lines end; texts that keep nothing go.
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the stretches of 50 words or more that occur earlier, wherever lines end; texts that keep nothing go.
 
-    Both are found in the texts as they come. What goes has a copy that comes
-    before it by (doc_id, text hash, place), so that the first one always stays.
+    What goes has its like before it by (doc_id, text hash, place), so that the
+    first one always stays.
     """
     text_hash = F.xxhash64("text")
-    lines = repeated_paragraphs(docs.select(F.struct("doc_id", text_hash.alias("h")).alias("doc_id"), "text"))
-    passages = repeated_passages(docs)
-    span = F.struct("first_word", "n_words")
-    lines = lines.where("not kept").select(F.col("doc_id.doc_id").alias("id"), F.col("doc_id.h").alias("h"), "part")
-    passages = passages.where("not kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("h"), span.alias("span"))
-    gone = lines.unionByName(passages, allowMissingColumns=True).groupBy("id", "h").agg(F.collect_set("part").alias("gone"), F.collect_set("span").alias("spans"))
+    spans = repeated_passages(docs).where("not kept")
+    gone = spans.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("h")).agg(F.collect_list(F.struct("first_word", "n_words")).alias("spans"))
     rows = _packed(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (text_hash == F.col("h")), "left")
-    whole = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i.cast("long"))), "\n")
-    cut = F.pandas_udf(_without_words, "string")(F.when(F.size("spans") > 0, F.col("text")), "gone", "spans")
-    left = F.when(F.size("spans") > 0, cut).otherwise(whole)
-    rows = rows.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)).where("gone is null or trim(text) <> ''")
-    return with_text(rows, docs, F.col("gone").isNotNull())
+    cut = F.pandas_udf(_without_words, "string")(F.when(F.col("spans").isNotNull(), F.col("text")), "spans")
+    rows = rows.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut)).where("spans is null or trim(text) <> ''")
+    return with_text(rows, docs, F.col("spans").isNotNull())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -109,7 +101,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality", keep_quality),
     ("near_dedup", drop_near_copies),
-    ("substring_dedup", drop_repeated_paragraphs),
+    ("substring_dedup", drop_repeated_passages),
     ("mix", mix_sources),
     ("encode", encode),
 ]
