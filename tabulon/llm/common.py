@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task handles at once.
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 8 << 20
 
 WORD = r"[^\x20\x09-\x0D]+"
 

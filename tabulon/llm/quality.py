@@ -10,10 +10,12 @@ blocks. The nearest ones vote by similarity.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,20 +152,26 @@ def fit(sample: DataFrame, params: VoteParams = VoteParams()) -> VoteModel:
 def scored(docs: DataFrame, model: VoteModel, carry: list[str]) -> DataFrame:
     """The columns ``carry`` of every row, then score (0 to 1) and predicted (1 from the threshold on).
 
-    A null or empty text gets the labelled share of good texts as its score.
+    A null or empty text gets the labelled share of good texts as its score. Only
+    texts travel to Python; the other columns of a row stay where they are.
     """
     if clash := {*carry} & {"score", "predicted"}:
         raise ValueError(f"columns of the input clash with those of the result: {sorted(clash)}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        for b in slices(batches, "__text"):
-            s = shared.value.score(plain_string(b.column("__text")))
-            columns = [b.column(c) for c in carry] + [pa.array(s), pa.array((s >= shared.value.params.threshold).astype(np.int32))]
-            yield pa.record_batch(columns, names=[*carry, "score", "predicted"])
-
-    schema = T.StructType([*[docs.schema[c] for c in carry], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, schema)
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in columns:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            scores, at = np.empty(len(texts)), 0
+            while at < len(texts):
+                before = int(ends[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, before + BLOCK_BYTES, side="right")))
+                scores[at:to] = shared.value.score(plain_string(texts.slice(at, to - at)))
+                at = to
+            yield pa.array(scores)
+
+    out = docs.select(*carry, F.arrow_udf(run, T.DoubleType())(F.col("text")).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= model.params.threshold).cast("int"))
 
 
 def held_out(column: str = "doc_id"):

@@ -143,9 +143,9 @@ def test_repeated_passages_on_whole_documents(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
     found = queries.QUERIES["op6_paragraph_dedup"](spark, DIR).collect()
-    got, want, loose = stretches(found), brute_passages(texts, 50), brute_passages(texts, 24)
+    got, want, loose = stretches(found), brute_passages(texts, 50), brute_passages(texts, 20)
     # a text that repeats itself keeps its first paragraph, where brute force keeps a word
-    itself = {i for i, t in texts.items() if (w := words(t)) and len({tuple(w[j : j + 24]) for j in range(len(w) - 23)}) < len(w) - 23}
+    itself = {i for i, t in texts.items() if (w := words(t)) and len({tuple(w[j : j + 20]) for j in range(len(w) - 19)}) < len(w) - 19}
     assert {x for x in want if x[0] not in itself} <= got and len(want & got) >= 0.9 * len(want) > 0
     assert len(got - loose) <= 0.1 * len(got)
 
@@ -175,7 +175,7 @@ def test_repeated_passages_of_odd_rows(spark, odd, none):
     assert {(r.doc_id, r.first_word, r.n_words, r.kept) for r in passages.repeated_passages(odd).collect()} == {(5, 0, 30_000, True), (6, 0, 30_000, False)}
     again = spark.createDataFrame([(1, "a " * 200), (2, "b"), (None, " ".join(f"n{i}" for i in range(60)) + " x"), (None, " ".join(f"n{i}" for i in range(60)) + " y")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.first_word, r.n_words, r.kept) for r in passages.repeated_passages(again.union(again)).collect())
-    assert got == [(0, 0, 60, False), (0, 0, 60, True), (1, 0, 50, True), (1, 24, 176, False)]
+    assert got == [(0, 0, 60, False), (0, 0, 60, True), (1, 0, 50, True), (1, 20, 180, False)]
 
 
 def test_components(spark):
