@@ -35,18 +35,16 @@ from .neardup import SLICE, MinHashParams, bands_and_sketch, link_classes
 
 #: Words that have to agree behind a single one that differs, for a stretch to grow over it.
 AGREE = 4
-#: Words by which near copies of a paragraph may be shifted against each other.
-SHIFT = 6
 #: Paragraphs whose minima are taken at once.
 STEP = 1 << 15
 
 
 @dataclass(frozen=True)
 class PassageParams:
-    """Bands of three minima: at similarity 0.8 the chance to miss a pair of paragraphs is (1 - 0.8^3)^8, 0.003, and few pairs share a band by a common phrase alone."""
+    """Bands of two minima: at similarity 0.8 the chance to miss a pair of paragraphs is (1 - 0.8^2)^6, 0.002."""
 
     min_words: int = 50
-    minhash: MinHashParams = field(default_factory=lambda: MinHashParams(shingle=5, bands=8, rows=3))
+    minhash: MinHashParams = field(default_factory=lambda: MinHashParams(shingle=5, bands=6, rows=2))
 
     @property
     def unit(self) -> int:
@@ -123,8 +121,15 @@ def _paragraphs(words: np.ndarray, lengths: np.ndarray, p: PassageParams) -> tup
     """(shingle hashes, where paragraphs begin, band keys of each)."""
     shingles = shingle_hashes(words, p.minhash.shingle)
     at = anchors(shingles, lengths, p)
-    keys = bands_and_sketch(signatures(shingles, at, p), p.minhash)[0] if len(at) else np.zeros((0, p.minhash.bands), np.int64)
-    return shingles, at, keys
+    return shingles, at, band_keys(shingles, at, signatures(shingles, at, p), p)[0]
+
+
+def band_keys(shingles: np.ndarray, at: np.ndarray, minima: np.ndarray, p: PassageParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(band keys, sketches, octets): a key holds the paragraph's anchor too, so that no paragraph collides with its neighbours in its own text."""
+    if not len(at):
+        return np.zeros((0, p.minhash.bands), np.int64), np.zeros((0, 1), np.int64), np.zeros((0, p.minhash.size), np.uint8)
+    keys, sketches, octets = bands_and_sketch(minima, p.minhash)
+    return mix64(keys.view(np.uint64) ^ shingles[at, None]).view(np.int64), sketches, octets
 
 
 # ------------------------------------------------------------------------ chunks
@@ -239,7 +244,7 @@ def _sign(p: PassageParams):
             words = np.frombuffer(b"".join(b.column("unit").to_pylist()), "<u4")
             shingles = shingle_hashes(words, p.minhash.shingle)
             at = np.arange(b.num_rows, dtype=np.int64) * p.unit
-            buckets, sketches, octets = bands_and_sketch(signatures(shingles, at, p), p.minhash)
+            buckets, sketches, octets = band_keys(shingles, at, signatures(shingles, at, p), p)
             sets = shingles[at[:, None] + np.arange(p.unit - p.minhash.shingle + 1)]
             yield pa.record_batch(
                 [
@@ -272,39 +277,26 @@ def _laid_out(left: pa.Array, unit: pa.Array, right: pa.Array, width: int, words
     return np.concatenate([back, own, on], axis=1)
 
 
-def aligned(x: np.ndarray, y: np.ndarray, width: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shift, start, words) of the longest run that two places share: ``x`` at i is laid beside ``y`` at i + shift.
+def shared_run(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, words) of the longest run that two places have in common.
 
     A single word that differs belongs to a run if ``AGREE`` words agree on both sides of it.
     """
     n, size = x.shape
-    inside, best, shift = slice(width, width + words), np.full(n, -1), np.zeros(n, np.int64)
-    left = np.arange(n)
-    for d in sorted(range(-SHIFT, SHIFT + 1), key=abs):
-        agree = (x[left, inside] == y[left, width + d : width + words + d]).sum(1)
-        better = agree > best[left]
-        best[left[better]], shift[left[better]] = agree[better], d
-        left = left[best[left] < words]  # the same words need no other shift
-        if not len(left):
-            break
-    at = np.arange(size) + shift[:, None]
-    beside = np.take_along_axis(y, np.clip(at, 0, size - 1), 1)
-    same = (x == beside) & (x != 0) & (at >= 0) & (at < size)
-    odd = ~same & (x != 0) & (beside != 0) & (at >= 0) & (at < size)
-    for j in [*range(-AGREE, 0), *range(1, AGREE + 1)]:
-        near = np.zeros_like(same)
-        if j > 0:
-            near[:, :-j] = same[:, j:]
-        else:
-            near[:, -j:] = same[:, :j]
-        odd &= near
+    same = (x == y) & (x != 0)
+    odd = (x != y) & (x != 0) & (y != 0)
+    for j in range(1, AGREE + 1):
+        for a, b in ((slice(j, None), slice(None, -j)), (slice(None, -j), slice(j, None))):
+            near = np.zeros_like(same)
+            near[:, b] = same[:, a]
+            odd &= near
     same |= odd
     run, length, end = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     for j in range(size):
         run = (run + 1) * same[:, j]
         longer = run > length
         length[longer], end[longer] = run[longer], j + 1
-    return shift, end - length, length
+    return end - length, length
 
 
 def _grow(p: PassageParams, schema: pa.Schema):
@@ -317,14 +309,12 @@ def _grow(p: PassageParams, schema: pa.Schema):
                 continue
             x = _laid_out(b.column("left"), b.column("unit"), b.column("right"), width, p.unit)
             y = _laid_out(b.column("f_left"), b.column("f_unit"), b.column("f_right"), width, p.unit)
-            shift, start, length = aligned(x, y, width, p.unit)
-            place, first, same = (b.column(c).to_numpy(zero_copy_only=False) for c in ("place", "f_place", "same"))
-            # neighbouring paragraphs of one text have most of their words in common: these are no copies
-            some = ~(same & (place == first + shift)) & (2 * length >= p.unit)
+            start, length = shared_run(x, y)
+            some = pa.array(2 * length >= p.unit)
             # where a passage runs into its own copy, each word of the later one still has its like before it
-            for kept, doc, text, at in ((False, "doc_id", "text_hash", place), (True, "f_doc_id", "f_text_hash", first + shift)):
-                a = at - width + start
-                yield pa.record_batch([b.column(doc), b.column(text), pa.array(np.full(b.num_rows, kept)), pa.array(a), pa.array(a + length), b.column("f_doc_id")], schema=schema).filter(pa.array(some))
+            for kept, doc, text, at in ((False, "doc_id", "text_hash", "place"), (True, "f_doc_id", "f_text_hash", "f_place")):
+                a = b.column(at).to_numpy() - width + start
+                yield pa.record_batch([b.column(doc), b.column(text), pa.array(np.full(b.num_rows, kept)), pa.array(a), pa.array(a + length), b.column("f_doc_id")], schema=schema).filter(some)
 
     return run
 
@@ -372,7 +362,7 @@ def repeated_passages(docs: DataFrame, p: PassageParams = PassageParams()) -> Da
     same = F.struct("doc_id", "text_hash").eqNullSafe(F.struct("f.doc_id", "f.text_hash"))
     columns = ("doc_id", "text_hash", "place", "left", "unit", "right")
     held = held.where(~(same & (F.col("place") == F.col("f.place"))))
-    pairs = held.select(*columns, *[F.col(f"f.{c}").alias(f"f_{c}") for c in columns], same.alias("same"))
+    pairs = held.select(*columns, *[F.col(f"f.{c}").alias(f"f_{c}") for c in columns])
     schema = made(doc_id=key_type, text_hash=long, kept=T.BooleanType(), a=long, b=long, source=key_type)
     spans = pairs.mapInArrow(_grow(p, to_arrow_schema(schema)), schema)
     span = F.struct("a", "b", "source")
