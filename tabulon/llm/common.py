@@ -7,10 +7,12 @@ lower-casing A-Z where an operator asks for it. A null text counts as empty.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -29,9 +31,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and there is one machine only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tabulon-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -43,18 +47,55 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tabulon/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables of the scopes that are open, the innermost last.
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope():
+    """At its end the tables stored inside go, but for those handed to ``keep``: what is returned must read no others."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        drop(*_scopes.pop())
+
+
 def store(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    if _scopes:
+        _scopes[-1].append(out)
+    return out
+
+
+def keep(table: DataFrame) -> DataFrame:
+    """Hand a table stored in the innermost scope on to what is around it."""
+    own = _scopes.pop()
+    del own[next(i for i, t in enumerate(own) if t is table)]
+    if _scopes:
+        _scopes[-1].append(table)
+    _scopes.append(own)
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing unstored reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.stored_at)
 
 
 def clean(spark: SparkSession) -> None:
     """Remove every table that this application stored; results not yet read are lost with them."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tabulon/{spark.sparkContext.applicationId}")
+    _delete(spark, f"{shared_dir(spark)}/tabulon/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import drop, store
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         seen = Observation()  # counts as the round is written, so that it needs no job of its own
         mark = (F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
-        now = store(_small_star(_large_star(now)).observe(seen, *mark), "stars")
+        was, now = now, store(_small_star(_large_star(now)).observe(seen, *mark), "stars")
+        drop(was)
         if seen.get == before:
             break
         before = seen.get

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, id_text, parts, store
+from .common import WORD, drop, id_text, parts, store
 
 #: No source gives more than so many times its own size.
 MOST = 3
@@ -90,6 +90,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST,
     ranged = sizes.repartitionByRange(parts(docs.sparkSession), *order).sortWithinPartitions(*order)
     schema = T.StructType([*sizes.schema.fields, T.StructField("range", T.IntegerType()), T.StructField("inside", T.LongType())])
     placed = store(ranged.mapInPandas(_ranges, schema), "placed")
+    drop(sizes)
     # a source lies in neighbouring ranges: few sums for each, however many documents it has
     sums = placed.groupBy("source", "range").agg(F.sum("size").alias("sum"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import hash_strings, mix64, odd_constants, plain_string, ragged_take, slices, split_words, store, word_codes
+from .common import hash_strings, keep, mix64, odd_constants, plain_string, ragged_take, slices, scope, split_words, store, word_codes
 from .components import connected_components
 
 
@@ -437,9 +437,6 @@ def near_duplicates(docs: DataFrame, p: MinHashParams, min_words: int | None = N
             T.StructField("digest", T.BinaryType()), T.StructField("buckets", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("octets", T.BinaryType()),
         ]
     )
-    items = store(rows.mapInArrow(_read_items(p, min_words, to_arrow_schema(schema)), schema), "items")
-    classes = items.where("buckets is not null").groupBy("digest").agg(F.first(F.struct("buckets", "sketch", "octets")).alias("x"))
-    classes = store(classes.select("digest", "x.*").withColumn("node", F.monotonically_increasing_id()), "classes")
     pool = None
 
     def sets(nodes: DataFrame) -> DataFrame:
@@ -447,7 +444,13 @@ def near_duplicates(docs: DataFrame, p: MinHashParams, min_words: int | None = N
         pool = pool if pool is not None else _sets_of(rows, nodes, p, min_words)
         return pool
 
-    return items.drop("buckets", "sketch", "octets"), link_classes(classes, sets, p)
+    with scope():
+        items = store(rows.mapInArrow(_read_items(p, min_words, to_arrow_schema(schema)), schema), "items")
+        classes = items.where("buckets is not null").groupBy("digest").agg(F.first(F.struct("buckets", "sketch", "octets")).alias("x"))
+        classes = store(classes.select("digest", "x.*").withColumn("node", F.monotonically_increasing_id()), "classes")
+        labels = keep(link_classes(classes, sets, p))
+        items = keep(store(items.drop("buckets", "sketch", "octets"), "items"))
+    return items, labels
 
 
 def link_classes(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], p: MinHashParams) -> DataFrame:
@@ -457,43 +460,45 @@ def link_classes(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], p:
     ``sets``: gives (digest, shingles) of at least the classes that it is asked for
     (node, digest); it is asked once.
     """
-    centers = _buckets(classes).groupBy("bucket").agg(F.min("node").alias("center"), F.count("*").alias("size")).where("size > 1")
-    centers = store(centers, "buckets")
-    with _filter(centers.select("bucket"), p) as bloom:
-        members = store(_buckets(classes, bloom).join(centers, "bucket"), "members")
-    sketches = classes.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
-    stars = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(sketches, "b").join(sketches.select(F.col("b").alias("a"), F.col("y").alias("x")), "a")
-    pairs = store(stars.where(_apart("x", "y", p) <= p.apart).select("a", "b"), "pairs")
-    members = members.select("bucket", "size", "node")
-    pool = sets(members.select("node").distinct().join(classes.select("node", "digest"), "node"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "digest"), "node")
-        return store(_confirm(pairs, _some_sets(pool, store(nodes, "nodes"), p), p), "links")
-
-    links = confirmed(pairs)
-    # one step is enough to see which buckets are done: a class goes with its smallest confirmed center
-    roots = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
-    for every in (False, True):
-        labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        rest = labelled.join(open_, "bucket").drop("octets").join(classes.select("node", "octets"), "node")
-        rest = store(rest, "open")
-        large = rest.where(F.col("size") > FEW) if every else None
-        more = store(_across(rest.where(F.col("size") <= FEW) if every else rest, p).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            links, pairs = links.union(confirmed(more)), pairs.union(more)
-            roots = None
-        if every and not large.isEmpty():
-            # many near copies of each other: their sets come to the bucket, so that no pair has to leave it
-            nodes = store(large.select("node").distinct().join(classes.select("node", "digest"), "node"), "nodes")
-            links = links.union(store(_across(large.join(_some_sets(pool, nodes, p), "node"), p), "links"))
-            roots = None
-        if roots is None or not every:
-            roots = connected_components(links)
-        members = rest.drop("root")  # a bucket that is done stays done
-    return roots.join(classes.select("node", "digest"), "node").select("digest", "root")
+    with scope():
+        centers = _buckets(classes).groupBy("bucket").agg(F.min("node").alias("center"), F.count("*").alias("size")).where("size > 1")
+        centers = store(centers, "buckets")
+        with _filter(centers.select("bucket"), p) as bloom:
+            members = store(_buckets(classes, bloom).join(centers, "bucket"), "members")
+        sketches = classes.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
+        stars = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+        stars = stars.join(sketches, "b").join(sketches.select(F.col("b").alias("a"), F.col("y").alias("x")), "a")
+        pairs = store(stars.where(_apart("x", "y", p) <= p.apart).select("a", "b"), "pairs")
+        members = members.select("bucket", "size", "node")
+        pool = sets(members.select("node").distinct().join(classes.select("node", "digest"), "node"))
+
+        def confirmed(pairs: DataFrame) -> DataFrame:
+            nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "digest"), "node")
+            return store(_confirm(pairs, _some_sets(pool, store(nodes, "nodes"), p), p), "links")
+
+        links = confirmed(pairs)
+        # one step is enough to see which buckets are done: a class goes with its smallest confirmed center
+        roots = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+        for every in (False, True):
+            labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            open_ = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+            rest = labelled.join(open_, "bucket").drop("octets").join(classes.select("node", "octets"), "node")
+            rest = store(rest, "open")
+            large = rest.where(F.col("size") > FEW) if every else None
+            more = store(_across(rest.where(F.col("size") <= FEW) if every else rest, p).join(pairs, ["a", "b"], "left_anti"), "pairs")
+            if not more.isEmpty():
+                links, pairs = links.union(confirmed(more)), pairs.union(more)
+                roots = None
+            if every and not large.isEmpty():
+                # many near copies of each other: their sets come to the bucket, so that no pair has to leave it
+                nodes = store(large.select("node").distinct().join(classes.select("node", "digest"), "node"), "nodes")
+                links = links.union(store(_across(large.join(_some_sets(pool, nodes, p), "node"), p), "links"))
+                roots = None
+            if roots is None or not every:
+                roots = connected_components(links)
+            members = rest.drop("root")  # a bucket that is done stays done
+        labels = roots.join(classes.select("node", "digest"), "node").select("digest", "root")
+        return keep(store(labels, "labels"))
 
 
 def document_components(docs: DataFrame, p: MinHashParams = MinHashParams()) -> DataFrame:

@@ -24,13 +24,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import hash_strings, mix64, odd_constants, parts, plain_string, ragged_take, slices, split_words, store, word_codes
+from .common import hash_strings, keep, mix64, odd_constants, parts, plain_string, ragged_take, scope, slices, split_words, store, word_codes
 from .neardup import SLICE, MinHashParams, bands_and_sketch, link_classes
 
 #: Words that have to agree behind a single one that differs, for a stretch to grow over it.
@@ -147,7 +148,8 @@ def _chunks(p: PassageParams, schema: pa.Schema):
             if not len(some):
                 continue
             index, distinct = word_codes(flat)
-            words = np.maximum(mix64(hash_strings(distinct)) >> np.uint64(32), 1).astype("<u4")[index[ragged_take(offsets[some], lengths[some])]]
+            used = index[ragged_take(offsets[some], lengths[some])]
+            words = packed(np.maximum(mix64(hash_strings(distinct)) >> np.uint64(32), 1).astype("<u4"), used)
             ids, hashes = batch.column("doc_id").take(pa.array(some)), batch.column("text_hash").take(pa.array(some))
             one = pa.array([0, len(some)], pa.int32())
             yield pa.record_batch(
@@ -156,7 +158,7 @@ def _chunks(p: PassageParams, schema: pa.Schema):
                     pa.ListArray.from_arrays(one, ids).cast(schema.field("ids").type),
                     pa.ListArray.from_arrays(one, hashes).cast(schema.field("hashes").type),
                     pa.array([lengths[some].astype("<i4").tobytes()], pa.binary()),
-                    pa.array([words.tobytes()], pa.binary()),
+                    pa.array([words], pa.binary()),
                 ],
                 schema=schema,
             )
@@ -165,6 +167,25 @@ def _chunks(p: PassageParams, schema: pa.Schema):
     return run
 
 
+def packed(hashes: np.ndarray, index: np.ndarray) -> bytes:
+    """Words as places in a list of their hashes, the commonest first, compressed: a third of the hashes themselves."""
+    counts = np.bincount(index, minlength=len(hashes))
+    order = np.argsort(-counts, kind="stable")[: int((counts > 0).sum())]
+    place = np.empty(len(hashes), "<u4")
+    place[order] = np.arange(len(order), dtype="<u4")
+    low = place[index]
+    halves = (low & 0xFFFF).astype("<u2").tobytes() + (low >> 16).astype("<u2").tobytes()
+    return len(order).to_bytes(8, "little") + zstandard.ZstdCompressor(3).compress(hashes[order].tobytes() + halves)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """The 32-bit hashes of all words."""
+    n, raw = int.from_bytes(data[:8], "little"), zstandard.ZstdDecompressor().decompress(data[8:])
+    halves = np.frombuffer(raw[4 * n :], "<u2").astype(np.uint32)
+    m = len(halves) // 2
+    return np.frombuffer(raw[: 4 * n], "<u4")[halves[:m] | halves[m:] << np.uint32(16)]
+
+
 def _numbers(row: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(row, kind)
 
@@ -175,7 +196,7 @@ def _send_keys(partitions: int, p: PassageParams):
     def run(batches):
         for b in batches:
             for chunk, lengths, words in zip(b.column("chunk").to_pylist(), b.column("lengths").to_pylist(), b.column("words").to_pylist(), strict=True):
-                keys = _paragraphs(_numbers(words, "<u4"), _numbers(lengths, "<i4").astype(np.int64), p)[2]
+                keys = _paragraphs(unpacked(words), _numbers(lengths, "<i4").astype(np.int64), p)[2]
                 if not len(keys):
                     continue
                 own, n = np.unique(keys, return_counts=True)
@@ -200,9 +221,13 @@ def _send_keys(partitions: int, p: PassageParams):
 def _again(pdf: pd.DataFrame) -> pd.DataFrame:
     """What each chunk sent to a partition that was sent more than once in all."""
     rows = [_numbers(x, "<i8") for x in pdf["keys"]]
-    every, n = np.unique(np.concatenate(rows), return_counts=True)
-    every = every[n > 1]
-    found = [np.intersect1d(x, every) for x in rows]
+    every = np.concatenate(rows)
+    order = np.argsort(every, kind="stable")
+    same = every[order[1:]] == every[order[:-1]]
+    again = np.zeros(len(every), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    ends = np.cumsum([len(x) for x in rows])
+    found = [np.unique(x[hit]) for x, hit in zip(rows, np.split(again, ends[:-1]), strict=True)]
     some = [i for i, x in enumerate(found) if len(x)]
     return pd.DataFrame({"chunk": pdf["chunk"].to_numpy()[some], "keys": [found[i].astype("<i8").tobytes() for i in some]})
 
@@ -214,7 +239,7 @@ def _places(p: PassageParams, schema: pa.Schema):
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         if not chunks.num_rows or not answers.num_rows:
             return schema.empty_table()
-        words, lengths = _numbers(chunks["words"][0].as_py(), "<u4"), _numbers(chunks["lengths"][0].as_py(), "<i4").astype(np.int64)
+        words, lengths = unpacked(chunks["words"][0].as_py()), _numbers(chunks["lengths"][0].as_py(), "<i4").astype(np.int64)
         wanted = np.sort(np.concatenate([_numbers(x, "<i8") for x in answers["keys"].to_pylist()]))
         shingles, at, keys = _paragraphs(words, lengths, p)
         hit = (wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys).any(1)
@@ -222,10 +247,10 @@ def _places(p: PassageParams, schema: pa.Schema):
         ends = np.cumsum(lengths)
         text = np.searchsorted(ends, at, side="right")
         start, end = ends[text] - lengths[text], ends[text]
-        few, gram = short(words), shingle_hashes(words, p.unit)[at]
-        left = [few[a:b].tobytes() for a, b in zip(np.maximum(start, at - width).tolist(), at.tolist(), strict=True)]
-        right = [few[a:b].tobytes() for a, b in zip((at + p.unit).tolist(), np.minimum(end, at + p.unit + width).tolist(), strict=True)]
-        unit = [words[a : a + p.unit].tobytes() for a in at.tolist()]
+        half, byte, gram = short(words, 16), short(words, 8), shingle_hashes(words, p.unit)[at]
+        left = [byte[a:b].tobytes() for a, b in zip(np.maximum(start, at - width).tolist(), at.tolist(), strict=True)]
+        right = [byte[a:b].tobytes() for a, b in zip((at + p.unit).tolist(), np.minimum(end, at + p.unit + width).tolist(), strict=True)]
+        unit = [half[a : a + p.unit].tobytes() for a in at.tolist()]
         own = pa.array(text)
         ids, hashes = pc.list_flatten(chunks["ids"].slice(0, 1)), pc.list_flatten(chunks["hashes"].slice(0, 1))
         columns = [ids.take(own), hashes.take(own), pa.array(at - start), pa.array(gram.view(np.int64)), pa.array(unit, pa.binary()), pa.array(left, pa.binary()), pa.array(right, pa.binary())]
@@ -241,7 +266,7 @@ def _sign(p: PassageParams):
         for b in batches:
             if not b.num_rows:
                 continue
-            words = np.frombuffer(b"".join(b.column("unit").to_pylist()), "<u4")
+            words = np.frombuffer(b"".join(b.column("unit").to_pylist()), "<u2")
             shingles = shingle_hashes(words, p.minhash.shingle)
             at = np.arange(b.num_rows, dtype=np.int64) * p.unit
             buckets, sketches, octets = band_keys(shingles, at, signatures(shingles, at, p), p)
@@ -263,18 +288,18 @@ def _sign(p: PassageParams):
 # ------------------------------------------------------------------------ growth
 
 
-def short(words: np.ndarray) -> np.ndarray:
-    """Half of each hash, enough to go on along a passage; never 0."""
-    return np.maximum(words >> np.uint32(16), 1).astype("<u2")
+def short(words: np.ndarray, bits: int) -> np.ndarray:
+    """The first ``bits`` (8 or 16) of each hash, never 0: enough for a paragraph's own words, or to go on along a passage."""
+    return np.maximum(words >> np.uint32(32 - bits), 1).astype(f"<u{bits // 8}")
 
 
 def _laid_out(left: pa.Array, unit: pa.Array, right: pa.Array, width: int, words: int) -> np.ndarray:
     """Rows of ``width`` word hashes, a paragraph and ``width`` more; 0 where a text has no words."""
     n = len(left)
-    back = np.frombuffer(b"".join([x.rjust(2 * width, b"\0") for x in left.to_pylist()]), "<u2").reshape(n, width)
-    own = short(np.frombuffer(b"".join(unit.to_pylist()), "<u4")).reshape(n, words)
-    on = np.frombuffer(b"".join([x.ljust(2 * width, b"\0") for x in right.to_pylist()]), "<u2").reshape(n, width)
-    return np.concatenate([back, own, on], axis=1)
+    back = np.frombuffer(b"".join([x.rjust(width, b"\0") for x in left.to_pylist()]), "u1").reshape(n, width)
+    own = np.frombuffer(b"".join(unit.to_pylist()), "<u2").reshape(n, words)
+    on = np.frombuffer(b"".join([x.ljust(width, b"\0") for x in right.to_pylist()]), "u1").reshape(n, width)
+    return np.concatenate([back.astype("<u2"), own, on.astype("<u2")], axis=1)
 
 
 def shared_run(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -339,36 +364,37 @@ def repeated_passages(docs: DataFrame, p: PassageParams = PassageParams()) -> Da
     long, binary = T.LongType(), T.BinaryType()
     made = lambda **fields: T.StructType([T.StructField(k, v) for k, v in fields.items()])
     schema = made(chunk=long, ids=T.ArrayType(key_type), hashes=T.ArrayType(long), lengths=binary, words=binary)
-    chunks = store(rows.mapInArrow(_chunks(p, to_arrow_schema(schema)), schema), "chunks")
-    sent = chunks.select("chunk", "lengths", "words").mapInArrow(_send_keys(parts(spark), p), "part int, chunk long, keys binary")
-    answers = sent.groupBy("part").applyInPandas(_again, "chunk long, keys binary")
-    schema = made(doc_id=key_type, text_hash=long, place=long, gram=long, unit=binary, left=binary, right=binary)
-    found = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_places(p, to_arrow_schema(schema)), schema)
-    found = store(found, "found")
-
-    place = F.struct("doc_id", "text_hash", "place")
-    whole = F.struct("doc_id", "text_hash", "place", "left", "unit", "right")
-    classes = store(found.groupBy("gram").agg(F.min(whole).alias("first"), F.max(place).alias("last")), "classes")
-    signed = classes.select("gram", "first.unit").mapInArrow(_sign(p), "digest long, buckets binary, sketch array<long>, octets binary, shingles binary")
-    signed = store(signed.withColumn("node", F.monotonically_increasing_id()), "signed")
-    labels = link_classes(signed.drop("shingles"), lambda _: signed.select("digest", "shingles"), p.minhash)
-
-    named = classes.join(labels.withColumnRenamed("digest", "gram"), "gram", "left")
-    named = named.withColumn("group", F.coalesce(F.concat(F.lit("r"), F.col("root").cast("string")), F.col("gram").cast("string")))
-    firsts = named.groupBy("group").agg(F.min("first").alias("f"), F.max("last").alias("last"))
-    firsts = firsts.where(~F.struct("f.doc_id", "f.text_hash", "f.place").eqNullSafe(F.col("last"))).drop("last")
-    firsts = store(named.select("gram", "group").join(firsts, "group").select("gram", "f"), "firsts")
-    held = found.join(firsts, "gram")
-    same = F.struct("doc_id", "text_hash").eqNullSafe(F.struct("f.doc_id", "f.text_hash"))
-    columns = ("doc_id", "text_hash", "place", "left", "unit", "right")
-    held = held.where(~(same & (F.col("place") == F.col("f.place"))))
-    pairs = held.select(*columns, *[F.col(f"f.{c}").alias(f"f_{c}") for c in columns])
-    schema = made(doc_id=key_type, text_hash=long, kept=T.BooleanType(), a=long, b=long, source=key_type)
-    spans = pairs.mapInArrow(_grow(p, to_arrow_schema(schema)), schema)
-    span = F.struct("a", "b", "source")
-    spans = spans.groupBy("doc_id", "text_hash", "kept").agg(F.array_sort(F.collect_set(span)).alias("s"))
-    schema = made(doc_id=key_type, text_hash=long, first_word=long, n_words=long, component_doc_id=key_type, kept=T.BooleanType())
-    return spans.mapInArrow(_joined(p, to_arrow_schema(schema)), schema)
+    with scope():
+        chunks = store(rows.mapInArrow(_chunks(p, to_arrow_schema(schema)), schema), "chunks")
+        sent = chunks.select("chunk", "lengths", "words").mapInArrow(_send_keys(parts(spark), p), "part int, chunk long, keys binary")
+        answers = sent.groupBy("part").applyInPandas(_again, "chunk long, keys binary")
+        schema = made(doc_id=key_type, text_hash=long, place=long, gram=long, unit=binary, left=binary, right=binary)
+        found = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_places(p, to_arrow_schema(schema)), schema)
+        found = store(found, "found")
+
+        place = F.struct("doc_id", "text_hash", "place")
+        whole = F.struct("doc_id", "text_hash", "place", "left", "unit", "right")
+        classes = store(found.groupBy("gram").agg(F.min(whole).alias("first"), F.max(place).alias("last")), "classes")
+        signed = classes.select("gram", "first.unit").mapInArrow(_sign(p), "digest long, buckets binary, sketch array<long>, octets binary, shingles binary")
+        signed = store(signed.withColumn("node", F.monotonically_increasing_id()), "signed")
+        labels = link_classes(signed.drop("shingles"), lambda _: signed.select("digest", "shingles"), p.minhash)
+
+        named = classes.join(labels.withColumnRenamed("digest", "gram"), "gram", "left")
+        named = named.withColumn("group", F.coalesce(F.concat(F.lit("r"), F.col("root").cast("string")), F.col("gram").cast("string")))
+        firsts = named.groupBy("group").agg(F.min("first").alias("f"), F.max("last").alias("last"))
+        firsts = firsts.where(~F.struct("f.doc_id", "f.text_hash", "f.place").eqNullSafe(F.col("last"))).drop("last")
+        firsts = store(named.select("gram", "group").join(firsts, "group").select("gram", "f"), "firsts")
+        held = found.join(firsts, "gram")
+        same = F.struct("doc_id", "text_hash").eqNullSafe(F.struct("f.doc_id", "f.text_hash"))
+        columns = ("doc_id", "text_hash", "place", "left", "unit", "right")
+        held = held.where(~(same & (F.col("place") == F.col("f.place"))))
+        pairs = held.select(*columns, *[F.col(f"f.{c}").alias(f"f_{c}") for c in columns])
+        schema = made(doc_id=key_type, text_hash=long, kept=T.BooleanType(), a=long, b=long, source=key_type)
+        spans = pairs.mapInArrow(_grow(p, to_arrow_schema(schema)), schema)
+        span = F.struct("a", "b", "source")
+        spans = spans.groupBy("doc_id", "text_hash", "kept").agg(F.array_sort(F.collect_set(span)).alias("s"))
+        schema = made(doc_id=key_type, text_hash=long, first_word=long, n_words=long, component_doc_id=key_type, kept=T.BooleanType())
+        return keep(store(spans.mapInArrow(_joined(p, to_arrow_schema(schema)), schema), "passages"))
 
 
 def _joined(p: PassageParams, schema: pa.Schema):

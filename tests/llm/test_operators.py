@@ -170,6 +170,12 @@ def test_fifty_words_in_sequence_hold_a_whole_paragraph():
         assert starts[0] & starts[1]
 
 
+def test_words_are_packed_without_loss():
+    rng = np.random.default_rng(3)
+    hashes, index = rng.integers(1, 1 << 32, 70_000, dtype=np.uint32), np.minimum(rng.zipf(1.2, 200_000), 70_000) - 1
+    assert (passages.unpacked(passages.packed(hashes, index)) == hashes[index]).all()
+
+
 def test_repeated_passages_of_odd_rows(spark, odd, none):
     assert passages.repeated_passages(none).count() == 0
     assert {(r.doc_id, r.first_word, r.n_words, r.kept) for r in passages.repeated_passages(odd).collect()} == {(5, 0, 30_000, True), (6, 0, 30_000, False)}
