@@ -9,9 +9,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Function groups and codes.
 AGGREGATION = ["AVERAGE", "AVERAGEIF", "AVERAGEIFS", "COUNT", "COUNTA", "COUNTIF", "COUNTIFS", "MAX", "MIN", "SUM", "SUMIF", "SUMIFS"]
@@ -19,6 +21,9 @@ LOOKUP = ["HLOOKUP", "INDEX", "LOOKUP", "MATCH", "VLOOKUP", "XLOOKUP"]
 DATE = ["DATE", "DAY", "EDATE", "EOMONTH", "MONTH", "NETWORKDAYS", "NOW", "TODAY", "WORKDAY", "YEAR"]
 VALIDATION = ["EXACT", "ISBLANK", "ISERROR", "ISLOGICAL", "ISNUMBER", "ISTEXT", "LEN"]
 CONDITIONAL = ["AND", "IF", "IFNA", "IFS", "NOT", "OR", "SWITCH"]
+WRAPPERS = ["IFERROR", "IFNA"]
+SURE = ["aggregation", "calculation", "conditional", "date_logic", "lookup", "reference"]
+SUBSUMED = [("summary", "aggregation"), ("percentage", "ratio"), ("conditional", "reference"), ("ratio", "calculation"), ("percentage", "calculation")]
 LATE_BOUND = ["CELL", "GETPIVOTDATA", "INDIRECT", "INFO", "OFFSET", "RTD"]
 DYNAMIC = ["CHOOSECOLS", "CHOOSEROWS", "DROP", "EXPAND", "FILTER", "LAMBDA", "LET", "RANDARRAY", "SEQUENCE", "SORT", "SORTBY", "TAKE", "TEXTSPLIT", "TOCOL", "TOROW", "UNIQUE", "WRAPCOLS", "WRAPROWS", "XLOOKUP", "XMATCH"]
 
@@ -42,12 +47,12 @@ TOKEN = re.compile(
 )
 POINT = re.compile(r"(\$?)([A-Za-z]{1,3})(\$?)([0-9]+)$")
 
-REF = T.StructType([T.StructField(n, t) for n, t in [("sheet", T.StringType()), ("shape", T.StringType()), ("r0", T.IntegerType()), ("c0", T.IntegerType()), ("r1", T.IntegerType()), ("c1", T.IntegerType()), ("start_fixed", T.BooleanType()), ("end_fixed", T.BooleanType()), ("text", T.StringType())]])
+REF = T.StructType([T.StructField(n, t) for n, t in [("sheet", T.StringType()), ("shape", T.StringType()), ("r0", T.IntegerType()), ("c0", T.IntegerType()), ("r1", T.IntegerType()), ("c1", T.IntegerType()), ("anchored", T.BooleanType()), ("down", T.StringType()), ("along", T.StringType()), ("text", T.StringType())]])
 PARSED = T.StructType(
     [
         T.StructField("signature", T.StringType()), T.StructField("refs", T.ArrayType(REF)), T.StructField("functions", T.ArrayType(T.StringType())), T.StructField("outer", T.StringType()),
-        T.StructField("operators", T.StringType()), T.StructField("n_literals", T.IntegerType()), T.StructField("names", T.ArrayType(T.StringType())), T.StructField("unsupported", T.ArrayType(T.StringType())),
-        T.StructField("skeleton", T.StringType()),
+        T.StructField("view", T.StringType()), T.StructField("n_literals", T.IntegerType()), T.StructField("names", T.ArrayType(T.StringType())), T.StructField("unsupported", T.ArrayType(T.StringType())),
+        T.StructField("summary", T.BooleanType()),
     ]
 )
 
@@ -76,16 +81,31 @@ def _axis(name: str, value: int, fixed: bool, base: int | None) -> str:
     return f"{name}{value}" if fixed else f"{name}?" if base is None else f"{name}[{value - base}]"
 
 
+def _moves(start: tuple, end: tuple, axis: int) -> str:
+    """What a range does when its formula is copied along ``axis`` (0 down, 1 along the row): by its ends' anchors there."""
+    if start[0] == end[0] and start[1] != end[1]:
+        return "single_row"
+    fixed = start[2 + axis], end[2 + axis]
+    return {(True, True): "fixed", (False, False): "rolling", (True, False): "expanding", (False, True): "contracting"}[fixed]
+
+
 def parse(text: str, row: int | None = None, col: int | None = None) -> dict:
-    """One formula, relative to its cell. A text that is no formula has an empty signature."""
-    out = {"signature": "", "refs": [], "functions": set(), "outer": None, "operators": "", "n_literals": 0, "names": set(), "unsupported": set(), "skeleton": ""}
+    """One formula, relative to its cell. A text that is no formula has an empty signature.
+
+    ``view`` is the formula with texts and references blanked: what operators are
+    looked for in. ``outer`` is its first function. ``summary``: a range in the
+    formula's own column ends right above it. A reference's ``down`` and ``along``
+    say how it moves when copied, null for a single cell.
+    """
+    out = {"signature": "", "refs": [], "functions": set(), "outer": None, "view": "", "n_literals": 0, "names": set(), "unsupported": set(), "summary": False}
     if not text or not text.startswith("="):
         return out | {k: [] for k in ("functions", "names", "unsupported")}
-    parts, skeleton, depth = [], [], 0
+    parts, view = [], []
     for m in TOKEN.finditer(text[1:]):
         kind, t = m.lastgroup, m[0]
         if m["ref"]:
             kind = "ref"
+        view.append(" " if kind in ("ref", "text", "external") else t)
         if kind == "space":
             continue
         if kind == "ref":
@@ -94,26 +114,27 @@ def parse(text: str, row: int | None = None, col: int | None = None) -> dict:
             head = f"{sheet}!" if sheet else ""
             body = m["cells"] or m["cols"] or m["rows"]
             ends = body.split(":")
+            anchored = "$" in body
             if m["cells"]:
-                (r0, c0, fr0, fc0), (r1, c1, fr1, fc1) = _point(ends[0]), _point(ends[-1])
-                points = [_axis("R", r, f, row) + _axis("C", c, g, col) for r, c, f, g in ((r0, c0, fr0, fc0), (r1, c1, fr1, fc1))[: len(ends)]]
-                out["refs"].append((sheet, "range" if len(ends) > 1 else "cell", min(r0, r1), min(c0, c1), max(r0, r1), max(c0, c1), fr0 and fc0 if col is None else fr0, fr1 and fc1 if col is None else fr1, body))
+                (r0, c0, fr0, fc0), (r1, c1, fr1, fc1) = start, end = _point(ends[0]), _point(ends[-1])
+                points = [_axis("R", r, f, row) + _axis("C", c, g, col) for r, c, f, g in (start, end)[: len(ends)]]
+                moves = (_moves(start, end, 0), _moves(start, end, 1)) if len(ends) > 1 else (None, None)
+                out["refs"].append((sheet, "range" if len(ends) > 1 else "cell", min(r0, r1), min(c0, c1), max(r0, r1), max(c0, c1), anchored, *moves, body))
+                out["summary"] |= len(ends) > 1 and col is not None and row is not None and c0 == c1 == col and r1 == row - 1
                 parts.append(head + ":".join(points))
             elif m["cols"]:
                 a, b = (column_number(e.lstrip("$")) for e in ends)
-                out["refs"].append((sheet, "columns", 1, min(a, b), 1048576, max(a, b), "$" in ends[0], "$" in ends[1], body))
+                out["refs"].append((sheet, "columns", 1, min(a, b), 1048576, max(a, b), anchored, "whole_column", "whole_column", body))
                 parts.append(f"{head}#COL{a if '$' in ends[0] else f'[{a - col}]' if col else '?'}")
             else:
                 a, b = (int(e.lstrip("$")) for e in ends)
-                out["refs"].append((sheet, "rows", min(a, b), 1, max(a, b), 16384, "$" in ends[0], "$" in ends[1], body))
+                out["refs"].append((sheet, "rows", min(a, b), 1, max(a, b), 16384, anchored, "whole_row", "whole_row", body))
                 parts.append(f"{head}#ROW{a if '$' in ends[0] else f'[{a - row}]' if row else '?'}")
-            skeleton.append("r")
             continue
         if kind == "function":
             name = t.upper()
             out["functions"].add(name)
-            if not parts:
-                out["outer"] = name
+            out["outer"] = out["outer"] or name
             if name.startswith("_XLFN"):
                 out["unsupported"].add("UNSUPPORTED_FUTURE_FUNCTION")
             if name in LATE_BOUND:
@@ -130,31 +151,23 @@ def parse(text: str, row: int | None = None, col: int | None = None) -> dict:
             out["unsupported"].add("UNSUPPORTED_BROKEN_REFERENCE")
         elif kind == "name" and t.upper() not in ("TRUE", "FALSE"):
             out["names"].add(t.upper())
-        if kind in ("text", "number"):
-            out["n_literals"] += 1
-        if kind == "other" and depth == 0 and t in "+-*/^&=<>%":
-            out["operators"] += t
-        depth += (t == "(") - (t == ")")
-        if kind == "other" and t in "+-*/^&=<>%" and depth > 0:
-            skeleton.append(t)
+        out["n_literals"] += kind == "number"
         parts.append(t if kind == "text" else t.upper())
-        skeleton.append({"text": "t", "number": t, "function": "f"}.get(kind, t))
-    if out["operators"] and out["outer"] and not re.match(r"^[A-Z_.0-9]+\(.*\)$", "".join(parts)):
-        out["outer"] = None
-    elif out["operators"]:
-        out["outer"] = None
-    out["signature"], out["skeleton"] = "".join(parts), "".join(skeleton)
+    out["signature"], out["view"] = "".join(parts), "".join(view)
     return out | {k: sorted(out[k]) for k in ("functions", "names", "unsupported")}
 
 
-@F.pandas_udf(PARSED)
-def _parse(text: pd.Series, row: pd.Series, col: pd.Series) -> pd.DataFrame:
-    found = [parse(t, None if pd.isna(r) else int(r), None if pd.isna(c) else int(c)) for t, r, c in zip(text, row, col, strict=True)]
-    return pd.DataFrame(found, columns=PARSED.names)
+@F.arrow_udf(PARSED)
+def _parse(text: pa.Array, row: pa.Array, col: pa.Array) -> pa.Array:
+    found = [parse(t, r, c) for t, r, c in zip(text.to_pylist(), row.to_pylist(), col.to_pylist(), strict=True)]
+    names = REF.names
+    for p in found:
+        p["refs"] = [dict(zip(names, r, strict=True)) for r in p["refs"]]
+    return pa.array(found, to_arrow_type(PARSED))
 
 
 def parse_formula(text: Column, row: Column, col: Column) -> Column:
-    """struct(signature, refs, functions, outer, operators, n_literals, names, unsupported, skeleton)."""
+    """struct(signature, refs, functions, outer, view, n_literals, names, unsupported, summary)."""
     return _parse(text, row.cast("int"), col.cast("int"))
 
 
@@ -186,39 +199,65 @@ def copy_down(text: pd.Series, rows: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else translate(t, int(n)) for t, n in zip(text, rows, strict=True)])
 
 
-def intent(p: Column) -> Column:
-    """What a parsed formula is for, by its outermost function, comparisons and arithmetic, in this order."""
+def _signs(p: Column) -> dict[str, Column]:
+    """What the rules of intent() and intent_confidence() ask."""
     has = lambda names: F.arrays_overlap(p["functions"], F.array(*map(F.lit, names)))
-    ops, outer = p["operators"], p["outer"]
-    arithmetic, divides = ops.rlike(r"[-+*^/]"), ops.contains("/")
-    # coalesce: a formula without an outermost function is decided by what comes after
-    is_outer = lambda names: F.coalesce(outer.isin(names), F.lit(False))
+    is_outer = lambda names: F.coalesce(p["outer"].isin(names), F.lit(False))
+    view = p["view"]
+    out = {"compare": view.rlike("[<>=]"), "arithmetic": view.rlike(r"[-+*/^]"), "divides": view.contains("/"), "percent": view.contains("*100") | view.contains("%")}
+    plain = (F.size(p["functions"]) == 0) & (F.size(p["refs"]) > 0) & ~out["arithmetic"] & ~out["compare"]
+    return out | {"has": has, "is_outer": is_outer, "plain": plain}
+
+
+def intent(p: Column) -> Column:
+    """What a parsed formula is for: the first rule that holds, unknown if none does.
+
+    An error wrapper (IFERROR, IFNA) leaves the word to what is inside it; a
+    conditional function counts only beside a comparison.
+    """
+    s = _signs(p)
+    has, is_outer = s["has"], s["is_outer"]
+    conditional = is_outer([f for f in CONDITIONAL if f not in WRAPPERS]) & s["compare"]
+    chain = F.array_contains(p["functions"], "INDEX") & F.array_contains(p["functions"], "MATCH")
     return (
-        F.when((F.size(p["unsupported"]) > 0) | (p["signature"] == ""), "unknown")
-        .when(is_outer(LOOKUP), "lookup")
-        .when(is_outer(CONDITIONAL), "conditional")
+        F.when(p["signature"] == "", "unknown")
+        .when(conditional, "conditional")
+        .when(is_outer(AGGREGATION), F.when(p["summary"], "summary").otherwise("aggregation"))
+        .when(is_outer(LOOKUP) | chain, "lookup")
         .when(has(DATE), "date_logic")
-        .when(is_outer(AGGREGATION), "aggregation")
-        .when(is_outer(VALIDATION) | ops.rlike("[=<>]"), "validation_logic")
-        .when(divides & (p["skeleton"].contains("*100") | ops.contains("%")), "percentage")
-        .when(divides, "ratio")
-        .when(arithmetic, "calculation")
-        .when((F.size(p["refs"]) == 1) & (ops == "") & (F.size(p["functions"]) == 0), "reference")
+        .when(has(VALIDATION) & (s["compare"] | is_outer(VALIDATION)), "validation_logic")
+        .when(s["divides"], F.when(s["percent"], "percentage").otherwise("ratio"))
+        .when(s["arithmetic"] & (F.size(p["refs"]) + p["n_literals"] >= 2), "calculation")
+        .when(s["plain"], "reference")
         .otherwise("unknown")
     )
 
 
+def intent_confidence(p: Column, decided: Column) -> Column:
+    """HIGH, MEDIUM or LOW: what the intent is worth, one level less where signs of another one are there too."""
+    s = _signs(p)
+    also = {
+        "conditional": s["compare"] & s["has"](CONDITIONAL), "aggregation": s["has"](AGGREGATION), "lookup": s["has"](LOOKUP), "date_logic": s["has"](DATE), "validation_logic": s["has"](VALIDATION),
+        "percentage": s["divides"] & s["percent"], "ratio": s["divides"], "calculation": s["arithmetic"], "reference": s["plain"],
+    }
+    rivals = F.lit(False)
+    for name, there in also.items():
+        within = [d for d, n in SUBSUMED if n == name]
+        rivals = rivals | (there & (decided != name) & ~decided.isin(within or [""]))
+    level = F.when(decided.isin(SURE), 2).when(decided == "unknown", 0).otherwise(1)
+    return F.element_at(F.array(F.lit("LOW"), F.lit("MEDIUM"), F.lit("HIGH")), F.greatest(level - F.when(rivals, 1).otherwise(0), F.lit(0)) + 1)
+
+
 def formula_kind(p: Column) -> Column:
     """constant, function, comparison, concat, arithmetic by its references, reference or mixed."""
-    ops, refs = p["operators"], p["refs"]
-    fixed = F.exists(refs, lambda r: r["start_fixed"] & r["end_fixed"])
-    cross = F.exists(refs, lambda r: r["sheet"] != "")
+    view, refs = p["view"], p["refs"]
+    fixed, cross = F.exists(refs, lambda r: r["anchored"]), F.exists(refs, lambda r: r["sheet"] != "")
     return (
         F.when((F.size(refs) == 0) & (F.size(p["functions"]) == 0), "constant")
-        .when(p["outer"].isNotNull(), "function")
-        .when(ops.rlike("[=<>]"), "comparison")
-        .when(ops.contains("&"), "concat")
-        .when(ops.rlike("[-+*/^]"), F.when(cross, "cross_sheet_arithmetic").when(fixed, "absolute_arithmetic").otherwise("relative_arithmetic"))
-        .when((F.size(refs) == 1) & (ops == ""), "reference")
+        .when(F.size(p["functions"]) > 0, "function")
+        .when(view.rlike("[=<>]"), "comparison")
+        .when(view.contains("&"), "concat")
+        .when(view.rlike("[-+*/^]"), F.when(cross, "cross_sheet_arithmetic").when(fixed, "absolute_arithmetic").otherwise("relative_arithmetic"))
+        .when(F.size(refs) > 0, "reference")
         .otherwise("mixed")
     )

@@ -1,4 +1,4 @@
-"""Queries over formulas: a grid of them is written from the orders, every 17th row deviating."""
+"""Queries over formulas: a grid of them is written from the orders, one shape of range for each sheet, every 17th row deviating."""
 
 from __future__ import annotations
 
@@ -7,85 +7,133 @@ from pyspark.sql import functions as F
 from ..functions.formulas import copy_down as copy_formula
 from ..functions.formulas import formula_kind as kind_of
 from ..functions.formulas import intent as intent_of
+from ..functions.formulas import intent_confidence
+from ..functions.refs import index_to_col
 from ..operators import formulas as O
 from .registry import query, table
 
+#: Column J by sheet number modulo 11 (10: a sheet with formulas along row 5): text with {r} and {n} = r + 1, {m} = r + 2; signature; window.
+SHAPES = [
+    ("=SUM($F$1:F{r})", "SUM(R1C6:R[0]C[-4])", "expanding"),
+    ("=SUM($F$1:F{r})", "SUM(R1C6:R[0]C[-4])", "expanding"),
+    ("=SUM(F{r}:F{m})", "SUM(R[0]C[-4]:R[2]C[-4])", "rolling"),
+    ("=SUM(A{r}:C{r})", "SUM(R[0]C[-9]:R[0]C[-7])", "single_row"),
+    ("=SUM($F$1:$F$9)", "SUM(R1C6:R9C6)", "fixed"),
+    ("=SUM(F:F)", "SUM(#COL[-4])", "whole_column"),
+    ("=SUM(Data!$B$2:$B$10)", "SUM(DATA!R2C2:R10C2)", "cross_sheet_fixed"),
+    ("=SUM(Data!B{r}:B{n})", "SUM(DATA!R[0]C[-8]:R[1]C[-8])", "cross_sheet_relative"),
+    ("=SUM(F{r}:F$600)", "SUM(R[0]C[-4]:R600C[-4])", "UNKNOWN_WINDOW"),
+    ("=SUM($F$1:F{r})*G{r}", "SUM(R1C6:R[0]C[-4])*R[0]C[-3]", "expanding"),
+]
+
+
+def _place(key):
+    """Row, or column, of an order in its sheet: a free one after every 25th, five after every 60th."""
+    m = F.pmod(key, F.lit(500))
+    return (m + 1 + F.floor(m / 25) + 4 * F.floor(m / 60)).cast("int")
+
+
+_PLACE = "CAST(o_orderkey % 500 + 1 + (o_orderkey % 500) // 25 + 4 * ((o_orderkey % 500) // 60) AS INT)"
+
 
 def _grid(spark, sf_dir):
-    """Column H: =F*G, or =F/G where the row is divisible by 17; column J: a running total on odd hundreds."""
-    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("S"), F.floor(F.col("o_orderkey") / 500).cast("string")).alias("sheet"), (F.col("o_orderkey") % 500 + 1).cast("int").alias("row"), F.col("o_orderkey").alias("key"))
-    r = F.col("row").cast("string")
-    h = o.select("sheet", "row", F.lit(8).alias("col"), F.concat(F.lit("=F"), r, F.when(F.col("row") % 17 == 0, "/G").otherwise("*G"), r).alias("text"))
-    j = o.where("floor(row / 100) % 2 = 1").select("sheet", "row", F.lit(10).alias("col"), F.concat(F.lit("=SUM($F$1:F"), r, F.lit(")")).alias("text"))
-    return h.unionByName(j)
+    """Column H: =F*G, or =F/G where the row is divisible by 17; column J: a range on odd hundreds; or formulas along a row."""
+    o = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 500).alias("no"), _place(F.col("o_orderkey")).alias("at"))
+    o = o.select(F.concat(F.lit("S"), F.col("no").cast("string")).alias("sheet"), (F.col("no") % 11).alias("shape"), "at", F.col("at").cast("string").alias("r"))
+    h = F.concat(F.lit("=F"), "r", F.when(F.col("at") % 17 == 0, "/G").otherwise("*G"), "r")
+    j = F.lit(None).cast("string")
+    for i, (text, _, _) in enumerate(SHAPES):
+        made = F.lit(text)
+        for mark, n in (("{r}", 0), ("{n}", 1), ("{m}", 2)):
+            made = F.replace(made, F.lit(mark), (F.col("at") + n).cast("string"))
+        j = F.when(F.col("shape") == i, made).otherwise(j)
+    letter = index_to_col(F.col("at"))
+    along = F.struct(F.lit(5).alias("row"), F.col("at").alias("col"), F.concat(F.lit("="), letter, F.lit("3*"), letter, F.lit("4")).alias("text"))
+    down = lambda c, text: F.struct(F.col("at").alias("row"), F.lit(c).alias("col"), text.alias("text"))
+    odd = F.floor(F.col("at") / 100) % 2 == 1
+    cells = F.when(F.col("shape") == 10, F.array(along)).when(odd, F.array(down(8, h), down(10, j))).otherwise(F.array(down(8, h)))
+    return o.select("sheet", F.inline(cells))
 
 
-_O = "o AS (SELECT 'S' || CAST(o_orderkey // 500 AS VARCHAR) AS sheet, CAST(o_orderkey % 500 + 1 AS INT) AS row FROM orders)"
-_G = f"""{_O}, g AS (SELECT sheet, row, 8 AS col, '=F' || row || CASE WHEN row % 17 = 0 THEN '/G' ELSE '*G' END || row AS text, CASE WHEN row % 17 = 0 THEN 'R[0]C[-2]/R[0]C[-1]' ELSE 'R[0]C[-2]*R[0]C[-1]' END AS signature FROM o
-  UNION ALL SELECT sheet, row, 10, '=SUM($F$1:F' || row || ')', 'SUM(R1C6:R[0]C[-4])' FROM o WHERE (row // 100) % 2 = 1)"""
+def _case(i: int, quote=lambda x: x) -> str:
+    return "CASE shape " + " ".join(f"WHEN {k} THEN {quote(s[i])}" for k, s in enumerate(SHAPES)) + " END"
+
+
+def _text(at: str) -> str:
+    return _case(0, lambda t: "'" + t.replace("{r}", f"' || {at} || '").replace("{n}", f"' || ({at} + 1) || '").replace("{m}", f"' || ({at} + 2) || '") + "'")
+
+
+_LETTER = "(CASE WHEN pos > 26 THEN chr(64 + (pos - 1) // 26) ELSE '' END || chr(65 + (pos - 1) % 26))"
+_O = f"o AS (SELECT 'S' || CAST(o_orderkey // 500 AS VARCHAR) AS sheet, (o_orderkey // 500) % 11 AS shape, {_PLACE} AS pos FROM orders)"
+_G = f"""{_O}, g AS (SELECT sheet, shape, 'vertical' AS orientation, 8 AS line, pos, pos AS row, 8 AS col, '=F' || pos || CASE WHEN pos % 17 = 0 THEN '/G' ELSE '*G' END || pos AS text,
+    CASE WHEN pos % 17 = 0 THEN 'R[0]C[-2]/R[0]C[-1]' ELSE 'R[0]C[-2]*R[0]C[-1]' END AS signature, 'single_cell' AS win FROM o WHERE shape < 10
+  UNION ALL SELECT sheet, shape, 'vertical', 10, pos, pos, 10, {_text("pos")}, {_case(1, repr)}, {_case(2, repr)} FROM o WHERE shape < 10 AND (pos // 100) % 2 = 1
+  UNION ALL SELECT sheet, shape, 'horizontal', 5, pos, 5, pos, '=' || {_LETTER} || '3*' || {_LETTER} || '4', 'R[-2]C[0]*R[-1]C[0]', 'single_cell' FROM o WHERE shape = 10)"""
 
 
 def _cells(spark, sf_dir):
-    return O.parsed(_grid(spark, sf_dir)).withColumn("signature", F.col("p.signature"))
+    return O.parsed(_grid(spark, sf_dir))
 
 
-@query(f"WITH {_G} SELECT sheet, row, col, replace(signature, 'C6', 'C6') AS signature FROM g")
+@query(f"WITH {_G} SELECT sheet, row, col, signature FROM g")
 def formula_signatures(spark, sf_dir):
-    return _cells(spark, sf_dir).select("sheet", "row", "col", "signature")
+    return _cells(spark, sf_dir).select("sheet", "row", "col", F.col("p.signature").alias("signature"))
+
 
+_INTENT = "CASE WHEN orientation = 'horizontal' OR line = 8 AND row % 17 <> 0 THEN 'calculation' WHEN line = 8 THEN 'ratio' ELSE 'aggregation' END"
 
-@query(f"WITH {_G} SELECT sheet, CASE WHEN col = 8 THEN 'relative_arithmetic' ELSE 'function' END AS kind, CASE WHEN col = 10 THEN 'aggregation' WHEN row % 17 = 0 THEN 'ratio' ELSE 'calculation' END AS intent, count(*) AS n FROM g GROUP BY 1, 2, 3")
+
+@query(f"""WITH {_G} SELECT sheet, CASE WHEN line = 10 THEN 'function' ELSE 'relative_arithmetic' END AS kind, {_INTENT} AS intent,
+  CASE WHEN line = 8 AND row % 17 = 0 OR line = 10 AND shape = 9 THEN 'MEDIUM' ELSE 'HIGH' END AS confidence, count(*) AS n FROM g GROUP BY ALL""")
 def formula_intent(spark, sf_dir):
-    c = _cells(spark, sf_dir)
-    return c.groupBy("sheet", kind_of(F.col("p")).alias("kind"), intent_of(F.col("p")).alias("intent")).agg(F.count("*").alias("n"))
+    c = _cells(spark, sf_dir).withColumn("intent", intent_of(F.col("p")))
+    return c.groupBy("sheet", kind_of(F.col("p")).alias("kind"), "intent", intent_confidence(F.col("p"), F.col("intent")).alias("confidence")).agg(F.count("*").alias("n"))
+
+
+_FAMILIES = f"""{_G}, s AS (SELECT *, pos - lag(pos) OVER (PARTITION BY sheet, orientation, line ORDER BY pos) AS gap FROM g),
+r AS (SELECT *, CAST(sum(CASE WHEN gap > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY sheet, orientation, line ORDER BY pos) AS BIGINT) AS run FROM s),
+d AS (SELECT sheet, orientation, line, run, signature, count(*) AS n, row_number() OVER (PARTITION BY sheet, orientation, line, run ORDER BY count(*) DESC, signature) AS k FROM r GROUP BY 1, 2, 3, 4, 5),
+a AS (SELECT r.*, d.signature AS family, r.signature = d.signature AS member FROM r JOIN d ON d.sheet = r.sheet AND d.orientation = r.orientation AND d.line = r.line AND d.run = r.run AND d.k = 1 AND d.n >= 2),
+m AS (SELECT *, pos - lag(pos) OVER (PARTITION BY sheet, orientation, line, run ORDER BY pos) AS step FROM a WHERE member),
+f AS (SELECT sheet, orientation, line, run, any_value(family) AS signature, any_value(win) AS win, any_value({_INTENT}) AS intent, count(*) AS members, min(pos) AS start, max(pos) AS "end", count(*) FILTER (step > 1) AS gaps, coalesce(min(step) = max(step), false) AS regular FROM m GROUP BY 1, 2, 3, 4),
+x AS (SELECT sheet, orientation, line, run, count(*) FILTER (NOT member) AS outliers, count(*) FILTER (gap BETWEEN 2 AND 3) AS run_gaps FROM a GROUP BY 1, 2, 3, 4),
+fam AS (SELECT f.*, outliers, run_gaps, CASE WHEN members >= 3 AND regular THEN win ELSE 'UNKNOWN_WINDOW' END AS window_type,
+  CASE WHEN members >= 3 AND gaps = 0 AND run_gaps = 0 THEN 'HIGH' WHEN members = 2 AND gaps = 0 AND run_gaps = 0 OR members >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM f JOIN x USING (sheet, orientation, line, run))"""
 
 
-_FAMILIES = f"""{_G}, s AS (SELECT *, CASE WHEN row - lag(row) OVER (PARTITION BY sheet, col ORDER BY row) > 3 THEN 1 ELSE 0 END AS new FROM g),
-r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY sheet, col ORDER BY row) AS BIGINT) AS run FROM s),
-d AS (SELECT sheet, col, run, signature, count(*) AS n, row_number() OVER (PARTITION BY sheet, col, run ORDER BY count(*) DESC, signature) AS k FROM r GROUP BY 1, 2, 3, 4),
-a AS (SELECT r.*, d.signature AS family, r.signature = d.signature AS member FROM r JOIN d ON d.sheet = r.sheet AND d.col = r.col AND d.run = r.run AND d.k = 1 AND d.n >= 2),
-m AS (SELECT *, row - lag(row) OVER (PARTITION BY sheet, col, run ORDER BY row) AS step FROM a WHERE member),
-f AS (SELECT sheet, col AS line, run, any_value(family) AS signature, count(*) AS members, min(row) AS start, max(row) AS "end", count(*) FILTER (step > 1) AS gaps, coalesce(min(step) = max(step), false) AS regular FROM m GROUP BY 1, 2, 3),
-x AS (SELECT sheet, col AS line, run, count(*) AS outliers FROM a WHERE NOT member GROUP BY 1, 2, 3),
-fam AS (SELECT f.*, coalesce(x.outliers, 0) AS outliers, CASE WHEN members >= 3 AND gaps = 0 THEN 'HIGH' WHEN members = 2 AND gaps = 0 OR members >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM f LEFT JOIN x USING (sheet, line, run))"""
+def _families(spark, sf_dir):
+    return O.families(O.family_cells(_cells(spark, sf_dir)))
 
 
-@query(f"WITH {_FAMILIES} SELECT sheet, 'vertical' AS orientation, line, signature, members, start, \"end\", gaps, outliers, confidence FROM fam")
+@query(f"WITH {_FAMILIES} SELECT sheet, orientation, line, signature, members, start, \"end\", gaps, run_gaps, outliers, confidence, intent FROM fam")
 def formula_families(spark, sf_dir):
-    found, _ = O.families(_cells(spark, sf_dir).drop("p"))
-    return found.select("sheet", "orientation", "line", "signature", "members", "start", "end", "gaps", "outliers", "confidence")
+    found, _ = _families(spark, sf_dir)
+    return found.select("sheet", "orientation", "line", "signature", "members", "start", "end", "gaps", "run_gaps", "outliers", "confidence", "intent")
 
 
 @query(f"WITH {_FAMILIES} SELECT sheet, row, col, text, family FROM a WHERE NOT member")
 def formula_outliers(spark, sf_dir):
-    _, cells = O.families(_cells(spark, sf_dir).drop("p"))
+    _, cells = _families(spark, sf_dir)
     return cells.where("state = 'outlier'").select("sheet", "row", "col", "text", "family")
 
 
-@query(f"""WITH {_FAMILIES} SELECT sheet, line, start, CASE WHEN members >= 3 AND regular THEN CASE WHEN line = 8 THEN 'single_cell' ELSE 'expanding' END ELSE 'UNKNOWN_WINDOW' END AS window_type FROM fam""")
+@query(f"WITH {_FAMILIES} SELECT sheet, orientation, line, start, window_type FROM fam")
 def formula_windows(spark, sf_dir):
-    return _windows(spark, sf_dir).select("sheet", "line", "start", F.col("window").alias("window_type"))
-
-
-def _windows(spark, sf_dir):
-    cells = _cells(spark, sf_dir)
-    found, _ = O.families(cells.drop("p"))
-    first = cells.select("sheet", F.col("col").alias("line"), F.col("row").alias("start"), "p.refs", (F.size("p.unsupported") == 0).alias("eligible"))
-    joined = found.where("orientation = 'vertical'").join(first, ["sheet", "line", "start"])
-    return joined.withColumn("window", O.window_of(F.col("refs"), F.col("members"), F.col("regular"), F.col("orientation")))
+    return _families(spark, sf_dir)[0].select("sheet", "orientation", "line", "start", F.col("window").alias("window_type"))
 
 
-@query("""WITH l AS (SELECT CAST(l_orderkey % 64 AS VARCHAR) AS sheet, CAST(l_orderkey % 997 + 1 AS INT) AS row, min(l_linenumber) AS k FROM lineitem GROUP BY 1, 2),
-s AS (SELECT sheet, row, k FROM l WHERE row % 10 = 0)
-SELECT s.sheet || '!R' || s.row || 'C5' AS source, s.sheet || '!R' || l.row || 'C4' AS target, 'range' AS kind FROM s JOIN l ON l.sheet = s.sheet AND l.row BETWEEN s.row - s.k AND s.row
-UNION SELECT sheet || '!R' || row || 'C4', sheet || '!R' || row || 'C3', 'point' FROM l""")
+@query("""WITH l AS (SELECT l_orderkey // 500 AS no, CAST(l_orderkey % 500 + 1 AS INT) AS row, max(l_linenumber) AS k FROM lineitem GROUP BY 1, 2),
+s AS (SELECT CAST(no AS VARCHAR) AS sheet, row, greatest(1, row - k) AS low FROM l)
+SELECT s.sheet || '!R' || s.row || 'C5' AS source, s.sheet || '!R' || t.row || 'C4' AS target, 'range' AS kind FROM s JOIN s t ON t.sheet = s.sheet AND t.row BETWEEN s.low AND s.row
+UNION SELECT sheet || '!R' || row || 'C5', sheet || '!D' || low || ':D' || row, 'range_node' FROM s
+UNION SELECT sheet || '!R' || row || 'C4', sheet || '!R' || row || 'C3', 'point' FROM s""")
 def dependency_edges(spark, sf_dir):
-    """Edges of a grid in which column E sums stretches of column D, and D reads C."""
-    l = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 64).cast("string").alias("sheet"), (F.col("l_orderkey") % 997 + 1).cast("int").alias("row")).agg(F.min("l_linenumber").alias("k"))
-    r = F.col("row").cast("string")
-    d = l.select("sheet", "row", F.lit(4).alias("col"), F.concat(F.lit("=C"), r).alias("text"))
-    e = l.where("row % 10 = 0").select("sheet", "row", F.lit(5).alias("col"), F.concat(F.lit("=SUM(D"), (F.col("row") - F.col("k")).cast("string"), F.lit(":D"), r, F.lit(")")).alias("text"))
-    return O.edges(O.parsed(d.unionByName(e)))
+    """Edges of a grid with a row for each order: column E sums a stretch of column D, and D reads C."""
+    l = table(spark, sf_dir, "lineitem").groupBy(F.floor(F.col("l_orderkey") / 500).cast("string").alias("sheet"), (F.col("l_orderkey") % 500 + 1).cast("int").alias("row")).agg(F.max("l_linenumber").alias("k"))
+    r, low = F.col("row").cast("string"), F.greatest(F.lit(1), F.col("row") - F.col("k")).cast("string")
+    d = F.struct(F.lit(4).alias("col"), F.concat(F.lit("=C"), r).alias("text"))
+    e = F.struct(F.lit(5).alias("col"), F.concat(F.lit("=SUM(D"), low, F.lit(":D"), r, F.lit(")")).alias("text"))
+    return O.edges(O.parsed(l.select("sheet", "row", F.inline(F.array(d, e)))))
 
 
 @query("SELECT l_orderkey, l_linenumber, '=F' || (l_linenumber + 5) || '*$G$2+SUM(A' || (l_linenumber + 5) || ':A$9)&\"A1\"' AS moved FROM lineitem")
@@ -96,18 +144,38 @@ def copy_down(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", copy_formula(text, F.lit(5)).alias("moved"))
 
 
-@query(f"""WITH {_FAMILIES}, t AS (SELECT DISTINCT sheet, 501 AS row, c AS col FROM o, (VALUES (8), (10), (12)) v(c)),
-n AS (SELECT t.*, f."end" AS family_end, f.members, f.confidence, f.regular, row_number() OVER (PARTITION BY t.sheet, t.col ORDER BY t.row - f."end", f.members DESC, f.signature) AS k FROM t LEFT JOIN fam f ON f.sheet = t.sheet AND f.line = t.col AND f."end" < t.row)
-SELECT sheet, row, col, family_end, CASE WHEN family_end IS NULL THEN 'NO_SOURCE_FAMILY' WHEN confidence <> 'HIGH' THEN 'FAMILY_CONFIDENCE_BELOW_HIGH' WHEN NOT regular THEN 'WINDOW_PATTERN_NOT_DETERMINISTIC' END AS blocked,
- CASE WHEN family_end IS NOT NULL AND confidence = 'HIGH' AND regular THEN CASE col WHEN 8 THEN '=F501*G501' ELSE '=SUM($F$1:F501)' END END AS formula FROM n WHERE k = 1""")
+@query(f"""WITH {_FAMILIES}, t AS (SELECT DISTINCT sheet, shape, 601 AS row, c AS col FROM o, (VALUES (8), (10), (12)) v(c)),
+n AS (SELECT t.*, f."end" AS family_end, f.members, f.confidence, f.window_type, row_number() OVER (PARTITION BY t.sheet, t.col ORDER BY t.row - f."end", f.members DESC, f.signature) AS k
+  FROM t LEFT JOIN fam f ON f.sheet = t.sheet AND f.line = t.col AND f."end" < t.row AND f.orientation = 'vertical')
+SELECT sheet, row, col, family_end, CASE WHEN family_end IS NULL THEN 'NO_SOURCE_FAMILY' WHEN confidence <> 'HIGH' THEN 'FAMILY_CONFIDENCE_BELOW_HIGH' WHEN window_type = 'UNKNOWN_WINDOW' THEN 'WINDOW_PATTERN_NOT_DETERMINISTIC' END AS blocked,
+ CASE WHEN family_end IS NOT NULL AND confidence = 'HIGH' AND window_type <> 'UNKNOWN_WINDOW' THEN CASE col WHEN 8 THEN '=F601*G601' ELSE {_text("601")} END END AS formula FROM n WHERE k = 1""")
 def synthesis_gate(spark, sf_dir):
-    """A formula for row 501 of each sheet from the nearest family above, or what stands against it."""
-    grid, found = _grid(spark, sf_dir), _windows(spark, sf_dir)
-    targets = grid.select("sheet").distinct().select("sheet", F.lit(501).alias("row"), F.explode(F.array(F.lit(8), F.lit(10), F.lit(12))).alias("col"), F.lit(False).alias("has_formula"))
+    """A formula for row 601 of each sheet from the nearest family above, or what stands against it."""
+    grid, found = _grid(spark, sf_dir), _families(spark, sf_dir)[0].where("orientation = 'vertical'")
+    targets = grid.select("sheet").distinct().select("sheet", F.lit(601).alias("row"), F.explode(F.array(F.lit(8), F.lit(10), F.lit(12))).alias("col"), F.lit(False).alias("has_formula"))
     return O.synthesis(targets, found, grid)
 
 
-@query(f"WITH {_G}, f AS (SELECT sheet, CASE WHEN col = 10 THEN 'SUM' END AS fn FROM g) SELECT fn AS function, count(*) AS n, count(DISTINCT sheet) AS n_sheets FROM f WHERE fn IS NOT NULL GROUP BY 1")
+@query(f"""WITH {_FAMILIES}, c AS (SELECT g.*, a.member FROM g LEFT JOIN a USING (sheet, orientation, line, pos))
+SELECT 'confidence' AS metric, confidence AS key, count(*) AS n FROM fam GROUP BY 1, 2
+UNION ALL SELECT 'window', window_type, count(*) FROM fam GROUP BY 1, 2
+UNION ALL SELECT 'intent', intent, count(*) FROM fam GROUP BY 1, 2
+UNION ALL SELECT 'state', CASE WHEN member THEN 'member' WHEN NOT member THEN 'outlier' ELSE 'single' END, count(*) FROM c GROUP BY 1, 2""")
+def engine_report(spark, sf_dir):
+    """Counts of families and cells by what was found of them."""
+    return O.engine_report(*_families(spark, sf_dir))
+
+
+@query(f"""WITH {_G}, t AS (SELECT DISTINCT o.sheet, o.pos AS row, c AS col FROM o, (VALUES (8), (10), (11)) v(c))
+SELECT t.sheet, t.row, t.col, g.sheet IS NOT NULL AS has_formula, g.sheet IS NOT NULL AS has_value FROM t LEFT JOIN g ON g.sheet = t.sheet AND g.row = t.row AND g.col = t.col""")
+def target_states(spark, sf_dir):
+    """Whether cells of three columns hold a formula or a value."""
+    key = F.col("o_orderkey")
+    at = table(spark, sf_dir, "orders").select(F.concat(F.lit("S"), F.floor(key / 500).cast("string")).alias("sheet"), _place(key).alias("row"), F.explode(F.array(F.lit(8), F.lit(10), F.lit(11))).alias("col"))
+    return O.target_states(at.distinct(), _grid(spark, sf_dir).withColumn("kind", F.lit("formula")))
+
+
+@query(f"WITH {_G}, f AS (SELECT sheet, CASE WHEN line = 10 THEN 'SUM' END AS fn FROM g) SELECT fn AS function, count(*) AS n, count(DISTINCT sheet) AS n_sheets FROM f WHERE fn IS NOT NULL GROUP BY 1")
 def top_functions(spark, sf_dir):
     c = _cells(spark, sf_dir).select("sheet", F.explode("p.functions").alias("function"))
     return c.groupBy("function").agg(F.count("*").alias("n"), F.countDistinct("sheet").alias("n_sheets"))
