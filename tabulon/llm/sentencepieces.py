@@ -31,7 +31,7 @@ NONE, CHAR = -1, 1 << 20  # last token of the empty prefix; of a prefix that end
 class PrefixTable:
     """Encoder of one BPE model with byte fallback, a space before the text and no other normalisation."""
 
-    MEMO = 1 << 18
+    MEMO = 1 << 16
 
     def __init__(self, path: str):
         import sentencepiece
