@@ -33,11 +33,50 @@ def identity(name: Column) -> Column:
     )
 
 
+# Words that tell a language, and the families of documents by prefix.
+TR_HINTS = [
+    "prosedür", "prosedur", "talimat", "formu", "listesi", "tablosu", "sözleşme", "sozlesme", "beyan", "görev", "gorev", "eğitim", "egitim", "belgelendirme", "başvuru", "basvuru", "uygunsuzluk",
+    "politika", "müşteri", "musteri", "denetim", "denetçi", "sertifiker", "sertifikası", "sertifikasi", "tarafsızlık", "gizlilik", "kalite", "sınav", "sinav", "el kitabı",
+]
+EN_HINTS = [
+    "procedure", "instruction", "manual", "certificate", "report", "policy", "agreement", "contract", "application", "checklist", "questionnaire", "declaration", "guide", "training", "exam",
+    "answer", "job description", "audit", "certification", "offer", "review", "plan", "minutes", "invitation",
+]
+FAMILIES = {"PR": "PROCEDURE", "TL": "INSTRUCTION", "TB": "TABLE", "LS": "LIST", "FR": "FORM", "QM": "MANUAL", "KEK": "MANUAL", "OEK": "MANUAL", "PG": "PROGRAM_DOC"}
+TITLE_FAMILIES = [("JOB_DESCRIPTION", ["görev tanım", "gorev tanim", "job desc"]), ("PROCESS", ["proses", "process"]), ("POLICY", ["politika", "policy", "beyan", "commitment"])]
+
+
 def language(name: Column) -> Column:
-    """TR, EN, BOTH or UNKNOWN by whole-word hints."""
-    hit = lambda words: F.lower(name).rlike("(^|[^a-z])(" + "|".join(words) + ")([^a-z]|$)")
-    tr, en = hit(["tr", "turkce", "türkçe", "prosedur", "prosedür", "talimat", "formu"]), hit(["en", "eng", "english", "procedure", "instruction", "form"])
-    return F.when(tr & en, "BOTH").when(tr, "TR").when(en, "EN").otherwise("UNKNOWN")
+    """TR or EN, whichever has more hints in the name, BOTH where it says so, else UNKNOWN.
+
+    English hints are whole words, those of seven letters or more also parts of words.
+    """
+    low, letter = F.lower(name), "a-zçğıöşü"
+    count = lambda hits: sum((h.cast("int") for h in hits[1:]), hits[0].cast("int"))
+    tr = count([low.contains(h) for h in TR_HINTS])
+    # a long hint counts wherever it stands; a short one is looked at more closely where it is there at all
+    en = count([low.contains(h) if len(h) >= 7 else low.contains(h) & low.rlike(f"(^|[^{letter}]){h}([^{letter}]|$)") for h in EN_HINTS])
+    both = F.upper(name).rlike("TR-EN|TR/EN|EN-TR")
+    return F.when(both, "BOTH").when(tr > en, "TR").when(en > tr, "EN").otherwise("UNKNOWN")
+
+
+def family(prefix: Column, title: Column) -> Column:
+    """Family of a document by its prefix; two prefixes leave it to the title."""
+    table = F.create_map(*[F.lit(x) for kv in FAMILIES.items() for x in kv])
+    named = F.lit("SUPPORT_DOC")
+    for name, words in reversed(TITLE_FAMILIES):
+        named = F.when(F.exists(F.array(*map(F.lit, words)), lambda w: title.contains(w)), name).otherwise(named)
+    return F.when(prefix.isin("DD", "SD"), named).otherwise(F.coalesce(F.try_element_at(table, prefix), F.lit("OTHER")))
+
+
+def clean_title(name: Column, code: Column, revision: Column) -> Column:
+    """A document's name without its code (PR.007, however written), revision and dates, and with single spaces."""
+    parts = F.split(code, r"\.")
+    at = F.concat(F.lit("(?i)"), parts[0], F.lit(r"[._\- ]?"), parts[1])
+    bare = F.when(code.isNotNull(), F.regexp_replace(name, F.concat(F.lit("^(.*?)"), at), F.lit("$1 "))).otherwise(name)
+    bare = F.when(revision.isNotNull(), F.replace(bare, revision, F.lit(" "))).otherwise(bare)
+    bare = F.regexp_replace(bare, r"[0-9]{1,2}[._][0-9]{1,2}[._]([0-9]{4}|[0-9]{2})(?![0-9])", " ")
+    return F.btrim(F.regexp_replace(bare, r"[\s._\-&()\[\]]+", " "), F.lit(" .-_"))
 
 
 def outline(docs: DataFrame, key: str, text: str, longest: int = 112) -> DataFrame:

@@ -6,22 +6,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.refs import interval_similarity
+
 # Weights of a column pair, of a source/target pair, and the least score of a match.
 COLUMN_WEIGHTS = {"header": 55, "role": 25, "kind": 12, "format": 8, "letter": 5}
 SOURCE_WEIGHTS = {"header": 55, "tokens": 30, "role": 25, "kind": 12, "unit": 8, "required": 5}
+SHEET_WEIGHTS = {"column": 0.40, "region": 0.25, "structure": 0.20, "formula": 0.15}
 LEAST = 30
 
 
 def pair_scores(template: DataFrame, instance: DataFrame, on: str = "pair") -> DataFrame:
     """Scores of all column pairs within each sheet pair: as many as columns times columns, never rows.
 
-    Both sides: pair, col, norm, role, type.
+    Both sides: pair, col, norm, role, type, number_format. A header, role or kind that
+    is missing or empty agrees with nothing; two missing formats agree.
     """
-    t = template.select(on, *[F.col(c).alias(f"t_{c}") for c in ("col", "norm", "role", "type")])
-    i = instance.select(on, *[F.col(c).alias(f"i_{c}") for c in ("col", "norm", "role", "type")])
+    names = ("col", "norm", "role", "type", "number_format")
+    t = template.select(on, *[F.col(c).alias(f"t_{c}") for c in names])
+    i = instance.select(on, *[F.col(c).alias(f"i_{c}") for c in names])
     w = COLUMN_WEIGHTS
-    same = lambda c: (F.col(f"t_{c}").eqNullSafe(F.col(f"i_{c}"))).cast("int")
-    score = same("norm") * w["header"] + same("role") * w["role"] + same("type") * w["kind"] + w["format"] + same("col") * w["letter"]
+    same = lambda c: F.col(f"t_{c}").eqNullSafe(F.col(f"i_{c}")).cast("int")
+    known = lambda c: F.coalesce((F.col(f"t_{c}") == F.col(f"i_{c}")) & (F.col(f"t_{c}") != ""), F.lit(False)).cast("int")
+    score = known("norm") * w["header"] + known("role") * w["role"] + known("type") * w["kind"] + same("number_format") * w["format"] + same("col") * w["letter"]
     return t.join(i, on).select(on, "t_col", "i_col", F.least(F.lit(100), score).alias("score"))
 
 
@@ -69,6 +75,48 @@ def source_scores(source: DataFrame, target: DataFrame) -> DataFrame:
     return s.join(t, F.lit(True)).select("s_col", "t_col", F.least(F.lit(100), score).cast("int").alias("score"))
 
 
+def region_scores(template: DataFrame, instance: DataFrame, on: str = "pair") -> DataFrame:
+    """How alike regions of one type lie: pair, type, t_region, i_region, score. Both sides: pair, region (its number), type, first_row, last_row."""
+    t = template.select(on, "type", F.col("region").alias("t_region"), F.col("first_row").alias("a0"), F.col("last_row").alias("a1"))
+    i = instance.select(on, "type", F.col("region").alias("i_region"), F.col("first_row").alias("b0"), F.col("last_row").alias("b1"))
+    score = interval_similarity(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1"))
+    return t.join(i, [on, "type"]).select(on, "type", "t_region", "i_region", score.alias("score"))
+
+
+def match_regions(template: DataFrame, instance: DataFrame, on: str = "pair") -> DataFrame:
+    """Regions in the template's order, each with its best free one of the same type; any score will do, null if none is left."""
+    every = template.select(on, F.col("region").alias("t_region"), F.lit(-1).alias("i_region"), F.lit(-1).alias("score"))
+    scores = region_scores(template, instance, on).select(on, "t_region", "i_region", "score").unionByName(every)
+    return greedy(scores, on, "t_region", "i_region", least=0)
+
+
+def structural_score(t: DataFrame, i: DataFrame, on: str = "pair") -> DataFrame:
+    """pair, score: the mean over six parts of two layouts, rounded down.
+
+    Both sides: pair, merges, tables, validations (arrays of texts), freeze, filter,
+    hidden (texts). Merges count by their share in common, tables and validations 100
+    or 50, freeze and filter 100 or 60, what is hidden 100 or 70.
+    """
+    a, b = t.select(on, F.struct("merges", "tables", "validations", "freeze", "filter", "hidden").alias("a")), i.select(on, F.struct("merges", "tables", "validations", "freeze", "filter", "hidden").alias("b"))
+    every = F.size(F.array_union("a.merges", "b.merges"))
+    shared = F.when(every > 0, F.floor(100 * F.size(F.array_intersect("a.merges", "b.merges")) / every)).otherwise(100)
+    equal = lambda c, low: F.when(c, 100).otherwise(low)
+    lists = [equal(F.array_sort(f"a.{c}") == F.array_sort(f"b.{c}"), 50) for c in ("tables", "validations")]
+    plain = [equal(F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), low) for c, low in (("freeze", 60), ("filter", 60), ("hidden", 70))]
+    return a.join(b, on).select(on, F.floor(sum([*lists, *plain], shared) / 6).cast("int").alias("score"))
+
+
+def sheet_score(column: Column, region: Column, structure: Column, formula: Column) -> Column:
+    """Weighted score of a pair of sheets, halves to the even number."""
+    w = SHEET_WEIGHTS
+    return F.bround(column * w["column"] + region * w["region"] + structure * w["structure"] + formula * w["formula"], 0).cast("int")
+
+
+def review_subjects(report: DataFrame) -> DataFrame:
+    """Subjects kind|subject that a person has to look at, each once; ``report``: kind, subject, requires_review."""
+    return report.where("requires_review").select(F.concat_ws("|", "kind", "subject").alias("subject")).distinct()
+
+
 def histogram_similarity(left: Column, right: Column) -> Column:
     """100 less the share in which two maps of counts differ; two empty maps are alike."""
     diff = F.aggregate(F.map_values(F.map_zip_with(left, right, lambda _, a, b: F.abs(F.coalesce(a, F.lit(0)) - F.coalesce(b, F.lit(0))))), F.lit(0).cast("long"), lambda x, y: x + y)

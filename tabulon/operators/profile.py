@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.infer import rollup_type
+from .cells import as_text, kind_of
 
 CODES = {"string": "t", "integer": "i", "decimal": "n", "date": "d", "datetime": "d", "boolean": "b", "formula": "q"}
 
@@ -22,6 +23,24 @@ def column_profile(cells: DataFrame) -> DataFrame:
     return per.select("sheet", "col", "header", "n_cells", "non_null", "n_distinct", rollup_type(F.col("kinds")).alias("type"), F.array_join("kinds", ",").alias("kinds"), "first_sample")
 
 
+def typed_profile(df: DataFrame, sheet: str, columns: list[str]) -> DataFrame:
+    """column_profile() of a table with typed columns: their kinds come from the schema, and only values are aggregated.
+
+    Distinct values are those of the text a cell shows (see cells.as_text).
+    """
+    fields = [df.schema[c] for c in columns]
+    text = [as_text(f) for f in fields]
+    n, distinct = F.count("*").alias("n"), [F.countDistinct(t).alias(f"d{i}") for i, t in enumerate(text)]
+    per = df.agg(n, *distinct, *[F.count(t).alias(f"c{i}") for i, t in enumerate(text)], *[F.min(t).alias(f"m{i}") for i, t in enumerate(text)])
+    rows = []
+    for i, f in enumerate(fields):
+        kind, full = F.lit(kind_of(f)), F.col(f"c{i}")
+        kinds = F.array_compact(F.array(F.when(full < F.col("n"), F.lit("blank")), F.when(full > 0, kind)))
+        made = [F.lit(sheet).alias("sheet"), F.lit(i + 1).alias("col"), F.lit(f.name).alias("header"), F.col("n").alias("n_cells"), full.alias("non_null"), F.col(f"d{i}").alias("n_distinct")]
+        rows.append(F.struct(*made, rollup_type(F.array_sort(kinds)).alias("type"), F.array_join(F.array_sort(kinds), ",").alias("kinds"), F.col(f"m{i}").alias("first_sample")))
+    return per.select(F.inline(F.array(*rows)))
+
+
 def dominant(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Most frequent value of each group, ties to the smaller one."""
     counts = values.groupBy(*keys, value).count()

@@ -67,14 +67,31 @@ def current_revision(spark, sf_dir):
     return D.current(docs, "code", [F.desc("date"), F.desc("revision"), F.col("o_orderkey")])
 
 
-@query("""
-SELECT doc_id, lang, CASE WHEN tr AND en THEN 'BOTH' WHEN tr THEN 'TR' WHEN en THEN 'EN' ELSE 'UNKNOWN' END AS hint FROM (SELECT doc_id, lang,
-  regexp_matches(lower(n), '(^|[^a-z])(tr|turkce|türkçe|prosedur|prosedür|talimat|formu)([^a-z]|$)') AS tr, regexp_matches(lower(n), '(^|[^a-z])(en|eng|english|procedure|instruction|form)([^a-z]|$)') AS en FROM (SELECT doc_id, lang, source || '_' || lang || '_' || left(text, 60) AS n FROM documents))""")
+_TR = "(" + " + ".join(f"CAST(contains(n, '{h}') AS INT)" for h in D.TR_HINTS) + ")"
+_EN = "(" + " + ".join(f"CAST(regexp_matches(n, '(^|[^a-zçğıöşü]){h}([^a-zçğıöşü]|$)') OR {str(len(h) >= 7).lower()} AND contains(n, '{h}') AS INT)" for h in D.EN_HINTS) + ")"
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang, coalesce(source, '') || ' ' || coalesce(text, '') AS name FROM documents), c AS (SELECT *, lower(name) AS n FROM d)
+SELECT doc_id, lang, CASE WHEN regexp_matches(upper(name), 'TR-EN|TR/EN|EN-TR') THEN 'BOTH' WHEN {_TR} > {_EN} THEN 'TR' WHEN {_EN} > {_TR} THEN 'EN' ELSE 'UNKNOWN' END AS hint FROM c""")
 def lang_hints(spark, sf_dir):
-    name = F.concat_ws("_", "source", "lang", F.left("text", F.lit(60)))
+    """Language hints in the source and the whole text of every document."""
+    name = F.concat_ws(" ", F.coalesce("source", F.lit("")), F.coalesce("text", F.lit("")))
     return table(spark, sf_dir, "documents").select("doc_id", "lang", D.language(name).alias("hint"))
 
 
+@query(r"""WITH o AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'PR' WHEN 1 THEN 'TL' WHEN 2 THEN 'QM' WHEN 3 THEN 'DD' WHEN 4 THEN 'SD' ELSE 'XX' END AS prefix, o_orderpriority AS p FROM orders)
+SELECT o_orderkey, prefix, CASE prefix WHEN 'PR' THEN 'PROCEDURE' WHEN 'TL' THEN 'INSTRUCTION' WHEN 'QM' THEN 'MANUAL' WHEN 'XX' THEN 'OTHER' ELSE CASE WHEN p LIKE '1%' THEN 'POLICY' ELSE 'SUPPORT_DOC' END END AS family,
+  prefix || ' 007 ' || CASE WHEN p LIKE '1%' THEN 'policy ' ELSE '' END || p AS name, trim(regexp_replace(CASE WHEN p LIKE '1%' THEN 'policy ' ELSE '' END || p, '[-\s._&()\[\]]+', ' ', 'g'), ' .-_') AS title FROM o""")
+def doc_families(spark, sf_dir):
+    """Family and title of document names."""
+    k = F.col("o_orderkey") % 6
+    prefix = F.get(F.array(*map(F.lit, ("PR", "TL", "QM", "DD", "SD", "XX"))), k.cast("int"))
+    kind = F.concat(F.when(F.col("o_orderpriority").startswith("1"), "policy ").otherwise(""), F.col("o_orderpriority"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", prefix.alias("prefix"), F.concat(prefix, F.lit(" 007 "), kind).alias("name"))
+    title = D.clean_title(F.col("name"), F.concat(F.col("prefix"), F.lit(".007")), F.lit(None).cast("string"))
+    return o.withColumn("title", title).withColumn("family", D.family(F.col("prefix"), F.lower("title")))
+
+
 @query("""SELECT c_custkey, 'Dear ' || c_name || ', {{ unknown }}: ' || c_mktsegment || ' $1' AS filled, 2 AS n_filled, 'unknown' AS unfilled FROM customer""")
 def template_fill(spark, sf_dir):
     c = table(spark, sf_dir, "customer").withColumn("t", F.lit("Dear {{name}}, {{ unknown }}: {{ segment }} $1"))

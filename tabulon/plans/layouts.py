@@ -6,8 +6,6 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..functions.infer import compatible
-from ..functions.text import truncate_text
 from ..operators import cells as C
 from ..operators import matching as M
 from ..operators import profile as P
@@ -26,12 +24,20 @@ COLUMNS = {
 }
 
 
-def _columns(spark, sf_dir):
-    """Profiles of the columns of six tables; norm is the header without its table's letter."""
-    parts = [P.column_profile(C.cells(table(spark, sf_dir, t), t, F.col(k), [c for c, _ in COLUMNS[t]])) for t, k in KEYS.items()]
+def _columns(spark, sf_dir, sheets=tuple(COLUMNS)):
+    """Profiles of the columns of up to six tables; norm is the header without its table's letter."""
+    parts = [P.typed_profile(table(spark, sf_dir, t), t, [c for c, _ in COLUMNS[t]]) for t in sheets]
     return reduce(lambda a, b: a.unionByName(b), parts).withColumn("norm", F.regexp_replace("header", "^[a-z]_", ""))
 
 
+def _labelled(spark, sf_dir, sheets=tuple(COLUMNS)):
+    """The profiles with the role decided for each column: two dozen rows, so that they are read back rather than planned again for every use."""
+    columns = _columns(spark, sf_dir, sheets)
+    columns = spark.createDataFrame(columns.toArrow(), columns.schema)  # one row for each column of the schema, never of the data
+    roles = K.decide(K.role_scores(K.evidence(columns, K.dictionary(spark))), ["sheet", "col"], "role")
+    return columns.join(roles.select("sheet", "col", "role"), ["sheet", "col"]).withColumn("number_format", F.lit(None).cast("string"))
+
+
 _COLUMNS = " UNION ALL ".join(
     f"SELECT '{t}' AS sheet, {i + 1} AS col, '{c}' AS header, '{kind}' AS type, count(*) AS n_cells, count({c}) AS non_null, count(DISTINCT {'printf(\'%.4f\', ' + c + ')' if kind == 'decimal' else c}) AS n_distinct, '{c[2:]}' AS norm FROM {t}"
     for t, cols in COLUMNS.items()
@@ -39,9 +45,12 @@ _COLUMNS = " UNION ALL ".join(
 )
 _TERMS = "(VALUES " + ", ".join(f"('{w}', '{r}')" for w, r in {w: r for r, ws in reversed(K.TERMS.items()) for w in reversed(ws)}.items()) + ") terms(term, role)"
 _KINDS = "(VALUES " + ", ".join(f"('{k}', '{r}', {w})" for k, rs in K.AFFINITY.items() for r, w in rs.items()) + ") kinds(type, role, weight)"
+_first = lambda words: "CASE " + " ".join(f"WHEN contains(norm, '{w}') THEN '{w}'" for w in words) + " END"
+_KEYWORDS = " ".join(f"UNION ALL SELECT sheet, col, '{K.FAMILIES[k][0]}', {K.FAMILIES[k][1]}, 'keyword:{k}:' || {_first(ws)} FROM cols WHERE {_first(ws)} IS NOT NULL" for k, ws in K.KEYWORDS.items())
 _SCORES = f"""cols AS ({_COLUMNS}),
 ev AS (SELECT sheet, col, role, CASE WHEN norm = term THEN 45 WHEN contains(norm, term) AND length(term) >= 3 THEN 25 WHEN contains(term, norm) AND length(norm) >= 5 THEN 12 END AS weight, 'header:' || term AS reason
          FROM cols, {_TERMS} WHERE contains(norm, term) OR contains(term, norm)
+       {_KEYWORDS}
        UNION ALL SELECT sheet, col, role, weight, 'kind:' || cols.type FROM cols JOIN {_KINDS} ON kinds.type = cols.type
        UNION ALL SELECT sheet, col, 'identifier', 15, 'values:distinct' FROM cols WHERE type = 'string' AND n_cells >= 3 AND n_distinct >= 0.9 * n_cells),
 scores AS (SELECT sheet, col, role, CAST(least(100, sum(weight)) AS INT) AS score, string_agg(DISTINCT reason, ';' ORDER BY reason) AS evidence FROM ev WHERE weight IS NOT NULL GROUP BY 1, 2, 3)"""
@@ -71,7 +80,7 @@ def role_decision(spark, sf_dir):
 @query(f"""WITH {_ROLES} SELECT sheet, col, header, CAST(CASE WHEN role = 'identifier' THEN 40 ELSE 0 END + CASE WHEN n_distinct = non_null THEN 25 ELSE floor(15 * (n_distinct / greatest(non_null, 1))) END
  + CASE WHEN non_null = n_cells THEN 15 ELSE 0 END + 5 AS INT) AS score, non_null - n_distinct AS duplicates FROM cols JOIN roles USING (sheet, col)""")
 def key_candidates(spark, sf_dir):
-    return K.key_score(_columns(spark, sf_dir).join(_roles(spark, sf_dir).select("sheet", "col", "role"), ["sheet", "col"]))
+    return K.key_score(_labelled(spark, sf_dir))
 
 
 _UNITS = "CASE WHEN type IN ('integer', 'decimal') THEN CASE WHEN norm IN ('totalprice', 'retailprice', 'acctbal', 'price') THEN '$' END END"
@@ -90,7 +99,7 @@ ps AS (SELECT pair, a.col AS t_col, b.col AS i_col, CAST(least(100, CASE WHEN a.
 
 
 def _pair_scores(spark, sf_dir):
-    c = _columns(spark, sf_dir).join(_roles(spark, sf_dir).select("sheet", "col", "role"), ["sheet", "col"])
+    c = _labelled(spark, sf_dir)
     pairs = spark.createDataFrame([(f"{t}>{i}", t, i) for t, i in PAIRS], "pair string, t string, i string")
     side = lambda k: c.join(F.broadcast(pairs), F.col("sheet") == F.col(k))
     return M.pair_scores(side("t"), side("i"))
@@ -146,7 +155,7 @@ ss AS (SELECT a.col AS s_col, b.col AS t_col, CAST(least(100, CASE WHEN a.norm =
 
 
 def _source_scores(spark, sf_dir):
-    c = _columns(spark, sf_dir).join(_roles(spark, sf_dir).select("sheet", "col", "role"), ["sheet", "col"]).withColumn("unit", K.unit_guess(F.col("norm"), F.col("type")))
+    c = _labelled(spark, sf_dir, ("customer", "orders")).withColumn("unit", K.unit_guess(F.col("norm"), F.col("type")))
     required = (F.col("non_null") == F.col("n_cells")) & (F.col("role") == "identifier")
     return M.source_scores(c.where("sheet = 'customer'"), c.where("sheet = 'orders'").withColumn("required", required))
 
@@ -168,42 +177,13 @@ def mapping_plan(spark, sf_dir):
     return got.select("s_col", "t_col", "score", F.when(F.col("t_col").isNull(), "unresolved").otherwise("mapped").alias("state"))
 
 
-@query("""
-SELECT d.doc_id, CASE WHEN d.doc_id % 17 = 0 THEN 'preserved' WHEN l.quality IS NULL AND d.doc_id % 3 = 0 THEN 'blocked:required' WHEN d.doc_id % 29 = 5 THEN 'blocked:merged'
-  WHEN l.quality IS NULL THEN 'would_write' WHEN l.toxic = 1 AND l.quality = 0 THEN 'blocked:validation' ELSE 'would_write' END AS class,
-  CASE WHEN length(d.text) > 60 THEN left(d.text, 57) || '...' ELSE d.text END AS preview, CASE WHEN l.quality IS NULL THEN 'blank_tolerant' ELSE 'numeric_family' END AS compat
-FROM documents d LEFT JOIN labels l USING (doc_id)""")
-def dry_run_partition(spark, sf_dir):
-    """What a fill of documents with their labels would do to each row, first reason first."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    i, q = F.col("doc_id"), F.col("quality")
-    label = (
-        F.when(i % 17 == 0, "preserved").when(q.isNull() & (i % 3 == 0), "blocked:required").when(i % 29 == 5, "blocked:merged")
-        .when(q.isNull(), "would_write").when((F.col("toxic") == 1) & (q == 0), "blocked:validation").otherwise("would_write")
-    )
-    kind = F.when(q.isNull(), "blank").otherwise("integer")
-    return d.select("doc_id", label.alias("class"), truncate_text(F.col("text")).alias("preview"), compatible(kind, F.lit("decimal")).alias("compat"))
-
-
-@query("""
-SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN CASE WHEN p_size BETWEEN 1 AND 40 THEN 'ok' ELSE 'invalid' END WHEN 1 THEN CASE WHEN lower(p_brand) IN ('brand#11', 'brand#12', 'brand#23', 'brand#34') THEN 'ok' ELSE 'invalid' END
-  WHEN 2 THEN CASE WHEN length(p_name) <= 8 THEN 'ok' ELSE 'invalid' END WHEN 3 THEN CASE WHEN p_retailprice >= 1000 THEN 'ok' ELSE 'invalid' END ELSE 'unsupported' END AS result FROM part""")
-def validation_check(spark, sf_dir):
-    """Whole, list, text length and decimal rules; any other kind of rule is reported as unsupported."""
-    part, k = table(spark, sf_dir, "part"), F.col("p_partkey") % 5
-    listed = F.transform(F.split(F.lit("Brand#11,Brand#12,Brand#23,Brand#34"), ","), lambda x: F.lower(F.trim(x)))
-    ok = F.when(k == 0, F.col("p_size").between(1, 40)).when(k == 1, F.array_contains(listed, F.lower("p_brand"))).when(k == 2, F.length("p_name") <= 8).when(k == 3, F.col("p_retailprice") >= 1000)
-    return part.select("p_partkey", F.when(ok, "ok").when(~ok, "invalid").otherwise("unsupported").alias("result"))
-
-
 @query("""
 SELECT l_orderkey, l_linenumber, o_orderkey AS merge_start, CASE WHEN l_orderkey = o_orderkey THEN 'top_left' ELSE 'inside' END AS status
-FROM lineitem JOIN (SELECT o_orderkey, o_orderkey + 3 AS last FROM orders WHERE o_orderkey % 50 = 0) m ON l_orderkey BETWEEN m.o_orderkey AND m.last""")
+FROM lineitem JOIN (SELECT o_orderkey, o_orderkey + o_custkey % 4 AS last FROM orders) m ON l_orderkey BETWEEN m.o_orderkey AND m.last""")
 def merge_status(spark, sf_dir):
     """Rows inside merged ranges: an interval join dealt into bins."""
-    ranges = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.lit(1).alias("sheet"), F.col("o_orderkey").alias("merge_start"), (F.col("o_orderkey") + 3).alias("merge_end"))
-    points = table(spark, sf_dir, "lineitem").select(F.lit(1).alias("sheet"), "l_orderkey", "l_linenumber")
-    out = X.within_ranges(points, ranges, "l_orderkey", "merge_start", "merge_end", ["sheet"])
+    ranges = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("merge_start"), (F.col("o_orderkey") + F.col("o_custkey") % 4).alias("merge_end"))
+    out = X.within_ranges(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), ranges, "l_orderkey", "merge_start", "merge_end", [])
     return out.select("l_orderkey", "l_linenumber", "merge_start", F.when(F.col("l_orderkey") == F.col("merge_start"), "top_left").otherwise("inside").alias("status"))
 
 
