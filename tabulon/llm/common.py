@@ -7,12 +7,14 @@ lower-casing A-Z where an operator asks for it. A null text counts as empty.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -119,6 +121,29 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+# ------------------------------------------------------------------- memory
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """A task's generator that gives its memory back when it is through."""
+
+    @wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 # ------------------------------------------------------------- Arrow slices
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import open_fs, parts, plain_string, scratch, slices, store
+from .common import open_fs, parts, plain_string, scratch, slices, store, tidy
 
 WIDTH, CHANNELS = 64, 3
 ROW = WIDTH * CHANNELS
@@ -153,7 +153,7 @@ def write_media(docs: DataFrame, folder: str | None = None) -> DataFrame:
     schema = T.StructType(
         [docs.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("shard", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())]
     )
-    return store(docs.select("doc_id", "text").mapInArrow(run, schema), "media")
+    return store(docs.select("doc_id", "text").mapInArrow(tidy(run), schema), "media")
 
 
 def canonical(media: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def read_headers(places: DataFrame) -> DataFrame:
             width, height, depth, channels = png_header(start)
             yield pa.record_batch([[key], [row["length"]], [width], [height], [depth], [channels]], names=["digest", "media_bytes", "width", "height", "bit_depth", "channels"])
 
-    return _dealt(places).mapInArrow(_batched(run), "digest string, media_bytes long, width long, height long, bit_depth long, channels long")
+    return _dealt(places).mapInArrow(tidy(_batched(run)), "digest string, media_bytes long, width long, height long, bit_depth long, channels long")
 
 
 def read_features(places: DataFrame) -> DataFrame:
@@ -190,8 +190,8 @@ def read_features(places: DataFrame) -> DataFrame:
                 names=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
             )
 
-    return _dealt(places).mapInArrow(
-        _batched(run), "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return _dealt(places).mapInArrow(tidy(
+        _batched(run)), "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
 
 

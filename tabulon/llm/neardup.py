@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import hash_strings, keep, mix64, odd_constants, plain_string, ragged_take, slices, scope, split_words, store, word_codes
+from .common import hash_strings, keep, mix64, odd_constants, plain_string, ragged_take, scope, slices, split_words, store, tidy, word_codes
 from .components import connected_components
 
 
@@ -224,7 +224,7 @@ def _bloom(keys: DataFrame, p: MinHashParams) -> np.ndarray:
             at = np.unique(np.concatenate(_bloom_positions(_numbers(b.column(0)), bits))) if b.num_rows else np.zeros(0, np.int64)
             yield pa.record_batch([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["w", "v"])
 
-    words = keys.select(keys.columns[0]).mapInArrow(positions, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v"))
+    words = keys.select(keys.columns[0]).mapInArrow(tidy(positions), "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v"))
     out = np.zeros(bits // 64, np.int64)
     got = words.toArrow()
     out[got["w"].to_numpy()] = got["v"].to_numpy()
@@ -268,7 +268,7 @@ def _sets_of(rows: DataFrame, nodes: DataFrame, p: MinHashParams, min_words: int
             yield pa.record_batch([pa.array(ids, pa.binary()), pa.array(blobs, pa.binary())], names=["digest", "shingles"])
 
     with _filter(nodes.select("digest"), p) as shared:
-        return store(rows.select("text").mapInArrow(run, "digest binary, shingles binary"), "sets")
+        return store(rows.select("text").mapInArrow(tidy(run), "digest binary, shingles binary"), "sets")
 
 
 def _some_sets(pool: DataFrame, nodes: DataFrame, p: MinHashParams) -> DataFrame:
@@ -280,7 +280,7 @@ def _some_sets(pool: DataFrame, nodes: DataFrame, p: MinHashParams) -> DataFrame
                 yield b.filter(pa.array(_bloom_test(shared.value, _numbers(b.column("digest")))))
 
     with _filter(nodes.select("digest"), p) as shared:
-        found = pool.mapInArrow(run, pool.schema).join(nodes, "digest")
+        found = pool.mapInArrow(tidy(run), pool.schema).join(nodes, "digest")
         return store(found.dropDuplicates(["node"]).select("node", "shingles"), "chosen")
 
 
@@ -302,7 +302,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFrame:
 
     x = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    return pairs.join(x, "b").join(y, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "b").join(y, "a").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 # ---------------------------------------------------------------- candidates
@@ -321,7 +321,7 @@ def _buckets(classes: DataFrame, shared=None) -> DataFrame:
                     keys, node = keys[hit], node[hit]
                 yield pa.record_batch([pa.array(keys), pa.array(node)], names=["bucket", "node"])
 
-    return classes.select("node", "buckets").mapInArrow(run, "bucket long, node long")
+    return classes.select("node", "buckets").mapInArrow(tidy(run), "bucket long, node long")
 
 
 def _apart(x: str, y: str, p: MinHashParams):
@@ -414,7 +414,7 @@ def _across(members: DataFrame, p: MinHashParams) -> DataFrame:
             a, b = np.concatenate(a), np.concatenate(b)
             yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return sorted_.mapInArrow(run, "a long, b long").distinct()
+    return sorted_.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 # ------------------------------------------------------------------ operator
@@ -445,7 +445,7 @@ def near_duplicates(docs: DataFrame, p: MinHashParams, min_words: int | None = N
         return pool
 
     with scope():
-        items = store(rows.mapInArrow(_read_items(p, min_words, to_arrow_schema(schema)), schema), "items")
+        items = store(rows.mapInArrow(tidy(_read_items(p, min_words, to_arrow_schema(schema))), schema), "items")
         classes = items.where("buckets is not null").groupBy("digest").agg(F.first(F.struct("buckets", "sketch", "octets")).alias("x"))
         classes = store(classes.select("digest", "x.*").withColumn("node", F.monotonically_increasing_id()), "classes")
         labels = keep(link_classes(classes, sets, p))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import store
+from .common import store, tidy
 
 
 @dataclass(frozen=True)
@@ -144,7 +144,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, p: IndexParams
     few = Window.partitionBy("v").orderBy("id")
     once = vectors.where(F.size("v") == dim).dropDuplicates(["id", "v"])
     distinct = once.withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1).drop("n")
-    coded = store(distinct.mapInArrow(cells, "id long, v array<double>, cell int"), "coded")
+    coded = store(distinct.mapInArrow(tidy(cells), "id long, v array<double>, cell int"), "coded")
     # counts of cells: centroids squared at most
     counted = coded.groupBy("cell").count().toArrow()
     counts = np.zeros(len(index.first) * len(index.second), np.int64)

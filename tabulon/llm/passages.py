@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import hash_strings, keep, mix64, odd_constants, parts, plain_string, ragged_take, scope, slices, split_words, store, word_codes
+from .common import give_back, hash_strings, keep, mix64, odd_constants, parts, plain_string, ragged_take, scope, slices, split_words, store, tidy, word_codes
 from .neardup import SLICE, MinHashParams, bands_and_sketch, link_classes
 
 #: Words that have to agree behind a single one that differs, for a stretch to grow over it.
@@ -229,6 +229,8 @@ def _again(pdf: pd.DataFrame) -> pd.DataFrame:
     ends = np.cumsum([len(x) for x in rows])
     found = [np.unique(x[hit]) for x, hit in zip(rows, np.split(again, ends[:-1]), strict=True)]
     some = [i for i, x in enumerate(found) if len(x)]
+    del every, order, same, again
+    give_back()
     return pd.DataFrame({"chunk": pdf["chunk"].to_numpy()[some], "keys": [found[i].astype("<i8").tobytes() for i in some]})
 
 
@@ -254,6 +256,8 @@ def _places(p: PassageParams, schema: pa.Schema):
         own = pa.array(text)
         ids, hashes = pc.list_flatten(chunks["ids"].slice(0, 1)), pc.list_flatten(chunks["hashes"].slice(0, 1))
         columns = [ids.take(own), hashes.take(own), pa.array(at - start), pa.array(gram.view(np.int64)), pa.array(unit, pa.binary()), pa.array(left, pa.binary()), pa.array(right, pa.binary())]
+        del words, shingles, keys, half, byte
+        give_back()
         return pa.table(columns, schema=schema)
 
     return run
@@ -365,8 +369,8 @@ def repeated_passages(docs: DataFrame, p: PassageParams = PassageParams()) -> Da
     made = lambda **fields: T.StructType([T.StructField(k, v) for k, v in fields.items()])
     schema = made(chunk=long, ids=T.ArrayType(key_type), hashes=T.ArrayType(long), lengths=binary, words=binary)
     with scope():
-        chunks = store(rows.mapInArrow(_chunks(p, to_arrow_schema(schema)), schema), "chunks")
-        sent = chunks.select("chunk", "lengths", "words").mapInArrow(_send_keys(parts(spark), p), "part int, chunk long, keys binary")
+        chunks = store(rows.mapInArrow(tidy(_chunks(p, to_arrow_schema(schema))), schema), "chunks")
+        sent = chunks.select("chunk", "lengths", "words").mapInArrow(tidy(_send_keys(parts(spark), p)), "part int, chunk long, keys binary")
         answers = sent.groupBy("part").applyInPandas(_again, "chunk long, keys binary")
         schema = made(doc_id=key_type, text_hash=long, place=long, gram=long, unit=binary, left=binary, right=binary)
         found = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_places(p, to_arrow_schema(schema)), schema)
@@ -375,7 +379,7 @@ def repeated_passages(docs: DataFrame, p: PassageParams = PassageParams()) -> Da
         place = F.struct("doc_id", "text_hash", "place")
         whole = F.struct("doc_id", "text_hash", "place", "left", "unit", "right")
         classes = store(found.groupBy("gram").agg(F.min(whole).alias("first"), F.max(place).alias("last")), "classes")
-        signed = classes.select("gram", "first.unit").mapInArrow(_sign(p), "digest long, buckets binary, sketch array<long>, octets binary, shingles binary")
+        signed = classes.select("gram", "first.unit").mapInArrow(tidy(_sign(p)), "digest long, buckets binary, sketch array<long>, octets binary, shingles binary")
         signed = store(signed.withColumn("node", F.monotonically_increasing_id()), "signed")
         labels = link_classes(signed.drop("shingles"), lambda _: signed.select("digest", "shingles"), p.minhash)
 
@@ -390,11 +394,11 @@ def repeated_passages(docs: DataFrame, p: PassageParams = PassageParams()) -> Da
         held = held.where(~(same & (F.col("place") == F.col("f.place"))))
         pairs = held.select(*columns, *[F.col(f"f.{c}").alias(f"f_{c}") for c in columns])
         schema = made(doc_id=key_type, text_hash=long, kept=T.BooleanType(), a=long, b=long, source=key_type)
-        spans = pairs.mapInArrow(_grow(p, to_arrow_schema(schema)), schema)
+        spans = pairs.mapInArrow(tidy(_grow(p, to_arrow_schema(schema))), schema)
         span = F.struct("a", "b", "source")
         spans = spans.groupBy("doc_id", "text_hash", "kept").agg(F.array_sort(F.collect_set(span)).alias("s"))
         schema = made(doc_id=key_type, text_hash=long, first_word=long, n_words=long, component_doc_id=key_type, kept=T.BooleanType())
-        return keep(store(spans.mapInArrow(_joined(p, to_arrow_schema(schema)), schema), "passages"))
+        return keep(store(spans.mapInArrow(tidy(_joined(p, to_arrow_schema(schema))), schema), "passages"))
 
 
 def _joined(p: PassageParams, schema: pa.Schema):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_text, plain_string, slices, split_words, word_codes
+from .common import id_text, plain_string, slices, split_words, tidy, word_codes
 
 PAIRS = 2048
 SIGNS = 8
@@ -119,10 +119,14 @@ class VoteModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, params: VoteParams, label: str = "quality") -> DataFrame:
-    """text, label of at most ``sample`` labelled documents, the ones whose ids have the smallest hashes."""
-    known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("double").alias("label")).where("label is not null and __id is not null").dropDuplicates(["__id"])
+    """text, label of at most ``sample`` labelled documents, the ones whose ids have the smallest hashes.
+
+    An id with several labels has the smallest of them, one with several texts the
+    first by code points: the model does not depend on the order of rows.
+    """
+    known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("double").alias("label")).where("label is not null and __id is not null").groupBy("__id").agg(F.min("label").alias("label"))
     picked = known.orderBy(F.xxhash64(F.col("__id"), F.lit(params.seed)), "__id").limit(params.sample)
-    return docs.select(F.col("doc_id").alias("__id"), "text").join(picked, "__id").dropDuplicates(["__id"]).select("__id", "text", "label")
+    return docs.select(F.col("doc_id").alias("__id"), "text").join(picked, "__id").groupBy("__id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
 
 def fit(sample: DataFrame, params: VoteParams = VoteParams()) -> VoteModel:
@@ -134,7 +138,7 @@ def fit(sample: DataFrame, params: VoteParams = VoteParams()) -> VoteModel:
             yield pa.record_batch([b.column("__id"), b.column("label"), pa.array([x.tobytes() for x in w], pa.binary())], names=["__id", "label", "w"])
 
     schema = T.StructType([sample.schema["__id"], T.StructField("label", T.DoubleType()), T.StructField("w", T.BinaryType())])
-    got = sample.mapInArrow(run, schema).toArrow().sort_by("__id")
+    got = sample.mapInArrow(tidy(run), schema).toArrow().sort_by("__id")
     labels = got["label"].to_numpy()
     w = np.frombuffer(b"".join(got["w"].to_pylist()), np.float16).reshape(-1, TERMS).astype(np.float32)
     idf = np.log((1 + len(w)) / (1 + (w > 0).sum(0))).astype(np.float32) + 1
@@ -170,7 +174,7 @@ def scored(docs: DataFrame, model: VoteModel, carry: list[str]) -> DataFrame:
                 at = to
             yield pa.array(scores)
 
-    out = docs.select(*carry, F.arrow_udf(run, T.DoubleType())(F.col("text")).alias("score"))
+    out = docs.select(*carry, F.arrow_udf(tidy(run), T.DoubleType())(F.col("text")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= model.params.threshold).cast("int"))
 
 

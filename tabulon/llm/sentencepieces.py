@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import plain_string, slices, word_codes
+from .common import plain_string, slices, tidy, word_codes
 from .segments import assemble
 
 SPACE = "▁"
@@ -182,4 +182,4 @@ def encode_documents(docs: DataFrame, model: str, carry: list[str] | None = None
 
     fields = [docs.schema[c] for c in carry] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids + [T.StructField("decoded", T.StringType())] * with_text
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, T.StructType(fields))
+    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(tidy(run), T.StructType(fields))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import open_fs, parts, plain_string, ragged_take, scratch, slices, split_words, store, word_codes
+from .common import open_fs, parts, plain_string, ragged_take, scratch, slices, split_words, store, tidy, word_codes
 from .segments import assemble
 
 
@@ -154,7 +154,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     spark = docs.sparkSession
     folder = folder or scratch(spark, "tokens")
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    shards = store(ordered.mapInArrow(_write(folder, tokenizer, end_id, fold), "shard int, path string, kind string, n_docs long, n_ids long, nulls long"), "shards")
+    shards = store(ordered.mapInArrow(tidy(_write(folder, tokenizer, end_id, fold)), "shard int, path string, kind string, n_docs long, n_ids long, nulls long"), "shards")
     # one row for each task that wrote: a prefix sum of a few numbers
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return store(shards.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "bases")
@@ -193,4 +193,4 @@ def read_token_files(shards: DataFrame, with_ids: bool = False, at_once: int = 1
                     yield pa.record_batch(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return shards.repartition(parts(shards.sparkSession)).mapInArrow(run, schema)
+    return shards.repartition(parts(shards.sparkSession)).mapInArrow(tidy(run), schema)

@@ -386,6 +386,27 @@ def test_quality_of_odd_rows(spark, odd, none):
     assert {r.score for r in quality.scored(odd.select("doc_id", "text"), empty, ["doc_id"]).collect()} == {0.5}
 
 
+def test_quality_votes_against_brute_force(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    p = quality.VoteParams(sample=64, neighbours=5)
+    model = quality.quality_model(docs, labels, p)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    vectors = {i: model.latent(quality.term_weights(pa.array([t], pa.large_string())))[0] for i, t in texts.items()}
+    for r in quality.scored(docs.select("doc_id", "text"), model, ["doc_id"]).collect():
+        near = sorted(((float(vectors[r.doc_id] @ v), y) for v, y in zip(model.vectors, model.labels, strict=True)), reverse=True)[:5]
+        weights = [min(max(c, 1e-6), 1) ** p.power for c, _ in near]
+        want = sum(w * y for w, (_, y) in zip(weights, near, strict=True)) / sum(weights) if vectors[r.doc_id].any() else model.prior
+        assert r.score == pytest.approx(want, abs=1e-4) and r.predicted == int(r.score >= 0.7)
+
+
+def test_quality_does_not_depend_on_the_order_of_rows(spark):
+    docs = spark.createDataFrame([(1, "b text here"), (1, "a text here"), (2, "other words"), (3, "more words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 1)], "doc_id long, quality int")
+    got = {r["__id"]: (r.text, r.label) for r in quality.labelled_sample(docs, labels, quality.VoteParams()).collect()}
+    assert got == {1: ("a text here", 0.0), 2: ("other words", 1.0), 3: ("more words", 1.0)}
+
+
 # ------------------------------------------------------------------ media
 
 
