@@ -216,13 +216,77 @@ def test_language_model_counts_and_perplexity(spark):
 
 def test_seating_has_the_right_mean():
     c, a, d = np.full(4000, 300), np.full(4000, 2.0), 0.5
-    mean, t = neighbours.np.mean(language_model.seat(c, a, d, np.random.default_rng(1))), 1.0
+    mean, t = np.mean(language_model.seat(c, a, d, np.random.default_rng(1))), 1.0
     for i in range(1, 300):
         t += 2.0 / (2.0 + i - d * t)
     assert mean == pytest.approx(t, rel=0.03)
     assert language_model.seat(np.array([0, 1, 2]), np.array([1.0, 1.0, 1e12]), 0.5, np.random.default_rng(1)).tolist() == [0, 1, 2]
 
 
+def test_gibbs_moves_reach_the_right_distribution():
+    rng, a, d, n = np.random.default_rng(2), 0.8, 0.4, 20_000
+    c = np.array([1, 3] * n)
+    t = np.ones(2 * n, np.int64)
+    sizes = language_model.tables_of(c, t)
+    for _ in range(30):
+        sizes, t = language_model.reseat(sizes, t, np.full(2 * n, a), d, 2, rng)
+    assert sizes.sum() == c.sum() and (t[::2] == 1).all()
+    want = np.array([(1 - d) * (2 - d) * a, 3 * (1 - d) * a**2, a**3])  # of three customers at one, two and three tables
+    assert np.bincount(t[1::2], minlength=4)[1:] / n == pytest.approx(want / want.sum(), abs=0.015)
+    sizes, t = language_model.settle(sizes, t, np.array([0, 7] * n), np.full(2 * n, a), d, rng)
+    assert t[::2].sum() == 0 and sizes.sum() == 7 * n and (t[1::2] >= 1).all()
+
+
+def test_scores_against_a_plain_predictive(spark):
+    """One sample: what the seated restaurants say of every text, token by token from dictionaries."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").where("doc_id < 60")
+    p = language_model.ModelParams(burn_in=0, samples=1)
+    model = language_model.fit(docs, language_model.every_seventh(), p)
+    known = language_model.contexts(docs.where(~language_model.every_seventh()).select("text"), p)
+    customers, tables, own, n = {}, {}, {}, {}
+    prob = {}
+    for r in model.state.collect():
+        ws = language_model._names(r.words)
+        pos, ctx, c, t = (language_model.spread(x, k).tolist() for x, k in ((r.pos, "<i4"), (r.context, "<u2"), (r.c, "<i8"), (r.t, "<i4")))
+        for i, x, y, z in zip(pos, ctx, c, t):
+            customers[ws[i], x], tables[ws[i], x] = y, z
+        n.update(zip(ws, language_model.spread(r.n, "<i8").tolist()))
+        prob.update(zip(ws, language_model.spread(r.probs, "<f8").tolist()))
+        own.update(zip(ws, language_model.spread(r.wt, "<i8").tolist()))
+    ones, twos = (sum(c == k for c in customers.values()) for k in (1, 2))
+    d = language_model.discount(ones, twos)
+    of, seated = {}, {}
+    for (_, x), c in customers.items():
+        of[x] = of.get(x, 0) + c
+    for (_, x), t in tables.items():
+        seated[x] = seated.get(x, 0) + t
+    total = {x: p.context_strength + of.get(x, 0) for x in range(known.n)}
+
+    def chance(w, x):
+        offer = p.context_strength + d * seated.get(x, 0)
+        if not n.get(w):
+            return offer * float(model.unknown[0]) / total[x]
+        return (customers.get((w, x), 0) - d * tables.get((w, x), 0) + offer * prob[w]) / total[x]
+
+    for x in list(of)[:20]:  # of all words, and of words not seen, the chances in a context add up to one
+        assert sum(chance(w, x) for w in n if n[w]) + chance(None, x) == pytest.approx(1)
+    assert all(own[w] >= 1 for w in n if n[w])
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.score for r in language_model.score(model).collect()}
+    for i, text in texts.items():
+        ws = ["", *words(text), ""]
+        want = sum(np.log10(chance(w, x)) for w, x in zip(ws[1:], known.of(ws[:-1]).tolist()))
+        assert got[i] == pytest.approx(want, rel=1e-5)
+
+
+def test_scores_depend_on_the_order_of_words(spark):
+    common = "the cat sat on the mat and the dog sat on the rug "
+    rows = [(i, common * 6) for i in range(7)] + [(100, "the cat sat on the mat"), (101, "mat the on sat cat the")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in language_model.score(language_model.fit(df, F.col("doc_id") >= 100)).collect()}
+    assert got[100] > got[101] + 1
+
+
 def test_spelling_sums_to_one():
     s = language_model.Spelling(language_model.ModelParams())
     sizes, cell = language_model.letters(pa.array(["", "ab", "abc", "é"], pa.large_string()))
