@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,34 +13,42 @@ from .cells import as_text, kind_of
 CODES = {"string": "t", "integer": "i", "decimal": "n", "date": "d", "datetime": "d", "boolean": "b", "formula": "q"}
 
 
+#: Kinds that a cell can have.
+KINDS = ["blank", "boolean", "date", "datetime", "decimal", "error", "formula", "integer", "number", "string", "time"]
+
+
 def column_profile(cells: DataFrame) -> DataFrame:
-    """Per sheet and column: cells, non-null, distinct values, kinds and the rolled-up type."""
-    per = cells.groupBy("sheet", "col", "header").agg(
-        F.count("*").alias("n_cells"),
-        F.count("text").alias("non_null"),
-        F.countDistinct("text").alias("n_distinct"),
-        F.array_sort(F.collect_set("kind")).alias("kinds"),
-        F.min("text").alias("first_sample"),
-    )
-    return per.select("sheet", "col", "header", "n_cells", "non_null", "n_distinct", rollup_type(F.col("kinds")).alias("type"), F.array_join("kinds", ",").alias("kinds"), "first_sample")
+    """Per sheet and column: cells, non-null, distinct values, kinds and the rolled-up type.
+
+    Cells are counted by value first; what a column has of kinds is a bit for each.
+    """
+    keys = ["sheet", "col", "header"]
+    bit = reduce(lambda w, x: w.when(F.col("kind") == x[1], 1 << x[0]), list(enumerate(KINDS))[1:], F.when(F.col("kind") == KINDS[0], 1))
+    counted = cells.groupBy(*keys, "text").agg(F.count("*").alias("n"), F.bit_or(bit).alias("bits"))
+    full = F.coalesce(F.sum(F.when(F.col("text").isNotNull(), F.col("n"))), F.lit(0))
+    per = counted.groupBy(*keys).agg(F.sum("n").alias("n_cells"), full.alias("non_null"), F.count("text").alias("n_distinct"), F.bit_or("bits").alias("bits"))
+    first = counted.groupBy(*keys).agg(F.min("text").alias("first_sample"))
+    kinds = F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(k)) for i, k in enumerate(KINDS)]))
+    per = per.join(first, keys).withColumn("kinds", kinds)
+    return per.select(*keys, "n_cells", "non_null", "n_distinct", rollup_type(F.col("kinds")).alias("type"), F.array_join("kinds", ",").alias("kinds"), "first_sample")
 
 
 def typed_profile(df: DataFrame, sheet: str, columns: list[str]) -> DataFrame:
-    """column_profile() of a table with typed columns: their kinds come from the schema, and only values are aggregated.
+    """column_profile() of a table with typed columns: their kinds come from the schema.
 
-    Distinct values are those of the text a cell shows (see cells.as_text).
+    Each column is read on its own and counted by value before anything else, so that
+    only distinct values are shuffled. Distinct values are those of the text a cell
+    shows (see cells.as_text).
     """
-    fields = [df.schema[c] for c in columns]
-    text = [as_text(f) for f in fields]
-    n, distinct = F.count("*").alias("n"), [F.countDistinct(t).alias(f"d{i}") for i, t in enumerate(text)]
-    per = df.agg(n, *distinct, *[F.count(t).alias(f"c{i}") for i, t in enumerate(text)], *[F.min(t).alias(f"m{i}") for i, t in enumerate(text)])
-    rows = []
-    for i, f in enumerate(fields):
-        kind, full = F.lit(kind_of(f)), F.col(f"c{i}")
-        kinds = F.array_compact(F.array(F.when(full < F.col("n"), F.lit("blank")), F.when(full > 0, kind)))
-        made = [F.lit(sheet).alias("sheet"), F.lit(i + 1).alias("col"), F.lit(f.name).alias("header"), F.col("n").alias("n_cells"), full.alias("non_null"), F.col(f"d{i}").alias("n_distinct")]
-        rows.append(F.struct(*made, rollup_type(F.array_sort(kinds)).alias("type"), F.array_join(F.array_sort(kinds), ",").alias("kinds"), F.col(f"m{i}").alias("first_sample")))
-    return per.select(F.inline(F.array(*rows)))
+    out = []
+    for i, f in enumerate(df.schema[c] for c in columns):
+        counted = df.select(as_text(f).alias("text")).groupBy("text").agg(F.count("*").alias("n"))
+        n, full = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("text").isNotNull(), F.col("n"))), F.lit(0))
+        per = counted.agg(n.alias("n_cells"), full.alias("non_null"), F.count("text").alias("n_distinct"), F.min("text").alias("first_sample"))
+        kinds = F.array_sort(F.array_compact(F.array(F.when(F.col("non_null") < F.col("n_cells"), F.lit("blank")), F.when(F.col("non_null") > 0, F.lit(kind_of(f))))))
+        head = [F.lit(sheet).alias("sheet"), F.lit(i + 1).alias("col"), F.lit(f.name).alias("header")]
+        out.append(per.select(*head, "n_cells", "non_null", "n_distinct", rollup_type(kinds).alias("type"), F.array_join(kinds, ",").alias("kinds"), "first_sample"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def dominant(values: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -27,13 +27,14 @@ COLUMNS = {
 def _columns(spark, sf_dir, sheets=tuple(COLUMNS)):
     """Profiles of the columns of up to six tables; norm is the header without its table's letter."""
     parts = [P.typed_profile(table(spark, sf_dir, t), t, [c for c, _ in COLUMNS[t]]) for t in sheets]
-    return reduce(lambda a, b: a.unionByName(b), parts).withColumn("norm", F.regexp_replace("header", "^[a-z]_", ""))
+    columns = reduce(lambda a, b: a.unionByName(b), parts).withColumn("norm", F.regexp_replace("header", "^[a-z]_", ""))
+    # one row for each column of the schemas, never of the data: read back rather than planned again for every use
+    return spark.createDataFrame(columns.toArrow(), columns.schema)
 
 
 def _labelled(spark, sf_dir, sheets=tuple(COLUMNS)):
-    """The profiles with the role decided for each column: two dozen rows, so that they are read back rather than planned again for every use."""
+    """The profiles with the role decided for each column."""
     columns = _columns(spark, sf_dir, sheets)
-    columns = spark.createDataFrame(columns.toArrow(), columns.schema)  # one row for each column of the schema, never of the data
     roles = K.decide(K.role_scores(K.evidence(columns, K.dictionary(spark))), ["sheet", "col"], "role")
     return columns.join(roles.select("sheet", "col", "role"), ["sheet", "col"]).withColumn("number_format", F.lit(None).cast("string"))
 

@@ -23,12 +23,31 @@ _LINE_CELLS = """
 _LINE_COLUMNS = ["l_orderkey", "l_quantity", "l_discount", "l_returnflag", "l_shipdate"]
 
 
+_LINEITEM = {
+    "l_orderkey": "integer", "l_partkey": "integer", "l_suppkey": "integer", "l_linenumber": "integer", "l_quantity": "decimal", "l_extendedprice": "decimal", "l_discount": "decimal", "l_tax": "decimal",
+    "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "datetime",
+}
+_SHOWN = {"integer": "CAST({0} AS VARCHAR)", "decimal": "printf('%.4f', {0})", "string": "{0}", "datetime": "strftime({0}, '%Y-%m-%d %H:%M:%S')"}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT 'lineitem' AS sheet, {i + 1} AS col, '{c}' AS header, count(*) AS n_cells, count({c}) AS non_null, count(DISTINCT {_SHOWN[k].format(c)}) AS n_distinct, '{k}' AS type, '{k}' AS kinds, min({_SHOWN[k].format(c)}) AS first_sample FROM lineitem"
+        for i, (c, k) in enumerate(_LINEITEM.items())
+    )
+)
+def column_profile(spark, sf_dir):
+    """Every column of the line items."""
+    return P.typed_profile(table(spark, sf_dir, "lineitem"), "lineitem", list(_LINEITEM))
+
+
 @query(f"""
 WITH c AS ({_LINE_CELLS})
 SELECT 'lineitem' AS sheet, col, header, count(*) AS n_cells, count(text) AS non_null, count(DISTINCT text) AS n_distinct,
        min(kind) AS type, min(kind) AS kinds, min(text) AS first_sample
 FROM c GROUP BY col, header""")
-def column_profile(spark, sf_dir):
+def cell_profile(spark, sf_dir):
+    """The same over cells, whose kinds are known one by one only."""
     return P.column_profile(C.cells(table(spark, sf_dir, "lineitem"), "lineitem", F.expr(LINE_ROW), _LINE_COLUMNS))
 
 
