@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,3 +133,67 @@ def merge_runs(runs: DataFrame, key: list[str], order: str, style: str) -> DataF
 def dangling(references: DataFrame, definitions: DataFrame, on: list[str]) -> DataFrame:
     """References without a definition."""
     return references.join(definitions.select(*on).distinct(), on, "left_anti")
+
+
+def styles_used(paragraphs: DataFrame, key: str, style: str = "style") -> DataFrame:
+    """key, style, n: the styles in use and how often."""
+    return paragraphs.where(F.col(style).isNotNull()).groupBy(key, style).agg(F.count("*").alias("n"))
+
+
+def without_comment(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Comments, and marks of comments, without those of ``ids`` (key, comment_id)."""
+    return rows.join(ids.select(key, "comment_id").distinct(), [key, "comment_id"], "left_anti")
+
+
+def _replaced(texts: list[str], old: str, new: str) -> tuple[list[str], int]:
+    """Texts of a paragraph's runs: within runs first, then across them, where the first run of a match takes the new text."""
+    out, count = [], 0
+    for t in texts:
+        count += t.count(old)
+        out.append(t.replace(old, new))
+    at = "".join(out).find(old)
+    while at >= 0:
+        start = 0
+        for i, t in enumerate(out):
+            a, b = max(at - start, 0), min(at + len(old) - start, len(t))
+            if a < b:
+                out[i] = t[:a] + (new if start <= at else "") + t[b:]
+            start += len(t)
+        count += 1
+        at = "".join(out).find(old, at + len(new))
+    return out, count
+
+
+def replace_text(runs: DataFrame, key: list[str], order: str, old: str, new: str) -> DataFrame:
+    """runs with ``text`` after ``old`` is ``new``, and ``n``, how often it was in the paragraph (``key``).
+
+    A match inside a run keeps its format; one over several takes that of the run it
+    begins in. Paragraphs without a match cost a filter only.
+    """
+    schema = "struct<texts: array<string>, n: long>"
+
+    def made(texts: pd.Series) -> pd.DataFrame:
+        found = [_replaced([x or "" for x in t], old, new) for t in texts]
+        return pd.DataFrame({"texts": [f[0] for f in found], "n": [f[1] for f in found]})
+
+    if not old:
+        return runs.withColumn("n", F.lit(0).cast("long"))
+    others = [c for c in runs.columns if c not in key]
+    whole = runs.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in others if c != order]))).alias("r"))
+    whole = whole.withColumn("t", F.transform("r", lambda x: x["text"])).withColumn("hit", F.array_join("t", "").contains(old))
+    whole = whole.withColumn("m", F.when(F.col("hit"), F.pandas_udf(made, schema)(F.when(F.col("hit"), F.col("t")).otherwise(F.array().cast("array<string>")))))
+    texts = F.coalesce(F.col("m.texts"), F.col("t"))
+    rows = F.transform("r", lambda x, i: F.struct(*[(F.get(texts, i) if c == "text" else x[c]).alias(c) for c in others]))
+    return whole.select(*key, F.coalesce("m.n", F.lit(0)).cast("long").alias("n"), F.inline(rows)).select(*runs.columns, "n")
+
+
+def anchors(runs: DataFrame, key: list[str], order: str, target: str) -> DataFrame:
+    """key, first_run, first_offset, last_run, last_offset: where the first occurrence of ``target`` in a paragraph begins and ends."""
+    ordered = Window.partitionBy(*key).orderBy(order)
+    at = F.coalesce(F.sum(F.length("text")).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = runs.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), "").alias("whole"))
+    found = whole.withColumn("a", F.locate(target, F.col("whole")) - 1).where("a >= 0").select(*key, "a", (F.col("a") + len(target)).alias("b"))
+    inside = runs.withColumn("start", at).withColumn("stop", F.col("start") + F.length("text")).join(found, key).where("start < b and stop > a")
+    first, last = F.min(F.struct(F.col(order).alias("run"), (F.col("a") - F.col("start")).alias("offset"))), F.max(F.struct(F.col(order).alias("run"), (F.col("b") - F.col("start")).alias("offset")))
+    out = inside.groupBy(*key).agg(first.alias("f"), last.alias("l"))
+    return out.select(*key, F.col("f.run").alias("first_run"), F.col("f.offset").alias("first_offset"), F.col("l.run").alias("last_run"), F.col("l.offset").alias("last_offset"))
