@@ -1,6 +1,6 @@
 """The registered queries: importing this package fills the registry."""
 
-from . import documents, formulas, layouts, profiling, sheets, structure
+from . import assembly, documents, formulas, layouts, profiling, sheets, structure
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "documents", "formulas", "layouts", "profiling", "sheets", "structure"]
+__all__ = ["ORACLE", "QUERIES", "assembly", "documents", "formulas", "layouts", "profiling", "sheets", "structure"]
