@@ -25,6 +25,7 @@ from .segments import assemble
 
 SPACE = "▁"
 CUT = "\x1e"
+PROBE = "Aé ﬁ①\u00a0  x\n\ty "  # what no normalisation may change but for spaces
 NONE, CHAR = -1, 1 << 20  # last token of the empty prefix; of a prefix that ends in a character outside the vocabulary
 
 
@@ -41,6 +42,8 @@ class PrefixTable:
         self.bytes = {int(m.id_to_piece(i)[3:5], 16): i for i in ids if m.is_byte(i)}
         self.piece = {i: m.id_to_piece(i) for i in ids if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))}
         self.score = {p: m.get_score(i) for i, p in self.piece.items()}
+        if m.normalize(PROBE) != SPACE + PROBE.replace(" ", SPACE) or any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.piece.values()):
+            raise ValueError("this model normalises texts or has pieces that reach across words: they can't be encoded piece by piece of text")
         self.automaton = ahocorasick.Automaton()
         for i, p in self.piece.items():
             self.automaton.add_word(p, (i, len(p)))

@@ -47,12 +47,22 @@ class WordEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.fold = fold
         self.at_once = at_once
+        self._check()
         mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.known: dict[str, int] = {}
         self.known_lengths: list[np.ndarray] = [np.zeros(0, np.int64)]
         self.known_ids: list[np.ndarray] = [np.zeros(0, np.uint32)]
 
+    def _check(self) -> None:
+        """Raise if this tokenizer does not do what cutting texts into words takes for granted."""
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        whole, parts_ = "Ab cD1\n\tEf, gh.\n x-Y", ["Ab", "cD1", "Ef,", "gh.", "x-Y"]
+        if ids(whole) != [i for w in parts_ for i in ids(w)]:
+            raise ValueError("this tokenizer keeps white space or joins across it: its texts can't be encoded word by word")
+        if self.fold and ids(whole) != [i for w in ("ab", "cd1", "ef", ",", "gh", ".", "x-y") for i in ids(w)]:
+            raise ValueError("this tokenizer tells upper from lower case or joins marks to letters: use fold=False")
+
     def words(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
         """(offsets, words) of texts."""
         if self.fold:

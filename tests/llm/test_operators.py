@@ -413,6 +413,11 @@ def test_encode_documents(spark, odd, none):
     assert len(got) == 12 and sentencepieces.encode_documents(none, path).count() == 0
 
 
+def test_encoders_refuse_what_they_cannot_cut():
+    with pytest.raises(ValueError):
+        token_files.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), False)  # keeps white space
+
+
 def test_token_files(spark, odd, none):
     from tokenizers import Tokenizer
 
