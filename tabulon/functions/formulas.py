@@ -248,6 +248,20 @@ def intent_confidence(p: Column, decided: Column) -> Column:
     return F.element_at(F.array(F.lit("LOW"), F.lit("MEDIUM"), F.lit("HIGH")), F.greatest(level - F.when(rivals, 1).otherwise(0), F.lit(0)) + 1)
 
 
+def ref_profile(p: Column) -> Column:
+    """struct of counts over a parsed formula's references to cells and ranges: how anchored, how shaped, on which sheet."""
+    refs = F.filter(p["refs"], lambda r: r["shape"].isin("cell", "range"))
+    dollars = lambda r: F.length(F.regexp_replace(F.split(r["text"], ":")[0], "[^$]", ""))
+    count = lambda cond: F.size(F.filter(refs, cond)).cast("long")
+    ranged, row, col = (lambda r: r["shape"] == "range"), (lambda r: r["r0"] == r["r1"]), (lambda r: r["c0"] == r["c1"])
+    rules = {
+        "refs_total": lambda r: F.lit(True), "absolute": lambda r: dollars(r) == 2, "mixed": lambda r: dollars(r) == 1, "relative": lambda r: dollars(r) == 0, "ranges": ranged, "single_refs": lambda r: ~ranged(r),
+        "cross_sheet": lambda r: r["sheet"] != "", "same_sheet": lambda r: r["sheet"] == "", "horizontal": lambda r: ranged(r) & row(r) & ~col(r), "vertical": lambda r: ranged(r) & ~row(r) & col(r),
+        "single_cell_range": lambda r: ranged(r) & row(r) & col(r), "two_dimensional": lambda r: ranged(r) & ~row(r) & ~col(r),
+    }
+    return F.struct(*[count(f).alias(n) for n, f in rules.items()])
+
+
 def formula_kind(p: Column) -> Column:
     """constant, function, comparison, concat, arithmetic by its references, reference or mixed."""
     view, refs = p["view"], p["refs"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.formulas import copy_down as copy_formula
 from ..functions.formulas import formula_kind as kind_of
 from ..functions.formulas import intent as intent_of
-from ..functions.formulas import intent_confidence
+from ..functions.formulas import intent_confidence, ref_profile
 from ..functions.refs import index_to_col
 from ..operators import formulas as O
 from .registry import query, table
@@ -80,6 +80,15 @@ def formula_signatures(spark, sf_dir):
     return _cells(spark, sf_dir).select("sheet", "row", "col", F.col("p.signature").alias("signature"))
 
 
+@query(f"""WITH {_G}, n AS (SELECT sheet, line, shape, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY 1, 2, 3)
+SELECT sheet, CAST(sum(n * CASE WHEN line <> 10 OR shape = 9 THEN 2 WHEN shape = 5 THEN 0 ELSE 1 END) AS BIGINT) AS refs_total, CAST(sum(n * CASE WHEN line = 10 AND shape IN (0, 1, 4, 6, 9) THEN 1 ELSE 0 END) AS BIGINT) AS absolute,
+  CAST(sum(n * CASE WHEN line = 10 AND shape IN (6, 7) THEN 1 ELSE 0 END) AS BIGINT) AS cross_sheet, CAST(sum(n * CASE WHEN line = 10 AND shape = 3 THEN 1 ELSE 0 END) AS BIGINT) AS horizontal FROM n GROUP BY 1""")
+def reference_profiles(spark, sf_dir):
+    """How the references of each sheet's formulas are anchored and shaped."""
+    r = _cells(spark, sf_dir).select("sheet", ref_profile(F.col("p")).alias("r"))
+    return r.groupBy("sheet").agg(*[F.sum(f"r.{c}").alias(c) for c in ("refs_total", "absolute", "cross_sheet", "horizontal")])
+
+
 _INTENT = "CASE WHEN orientation = 'horizontal' OR line = 8 AND row % 17 <> 0 THEN 'calculation' WHEN line = 8 THEN 'ratio' ELSE 'aggregation' END"
 
 
