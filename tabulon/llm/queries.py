@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import language_model
 from .common import text_table
+from .divergence import source_divergence
 from .licences import END, HINT, MARK, compiled, scan_licences
 from .media import media_columns
 from .mixing import mix
 from .neardup import MinHashParams, document_components, repeated_paragraphs
 from .neighbours import nearest, usable
+from .packing import packed_documents
 from .passages import repeated_passages
+from .periodic import periodic_runs
 from .quality import held_out, quality_model, scored
 from .sentencepieces import encode_documents
 from .token_files import read_token_files, write_token_files
@@ -99,6 +105,40 @@ def op10_media_columns(spark, sf_dir):
     return media_columns(text_table(spark, sf_dir)).select(*columns, "width", "height")
 
 
+@query
+def op11_source_divergence(spark, sf_dir):
+    """How far the sources of a language are from each other, and the terms that set each apart from its language."""
+    return source_divergence(text_table(spark, sf_dir))
+
+
+def folded(keys, offsets) -> np.ndarray | None:
+    """The places of the words that stand in each text once a tenth of the texts, by the crc32 of their ids, repeat themselves from some word on. A null id changes nothing."""
+    order = None
+    for i, doc_id in enumerate(keys[0].to_pylist()):
+        h, n = zlib.crc32(str(doc_id).encode()), int(offsets[i + 1] - offsets[i])
+        if doc_id is None or h % 10 or not n:
+            continue
+        order = np.arange(int(offsets[-1])) if order is None else order
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        order[offsets[i] + a : offsets[i + 1]] = offsets[i] + a + np.arange(n - a) % p
+    return order
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    """Runs of 24 words or more and three periods or more of every document, a tenth of which are made to repeat themselves."""
+    found = periodic_runs(text_table(spark, sf_dir), ["doc_id"], reorder=folded)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256", "n_words")
+
+
+@query
+def op13_best_fit_packing(spark, sf_dir):
+    """Every document's ids in sequences of at most 2,048."""
+    return packed_documents(text_table(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048, fold=True)
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -204,3 +244,31 @@ def _licence_sql() -> str:
 
 
 ORACLE["op3_licence_scan"] = _licence_sql()
+
+
+ORACLE["op11_source_divergence"] = rf"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                                   translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS text FROM documents),
+    g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+    o AS MATERIALIZED (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+    l AS MATERIALIZED (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+    c AS MATERIALIZED (SELECT o.lang, o.source, o.term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY ALL),
+    t AS MATERIALIZED (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY lang, source),
+    p AS MATERIALIZED (
+      SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+             1 + (1000000000 * (coalesce(c.n, 0) + 2)::HUGEINT) // (coalesce(t.total, 0) + 2 * l.v) AS p,
+             1 + (1000000000 * (kept.n + 2)::HUGEINT) // (l.total + 2 * l.v) AS q
+      FROM g JOIN kept ON kept.lang = g.lang JOIN l ON l.lang = g.lang
+      LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+      LEFT JOIN t ON t.lang = g.lang AND t.source = g.source),
+    f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    r AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+    WHERE part = 'pair' OR rank <= 10"""
