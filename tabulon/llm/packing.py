@@ -1,7 +1,8 @@
 """Packing documents into sequences: best fit by partitions, certified by lower bounds, with exchange between partitions.
 
 Documents become pieces of at most ``capacity`` tokens. Pieces are dealt to
-partitions of a bounded number of rows, each packed by best-fit decreasing. Lower
+partitions of a bounded number of rows like cards sorted by length, so that all
+partitions have lengths alike, and each is packed by best-fit decreasing. Lower
 bounds by dual feasible functions certify a partition whose number of sequences
 can't be less. Partitions with a gap give back every sequence that has room, all
 others their emptiest one, and what was given back is dealt and packed anew by
@@ -16,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep, plain_string, scope, slices, store, tidy, word_codes
@@ -91,7 +92,7 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], l
 
 def _pieces(tokenizer: str, end_id: int, capacity: int, fold: bool):
     def run(batches):
-        encoder, count, task = None, 0, TaskContext.get().partitionId() << 36
+        encoder, count, task, places = None, 0, TaskContext.get().partitionId(), Places(capacity)
         for batch in slices(batches):
             encoder = encoder or encoder_of(tokenizer, fold)
             offsets, flat = encoder.words(plain_string(batch.column("text")))
@@ -107,22 +108,41 @@ def _pieces(tokenizer: str, end_id: int, capacity: int, fold: bool):
                 length = np.minimum(capacity, sizes[doc] - start)
                 at = (ends[doc] + start).tolist()
                 crc = [zlib.crc32(ids[i : i + n]) for i, n in zip(at, length.tolist(), strict=True)]
-                row = task + count + np.arange(len(doc))
+                row = (task << 36) + count + np.arange(len(doc))
                 count += len(doc)
                 doc_id = batch.column("doc_id").slice(a, b - a).take(pa.array(doc))
-                yield pa.record_batch([pa.array(row), doc_id, *map(pa.array, (piece, start, length)), pa.array(crc, pa.int64())], names=["row", "doc_id", "piece", "start", "length", "ids_crc32"])
+                numbers = [pa.array(np.full(len(doc), task)), pa.array(places.of(length))]
+                yield pa.record_batch([pa.array(row), doc_id, *map(pa.array, (piece, start, length)), pa.array(crc, pa.int64()), *numbers], names=[*PIECE, "task", "place"])
 
     return run
 
 
+class Places:
+    """Numbers the pieces of each length, one batch after another."""
+
+    def __init__(self, capacity: int):
+        self.seen = np.zeros(capacity + 1, np.int64)
+
+    def of(self, lengths: np.ndarray) -> np.ndarray:
+        order = np.argsort(lengths, kind="stable")
+        own = lengths[order]
+        first = np.searchsorted(own, own)
+        places = np.empty(len(own), np.int64)
+        places[order] = self.seen[own] + np.arange(len(own)) - first
+        self.seen += np.bincount(lengths, minlength=len(self.seen))
+        return places
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, fold: bool = False) -> DataFrame:
-    """row (a number of its own), doc_id, piece, start, length and ids_crc32 of every piece of every text.
+    """row (a number of its own), doc_id, piece, start, length and ids_crc32 of every piece of every text, with task and place.
+
+    ``place`` numbers the pieces of one length that a ``task`` has made.
 
     A null or empty text has the end id alone. Texts are encoded word by word, so
     a very long one needs room for its own ids only. Rows of one doc_id are
     documents of their own. No row gives none.
     """
-    schema = "row long, doc_id long, piece long, start long, length long, ids_crc32 long"
+    schema = "row long, doc_id long, piece long, start long, length long, ids_crc32 long, task long, place long"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_pieces(tokenizer, end_id, capacity, fold)), schema)
 
 
@@ -145,23 +165,37 @@ def _pack(capacity: int, numbered: int):
         rows["open"] = back[sequence]
         rows["first"] = rows["offset"] == 0
         rows["bound"] = bound
+        rows["task"], rows["place"] = rows["part"].astype("int64"), 0
+        rows.loc[rows["open"], "place"] = Places(capacity).of(lengths[rows["open"].to_numpy()])
         return rows
 
     return pack
 
 
-def _deal(rows: DataFrame, seed: int) -> DataFrame:
-    """``rows`` with the partition, of about ROWS rows, that packs them."""
+def _deal(rows: DataFrame) -> DataFrame:
+    """``rows`` with the partition that packs them, about ROWS to each.
+
+    Rows sorted by length are dealt in turn. Their places in that order are sums:
+    of shorter rows (one number a length), of those of tasks before (one a task
+    and length), and the place in the task.
+    """
+    runs = rows.groupBy("length", "task").agg(F.count("*").alias("n"))
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each length that occurs: at most as many as a sequence has tokens
+    shorter = runs.groupBy("length").agg(F.sum("n").alias("n")).select("length", F.sum("n").over(before("length")).alias("shorter"))
+    base = runs.select("length", "task", F.sum("n").over(before("length", "task")).alias("base")).join(F.broadcast(shorter), "length")
+    base = base.select("length", "task", (F.coalesce("shorter", F.lit(0)) + F.coalesce("base", F.lit(0))).alias("base"))
     parts = max(1, -(-rows.count() // ROWS))
-    return rows.withColumn("part", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(parts)).cast("int"))
+    return rows.join(base, ["length", "task"]).select(*PIECE, F.pmod(F.col("base") + F.col("place"), F.lit(parts)).cast("int").alias("part"))
 
 
 PIECE = ("row", "doc_id", "piece", "start", "length", "ids_crc32")
-PLACED = "row long, doc_id long, piece long, start long, length long, ids_crc32 long, part int, sequence_id long, offset long, open boolean, first boolean, bound long"
+NUMBERED = (*PIECE, "task", "place")
+PLACED = "row long, doc_id long, piece long, start long, length long, ids_crc32 long, part int, sequence_id long, offset long, open boolean, first boolean, bound long, task long, place long"
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """``pieces`` (row, doc_id, piece, start, length, ids_crc32; lengths 1 to ``capacity``) with sequence_id and offset.
+    """``pieces`` (as of ``token_pieces``; lengths 1 to ``capacity``) with sequence_id and offset, without task and place.
 
     Whole pieces are sequences of their own. Of a round's result all stands but
     what its partitions give back; that goes to the next round if there is one,
@@ -170,7 +204,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     are ordered by row. No piece gives no row.
     """
     whole = pieces.where(F.col("length") == capacity).select(*PIECE, F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = pieces.where(F.col("length") < capacity).select(*PIECE)
+    rest = pieces.where(F.col("length") < capacity).select(*NUMBERED)
     # one number for each possible length: a bounded histogram
     counts = np.zeros(capacity + 1, np.int64)
     for x, n in rest.groupBy("length").count().collect():
@@ -178,7 +212,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     goal = lower_bound(counts, capacity)
     standing, done, before = [], 0, None
     for turn in range(ROUNDS):
-        placed = _deal(rest, turn).groupBy("part").applyInPandas(_pack(capacity, (turn + 1) << 58), PLACED)
+        placed = _deal(rest).groupBy("part").applyInPandas(_pack(capacity, (turn + 1) << 58), PLACED)
         placed = store(placed, f"packed-{turn}")
         # the rounds' own sums: sequences that stand, sequences given back
         kept, back, parts = placed.agg(F.count_if(F.expr("first and not open")), F.count_if(F.expr("first and open")), F.max("part")).first()
@@ -189,7 +223,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
         if now <= goal or not parts or turn == ROUNDS - 1 or now == before:
             break
         done, before = done + kept, now
-        rest = placed.where("open").select(*PIECE)
+        rest = placed.where("open").select(*NUMBERED)
     last = standing.pop()
     out = whole
     for t in standing:
