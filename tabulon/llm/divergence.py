@@ -1,26 +1,31 @@
 """Divergence of sources from their language and from each other, by the terms that they use.
 
 Chunk factorization: texts are counted by whitespace chunks, which repeat far
-more than texts do. Each distinct chunk of the corpus is cut into terms once, and
-its terms are joined back. Chunks travel with the documents of a slice of text
-that hold them, so that a term's distinct documents and occurrences are counted
-slice by slice and then added up.
+more than texts do. Each distinct chunk of the corpus is cut into terms once, in
+the one task that all its counts are sent to, and its terms go back to the
+documents that hold it. Distinct documents and occurrences of a term are counted
+slice of text by slice and then added up.
 """
 
 from __future__ import annotations
 
+import json
+from array import array
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, plain_string, scope, slices, split_words, store, tidy, word_codes
+from .common import hash_strings, keep, parts, plain_string, ragged_take, scope, slices, split_words, store, tidy, word_codes
 
 #: ASCII letters and everything beyond ASCII.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OTHER = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of text in a slice.
 SLICE = 16 << 20
 #: Probabilities are whole numbers of billionths.
@@ -28,94 +33,247 @@ SCALE = 1_000_000_000
 
 
 # ------------------------------------------------------------------ counting
+#
+# Words travel in blocks: the distinct strings that a slice has in one bucket, with
+# the slice's documents that hold each, and how often. Each block is one row.
+
+BLOCK = "bucket int, slice long, text binary, sizes binary, docs binary, times binary"
+NAMES = [x.split()[0] for x in BLOCK.split(", ")]
+
+
+def _squeeze(data) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data if isinstance(data, bytes) else np.ascontiguousarray(data).tobytes())
+
+
+def _unsqueeze(data: bytes, kind=None):
+    data = zstandard.ZstdDecompressor().decompress(data)
+    return data if kind is None else np.frombuffer(data, kind)
+
+
+def _blocks(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 4
+    return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=NAMES)
+
+
+def _strings(text: bytes) -> list[bytes]:
+    """The strings of a block; they hold no white space."""
+    return text.split(b"\n") if text else []
+
+
+def _dealt(strings: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of strings by bucket, first of each bucket and the end)."""
+    of = hash_strings(pa.array(strings, pa.binary())) % np.uint64(buckets) if strings else np.zeros(0, np.uint64)
+    order = np.argsort(of, kind="stable")
+    return order, np.searchsorted(of[order], np.arange(buckets + 1))
+
+
+def _cut(strings: list[bytes], where: int, slice_: int, ends: np.ndarray, docs: np.ndarray, times: np.ndarray) -> tuple:
+    """One block of strings whose postings are docs[ends[i]:ends[i + 1]]."""
+    a, b = int(ends[0]), int(ends[-1])
+    return (where, slice_, _squeeze(b"\n".join(strings)), _squeeze(np.diff(ends).astype("<u4")), _squeeze(docs[a:b].astype("<u4")), _squeeze(times[a:b].astype("<u4")))
+
+
+def _counted(buckets: int):
+    """Blocks of chunks, and a head for each slice (bucket -1): lang and source of its documents."""
+
+    def run(batches):
+        task, count = TaskContext.get().partitionId() << 32, 0
+        for batch in slices(batches, limit=SLICE):
+            here = task + count
+            count += 1
+            heads = [plain_string(batch.column(c)).dictionary_encode() for c in ("lang", "source")]
+            names = [json.dumps(h.dictionary.to_pylist()).encode() for h in heads]
+            yield _blocks([(-1, here, *map(_squeeze, names), *[_squeeze(h.indices.to_numpy().astype("<u4")) for h in heads])])
+            offsets, flat = split_words(plain_string(batch.column("text")), lower=False)
+            codes, chunks = word_codes(flat)
+            chunks = chunks.cast(pa.large_binary()).to_pylist()
+            order, first = _dealt(chunks, buckets)
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            docs = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            pairs, times = np.unique(rank[codes] * batch.num_rows + docs, return_counts=True)
+            code, doc = np.divmod(pairs, batch.num_rows)
+            ends = np.searchsorted(code, np.arange(len(chunks) + 1))
+            rows = [_cut([chunks[i] for i in order[a:b]], w, here, ends[a : b + 1], doc, times) for w, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)) if b > a]
+            if rows:
+                yield _blocks(rows)
+
+    return run
+
+
+class ChunkTerms:
+    """The terms of chunks: each distinct chunk that a task meets is cut once."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+        self.names: dict[bytes, int] = {}
+        self.starts, self.sizes, self.terms, self.times = array("q"), array("q"), array("q"), array("q")
+
+    def _cut(self, chunks: list[bytes]) -> None:
+        plain = pc.replace_substring_regex(pc.ascii_lower(pa.array([c.decode() for c in chunks], pa.large_string())), OTHER, " ")
+        offsets, flat = split_words(plain, lower=False)
+        ids = [self.names.setdefault(t, len(self.names)) for t in flat.cast(pa.large_binary()).to_pylist()]
+        ends = offsets.tolist()
+        for c, a, b in zip(chunks, ends[:-1], ends[1:], strict=True):
+            self.known[c] = len(self.starts)
+            self.starts.append(len(self.terms))
+            if b - a == 1:
+                self.terms.append(ids[a])
+                self.times.append(1)
+            else:
+                own = Counter(ids[a:b])
+                self.terms.extend(own.keys())
+                self.times.extend(own.values())
+            self.sizes.append(len(self.terms) - self.starts[-1])
+
+    def of(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of terms of each chunk, their ids, how often the chunk holds each)."""
+        new = [c for c in chunks if c not in self.known]
+        if new:
+            self._cut(new)
+        at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        starts, sizes, terms, times = (np.frombuffer(y, np.int64) if len(y) else np.zeros(0, np.int64) for y in (self.starts, self.sizes, self.terms, self.times))
+        place = ragged_take(starts[at], sizes[at])
+        return sizes[at], terms[place], times[place]
+
+
+def _summed(term: np.ndarray, doc: np.ndarray, n: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, document, sum of n) of distinct pairs, by term."""
+    pairs, at = np.unique(term * n_docs + doc, return_inverse=True)
+    total = np.bincount(at, weights=n, minlength=len(pairs)).astype(np.int64)
+    return (*np.divmod(pairs, n_docs), total)
+
+
+def _tokenized(batches):
+    """Blocks of chunks as blocks of terms, slice by slice."""
+    cut = ChunkTerms()
+    back: list[bytes] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] < 0:
+                yield _blocks([tuple(row[c] for c in NAMES)])
+                continue
+            chunks = _strings(_unsqueeze(row["text"]))
+            sizes, docs, times = (_unsqueeze(row[c], "<u4").astype(np.int64) for c in ("sizes", "docs", "times"))
+            own, term, k = cut.of(chunks)
+            if not len(term):
+                continue
+            back += list(cut.names)[len(back) :] if len(cut.names) > len(back) else []
+            chunk = np.repeat(np.arange(len(chunks)), own)
+            first = np.cumsum(sizes) - sizes
+            place = ragged_take(first[chunk], sizes[chunk])
+            local, at = np.unique(term, return_inverse=True)
+            t, d, n = _summed(np.repeat(at, sizes[chunk]), docs[place], times[place] * np.repeat(k, sizes[chunk]), int(docs.max()) + 1)
+            ends = np.searchsorted(t, np.arange(len(local) + 1))
+            yield _blocks([_cut([back[i] for i in local.tolist()], row["bucket"], row["slice"], ends, d, n)])
+
+
+def _by_slice(buckets: int):
+    """One slice: distinct documents and occurrences of each term by (lang, source), as blocks for the terms' buckets.
+
+    In these blocks ``docs`` holds lang, source, distinct documents one after the
+    other for each entry, and ``times`` the occurrences; the names follow in ``text``.
+    """
+
+    def merge(rows: pa.Table) -> pa.Table:
+        rows = rows.to_pylist()
+        head = next(r for r in rows if r["bucket"] < 0)
+        names = [json.loads(_unsqueeze(head[c])) for c in ("text", "sizes")]
+        lang, source = (_unsqueeze(head[c], "<u4").astype(np.int64) for c in ("docs", "times"))
+        body = [r for r in rows if r["bucket"] >= 0]
+        if not body:
+            return pa.Table.from_batches([_blocks([])])
+        known: dict[bytes, int] = {}
+        terms, docs, times = [], [], []
+        for r in body:
+            ids = np.array([known.setdefault(t, len(known)) for t in _strings(_unsqueeze(r["text"]))], np.int64)
+            terms.append(np.repeat(ids, _unsqueeze(r["sizes"], "<u4")))
+            docs.append(_unsqueeze(r["docs"], "<u4").astype(np.int64))
+            times.append(_unsqueeze(r["times"], "<u4"))
+        strings = list(known)
+        order, first = _dealt(strings, buckets)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        t, d, n = _summed(rank[np.concatenate(terms)], np.concatenate(docs), np.concatenate(times), len(lang))
+        width = len(names[1])
+        groups, at, found = np.unique(t * (len(names[0]) * width) + lang[d] * width + source[d], return_inverse=True, return_counts=True)
+        total = np.bincount(at, weights=n, minlength=len(groups)).astype(np.int64)
+        t, g = np.divmod(groups, len(names[0]) * width)
+        what = np.stack([*np.divmod(g, width), found], axis=1)
+        ends = np.searchsorted(t, np.arange(len(strings) + 1))
+        out = []
+        for w, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+            if b > a:
+                x, y = int(ends[a]), int(ends[b])
+                text = b"\n".join([json.dumps(names).encode(), *[strings[i] for i in order[a:b]]])
+                out.append((w, head["slice"], _squeeze(text), _squeeze(np.diff(ends[a : b + 1]).astype("<u4")), _squeeze(what[x:y].astype("<u4")), _squeeze(total[x:y].astype("<i8"))))
+        return pa.Table.from_batches([_blocks(out)])
+
+    return merge
+
+
+def _added(least_docs: int):
+    """lang, source, term, n of the terms of a task's buckets that ``least_docs`` documents of their language hold."""
+
+    def run(batches):
+        langs: dict[str, int] = {}
+        sources: dict[str, int] = {}
+        known: dict[bytes, int] = {}
+        held: list[np.ndarray] = []
+        rows, limit = 0, 4_000_000
+
+        def added(parts):
+            keys = np.concatenate([p[0] for p in parts])
+            keys, at = np.unique(keys, axis=0, return_inverse=True)
+            sums = np.zeros((len(keys), 2), np.int64)
+            np.add.at(sums, at.reshape(-1), np.concatenate([p[1] for p in parts]))
+            return keys, sums
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                head, *strings = _strings(_unsqueeze(row["text"]))
+                names = json.loads(head)
+                of = [np.array([d.setdefault(x, len(d)) for x in own], np.int64) for d, own in zip((langs, sources), names, strict=True)]
+                ids = np.array([known.setdefault(t, len(known)) for t in strings], np.int64)
+                what = _unsqueeze(row["docs"], "<u4").reshape(-1, 3).astype(np.int64)
+                keys = np.stack([of[0][what[:, 0]], np.repeat(ids, _unsqueeze(row["sizes"], "<u4")), of[1][what[:, 1]]], axis=1)
+                held.append((keys, np.stack([_unsqueeze(row["times"], "<i8"), what[:, 2]], axis=1)))
+                rows += len(keys)
+                if rows > limit:
+                    held = [added(held)]
+                    rows = len(held[0][0])
+                    limit = max(limit, 2 * rows)
+        if not held:
+            return
+        keys, sums = added(held)
+        new = np.concatenate([[True], (np.diff(keys[:, :2], axis=0) != 0).any(axis=1)])
+        run_ = np.cumsum(new) - 1
+        stays = (np.bincount(run_, weights=sums[:, 1]) >= least_docs)[run_]
+        strings, names = list(known), [list(langs), list(sources)]
+        for a in range(0, int(stays.sum()), 1 << 16):
+            own, n = keys[stays][a : a + (1 << 16)], sums[stays][a : a + (1 << 16), 0]
+            lists = [[names[0][i] for i in own[:, 0].tolist()], [names[1][i] for i in own[:, 2].tolist()], [strings[i].decode() for i in own[:, 1].tolist()]]
+            yield pa.record_batch([*[pa.array(x, pa.string()) for x in lists], pa.array(n)], names=["lang", "source", "term", "n"])
+
+    return run
 
 
-def _counted(batches):
-    """A head row for each slice (lang and source of its documents), then a row for each of its distinct chunks."""
-    task, count = TaskContext.get().partitionId() << 32, 0
-    for batch in slices(batches, limit=SLICE):
-        offsets, flat = split_words(plain_string(batch.column("text")), lower=False)
-        codes, chunks = word_codes(flat)
-        docs = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-        pairs, times = np.unique(codes.astype(np.int64) * batch.num_rows + docs, return_counts=True)
-        code, doc = np.divmod(pairs, batch.num_rows)
-        kind = np.uint16 if batch.num_rows <= 1 << 16 else np.uint32
-        ends = np.searchsorted(code, np.arange(len(chunks) + 1))
-        # documents, and how often where that isn't once, as bytes: a chunk of a slice is one small row
-        own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(chunks), [None, pa.py_buffer((ends * kind().itemsize).astype(np.int64)), pa.py_buffer(doc.astype(kind))]).cast(pa.binary())
-        more = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(chunks), [None, pa.py_buffer((ends * 4).astype(np.int64)), pa.py_buffer(times.astype(np.uint32))]).cast(pa.binary())
-        once = np.add.reduceat(times, ends[:-1]) == np.diff(ends) if len(chunks) else np.zeros(0, bool)
-        more = pc.if_else(pa.array(once), pa.scalar(None, pa.binary()), more)
-        names = ["slice", "wide", "chunk", "docs", "times", "langs", "sources"]
-        text, many = pa.list_(pa.string()), pa.array([kind is np.uint32] * len(chunks), pa.bool_())
-        lists = [pa.array([plain_string(batch.column(c)).to_pylist()], text) for c in ("lang", "source")]
-        yield pa.record_batch([pa.array([task + count]), pa.array([False]), *[pa.nulls(1, t) for t in (pa.string(), pa.binary(), pa.binary())], *lists], names=names)
-        if len(chunks):
-            yield pa.record_batch([pa.array(np.full(len(chunks), task + count)), many, chunks.cast(pa.string()), own, more, pa.nulls(len(chunks), text), pa.nulls(len(chunks), text)], names=names)
-        count += 1
-
-
-COUNTED = "slice long, wide boolean, chunk string, docs binary, times binary, langs array<string>, sources array<string>"
-
-
-def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """chunk, term, k: the terms of each distinct ``chunk`` and how often it holds them."""
-    lower = F.translate(F.col("chunk"), UPPER, LOWER)
-    terms = chunks.select("chunk").distinct().select("chunk", F.explode(F.regexp_extract_all(lower, F.lit(TERM), F.lit(0))).alias("term"))
-    return terms.groupBy("chunk", "term").agg(F.count("*").alias("k"))
-
-
-def _by_term(head: pa.Table, rows: pa.Table) -> pa.Table:
-    """One slice: lang, source, term, n (occurrences), docs (distinct documents)."""
-    langs, sources = (head[c].combine_chunks().flatten().dictionary_encode() if len(head) else pa.array([], pa.string()).dictionary_encode() for c in ("langs", "sources"))
-    term = rows["term"].combine_chunks().dictionary_encode()
-    names, term = term.dictionary, term.indices.to_numpy()
-    n_docs = len(langs)
-    docs, times = rows["docs"].to_pylist(), rows["times"].to_pylist()
-    kind = np.uint32 if len(rows) and rows["wide"][0].as_py() else np.uint16
-    lengths = np.array([len(d) for d in docs], np.int64) // kind().itemsize
-    doc = np.frombuffer(b"".join(docs), kind).astype(np.int64)
-    often = np.ones(len(doc), np.int64)
-    starts = np.cumsum(lengths) - lengths
-    for i, t in enumerate(times):
-        if t is not None:
-            often[starts[i] : starts[i] + lengths[i]] = np.frombuffer(t, np.uint32)
-    often *= np.repeat(rows["k"].to_numpy().astype(np.int64), lengths)
-    n_groups = max(1, len(sources.dictionary))
-    group = langs.indices.to_numpy().astype(np.int64) * n_groups + sources.indices.to_numpy() if n_docs else np.zeros(0, np.int64)
-    pairs, at = np.unique(np.repeat(term.astype(np.int64), lengths) * max(1, n_docs) + doc, return_inverse=True)
-    n = np.bincount(at, weights=often, minlength=len(pairs)) if len(pairs) else np.zeros(0)
-    which, d = np.divmod(pairs, max(1, n_docs))
-    width = n_groups * max(1, len(langs.dictionary))
-    keys, at, found = np.unique(which * width + (group[d] if len(d) else d), return_inverse=True, return_counts=True)
-    total = np.bincount(at, weights=n, minlength=len(keys)) if len(keys) else np.zeros(0)
-    which, g = np.divmod(keys, width)
-    take = lambda values, i: values.take(pa.array(i))
-    return pa.table(
-        {
-            "lang": take(langs.dictionary, g // n_groups),
-            "source": take(sources.dictionary, g % n_groups),
-            "term": take(names, which),
-            "n": pa.array(total.astype(np.int64)),
-            "docs": pa.array(found.astype(np.int64)),
-        }
-    )
-
-
-def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n, docs: occurrences and distinct documents of every term of every (lang, source), over whole texts.
+def term_counts(docs: DataFrame, least_docs: int = 1) -> DataFrame:
+    """lang, source, term, n: occurrences of every term that ``least_docs`` documents of its language hold, over whole texts.
 
     A document is a row, so repeated rows and ids count each. Nulls in text, lang
-    and source are empty strings. Rows of a chunk are one for each slice of text,
-    so that a frequent chunk has no more rows than there are slices; Spark splits
-    their join where it is skewed.
+    and source are empty strings. Blocks of chunks go to the chunks' buckets, where
+    each distinct chunk is cut into terms once; blocks of terms go back to their
+    slices, where documents are told apart; blocks of counts go to the terms'
+    buckets, where they are added up. A slice, and with it any block, is of a
+    bounded size, and a frequent term has one entry for each slice and source.
     """
+    n = parts(docs.sparkSession)
     plain = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    counted = store(plain.mapInArrow(tidy(_counted), COUNTED), "chunks")
-    body, head = counted.where("chunk is not null").drop("langs", "sources"), counted.where("chunk is null").select(F.col("slice").alias("of"), "langs", "sources")
-    terms = body.join(chunk_terms(body), "chunk").select("slice", "wide", "docs", "times", "term", "k")
-    by_slice = head.groupBy("of").cogroup(terms.groupBy("slice")).applyInArrow(_by_term, "lang string, source string, term string, n long, docs long")
-    return by_slice.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    chunks = store(plain.mapInArrow(tidy(_counted(n)), BLOCK), "chunks")
+    terms = chunks.repartition(n, "bucket").mapInArrow(tidy(_tokenized), BLOCK)
+    counts = terms.groupBy("slice").applyInArrow(_by_slice(n), BLOCK)
+    return counts.repartition(n, "bucket").mapInArrow(tidy(_added(least_docs)), "lang string, source string, term string, n long")
 
 
 # ----------------------------------------------------------------- comparing
@@ -164,8 +322,8 @@ def source_divergence(docs: DataFrame, least_docs: int = 10, terms_each: int = 1
     with scope():
         groups = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
         per = F.struct("source", "n")
-        terms = term_counts(docs).groupBy("lang", "term").agg(F.collect_list(per).alias("own"), F.sum("n").alias("q_n"), F.sum("docs").alias("docs"))
-        terms = store(terms.where(F.col("docs") >= least_docs), "terms")
+        # as many entries as the language has sources
+        terms = store(term_counts(docs, least_docs).groupBy("lang", "term").agg(F.collect_list(per).alias("own"), F.sum("n").alias("q_n")), "terms")
         totals = terms.select("lang", F.explode("own").alias("x")).groupBy("lang", F.col("x.source").alias("source")).agg(F.sum("x.n").alias("n"))
         whole = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("q_n").alias("q_total"))
         rows = groups.join(totals, ["lang", "source"], "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"))
