@@ -4,7 +4,7 @@ Four steps leave little to search. Edges that all point one way in a sheet hold
 cycle, so nodes outside the reach of edges against the order go at once. Nodes
 without a way in or out go, round by round. Chains of nodes with one way in and
 one way out become one edge; their ends are found by pointer doubling, so that a
-chain of n cells takes log n rounds. In the rest, nodes take the smallest name that
+chain of n cells takes log n rounds. In the rest, nodes take the smallest node that
 reaches them, and those that reach it back are its component.
 """
 
@@ -12,12 +12,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.rounds import stored
 from .formulas import canonical_cycle
 
+#: Edges that one task may search.
+SMALL = 200_000
 #: Sheet, row and column of a node's name.
 NODE = r"^(.*)!R([0-9]+)C([0-9]+)$"
 
@@ -67,16 +70,19 @@ def chain_ends(links: DataFrame, store=stored) -> DataFrame:
 
     ``ring``: the smallest node of the ring, for links of one; else null.
     """
-    n, step = links.count(), 1
-    now = links.select("node", "next", "last", F.col("node").alias("low"), F.lit(True).alias("moved"))
+    now = links.select("node", "next", "last", F.col("node").alias("low"))
+    before = None
     while True:
         ahead = now.select(F.col("node").alias("next"), F.col("next").alias("next2"), F.col("low").alias("low2"))
         behind = now.select(F.col("node").alias("last"), F.col("last").alias("last2"))
-        both = now.drop("moved").join(ahead, "next", "left").join(behind, "last", "left")
-        now = store(both.select("node", F.coalesce("next2", "next").alias("next"), F.coalesce("last2", "last").alias("last"), F.least("low", "low2").alias("low"), (F.col("next2").isNotNull() | F.col("last2").isNotNull()).alias("moved")))
-        step *= 2
-        if step > n or not now.where("moved").limit(1).count():
+        both = now.select("node", "next", "last", "low").join(ahead, "next", "left").join(behind, "last", "left")
+        low = F.least("low", "low2")
+        now = store(both.select("node", F.coalesce("next2", "next").alias("next"), F.coalesce("last2", "last").alias("last"), low.alias("low"), F.col("next2").isNotNull().alias("on"), F.col("last2").isNotNull().alias("back"), (low < F.col("low")).alias("lower")))
+        # either way, links of open chains on their way get fewer each time; on rings the smallest node is settled once none gets a smaller one
+        on, back, lower = now.agg(F.count_if("on"), F.count_if("back"), F.count_if("lower")).first()
+        if not on + back or ((on, back) == before and not lower):
             break
+        before = on, back
     more = now.join(now.select(F.col("node").alias("next")), "next", "left_semi").select("node", F.lit(True).alias("on_ring"))
     return now.join(more, "node", "left").select("node", "next", "last", F.when(F.col("on_ring"), F.col("low")).alias("ring"))
 
@@ -104,51 +110,92 @@ def _reduced(edges: DataFrame, store) -> tuple[DataFrame, list[DataFrame], list[
     return now, chains, found
 
 
-def _reached(edges: DataFrame, start: DataFrame, store) -> DataFrame:
-    """start (node, color) with the nodes from which it is reached inside one color; edges carry the color that both ends have."""
-    seen, front = start, start
-    while True:
-        back = edges.join(front.select(F.col("node").alias("target"), "color"), ["target", "color"]).select(F.col("source").alias("node"), "color").distinct()
-        front = store(back.join(seen, ["node", "color"], "left_anti"))
-        if not front.limit(1).count():
-            return seen
-        seen = store(seen.union(front))
-
+def _least(edges: DataFrame, store) -> DataFrame:
+    """node, least: the smallest node that reaches it, itself included.
 
-def _components(edges: DataFrame, store) -> list[DataFrame]:
-    """(node, component) of a core that no further reduction makes smaller."""
-    color = store(edges.select(F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("color", F.col("node")))
+    Besides the nodes right before it, a node asks the one that it has so far.
+    """
+    now = store(edges.select(F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("least", F.col("node")))
     while True:
-        lower = edges.join(color.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.min("color").alias("least"))
-        new = store(color.join(lower, "node", "left").select("node", F.least("color", "least").alias("color"), (F.col("least") < F.col("color")).alias("changed")))
-        color = new.select("node", "color")
-        if not new.where("changed").limit(1).count():
-            break
-    ends = lambda c: color.select(F.col("node").alias(c), F.col("color").alias(f"{c}_color"))
-    same = store(edges.join(ends("source"), "source").join(ends("target"), "target").where("source_color = target_color").select("source", "target", F.col("source_color").alias("color")))
-    got = _reached(same, color.where("node = color"), store)
-    # a node that reaches its color through others only is in the component; a color without an edge back is alone
-    alone = got.groupBy("color").count().where("count = 1").select("color")
-    return [got.join(alone, "color", "left_anti").select("node", F.col("color").alias("component")), got]
-
-
-def cycle_groups(edges: DataFrame, store=stored) -> DataFrame:
+        step = edges.join(now.select(F.col("node").alias("source"), "least"), "source").groupBy(F.col("target").alias("node")).agg(F.min("least").alias("by"))
+        jump = now.select(F.col("node").alias("least"), F.col("least").alias("far"))
+        new = now.select("node", "least").join(step, "node", "left").join(jump, "least", "left")
+        least = F.least("least", "by", "far")
+        now = store(new.select("node", least.alias("least"), (least < F.col("least")).alias("changed")))
+        if not now.where("changed").limit(1).count():
+            return now.select("node", "least")
+
+
+def _components(edges: DataFrame, store) -> tuple[DataFrame, DataFrame]:
+    """((node, component), nodes dealt with) of a core: those that the smallest node of a color reaches, and that reach it."""
+    color = _least(edges, store)
+    ends = lambda c: color.select(F.col("node").alias(c), F.col("least").alias(f"{c}_color"))
+    same = edges.join(ends("source"), "source").join(ends("target"), "target").where("source_color = target_color")
+    back = _least(store(same.select(F.col("target").alias("source"), F.col("source").alias("target"))), store)
+    group = store(color.join(back.withColumnRenamed("least", "back"), "node").where("least = back").select("node", F.col("least").alias("component")))
+    # the smallest node of a color that has no edge back is alone, and dealt with as well
+    return group, store(group.select("node").union(color.where("node = least").select("node")).distinct())
+
+
+def _searched(edges: pd.DataFrame) -> pd.DataFrame:
+    """(node, component) of a small graph by one depth-first search."""
+    after: dict[str, list[str]] = {}
+    for a, b in zip(edges["source"], edges["target"], strict=True):
+        after.setdefault(a, []).append(b)
+    at: dict[str, int] = {}
+    low: dict[str, int] = {}
+    open_, on, out = [], set(), []
+    for root in after:
+        if root in at:
+            continue
+        way = [(root, iter(after[root]))]
+        at[root] = low[root] = len(at)
+        open_.append(root)
+        on.add(root)
+        while way:
+            node, rest = way[-1]
+            for b in rest:
+                if b not in at:
+                    at[b] = low[b] = len(at)
+                    open_.append(b)
+                    on.add(b)
+                    way.append((b, iter(after.get(b, ()))))
+                    break
+                if b in on:
+                    low[node] = min(low[node], at[b])
+            else:
+                way.pop()
+                if way:
+                    low[way[-1][0]] = min(low[way[-1][0]], low[node])
+                if low[node] == at[node]:
+                    own = [open_.pop()]
+                    while own[-1] != node:
+                        own.append(open_.pop())
+                    on.difference_update(own)
+                    if len(own) > 1:
+                        out += [(n, node) for n in own]
+    return pd.DataFrame(out, columns=["node", "component"])
+
+
+def cycle_groups(edges: DataFrame, store=stored, small: int = SMALL) -> DataFrame:
     """node, component (its smallest node) and size of every cell that lies on a cycle.
 
     ``edges``: source, target and kind as formulas.edges() gives them; range nodes
     are no cells. A cell that reads itself is a component of one. No edge gives no
     row, repeated edges count once; edges with a null end go. ``store`` writes a
-    round and reads it back.
+    round and reads it back. Where the order of cells leaves at most ``small`` edges,
+    one task searches them; the result is the same.
     """
     all_ = store(edges.where("kind <> 'range_node' and source is not null and target is not null").select("source", "target").distinct())
     found = [all_.where("source = target").select(F.col("source").alias("node"), F.col("source").alias("component"))]
     now, levels = store(against_order(all_.where("source <> target"))), []
-    while True:
+    if now.count() <= small:
+        found.append(now.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_searched, "node string, component string"))
+        now = now.limit(0)
+    while now.limit(1).count():
         now, chains, more = _reduced(now, store)
         levels += chains
         found += more
-        if not now.limit(1).count():
-            break
         group, seen = _components(now, store)
         found.append(group)
         done = lambda c: seen.select(F.col("node").alias(c))

@@ -124,23 +124,6 @@ def edges(cells: DataFrame, most: int = MEMBERS) -> DataFrame:
     return point.unionByName(inside.select("source", "target", F.lit("range").alias("kind"))).unionByName(nodes).distinct()
 
 
-def cyclic(edges_: DataFrame, store, max_rounds: int = 200) -> DataFrame:
-    """Edges that lie on a cycle or between cycles: what stays when nodes without a way in, or out, are taken off again and again.
-
-    ``store``: writes a round and reads it back. A round takes one node off either end
-    of every chain; a graph that is not settled after ``max_rounds`` raises.
-    """
-    now, before = store(edges_.where("kind <> 'range_node'").select("source", "target").distinct()), -1
-    for _ in range(max_rounds):
-        n = now.count()
-        if n == before or n == 0:
-            return now
-        before = n
-        keep = now.join(now.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
-        now = store(keep.join(keep.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
-    raise RuntimeError(f"chains of more than {max_rounds} steps on either side: give max_rounds")
-
-
 def canonical_cycle(nodes: Column) -> Column:
     """The nodes of a cycle, turned so that the smallest comes first."""
     at = F.array_position(nodes, F.array_min(nodes)).cast("int")

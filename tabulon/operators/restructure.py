@@ -2,7 +2,7 @@
 
 Ranges (merges, validations, conditional formats, tables, filters) are one relation:
 sheet, kind, name, ref. Everything is projection by the rules in functions.refs, no cell
-is looked up by another.
+is looked up by another. Several blocks of new rows at once: see insertions.
 """
 
 from __future__ import annotations
@@ -71,11 +71,14 @@ def rewrite_references(text: Column, home: Column, target: Column, axis: str, at
     References without a sheet mean ``home``; sheet names are compared without case.
     Texts in quotes and names that look like references stay. A deleted cell becomes
     #REF!, a range of which a part is deleted is clamped, dollar signs are kept.
+    References to the sheet are written with capital letters, whether they move or not.
     """
-    group = lambda p, i: F.regexp_extract(p, REFERENCE, i)
+    # each piece is taken apart once; what follows reads its groups
+    group = lambda p, i: p[f"g{i}"]
+    apart = lambda p: F.struct(p.alias("p"), p.rlike(REFERENCE).alias("hit"), *[F.regexp_extract(p, REFERENCE, i).alias(f"g{i}") for i in range(1, 10)])
 
-    def end(p: Column, first: int, value: Column) -> Column:
-        column = group(p, first + 1) if axis == "rows" else index_to_col(value)
+    def end(p: Column, first: int, value: Column, letters=F.upper) -> Column:
+        column = letters(group(p, first + 1)) if axis == "rows" else index_to_col(value)
         row = value.cast("string") if axis == "rows" else group(p, first + 3)
         return F.concat(group(p, first), column, group(p, first + 2), row)
 
@@ -86,14 +89,15 @@ def rewrite_references(text: Column, home: Column, target: Column, axis: str, at
         name = F.replace(F.regexp_replace(group(p, 1), "^'|'?!$", ""), F.lit("''"), F.lit("'"))
         mine = F.lower(F.when(group(p, 1) == "", home).otherwise(name)) == F.lower(target)
         a, b = where(p, 2), where(p, 6)
-        point, span = shift_point(a, at, n, delete), shift_span(a, b, at, n, delete)
-        # both ends on their own, and together where one of them is deleted
+        span = shift_span(a, b, at, n, delete)
+        # both ends on their own, and together, as they are written, where one of them is deleted
         p0, p1 = shift_point(a, at, n, delete), shift_point(b, at, n, delete)
-        pair = F.when(p0.isNotNull() & p1.isNotNull(), F.concat_ws(":", end(p, 2, p0), end(p, 6, p1))).when(span.isNotNull(), F.concat_ws(":", end(p, 2, span["a"]), end(p, 6, span["b"])))
-        new = F.coalesce(F.when(group(p, 7) == "", F.when(point.isNotNull(), end(p, 2, point))).otherwise(pair), F.lit("#REF!"))
-        return F.when(p.rlike(REFERENCE) & mine, F.concat(group(p, 1), new)).otherwise(p)
+        clamped = F.concat_ws(":", end(p, 2, span["a"], lambda x: x), end(p, 6, span["b"], lambda x: x))
+        pair = F.when(p0.isNotNull() & p1.isNotNull(), F.concat_ws(":", end(p, 2, p0), end(p, 6, p1))).when(span.isNotNull(), clamped)
+        new = F.coalesce(F.when(group(p, 7) == "", F.when(p0.isNotNull(), end(p, 2, p0))).otherwise(pair), F.lit("#REF!"))
+        return F.when(p["hit"] & mine, F.concat(group(p, 1), new)).otherwise(p["p"])
 
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), one), "")
+    return F.array_join(F.transform(F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), apart), one), "")
 
 
 def apply_shift(cells: DataFrame, ranges: DataFrame, sheet: str, axis: str, at: int, n: int, delete: bool) -> tuple[DataFrame, DataFrame]:
@@ -133,40 +137,3 @@ def provision_rows(cells: DataFrame, blocks: DataFrame) -> DataFrame:
     out = new_rows(blocks).join(template, ["sheet", "template_row"]).where("col between c0 and c1")
     text = F.when(F.startswith("text", F.lit("=")), copy_down(F.col("text"), F.col("offset")))
     return out.withColumn("text", text).withColumn("row", F.col("at")).select(*cells.columns)
-
-
-def stretch_ranges(ranges: DataFrame, blocks: DataFrame) -> DataFrame:
-    """ranges with ``to`` (where it grows over the new rows of a block, else null) and ``warning``.
-
-    A part of a validation or conditional format that holds the template row and
-    overlaps the block's columns ends at its last new row; a table or filter does if
-    it ends in the template row. Kinds of rules that are not known to be safe stay
-    and are told. ``ranges`` has ``type`` beside sheet, kind, name and ref: a rule's
-    type, or several separated by spaces.
-    """
-    b = blocks.where("rows_to_add > 0").select("sheet", "template_row", F.col("c0").alias("b0"), F.col("c1").alias("b1"), (F.col("insert_at") + F.col("rows_to_add") - 1).alias("last"))
-    joined = ranges.join(b, "sheet", "left")
-
-    def grown(part: Column) -> Column:
-        r = range_bounds(part)
-        rule = F.col("kind").isin(*STRETCHED)
-        beside = (r["c1"] >= F.col("b0")) & (r["c0"] <= F.col("b1"))
-        hit = F.when(rule, beside & F.col("template_row").between(r["r0"], r["r1"]) & (r["r1"] < F.col("last"))).otherwise(r["r1"] == F.col("template_row"))
-        return F.when(hit, range_text(r["c0"], r["r0"], r["c1"], F.col("last"))).otherwise(part)
-
-    safe = F.lit(True)
-    for kind, types in STRETCHED.items():
-        known = F.forall(F.split(F.coalesce("type", F.lit("")), " "), lambda t: t.isin(types))
-        safe = F.when(F.col("kind") == kind, known).otherwise(safe)
-    fits = F.col("kind").isin(*STRETCHED, "table", "autofilter") & safe & F.col("template_row").isNotNull()
-    to = F.array_join(F.transform(F.split("ref", r"\s+"), grown), " ")
-    code = F.when(F.col("kind") == "validation", "UNSUPPORTED_VALIDATION_PROPAGATION").otherwise("PRESERVE_WITH_WARNING")
-    out = joined.withColumn("to", F.when(fits & (to != F.col("ref")), to)).withColumn("warning", F.when(~safe, code))
-    return out.select(*ranges.columns, "to", "warning")
-
-
-def replicate_merges(merges: DataFrame, blocks: DataFrame) -> DataFrame:
-    """sheet and ref of the merges that the new rows get: the template row's own, one row high and inside the block."""
-    m = merges.select("sheet", range_bounds(F.col("ref")).alias("m"))
-    out = new_rows(blocks).join(m, "sheet").where("m.r0 = template_row and m.r1 = template_row and m.c0 >= c0 and m.c1 <= c1")
-    return out.select("sheet", range_text(F.col("m.c0"), F.col("at"), F.col("m.c1"), F.col("at")).alias("ref"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.formulas import copy_down as copy_formula
@@ -10,6 +11,7 @@ from ..functions.formulas import intent as intent_of
 from ..functions.formulas import intent_confidence, ref_profile
 from ..functions.refs import index_to_col
 from ..operators import formulas as O
+from ..operators.cycles import cycle_groups
 from .registry import query, table
 
 #: Column J by sheet number modulo 11 (10: a sheet with formulas along row 5): text with {r} and {n} = r + 1, {m} = r + 2; signature; window.
@@ -145,6 +147,24 @@ def dependency_edges(spark, sf_dir):
     return O.edges(O.parsed(l.select("sheet", "row", F.inline(F.array(d, e)))))
 
 
+_RING = """o AS (SELECT 'C' || o_custkey AS sheet, o_orderpriority = '1-URGENT' AS back, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+e AS (SELECT sheet, i, CASE WHEN i < n THEN i + 1 ELSE 1 END AS j FROM o WHERE i < n OR n % 2 = 1 UNION SELECT sheet, i, i - 3 FROM o WHERE back AND i > 3)"""
+
+
+@query(f"""WITH RECURSIVE {_RING}, r AS (SELECT sheet, i, j FROM e UNION SELECT r.sheet, r.i, e.j FROM r JOIN e ON e.sheet = r.sheet AND e.i = r.j)
+SELECT a.sheet || '!R' || a.i || 'C1' AS node, min(a.sheet || '!R' || a.j || 'C1') AS component, count(*) AS size FROM r a JOIN r b ON b.sheet = a.sheet AND b.i = a.j AND b.j = a.i GROUP BY a.sheet, a.i""")
+def dependency_cycles(spark, sf_dir):
+    """Cells on cycles: a sheet for each customer, whose orders read the next one, the last of an odd number the first; urgent ones also the third before."""
+    own = Window.partitionBy("o_custkey")
+    o = table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderpriority") == "1-URGENT").alias("back"), F.row_number().over(own.orderBy("o_orderkey")).alias("row"), F.count("*").over(own).alias("n"))
+    read = lambda n: F.concat(F.lit("A"), n.cast("string"))
+    row = F.col("row")
+    ahead = F.when(row < F.col("n"), read(row + 1)).when(F.col("n") % 2 == 1, "A1").otherwise("B1")
+    text = F.concat(F.lit("="), ahead, F.when(F.col("back") & (row > 3), F.concat(F.lit("+"), read(row - 3))).otherwise(""))
+    cells = o.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("sheet"), "row", F.lit(1).alias("col"), text.alias("text"))
+    return cycle_groups(O.edges(O.parsed(cells)))
+
+
 @query("SELECT l_orderkey, l_linenumber, '=F' || (l_linenumber + 5) || '*$G$2+SUM(A' || (l_linenumber + 5) || ':A$9)&\"A1\"' AS moved FROM lineitem")
 def copy_down(spark, sf_dir):
     """A formula copied down five rows."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import truncate_text
 from ..operators import filling as L
+from ..operators import insertions as I
 from ..operators import restructure as R
 from .formulas import _FAMILIES, _G, _LETTER, SHAPES, _grid, _text
 from .registry import query, table
@@ -63,19 +64,71 @@ def new_rows(spark, sf_dir):
     return R.provision_rows(grid, blocks)
 
 
-@query("""WITH p AS (SELECT p_partkey, p_size, CAST(p_size % 4 AS INT) AS k FROM part)
-SELECT p_partkey, CASE k WHEN 0 THEN 'A1:C' || p_size WHEN 1 THEN 'B2:B' || (p_size + 1) WHEN 2 THEN 'A1:B' || p_size ELSE 'D1:D9' END AS ref,
-  CASE WHEN k = 0 AND p_size >= 5 AND p_size < 30 THEN 'A1:C30' WHEN k = 1 AND p_size + 1 >= 5 AND p_size + 1 < 30 THEN NULL WHEN k = 2 AND p_size = 5 THEN 'A1:B30' END AS "to",
-  CASE WHEN k = 1 THEN 'UNSUPPORTED_VALIDATION_PROPAGATION' END AS warning FROM p""")
+#: One to three blocks for each part's sheet, after rows 5, 10 and 15.
+_B = """b AS (SELECT p_partkey AS k, CAST(5 * j AS INT) AS t, CAST(5 * j + 1 AS INT) AS ins, CAST(j + p_partkey % 3 AS INT) AS n, CAST(coalesce(sum(j + p_partkey % 3) OVER (PARTITION BY p_partkey ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS up
+  FROM part, (VALUES (1), (2), (3)) v(j) WHERE j <= p_size % 3 + 1)"""
+
+
+@query(f"""WITH {_B}, p AS (SELECT p_partkey, p_partkey AS k, p_size, p_size % 4 AS m FROM part),
+r AS (SELECT p_partkey, k, 0 AS i, 'A' AS a, CASE WHEN m = 3 THEN 'A' WHEN m = 2 THEN 'B' ELSE 'C' END AS z, 1 AS lo, CASE WHEN m = 1 THEN p_size + 1 WHEN m = 3 THEN 9 ELSE p_size END AS hi, m <> 2 AS rule, m <> 1 AS safe FROM p
+  UNION ALL SELECT p_partkey, k, 1, 'D', 'E', 2, 10, true, true FROM p WHERE m = 0),
+f AS (SELECT r.*, lo + coalesce((SELECT sum(n) FROM b WHERE b.k = r.k AND ins <= lo), 0) AS lo2, hi + coalesce((SELECT sum(n) FROM b WHERE b.k = r.k AND ins <= hi), 0) AS hi2,
+  (SELECT max(ins + up + n - 1) FROM b WHERE b.k = r.k AND t = hi AND safe AND (NOT rule OR a = 'A')) AS last FROM r)
+SELECT p_partkey, string_agg(a || lo || ':' || z || hi, ' ' ORDER BY i) AS ref, string_agg(a || CAST(lo2 AS INT) || ':' || z || CAST(coalesce(last, hi2) AS INT), ' ' ORDER BY i) AS "to",
+  CASE WHEN bool_and(safe) THEN NULL ELSE 'UNSUPPORTED_VALIDATION_PROPAGATION' END AS warning FROM f GROUP BY p_partkey""")
 def stretched_ranges(spark, sf_dir):
-    """Validations and tables of each part's sheet, over rows 6 to 30 that are new below template row 5."""
+    """Validations and tables of each part's sheet when one to three blocks of it grow."""
     size, k = F.col("p_size").cast("string"), F.col("p_size") % 4
-    ref = F.when(k == 0, F.concat(F.lit("A1:C"), size)).when(k == 1, F.concat(F.lit("B2:B"), (F.col("p_size") + 1).cast("string"))).when(k == 2, F.concat(F.lit("A1:B"), size)).otherwise("D1:D9")
+    end = F.when(k == 1, (F.col("p_size") + 1).cast("string")).when(k == 3, "9").otherwise(size)
+    ref = F.concat(F.lit("A1:"), F.when(k == 3, "A").when(k == 2, "B").otherwise("C"), end, F.when(k == 0, F.lit(" D2:E10")).otherwise(""))
     kind, rule = F.when(k == 2, "table").otherwise("validation"), F.when(k == 1, "none").otherwise("list")
     part = table(spark, sf_dir, "part")
     ranges = part.select("p_partkey", F.col("p_partkey").cast("string").alias("sheet"), kind.alias("kind"), F.lit("x").alias("name"), ref.alias("ref"), rule.alias("type"))
-    blocks = part.select(F.col("p_partkey").cast("string").alias("sheet"), F.lit(5).alias("template_row"), F.lit(6).alias("insert_at"), F.lit(25).alias("rows_to_add"), F.lit(1).alias("c0"), F.lit(3).alias("c1"))
-    return R.stretch_ranges(ranges, blocks).select("p_partkey", "ref", "to", "warning")
+    block = F.explode(F.sequence(F.lit(1), (F.col("p_size") % 3 + 1).cast("int")))
+    blocks = part.select(F.col("p_partkey").cast("string").alias("sheet"), (F.col("p_partkey") % 3).cast("int").alias("more"), block.alias("block"))
+    blocks = blocks.select("sheet", "block", (F.col("block") * 5).alias("template_row"), (F.col("block") * 5 + 1).alias("insert_at"), (F.col("block") + F.col("more")).alias("rows_to_add"), F.lit(1).alias("c0"), F.lit(3).alias("c1"))
+    return I.grown_ranges(ranges, blocks).select("p_partkey", "ref", "to", "warning")
+
+
+#: Blocks of the grid's sheets: after rows 50, 200 and 400, as many as the sheet's shape modulo 3 and one more; 2, 3 and 4 rows.
+_AFTER = [(50, 2), (200, 3), (400, 4)]
+_BLOCKS = "k AS (SELECT DISTINCT sheet, shape, t, n, j FROM o, (VALUES " + ", ".join(f"({j}, {t}, {n})" for j, (t, n) in enumerate(_AFTER)) + ") v(j, t, n) WHERE shape < 10 AND j <= shape % 3)"
+_F = lambda x: f"({x}" + "".join(f" + CASE WHEN shape % 3 >= {j} AND {x} > {t} THEN {n} ELSE 0 END" for j, (t, n) in enumerate(_AFTER)) + ")"
+
+
+def _grown_text(at, fixed: str) -> str:
+    """The text of column J, with ``at`` of a distance for references of the own sheet that move, ``fixed`` for row 600."""
+    out = []
+    for i, (text, _, _) in enumerate(SHAPES):
+        own = "Data!" not in text
+        t = text.replace("F$600", f"F$' || {fixed} || '")
+        for mark, d in (("{r}", 0), ("{n}", 1), ("{m}", 2)):
+            t = t.replace(mark, f"' || {at(d) if own else at(d, False)} || '")
+        out.append(f"WHEN {i} THEN '{t}'")
+    return "CASE shape " + " ".join(out) + " END"
+
+
+_UP = "(" + " + ".join(f"CASE WHEN j > {j} THEN {n} ELSE 0 END" for j, (_, n) in enumerate(_AFTER)) + ")"
+_MOVED = lambda d, own=True: _F(f"(pos + {d})") if own else f"(pos + {d})"
+# the row that a copied reference ends at: below the template row first past the block's own new rows, then down with the copy, then past the blocks above
+_COPIED = lambda d, own=True: f"(pos + {d} + CASE WHEN {d} > 0 THEN n{_LOWER.format(d=d)} ELSE 0 END + i + {_UP})" if own else f"(pos + {d} + i)"
+_LOWER = "".join(f" + CASE WHEN shape % 3 >= {j} AND {j} > j AND pos + {{d}} > {t} THEN {n} ELSE 0 END" for j, (t, n) in enumerate(_AFTER))
+
+
+@query(f"""WITH {_G}, {_BLOCKS}, a AS (
+  SELECT sheet, CAST({_F("row")} AS INT) AS row, col, CASE WHEN line = 8 THEN '=F' || {_F("pos")} || CASE WHEN pos % 17 = 0 THEN '/G' ELSE '*G' END || {_F("pos")} ELSE {_grown_text(_MOVED, _F("600"))} END AS text FROM g WHERE shape < 10
+  UNION ALL SELECT sheet, row, col, text FROM g WHERE shape = 10
+  UNION ALL SELECT g.sheet, CAST(t + i + {_UP} AS INT), col, CASE WHEN line = 8 THEN '=F' || {_COPIED(0)} || CASE WHEN pos % 17 = 0 THEN '/G' ELSE '*G' END || {_COPIED(0)} ELSE {_grown_text(_COPIED, _F("600")).replace("shape", "g.shape")} END
+  FROM g JOIN (SELECT sheet, t, n, j, unnest(range(1, n + 1)) AS i FROM k) k ON k.sheet = g.sheet AND k.t = g.row WHERE g.orientation = 'vertical')
+SELECT * FROM a""")
+def expanded_sheets(spark, sf_dir):
+    """Cells and formulas of the grid after one to three blocks of each sheet have grown."""
+    o = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 500).alias("no")).distinct()
+    after = F.array(*[F.struct(F.lit(j).alias("block"), F.lit(t).alias("template_row"), F.lit(t + 1).alias("insert_at"), F.lit(n).alias("rows_to_add")) for j, (t, n) in enumerate(_AFTER)])
+    blocks = o.where("no % 11 < 10").select("no", F.inline(after)).where("block <= (no % 11) % 3")
+    blocks = blocks.select(F.concat(F.lit("S"), F.col("no").cast("string")).alias("sheet"), "block", "template_row", "insert_at", "rows_to_add", F.lit(1).alias("c0"), F.lit(12).alias("c1"))
+    none = spark.createDataFrame([], "sheet string, kind string, name string, ref string, type string")
+    return I.expand(_grid(spark, sf_dir), none, blocks)[0]
 
 
 # ------------------------------------------------------------------------------ filling

@@ -121,8 +121,7 @@ def test_parse_odd_texts():
     assert translate("=B2", -3) == "=#REF!"
 
 
-def test_edges_and_cycles(spark):
-    keep = lambda df: spark.createDataFrame(df.collect(), df.schema)
+def test_edges(spark):
     e = O.edges(entries(spark, {"S": {"B1": "=C1", "B2": "=C2", "B3": "=C3", "D9": "=SUM(B1:B3)", "E9": "=SUM(A1:B2)", "F9": "=[1]Books!C4"}}))
     got = {(r.source, r.target, r.kind) for r in e.collect()}
     assert {t for s, t, k in got if k == "range" and s == "S!R9C4"} == {"S!R1C2", "S!R2C2", "S!R3C2"}
@@ -130,13 +129,6 @@ def test_edges_and_cycles(spark):
     assert ("S!R9C4", "S!B1:B3", "range_node") in got and ("S!R1C2", "S!R1C3", "point") in got and not any(s == "S!R9C6" for s, _, _ in got)
     few = O.edges(entries(spark, {"S": {f"B{i}": f"=C{i}" for i in range(1, 9)} | {"D9": "=SUM(B3:B8)", "E9": "=SUM(A3:B8)"}}), most=2)
     assert {(r.source, r.target) for r in few.where("kind = 'range'").collect()} == {(s, t) for s in ("S!R9C4", "S!R9C5") for t in ("S!R3C2", "S!R4C2")}
-    assert O.cyclic(O.edges(entries(spark, {"S": {"A2": "=B2", "B2": "=C2", "C2": "=A2"}})), keep).count() == 3
-    assert O.cyclic(O.edges(entries(spark, {"S": {"A1": "=MAX(C1:C9)", "C4": "=A1"}})), keep).count() == 2
-    assert O.cyclic(O.edges(entries(spark, {"S": {"A1": "=A2+A3", "A2": "=A4", "A3": "=A4", "A4": "=7"}})), keep).count() == 0
-    chain = O.edges(entries(spark, {"S": {f"A{i}": f"=A{i + 1}" for i in range(1, 12)}}))
-    assert O.cyclic(chain, keep).count() == 0
-    with pytest.raises(RuntimeError):
-        O.cyclic(chain, keep, max_rounds=3)
 
 
 def test_canonical_cycle(spark):

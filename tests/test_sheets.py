@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tabulon.operators import filling as L
 from tabulon.operators import matching as M
+from tabulon.operators import insertions as I
 from tabulon.operators import restructure as R
 from tabulon.operators import semantics as K
 
@@ -36,7 +37,7 @@ def test_shifted_ranges(spark, ref, axis, at, n, delete, want):
 @pytest.mark.parametrize(
     "text, axis, delete, want",
     [
-        ("=A9+$B$11", "rows", False, "=A9+$B$13"), ("=A9+$B$10", "rows", True, "=A9+#REF!"), ("=SUM(C8:C$14)", "rows", True, "=SUM(C8:C$12)"), ("=SUM(C10:C11)", "rows", True, "=SUM(#REF!)"), ("=SUM(C11:C14)", "rows", True, "=SUM(C10:C12)"),
+        ("=A9+$B$11", "rows", False, "=A9+$B$13"), ("=a10+b1", "rows", False, "=A12+B1"), ("=SUM(c8:c14)", "rows", True, "=SUM(C8:C12)"), ("=SUM(c10:c14)", "rows", True, "=SUM(c10:c12)"), ("=A9+$B$10", "rows", True, "=A9+#REF!"), ("=SUM(C8:C$14)", "rows", True, "=SUM(C8:C$12)"), ("=SUM(C10:C11)", "rows", True, "=SUM(#REF!)"), ("=SUM(C11:C14)", "rows", True, "=SUM(C10:C12)"),
         ('="A12"&A12', "rows", False, '="A12"&A14'), ("=Own!A12+own!A12+Other!A12", "rows", False, "=Own!A14+own!A14+Other!A12"), ("='It''s'!A12", "rows", False, "='It''s'!A12"), ("=LOG10(A12)+TAXES2024", "rows", False, "=LOG10(A14)+TAXES2024"),
         ("=J1+K1+L$1", "cols", True, "=#REF!+#REF!+J$1"), ("=I1+J1", "cols", False, "=I1+L1"), ("=A:A+12:12", "rows", False, "=A:A+12:12"), ("=A12.5", "rows", False, "=A14.5"), ('="say ""A12"""', "rows", False, '="say ""A12"""'),
     ],
@@ -58,12 +59,13 @@ def test_new_rows(spark):
     cells = spark.createDataFrame([("S", 5, 1, "x", "bold"), ("S", 5, 2, "=A5*$B$1", ""), ("S", 5, 4, "out", ""), ("S", 4, 1, "above", ""), ("T", 5, 1, "no", "")], "sheet string, row int, col int, text string, style string")
     assert sorted(map(tuple, R.provision_rows(cells, blocks).collect())) == [("S", 6, 1, None, "bold"), ("S", 6, 2, "=A6*$B$1", ""), ("S", 7, 1, None, "bold"), ("S", 7, 2, "=A7*$B$1", "")]
     merges = spark.createDataFrame([("S", "A5:B5"), ("S", "A4:B5"), ("S", "C5:D5"), ("T", "A5:B5")], "sheet string, ref string")
-    assert sorted(r.ref for r in R.replicate_merges(merges, blocks).collect()) == ["A6:B6", "A7:B7"]
+    blocks = blocks.withColumn("block", F.lit(1))
+    assert sorted(r.ref for r in I.new_merges(merges, blocks).collect()) == ["A6:B6", "A7:B7"]
     ranges = [("validation", "A1:A5 F1:F5", "list"), ("validation", "A1:A5", "other"), ("conditional_format", "B5:B5", "cellIs expression"), ("conditional_format", "B5:B5", "top10"), ("table", "A1:C5", ""), ("table", "A1:C4", ""), ("merge", "A1:C5", ""), ("validation", "A1:A9", "list")]
-    got = R.stretch_ranges(spark.createDataFrame([("S", k, "", r, t) for k, r, t in ranges], "sheet string, kind string, name string, ref string, type string"), blocks)
+    got = I.grown_ranges(spark.createDataFrame([("S", k, "", r, t) for k, r, t in ranges], "sheet string, kind string, name string, ref string, type string"), blocks)
     assert {(r.kind, r.ref, r.type, r.to, r.warning) for r in got.collect()} == {
-        ("validation", "A1:A5 F1:F5", "list", "A1:A7 F1:F5", None), ("validation", "A1:A5", "other", None, "UNSUPPORTED_VALIDATION_PROPAGATION"), ("conditional_format", "B5:B5", "cellIs expression", "B5:B7", None),
-        ("conditional_format", "B5:B5", "top10", None, "PRESERVE_WITH_WARNING"), ("table", "A1:C5", "", "A1:C7", None), ("table", "A1:C4", "", None, None), ("merge", "A1:C5", "", None, None), ("validation", "A1:A9", "list", None, None),
+        ("validation", "A1:A5 F1:F5", "list", "A1:A7 F1:F5", None), ("validation", "A1:A5", "other", "A1:A5", "UNSUPPORTED_VALIDATION_PROPAGATION"), ("conditional_format", "B5:B5", "cellIs expression", "B5:B7", None),
+        ("conditional_format", "B5:B5", "top10", "B5:B5", "PRESERVE_WITH_WARNING"), ("table", "A1:C5", "", "A1:C7", None), ("table", "A1:C4", "", "A1:C4", None), ("merge", "A1:C5", "", "A1:C5", None), ("validation", "A1:A9", "list", "A1:A11", None),
     }
 
 
