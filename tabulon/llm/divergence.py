@@ -223,11 +223,11 @@ def _added(least_docs: int):
         rows, limit = 0, 4_000_000
 
         def added(parts):
-            keys = np.concatenate([p[0] for p in parts])
-            keys, at = np.unique(keys, axis=0, return_inverse=True)
-            sums = np.zeros((len(keys), 2), np.int64)
-            np.add.at(sums, at.reshape(-1), np.concatenate([p[1] for p in parts]))
-            return keys, sums
+            keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            sums = [np.zeros(len(keys), np.int64) for _ in range(2)]
+            for k in range(2):
+                np.add.at(sums[k], at, np.concatenate([p[1 + k] for p in parts]))
+            return keys, *sums
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -236,8 +236,10 @@ def _added(least_docs: int):
                 of = [np.array([d.setdefault(x, len(d)) for x in own], np.int64) for d, own in zip((langs, sources), names, strict=True)]
                 ids = np.array([known.setdefault(t, len(known)) for t in strings], np.int64)
                 what = _unsqueeze(row["docs"], "<u4").reshape(-1, 3).astype(np.int64)
-                keys = np.stack([of[0][what[:, 0]], np.repeat(ids, _unsqueeze(row["sizes"], "<u4")), of[1][what[:, 1]]], axis=1)
-                held.append((keys, np.stack([_unsqueeze(row["times"], "<i8"), what[:, 2]], axis=1)))
+                if len(langs) >> 11 or len(known) >> 32 or len(sources) >> 20:
+                    raise ValueError("too many languages, terms of a task or sources for a key of 63 bits")
+                keys = (of[0][what[:, 0]] << 52) | (np.repeat(ids, _unsqueeze(row["sizes"], "<u4")) << 20) | of[1][what[:, 1]]
+                held.append((keys, _unsqueeze(row["times"], "<i8"), what[:, 2]))
                 rows += len(keys)
                 if rows > limit:
                     held = [added(held)]
@@ -245,15 +247,16 @@ def _added(least_docs: int):
                     limit = max(limit, 2 * rows)
         if not held:
             return
-        keys, sums = added(held)
-        new = np.concatenate([[True], (np.diff(keys[:, :2], axis=0) != 0).any(axis=1)])
+        keys, counts, found = added(held)
+        new = np.concatenate([[True], np.diff(keys >> 20) != 0])
         run_ = np.cumsum(new) - 1
-        stays = (np.bincount(run_, weights=sums[:, 1]) >= least_docs)[run_]
+        stays = np.flatnonzero((np.bincount(run_, weights=found) >= least_docs)[run_])
         strings, names = list(known), [list(langs), list(sources)]
-        for a in range(0, int(stays.sum()), 1 << 16):
-            own, n = keys[stays][a : a + (1 << 16)], sums[stays][a : a + (1 << 16), 0]
-            lists = [[names[0][i] for i in own[:, 0].tolist()], [names[1][i] for i in own[:, 2].tolist()], [strings[i].decode() for i in own[:, 1].tolist()]]
-            yield pa.record_batch([*[pa.array(x, pa.string()) for x in lists], pa.array(n)], names=["lang", "source", "term", "n"])
+        for a in range(0, len(stays), 1 << 16):
+            at = stays[a : a + (1 << 16)]
+            own = keys[at]
+            lists = [[names[0][i] for i in (own >> 52).tolist()], [names[1][i] for i in (own & ((1 << 20) - 1)).tolist()], [strings[i].decode() for i in ((own >> 20) & ((1 << 32) - 1)).tolist()]]
+            yield pa.record_batch([*[pa.array(x, pa.string()) for x in lists], pa.array(counts[at])], names=["lang", "source", "term", "n"])
 
     return run
 
