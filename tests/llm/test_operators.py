@@ -279,6 +279,44 @@ def test_scores_against_a_plain_predictive(spark):
         assert got[i] == pytest.approx(want, rel=1e-5)
 
 
+def test_contexts_do_not_depend_on_partitions(spark, monkeypatch):
+    """Words are counted over the whole table: the same contexts whatever the cut, and as a plain count has them."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("text")
+    every = [w for r in docs.collect() for w in words(r.text)]
+    counts = {w: 0 for w in every}
+    for w in every:
+        counts[w] += 1
+    for p in (language_model.ModelParams(), language_model.ModelParams(common=300), language_model.ModelParams(common=10, growth=2.0)):
+        share = max(p.common, round(p.growth * len(every) ** 0.5))
+        want = {""} | {w for w, n in counts.items() if n * share >= len(every)}
+        for cut in (1, 8, 50):
+            assert set(language_model.contexts(docs.repartition(cut), p).words) == want
+    # words that are common in some chunks only lie between the bounds and are counted again
+    p, odd_ones = language_model.ModelParams(common=10, growth=0.0), " ".join(f"x{i}" for i in range(2000))
+    rows = spark.createDataFrame([("rare " * 205,), (odd_ones,)] + [("rare " + " ".join(f"y{i}z{k}" for i in range(40)),) for k in range(3)], "text string")
+    again = []
+    plain = language_model._counted
+    monkeypatch.setattr(language_model, "_counted", lambda share, only=None: again.append(only) or plain(share, only))
+    for cut in (1, 5):
+        assert set(language_model.contexts(rows.repartition(cut), p).words) == ({"", "rare"} if 208 * 10 >= 205 + 2000 + 3 * 41 else {""})
+    assert language_model.contexts(rows.limit(0), p).n == 257
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    """1, 8 and 50 partitions differ by what two seeds differ, not by more."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")
+    held = language_model.every_seventh()
+    found = {}
+    for cut, seed in ((1, 17), (1, 18), (8, 17), (50, 17)):
+        p = language_model.ModelParams(burn_in=1, samples=2, seed=seed)
+        found[cut, seed] = {r.doc_id: r.score for r in language_model.score(language_model.fit(docs.repartition(cut), held, p)).collect()}
+    base = found.pop((1, 17))
+    apart = {k: np.array([abs(v[i] / base[i] - 1) for i in base]) for k, v in found.items()}
+    noise = apart.pop((1, 18))
+    for a in apart.values():
+        assert a.mean() < 2 * noise.mean() + 1e-4 and a.max() < 3 * noise.max() + 1e-3
+
+
 def test_scores_depend_on_the_order_of_words(spark):
     common = "the cat sat on the mat and the dog sat on the rug "
     rows = [(i, common * 6) for i in range(7)] + [(100, "the cat sat on the mat"), (101, "mat the on sat cat the")]
