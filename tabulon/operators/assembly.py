@@ -124,6 +124,20 @@ def locale(formats: DataFrame) -> DataFrame:
     return votes.select(F.when(F.col("comma") > F.col("point"), "comma").when(F.col("point") > F.col("comma"), "point").alias("guess"), "comma", "point")
 
 
+def shows_dates(fmt: Column) -> Column:
+    """Whether a number format shows dates or times: quoted, escaped and bracketed parts don't count, and a # rules it out."""
+    bare = F.regexp_replace(F.lower(F.coalesce(fmt, F.lit(""))), r'"[^"]*"|\\.|\[[^\]]*\]', "")
+    return bare.rlike("[ydhs]") & ~bare.contains("#")
+
+
+def locale_patterns(formats: DataFrame, most: int = 5) -> DataFrame:
+    """format, n, is_date and rank of the number formats of columns, the most frequent first: the first ``most``, and all that show dates."""
+    counts = formats.where("number_format <> ''").groupBy(F.col("number_format").alias("format")).agg(F.count("*").alias("n"))
+    # as many rows as there are different formats
+    ranked = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "format")))
+    return ranked.withColumn("is_date", shows_dates(F.col("format"))).where((F.col("rank") <= most) | F.col("is_date"))
+
+
 def blank_columns(columns: DataFrame, material: Column) -> DataFrame:
     """sheet, n_columns, n_blank: how many columns say nothing (see semantics.is_material): they are counted, never dropped unsaid."""
     return columns.groupBy("sheet").agg(F.count("*").alias("n_columns"), F.count_if(~material).alias("n_blank"))

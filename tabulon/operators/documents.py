@@ -20,18 +20,23 @@ def norm_ref(code: Column) -> Column:
     return F.upper(F.regexp_replace(code, "[-_. ]", ""))
 
 
-def identity(name: Column) -> Column:
-    """struct(code, prefix, revision, date, language) of a file name; an impossible date is null."""
+def identity_parts(name: Column) -> dict[str, Column]:
+    """code, prefix, revision and date of a file name; an impossible date is null."""
     code = F.regexp_extract(name, r"^([A-Z]{2,5}[-_. ]?[0-9]{2,5}[a-z]?)", 1)
     revs = F.regexp_extract_all(name, F.lit(r"(?:^|[-_ ])[Rr](?:ev)?\.?([0-9]{1,3})"), 1)
     dates = F.regexp_extract_all(name, F.lit(r"([0-9]{1,2}\.[0-9]{1,2}\.[0-9]{2,4})"), 1)
     parts = F.split(F.element_at(dates, -1), r"\.")
     year = F.when(F.length(parts[2]) == 2, F.concat(F.lit("20"), parts[2])).otherwise(parts[2])
     made = F.try_to_date(F.concat_ws("-", year, F.lpad(parts[1], 2, "0"), F.lpad(parts[0], 2, "0")), "yyyy-MM-dd")
-    return F.struct(
-        F.when(code != "", norm_ref(code)).alias("code"), F.when(code != "", F.regexp_extract(code, "^[A-Z]+", 0)).alias("prefix"),
-        F.when(F.size(revs) > 0, F.element_at(revs, -1).cast("int")).alias("revision"), F.when(F.size(dates) > 0, made).alias("date"), language(name).alias("language"),
-    )
+    return {
+        "code": F.when(code != "", norm_ref(code)), "prefix": F.when(code != "", F.regexp_extract(code, "^[A-Z]+", 0)),
+        "revision": F.when(F.size(revs) > 0, F.element_at(revs, -1).cast("int")), "date": F.when(F.size(dates) > 0, made),
+    }
+
+
+def identity(name: Column) -> Column:
+    """struct(code, prefix, revision, date, language) of a file name. Where the language isn't asked for, take ``identity_parts``."""
+    return F.struct(*[c.alias(k) for k, c in identity_parts(name).items()], language(name).alias("language"))
 
 
 # Words that tell a language, and the families of documents by prefix.

@@ -10,6 +10,8 @@ from .restructure import range_bounds, range_text
 from .transactions import within_ranges
 
 # Kinds of values that fit each other.
+# Fixed value: characters of a value that a dry run shows.
+PREVIEW = 60
 FITTING = ["exact", "numeric_family", "date_family", "blank_tolerant"]
 COMPARED = {"greaterThan": lambda x, y: x > y, "lessThan": lambda x, y: x < y, "greaterThanOrEqual": lambda x, y: x >= y, "lessThanOrEqual": lambda x, y: x <= y}
 
@@ -122,7 +124,7 @@ def dry_run(mappings: DataFrame, source: DataFrame, validations: DataFrame, merg
     label = F.when(~missing & preserved, "preserved").when(F.col("reason").isNotNull(), "blocked").otherwise("would_write")
     out = cells.withColumn("reason", reason).withColumn("class", label)
     rule = F.coalesce(looks_like_reference(F.col("rule.formula1")), F.lit(False)) & (F.col("class") == "would_write")
-    return out.select("sheet", "row", "col", "source_key", "offset", "class", "reason", F.when(~empty, truncate_text(F.col("value"))).alias("preview"), rule.alias("reference_rule"))
+    return out.select("sheet", "row", "col", "source_key", "offset", "class", "reason", F.when(~empty, F.left("value", F.lit(PREVIEW))).alias("preview"), rule.alias("reference_rule"))
 
 
 def expansion_needs(cells: DataFrame, slots: DataFrame) -> DataFrame:

@@ -28,7 +28,9 @@ KEYWORDS = {
     "currency_symbols": ["$", "eur", "tl", "try", "usd", "¢", "£", "€", "₺"],
 }
 FAMILIES = {"id_words": ("identifier", 20), "date_words": ("date", 25), "percent_symbols": ("percent", 20), "note_words": ("free_text", 20), "currency_symbols": ("currency", 25)}
-FORMAT_HINT, CURRENCY_HINTS = 25, ["₺", "$", "€", "£", "tl", "try", "usd", "eur"]
+FORMAT_HINT, CURRENCY_HINTS = 25, ["₺", "tl", "try", "$", "usd", "€", "eur", "£", "gbp"]
+DATE_HINT = "(?i)y{2,4}|d{1,2}[./-]m{1,2}|m{1,2}[./-]y{2,4}|m{1,4}[./-]d{1,2}"
+FORMAT_UNITS = [("₺", "₺"), ("$", "$"), ("€", "€"), ("%", "%"), ("tl", "₺"), ("try", "₺"), ("usd", "$"), ("eur", "€")]
 IN_INPUT_REGION, VALIDATED, GROUPED_NUMBER = 25, 10, 15
 UNIT_WORDS = {"tl": "₺", "try": "₺", "usd": "$", "eur": "€", "percent": "%", "kg": "kg", "ton": "ton", "price": "$", "totalprice": "$", "retailprice": "$", "acctbal": "$", "extendedprice": "$"}
 
@@ -62,6 +64,24 @@ def load_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return dictionary(spark, found.get("roles", found))
 
 
+def load_rules(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str], dict[str, list[str]]]:
+    """(terms, units, keywords) of a dictionary file: what ``evidence`` and ``unit_guess`` take.
+
+    ``units`` in the file: words by unit; of a word that two units name the first keeps
+    it. ``keywords``: words by family; a family that the file leaves out keeps its
+    built-in words, an unknown one is an error.
+    """
+    found = json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+    units: dict[str, str] = {}
+    for unit, words in (found.get("units") or {}).items():
+        for w in words:
+            units.setdefault(w.casefold(), unit)
+    given = found.get("keywords") or {}
+    if odd := sorted(set(given) - set(KEYWORDS)):
+        raise ValueError(f"unknown families of keywords: {', '.join(odd)}")
+    return dictionary(spark, found.get("roles", {})), units, KEYWORDS | given
+
+
 def dictionary_conflicts(spark: SparkSession, terms: dict[str, list[str]]) -> DataFrame:
     """term, kept, dropped: terms that more than one role names."""
     seen: dict[str, str] = {}
@@ -70,9 +90,8 @@ def dictionary_conflicts(spark: SparkSession, terms: dict[str, list[str]]) -> Da
 
 
 def is_date_format(fmt: Column) -> Column:
-    """Whether a number format shows dates: quoted, escaped and bracketed parts don't count, and a # rules it out."""
-    bare = F.regexp_replace(F.lower(F.coalesce(fmt, F.lit(""))), r'"[^"]*"|\\.|\[[^\]]*\]', "")
-    return bare.rlike("[dyh]|m{2}") & ~bare.contains("#")
+    """Whether a number format shows a date: years, or day and month beside each other."""
+    return F.coalesce(fmt, F.lit("")).rlike(DATE_HINT)
 
 
 def format_hints(fmt: Column) -> Column:
@@ -194,8 +213,20 @@ def label_report(columns: DataFrame) -> DataFrame:
     return out.withColumn("coverage", F.floor(100 * F.col("n_labelled") / F.col("n_columns")).cast("int"))
 
 
-def unit_guess(norm: Column, kind: Column) -> Column:
-    """Unit of a numeric column from a word of its header, else null."""
-    table = F.create_map(*[F.lit(x) for kv in UNIT_WORDS.items() for x in kv])
-    hits = F.filter(F.transform(F.split(norm, " "), lambda w: table[w]), lambda u: u.isNotNull())
-    return F.when(kind.isin("integer", "decimal") & (F.size(hits) > 0), F.element_at(hits, 1))
+def unit_guess(norm: Column, kind: Column, fmt: Column | None = None, units: dict[str, str] | None = None) -> Column:
+    """Unit of a column: of a numeric one by the first word of its header that names one, else by a sign or word in its number format.
+
+    ``units``: unit by word, as ``load_rules`` reads them.
+    """
+    table = F.create_map(*[F.lit(x) for kv in (UNIT_WORDS if units is None else units).items() for x in kv]) if units is None or units else None
+    guess = F.lit(None).cast("string")
+    if table is not None:
+        words = F.split(F.trim(F.regexp_replace(norm, r"[/\-\s]+", " ")), " ")
+        hits = F.filter(F.transform(words, lambda w: F.try_element_at(table, w)), lambda u: u.isNotNull())
+        guess = F.when(kind.isin("integer", "decimal") & (F.size(hits) > 0), F.element_at(hits, 1))
+    if fmt is None:
+        return guess
+    low, shown = F.lower(F.coalesce(fmt, F.lit(""))), F.lit(None).cast("string")
+    for sign, unit in reversed(FORMAT_UNITS):
+        shown = F.when(low.contains(sign), unit).otherwise(shown)
+    return F.coalesce(guess, shown)

@@ -63,7 +63,8 @@ def doc_identity(spark, sf_dir):
 WITH d AS (SELECT o_orderkey, printf('PR%03d', CAST(o_custkey % 200 AS INT)) AS code, CAST(o_orderkey % 12 AS INT) AS revision, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders)
 SELECT code, revision, date, o_orderkey, n_revisions FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY date DESC, revision DESC, o_orderkey) AS k, count(*) OVER (PARTITION BY code) AS n_revisions FROM d) WHERE k = 1""")
 def current_revision(spark, sf_dir):
-    docs = _names(spark, sf_dir).withColumn("i", D.identity(F.col("name"))).select("o_orderkey", "i.code", "i.revision", F.date_format("i.date", "yyyy-MM-dd").alias("date"))
+    part = D.identity_parts(F.col("name"))
+    docs = _names(spark, sf_dir).select("o_orderkey", part["code"].alias("code"), part["revision"].alias("revision"), F.date_format(part["date"], "yyyy-MM-dd").alias("date"))
     return D.current(docs, "code", [F.desc("date"), F.desc("revision"), F.col("o_orderkey")])
 
 

@@ -12,6 +12,7 @@ from ..functions.formulas import intent_confidence, ref_profile
 from ..functions.refs import index_to_col
 from ..operators import formulas as O
 from ..operators.cycles import cycle_groups
+from ..sources.rounds import stored
 from .registry import query, table
 
 #: Column J by sheet number modulo 11 (10: a sheet with formulas along row 5): text with {r} and {n} = r + 1, {m} = r + 2; signature; window.
@@ -74,7 +75,8 @@ _G = f"""{_O}, g AS (SELECT sheet, shape, 'vertical' AS orientation, 8 AS line,
 
 
 def _cells(spark, sf_dir):
-    return O.parsed(_grid(spark, sf_dir))
+    """The grid's formulas with their parse: read once and stored, whatever is derived from them."""
+    return stored(O.parsed(_grid(spark, sf_dir)))
 
 
 @query(f"WITH {_G} SELECT sheet, row, col, signature FROM g")
@@ -144,7 +146,7 @@ def dependency_edges(spark, sf_dir):
     r, low = F.col("row").cast("string"), F.greatest(F.lit(1), F.col("row") - F.col("k")).cast("string")
     d = F.struct(F.lit(4).alias("col"), F.concat(F.lit("=C"), r).alias("text"))
     e = F.struct(F.lit(5).alias("col"), F.concat(F.lit("=SUM(D"), low, F.lit(":D"), r, F.lit(")")).alias("text"))
-    return O.edges(O.parsed(l.select("sheet", "row", F.inline(F.array(d, e)))))
+    return O.edges(stored(O.parsed(l.select("sheet", "row", F.inline(F.array(d, e))))))
 
 
 _RING = """o AS (SELECT 'C' || o_custkey AS sheet, o_orderpriority = '1-URGENT' AS back, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
@@ -162,7 +164,7 @@ def dependency_cycles(spark, sf_dir):
     ahead = F.when(row < F.col("n"), read(row + 1)).when(F.col("n") % 2 == 1, "A1").otherwise("B1")
     text = F.concat(F.lit("="), ahead, F.when(F.col("back") & (row > 3), F.concat(F.lit("+"), read(row - 3))).otherwise(""))
     cells = o.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("sheet"), "row", F.lit(1).alias("col"), text.alias("text"))
-    return cycle_groups(O.edges(O.parsed(cells)))
+    return cycle_groups(O.edges(stored(O.parsed(cells))))
 
 
 @query("SELECT l_orderkey, l_linenumber, '=F' || (l_linenumber + 5) || '*$G$2+SUM(A' || (l_linenumber + 5) || ':A$9)&\"A1\"' AS moved FROM lineitem")

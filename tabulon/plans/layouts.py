@@ -11,6 +11,8 @@ from ..operators import matching as M
 from ..operators import profile as P
 from ..operators import semantics as K
 from ..operators import transactions as X
+from ..operators.report import match_report as match
+from ..sources.rounds import stored
 from .registry import query, table
 
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
@@ -142,6 +144,69 @@ def sheet_pairing(spark, sf_dir):
     return o.groupBy("sheet").agg(F.min(F.struct((-F.col("overlap")).alias("n"), "other")).alias("x")).select("sheet", "x.other", (-F.col("x.n")).alias("overlap"))
 
 
+#: (sheet, the table whose columns it has) of a template and of an instance, in order.
+BOOKS = {"t": [("customer", "customer"), ("supplier", "supplier"), ("nation", "nation"), ("orders", "orders"), ("region", "region")], "i": [("customer", "supplier"), ("places", "region"), ("sales", "orders"), ("extra", "part")]}
+_BOOK = lambda k: "(VALUES " + ", ".join(f"({n}, '{s}', '{t}')" for n, (s, t) in enumerate(BOOKS[k])) + f") {k}(pos, sheet, src)"
+_OPEN = lambda k: f"SELECT * FROM {_BOOK(k)} WHERE sheet NOT IN (SELECT sheet FROM {_BOOK('i' if k == 't' else 't')})"
+_SHEET_PAIRS = f"""hd AS ({_COLUMNS}), ot AS ({_OPEN("t")}), oi AS ({_OPEN("i")}),
+ov AS (SELECT ot.pos AS tp, oi.pos AS ip, count(*) AS overlap FROM ot JOIN hd a ON a.sheet = ot.src JOIN hd b ON b.norm = a.norm JOIN oi ON oi.src = b.sheet GROUP BY 1, 2),
+st AS (SELECT pos, row_number() OVER (ORDER BY pos) AS k FROM ot),
+sw AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS INT) AS tp, CAST(NULL AS INT) AS ip, CAST(NULL AS BIGINT) AS overlap, CAST([] AS INT[]) AS used
+  UNION ALL SELECT st.k, st.pos, f.x[1].ip, f.x[1].overlap, CASE WHEN f.x[1].ip IS NULL THEN w.used ELSE list_append(w.used, f.x[1].ip) END FROM sw w JOIN st ON st.k = w.k + 1,
+  LATERAL (SELECT list({{'overlap': ov.overlap, 'ip': ov.ip}} ORDER BY ov.overlap DESC, ov.ip) AS x FROM ov WHERE ov.tp = st.pos AND NOT list_contains(w.used, ov.ip)) f),
+sp AS (SELECT t.sheet AS t_sheet, i.sheet AS i_sheet, t.src AS t, i.src AS i, 'name' AS how FROM {_BOOK("t")} JOIN {_BOOK("i")} ON i.sheet = t.sheet
+  UNION ALL SELECT t.sheet, i.sheet, t.src, i.src, CASE WHEN i.sheet IS NOT NULL THEN 'headers' END FROM sw JOIN {_BOOK("t")} ON t.pos = sw.tp LEFT JOIN {_BOOK("i")} ON i.pos = sw.ip WHERE k > 0),
+spairs AS (SELECT t_sheet AS pair, t, i FROM sp WHERE i IS NOT NULL)"""
+_REPORT = f"""{_SHEET_PAIRS}, {_GREEDY.replace(_PAIRS, "spairs pairs")},
+sz AS (SELECT sheet, count(*) AS width, max(n_cells) AS height FROM hd GROUP BY 1),
+cs AS (SELECT pair, CAST(floor(100 * count(i_col) / count(*)) AS INT) AS column_score, bool_or(coalesce(score - second_score < 10, false)) AS near FROM matched GROUP BY 1),
+rp AS (SELECT t_sheet, i_sheet, how, CASE WHEN a.height >= 1000 AND b.height < 1000 THEN 66 ELSE 100 END AS region_score, column_score,
+    CAST(100 - floor(100 * abs(a.width - b.width) / (a.width + b.width)) AS INT) AS formula_score, CASE WHEN t_sheet = i_sheet THEN 100 ELSE 91 END AS structural_score, near
+  FROM sp JOIN sz a ON a.sheet = t JOIN sz b ON b.sheet = i JOIN cs ON cs.pair = t_sheet)"""
+
+
+def _books(spark, sf_dir):
+    """Both workbooks: columns with roles; formulas by kind, as many as columns; a header, a body and, for 1,000 rows or more, totals."""
+    labelled, out = stored(_labelled(spark, sf_dir)), []
+    for k in ("t", "i"):
+        book = spark.createDataFrame([("A>B", s, n, t) for n, (s, t) in enumerate(BOOKS[k])], "match string, sheet string, pos int, src string")
+        columns = labelled.withColumnRenamed("sheet", "src").join(F.broadcast(book), "src").drop("src", "pos")
+        size = columns.groupBy("match", "sheet").agg(F.count("*").alias("width"), F.max("n_cells").cast("int").alias("height"))
+        region = lambda n, kind, a, b: F.struct(F.lit(n).alias("region"), F.lit(kind).alias("type"), a.alias("first_row"), b.alias("last_row"))
+        rows = F.col("height")
+        parts = F.array(region(0, "header", F.lit(1), F.lit(1)), region(1, "body", F.lit(2), rows + 1), region(2, "totals", rows + 2, rows + 2))
+        regions = size.select("match", "sheet", F.inline(F.filter(parts, lambda r: (r["region"] < 2) | (F.col("height") >= 1000))))
+        texts = lambda *x: F.array(*x).cast("array<string>")
+        layout = {"merges": texts(F.lit("A1:B1")), "tables": texts(F.col("sheet")), "validations": texts(), "freeze": F.lit("A2"), "filter": F.lit(None).cast("string"), "hidden": F.lit("")}
+        sheets = book.join(size, ["match", "sheet"]).select("match", "sheet", "pos", F.create_map(F.lit("direct_sum"), "width").alias("kinds"), *[c.alias(n) for n, c in layout.items()])
+        out.append({"sheets": sheets, "columns": columns, "regions": regions})
+    return out
+
+
+@query(f"""WITH RECURSIVE {_REPORT}
+SELECT t_sheet, i_sheet, how, region_score, column_score, formula_score, structural_score, CAST(round_even(column_score * 0.40 + region_score * 0.25 + structural_score * 0.20 + formula_score * 0.15, 0) AS INT) AS pair_score FROM rp
+UNION ALL SELECT t_sheet, NULL, NULL, 0, 0, 0, 0, 0 FROM sp WHERE i_sheet IS NULL""")
+def match_report(spark, sf_dir):
+    """Two workbooks made of the given tables: paired sheets with the parts of their score, the one without a counterpart too."""
+    return match(*_books(spark, sf_dir)).sheets.select("t_sheet", "i_sheet", "how", "region_score", "column_score", "formula_score", "structural_score", "pair_score")
+
+
+@query(f"""WITH RECURSIVE {_REPORT}, taken AS (SELECT sp.i_sheet, m.i_col FROM matched m JOIN sp ON sp.t_sheet = m.pair WHERE m.i_col IS NOT NULL)
+SELECT sp.i_sheet AS sheet, 'extra column' AS what, h.col AS number FROM sp JOIN hd h ON h.sheet = sp.i WHERE NOT EXISTS (SELECT 1 FROM taken WHERE taken.i_sheet = sp.i_sheet AND taken.i_col = h.col)
+UNION ALL SELECT sp.i_sheet, 'extra region', 2 FROM sp JOIN sz a ON a.sheet = t JOIN sz b ON b.sheet = i WHERE a.height < 1000 AND b.height >= 1000
+UNION ALL SELECT i.sheet, 'extra sheet', NULL FROM {_BOOK("i")} WHERE i.sheet NOT IN (SELECT i_sheet FROM sp WHERE i_sheet IS NOT NULL)
+UNION ALL SELECT pair, 'unmatched column', t_col FROM matched WHERE i_col IS NULL
+UNION ALL SELECT t_sheet, 'unmatched region', 2 FROM sp JOIN sz a ON a.sheet = t JOIN sz b ON b.sheet = i WHERE a.height >= 1000 AND b.height < 1000
+UNION ALL SELECT pair, 'conflict value_kind', m.t_col FROM matched m JOIN sp ON sp.t_sheet = m.pair JOIN hd a ON a.sheet = sp.t AND a.col = m.t_col JOIN hd b ON b.sheet = sp.i AND b.col = m.i_col WHERE a.type <> b.type""")
+def match_leftovers(spark, sf_dir):
+    """What the same two workbooks don't share, and where matched columns differ in kind."""
+    r = match(*_books(spark, sf_dir))
+    part = lambda df, sheet, what, number: df.select(F.col(sheet).alias("sheet"), what.alias("what"), F.col(number).cast("int").alias("number"))
+    rows = [part(r.extras, "i_sheet", F.concat(F.lit("extra "), "kind"), "number"), part(r.columns.where("i_col is null"), "t_sheet", F.lit("unmatched column"), "t_col")]
+    rows += [part(r.regions.where("i_region is null"), "t_sheet", F.lit("unmatched region"), "t_region"), part(r.conflicts, "t_sheet", F.concat(F.lit("conflict "), "kind"), "t_col")]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
 @query(f"""WITH {_ROLES} SELECT sheet || '.' || col AS subject, role, score, CASE WHEN length(sheet) % 2 = 0 AND col % 2 = 0 THEN 'accepted' WHEN length(sheet) % 2 = 0 AND col % 3 = 0 THEN 'rejected' ELSE 'pending' END AS state FROM roles WHERE requires_review OR level = 'LOW'""")
 def review_overlay(spark, sf_dir):
     roles = _roles(spark, sf_dir).withColumn("subject", F.concat_ws(".", "sheet", F.col("col").cast("string")))

@@ -165,7 +165,7 @@ def _dry(spark, sf_dir):
     return L.dry_run(mappings, source, validations, merges)
 
 
-@query(f"""{_DRY} SELECT sheet, row, col, source_key, "offset", class, reason, CASE WHEN NOT {_EMPTY} THEN CASE WHEN length(value) > 60 THEN left(value, 57) || '...' ELSE value END END AS preview,
+@query(f"""{_DRY} SELECT sheet, row, col, source_key, "offset", class, reason, CASE WHEN NOT {_EMPTY} THEN left(value, 60) END AS preview,
   class = 'would_write' AND col = 6 AND row BETWEEN 100 AND 300 AS reference_rule FROM x""")
 def dry_run_partition(spark, sf_dir):
     """What a fill of sheets with documents and their labels would do to each cell."""
