@@ -293,13 +293,16 @@ def _pairs(batches):
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = batch.column("lang").dictionary_encode()
-        p, codes = batch.column("p"), langs.indices.to_numpy()
+        codes = langs.indices.to_numpy()
         for k, lang in enumerate(langs.dictionary.to_pylist()):
-            own = p.take(pa.array(np.flatnonzero(codes == k)))
-            n = len(own[0])
+            rows = pa.array(np.flatnonzero(codes == k))
+            places, p = batch.column("places").take(rows), batch.column("p").take(rows)
+            none = batch.column("none").take(rows[:1]).flatten().to_numpy()
+            n = len(none)
             if lang not in sums:
                 sums[lang] = np.zeros((n, n), np.int64)
-            table = own.flatten().to_numpy().reshape(-1, n)
+            table = np.repeat(none[None], len(rows), axis=0)
+            table[np.repeat(np.arange(len(rows)), np.diff(places.offsets.to_numpy())), places.flatten().to_numpy()] = p.flatten().to_numpy()
             for i in range(n - 1):
                 a, b = table[:, i : i + 1], table[:, i + 1 :]
                 sums[lang][i, i + 1 :] += ((a - b) ** 2 // (a + b)).sum(axis=0)
@@ -330,24 +333,24 @@ def source_divergence(docs: DataFrame, least_docs: int = 10, terms_each: int = 1
         totals = terms.select("lang", F.explode("own").alias("x")).groupBy("lang", F.col("x.source").alias("source")).agg(F.sum("x.n").alias("n"))
         whole = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("q_n").alias("q_total"))
         rows = groups.join(totals, ["lang", "source"], "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"))
-        # a row for each language, with all its sources in code-point order
-        langs = rows.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("sources"))
-        langs = store(langs.join(whole, "lang", "left").select("lang", "sources", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("q_total", F.lit(0)).alias("q_total")), "languages")
-
-        wide = terms.join(langs, "lang")
-        of = F.map_from_entries("own")
-        p = F.transform("sources", lambda s: probability(F.coalesce(F.element_at(of, s["source"]), F.lit(0)), s["n"], F.col("v")))
-        sums = wide.select("lang", p.alias("p")).mapInArrow(tidy(_pairs), "lang string, i int, j int, value long").groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
+        rows = rows.join(whole, "lang", "left").select("lang", "source", "n", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("q_total", F.lit(0)).alias("q_total"))
+        place = Window.partitionBy("lang").orderBy("source")
+        rows = store(rows.withColumn("place", F.row_number().over(place) - 1), "sources")
+        # a row for each language, with all its sources in code-point order, and what each gives a term that it doesn't use
+        entry = F.array_sort(F.collect_list(F.struct("place", "source", F.when(F.col("v") > 0, probability(F.lit(0), F.col("n"), F.col("v"))).alias("p"))))
+        langs = store(rows.groupBy("lang").agg(entry.alias("sources")), "languages")
+
+        each = terms.select("lang", "term", "q_n", F.explode("own").alias("x")).select("lang", "term", "q_n", "x.source", F.col("x.n").alias("own_n")).join(rows, ["lang", "source"])
+        each = each.select("lang", "source", "term", "place", probability(F.col("own_n"), F.col("n"), F.col("v")).alias("p"), probability(F.col("q_n"), F.col("q_total"), F.col("v")).alias("q"))
+        used = each.groupBy("lang", "term").agg(F.collect_list("place").alias("places"), F.collect_list("p").alias("p"))
+        used = used.join(langs.select("lang", F.col("sources.p").alias("none")), "lang").select("lang", "places", "p", "none")
+        sums = used.mapInArrow(tidy(_pairs), "lang string, i int, j int, value long").groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
         both = langs.select("lang", F.posexplode("sources.source").alias("i", "source"), F.col("sources.source").alias("others")).select("lang", "i", "source", F.posexplode("others").alias("j", "item")).where("i <> j")
         low, high = F.least("i", "j"), F.greatest("i", "j")
         pair = both.withColumns({"low": low, "high": high}).join(sums.select("lang", F.col("i").alias("low"), F.col("j").alias("high"), "value"), ["lang", "low", "high"], "left")
         pair = pair.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value"))
 
-        entries = F.map_from_entries("sources")
-        used = F.transform("own", lambda x: F.struct(x["source"], x["n"], F.element_at(entries, x["source"]).alias("total")))
-        each = wide.select("lang", "term", probability(F.col("q_n"), F.col("q_total"), F.col("v")).alias("q"), "v", F.explode(used).alias("x"))
-        each = each.select("lang", "x.source", "term", "q", probability(F.col("x.n"), F.col("x.total"), F.col("v")).alias("p")).where("p > q")
-        term = each.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.call_function("div", (F.col("p") - F.col("q")) * (F.col("p") - F.col("q")), F.col("p") + F.col("q")).alias("value"))
+        term = each.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.call_function("div", (F.col("p") - F.col("q")) * (F.col("p") - F.col("q")), F.col("p") + F.col("q")).alias("value"))
 
         order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
         pair = pair.withColumn("rank", F.row_number().over(order))
