@@ -149,7 +149,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, p: IndexParams
     counted = coded.groupBy("cell").count().toArrow()
     counts = np.zeros(len(index.first) * len(index.second), np.int64)
     counts[counted["cell"].to_numpy()] = counted["count"].to_numpy()
-    enough = int(np.ceil(index.share * counts.sum()))
+    enough = max(k + 1, int(np.ceil(index.share * counts.sum())))
     # cells in order fill blocks; one that is larger than a block has blocks of its own
     first, many, block, room = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, p.block
     for c in np.flatnonzero(counts):
