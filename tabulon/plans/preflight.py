@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.preflight import preflight
+from ..sources.schemas import problems, schema_rows
 from .registry import query, table
 
 _PLAN = "CAST(100000000000 + o_orderkey AS VARCHAR)"
@@ -47,3 +48,22 @@ def preflight_blockers(spark, sf_dir):
     }
     source = lines.where(~((n == 5) & (F.col("l_orderkey") % 2 == 0))).select("plan", F.lit("K").alias("source_key"), (n - 1).cast("long").alias("offset"), F.col("text").alias("value"))
     return preflight(plans, lists, writes, live, source)
+
+
+#: A specification with cells: (schema, key, required, type, child, many).
+SPEC = [("spec", "name", True, "str", None, False), ("spec", "size", False, "int", None, False), ("spec", "cells", True, "list", "cell", True), ("cell", "at", True, "str", None, False)]
+
+
+@query("""WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS path, c_custkey AS k FROM customer)
+SELECT path, 'name' AS at, 'SPEC_INVALID' AS code, 'required key present' AS expected, 'missing' AS actual, CAST(NULL AS VARCHAR) AS nearest FROM c WHERE k % 5 = 0
+UNION ALL SELECT path, 'size', 'SPEC_INVALID', 'int', CASE WHEN k % 3 = 1 THEN 'str' ELSE 'bool' END, NULL FROM c WHERE k % 3 > 0
+UNION ALL SELECT path, 'cells[1].at', 'SPEC_INVALID', CASE WHEN k % 4 = 0 THEN 'required key present' ELSE 'str' END, CASE WHEN k % 4 = 0 THEN 'missing' ELSE 'int' END, NULL FROM c
+UNION ALL SELECT path, 'cells[1].att', 'SPEC_UNKNOWN_KEY', 'known key', 'unknown key (int)', 'at' FROM c WHERE k % 4 = 0""")
+def spec_problems(spark, sf_dir):
+    """What is wrong with a specification for each customer."""
+    k = F.col("c_custkey")
+    name = F.when(k % 5 == 0, "").otherwise('"name": "x", ')
+    size = F.when(k % 3 == 0, "1").when(k % 3 == 1, '"x"').otherwise("true")
+    text = F.concat(F.lit("{"), name, F.lit('"size": '), size, F.lit(', "cells": [{"at": "A1"}, {"'), F.when(k % 4 == 0, "att").otherwise("at"), F.lit('": 5}]}'))
+    docs = table(spark, sf_dir, "customer").select(k.cast("string").alias("path"), F.try_parse_json(text).alias("value"))
+    return problems(docs, schema_rows(spark, SPEC), "spec", strict=True)
