@@ -42,7 +42,11 @@ STEP = 1 << 15
 
 @dataclass(frozen=True)
 class PassageParams:
-    """Bands of two minima: at similarity 0.8 the chance to miss a pair of paragraphs is (1 - 0.8^2)^6, 0.002."""
+    """Bands of two minima: of paragraphs with one anchor the chance to miss a pair at similarity 0.8 is (1 - 0.8^2)^6, 0.002.
+
+    Band keys hold the anchor: paragraphs that begin differently never collide,
+    however alike they are. A passage holds several, of which one is enough.
+    """
 
     min_words: int = 50
     minhash: MinHashParams = field(default_factory=lambda: MinHashParams(shingle=5, bands=6, rows=2))
