@@ -1,4 +1,4 @@
-"""Families of formulas, their windows, the dependency graph and gated synthesis."""
+"""Families of formulas, their windows and the dependency graph."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.formulas import copy_down, intent, parse_formula
+from ..functions.formulas import intent, parse_formula
 from .sequence import runs
 from .transactions import as_of, within_ranges
 
@@ -146,31 +146,3 @@ def engine_report(found: DataFrame, assigned: DataFrame, edges_: DataFrame | Non
         parts.append(count(edges_, "edges", "kind"))
         parts.append(edges_.agg(F.count_if(cross).alias("n")).select(F.lit("edges").alias("metric"), F.lit("cross_sheet").alias("key"), "n"))
     return reduce(DataFrame.unionByName, parts)
-
-
-def synthesis(targets: DataFrame, families_: DataFrame, texts: DataFrame) -> DataFrame:
-    """For each target cell the nearest vertical family above in its column, and the copied formula or the code that blocks it.
-
-    ``targets``: sheet, row, col, has_formula (null if unknown). ``families_``: sheet, line, end, members,
-    confidence, window, eligible, signature, as families() gives them. ``texts``: sheet, row, col, text of the families' last members.
-    """
-    f = families_.select("sheet", F.col("line").alias("col"), F.col("end").alias("family_end"), "members", "confidence", "window", "eligible", F.col("signature").alias("family"))
-    near = targets.join(f, ["sheet", "col"], "left").where("family_end is null or family_end < row")
-    order = Window.partitionBy("sheet", "row", "col").orderBy(F.col("row") - F.col("family_end"), F.desc("members"), "family")
-    best = near.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
-    best = targets.join(best.drop("has_formula"), ["sheet", "row", "col"], "left")
-    best = best.join(texts.select("sheet", "col", F.col("row").alias("family_end"), "text"), ["sheet", "col", "family_end"], "left")
-    best = best.withColumn("formula", copy_down(F.col("text"), F.coalesce(F.col("row") - F.col("family_end"), F.lit(0))))
-    again = parse_formula(F.col("formula"), F.col("row"), F.col("col"))["signature"]
-    code = (
-        F.when(F.col("family_end").isNull(), "NO_SOURCE_FAMILY")
-        .when(F.col("confidence") != "HIGH", "FAMILY_CONFIDENCE_BELOW_HIGH")
-        .when(~F.col("eligible"), "FAMILY_UNSUPPORTED_CONSTRUCT")
-        .when(F.col("window") == "UNKNOWN_WINDOW", "WINDOW_PATTERN_NOT_DETERMINISTIC")
-        .when(F.col("has_formula").isNull(), "TARGET_STATE_UNKNOWN")
-        .when(F.col("has_formula"), "TARGET_ALREADY_FORMULA")
-        .when(F.col("text").isNull(), "SOURCE_TEXT_UNAVAILABLE")
-        .when(again != F.col("family"), "REFERENCE_TRANSLATION_MISMATCH")
-    )
-    out = best.withColumn("blocked", code)
-    return out.select("sheet", "row", "col", "family_end", "blocked", F.when(F.col("blocked").isNull(), F.col("formula")).alias("formula"))

@@ -136,18 +136,6 @@ def test_canonical_cycle(spark):
     assert [r[0] for r in df.select(O.canonical_cycle(F.col("n"))).collect()] == [["a", "b", "c"], ["a"], []]
 
 
-def test_synthesis_gates(spark):
-    cells = down("=B{r}-C{r}", range(2, 6)) | down("=B{r}-C{r}", range(2, 4), sheet="Short") | down("=INDIRECT(B{r})", range(2, 6), sheet="Late") | down("=MAX(B{r}:B$90)", range(2, 6), sheet="Odd")
-    e = entries(spark, cells)
-    f, _ = O.families(O.family_cells(e))
-    targets = spark.createDataFrame([(s, 9, 4, False) for s in (*cells, "None")] + [("Ledger", 10, 4, True), ("Ledger", 11, 4, None)], "sheet string, row int, col int, has_formula boolean")
-    got = {(r.sheet, r.row): (r.blocked, r.formula) for r in O.synthesis(targets, f, e).collect()}
-    assert got == {
-        ("Ledger", 9): (None, "=B9-C9"), ("Short", 9): ("FAMILY_CONFIDENCE_BELOW_HIGH", None), ("Late", 9): ("FAMILY_UNSUPPORTED_CONSTRUCT", None), ("Odd", 9): ("WINDOW_PATTERN_NOT_DETERMINISTIC", None),
-        ("None", 9): ("NO_SOURCE_FAMILY", None), ("Ledger", 10): ("TARGET_ALREADY_FORMULA", None), ("Ledger", 11): ("TARGET_STATE_UNKNOWN", None),
-    }
-
-
 def test_target_states(spark):
     cells = spark.createDataFrame([("S", 1, 1, "formula"), ("S", 2, 1, "integer"), ("S", 3, 1, "blank")], "sheet string, row int, col int, kind string")
     targets = spark.createDataFrame([("S", r, 1) for r in (1, 2, 3, 4)] + [("none", 1, 1)], "sheet string, row int, col int")
