@@ -74,24 +74,35 @@ def compiled() -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
     return known, sorted(rules, key=lambda r: (-len(r[1]), r))
 
 
+def stretches(known: dict[str, str]) -> str:
+    """A pattern of the known sentences, longest first, over normalised lines that two line ends part, each broken anywhere between words."""
+    longest = sorted(known, key=lambda x: (-len(x), x))
+    return "(?:^|\n)(" + "|".join(x.replace(" ", "(?: |\n\n)") for x in longest) + ")(?:\n|$)"
+
+
 def scan_licences(docs: DataFrame, text: str | Column = "text") -> DataFrame:
     """The rows of ``docs`` with sentence_ids and licences (arrays) in place of the other columns but doc_id.
 
     sentence_ids: what was recognised, in order. licences: the rules that match,
     one entry for each match, sorted. A sentence that spans lines is looked up
-    whole and, where it is not known, line by line. Null and empty texts have
-    empty arrays; a sentence that repeats counts each time.
+    whole and, where it is not known, as any lines in sequence within it, the
+    longest first: wording below a copyright line is found however it is wrapped
+    or marked as a comment. Null and empty texts have empty arrays; a sentence
+    that repeats counts each time, a row that repeats is scanned each time, and
+    long texts are scanned whole, in time that grows with their length.
     """
     known, rules = compiled()
     least = min(map(len, known))
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    none = F.array().cast("array<string>")
+    none, pattern = F.array().cast("array<string>"), stretches(known)
 
     def look(s: Column) -> Column:
         return table[F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))]
 
     def lines(s: Column) -> Column:
-        return F.filter(F.transform(F.split(s, "\n"), look), lambda x: x.isNotNull())
+        flat = F.regexp_replace(F.regexp_replace(F.lower(s), "[^a-z0-9\n]+", " "), " ?\n[ \n]*", "\n\n")
+        bare = F.trim(flat, F.lit(" \n"))
+        return F.transform(F.regexp_extract_all(bare, F.lit(pattern), F.lit(1)), lambda x: table[F.replace(x, F.lit("\n\n"), F.lit(" "))])
 
     def ids(s: Column) -> Column:
         whole = look(s)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import language_model
 from .common import text_table
 from .divergence import source_divergence
-from .licences import END, HINT, MARK, compiled, scan_licences
+from .licences import END, HINT, MARK, compiled, scan_licences, stretches
 from .media import media_columns
 from .mixing import mix
 from .neardup import MinHashParams, document_components, repeated_paragraphs
@@ -233,7 +233,8 @@ def _licence_sql() -> str:
     unit AS (SELECT doc_id, i, s[i] AS s, {look.format("s[i]")} AS whole FROM one WHERE regexp_matches(s[i], '{HINT}')),
     line AS (SELECT doc_id, i, 0 AS j, whole AS id FROM unit WHERE whole IS NOT NULL
              UNION ALL
-             SELECT doc_id, i, j, {look.format("string_split(s, chr(10))[j]")} FROM (SELECT *, generate_subscripts(string_split(s, chr(10)), 1) AS j FROM unit WHERE whole IS NULL AND contains(s, chr(10)))),
+             SELECT doc_id, i, j, (SELECT m FROM known)[replace(x[j], chr(10) || chr(10), ' ')] FROM (SELECT *, generate_subscripts(x, 1) AS j FROM (SELECT doc_id, i, regexp_extract_all(
+               trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9\n]+', ' ', 'g'), ' ?\n[ \n]*', chr(10) || chr(10), 'g'), ' ' || chr(10)), '{stretches(known)}', 1) AS x FROM unit WHERE whole IS NULL AND contains(s, chr(10))))),
     ids AS (SELECT doc_id, list(id ORDER BY i, j) AS ids FROM line WHERE id IS NOT NULL GROUP BY doc_id),
     r0 AS (SELECT d.doc_id, coalesce(ids, []) AS ids, CAST([] AS VARCHAR[]) AS l,
                   coalesce(array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''), '') AS rest FROM documents d LEFT JOIN ids USING (doc_id)),

@@ -391,6 +391,10 @@ def test_licences(spark, odd, none):
     got = {r.doc_id: r.licences for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ["MIT"], 2: ["MIT"], 3: ["CC-BY-NC-4.0", "MIT"], 4: [], 5: ["Apache-2.0"]}
     assert all(re.search(licences.HINT, s) for s in licences.compiled()[0])
+    wrapped = re.sub(r"((?:\S+ ){7})", r"\1\n", mit)
+    lines = [(1, f"Copyright (c) 2020 Someone\n{wrapped}"), (2, "\n".join(f"# {x}" for x in ("Copyright 2020 Someone", *wrapped.split("\n")))), (3, "Words\nReleased under CC0 1.0\r\n\tAll rights\n  reserved"), (4, "Words\nnot all rights\nreserved"), (5, "Words\nLicensed under CC BY\n4.0 or else\nmore" + "\nall rights" * 20000)]
+    got = {r.doc_id: r.licences for r in licences.scan_licences(spark.createDataFrame(lines, "doc_id long, text string")).collect()}
+    assert got == {1: ["MIT"], 2: ["MIT"], 3: ["CC0-1.0", "Proprietary"], 4: [], 5: []}
     assert licences.scan_licences(odd).count() == 12 and licences.scan_licences(none).count() == 0
 
 
