@@ -50,13 +50,15 @@ def fingerprint(df: DataFrame, keys: list[str], *parts: Column) -> DataFrame:
 def idempotency(requests: DataFrame, ledger: DataFrame) -> DataFrame:
     """What the ledger says of each (plan, region, region_empty): first_run, already_applied, safe_to_reapply or conflict.
 
-    Only committed records are evidence.
+    Only committed records are evidence. A null region was never applied, and one not known to be empty is not. Records
+    are counted by plan and region first: a plan of any number of regions is never one row.
     """
-    done = ledger.where("status = 'committed'").groupBy("plan").agg(F.collect_set("region").alias("regions"), F.count("*").alias("n_committed"))
-    joined = requests.join(done, "plan", "left")
+    per = ledger.where("status = 'committed'").groupBy("plan", "region").agg(F.count("*").alias("n"))
+    done = per.groupBy("plan").agg(F.sum("n").alias("n_committed"))
+    joined = requests.join(done, "plan", "left").join(per.select("plan", "region", F.lit(True).alias("applied")), ["plan", "region"], "left")
     state = (
         F.when(F.col("n_committed").isNull(), "first_run")
-        .when(F.array_contains("regions", F.col("region")), "already_applied")
+        .when(F.col("applied"), "already_applied")
         .when(F.col("region_empty"), "safe_to_reapply")
         .otherwise("conflict")
     )
