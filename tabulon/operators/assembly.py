@@ -200,6 +200,16 @@ def targets(columns: DataFrame, blocks_: DataFrame, slots: DataFrame) -> DataFra
     return out.select(*columns.columns, index_to_col(F.col("col")).alias("letter"), F.when(F.coalesce(block, F.lit(False)), "row_block").otherwise("scalar").alias("mode"), F.coalesce("b.block_row", "s.r0").alias("anchor_row"), F.col("b.block_id").alias("block_id"), F.col("s.ref").alias("slot"))
 
 
+def located(wanted: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """wanted with what a profile knows of it and ``found``: blocks by sheet and block_id, columns by sheet and letter.
+
+    Each row of wanted stays once; of several known rows with one key the least counts. A null key is not found.
+    """
+    rest = [c for c in known.columns if c not in keys]
+    one = known.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("x")).select(*keys, F.lit(True).alias("found"), "x.*")
+    return wanted.join(one, keys, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def newest(ledger: DataFrame, plan: str, region: str | None = None) -> DataFrame:
     """The newest committed record of a plan, and of a region if one is given, by ``seq``: one row or none."""
     own = ledger.where((F.col("status") == "committed") & (F.col("plan") == plan))

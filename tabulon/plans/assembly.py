@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.refs import index_to_col
 from ..operators import assembly as A
 from ..operators import documents as D
 from .registry import query, table
@@ -41,6 +42,17 @@ def column_regions(spark, sf_dir):
     return A.column_regions(_rows(spark, sf_dir), _regions(spark, sf_dir))
 
 
+@query(f"""WITH r AS ({_ROWS}), c AS (SELECT sheet, unnest(range(a, b + 1)) AS col, {_TYPE} AS type, 100 * ((row - 1) // 100) + 1 AS start FROM r WHERE nonempty > 0),
+n AS (SELECT sheet, col, type, count(*) AS n, min(start) AS start FROM c GROUP BY 1, 2, 3), k AS (SELECT sheet, chr(CAST(64 + col AS INT)) AS letter, arg_min(type, (-n, start)) AS region FROM n GROUP BY 1, 2),
+w AS (SELECT DISTINCT 'O' || CAST(o_orderkey // 500 AS VARCHAR) AS sheet, chr(CAST(65 + o_custkey % 12 AS INT)) AS letter FROM orders)
+SELECT w.sheet, w.letter, k.sheet IS NOT NULL AS found, region FROM w LEFT JOIN k ON k.sheet = w.sheet AND k.letter = w.letter""")
+def located_columns(spark, sf_dir):
+    """Columns that are asked for by letter, with the region that each is known by."""
+    asked = table(spark, sf_dir, "orders").select(F.concat(F.lit("O"), F.floor(F.col("o_orderkey") / 500).cast("string")).alias("sheet"), index_to_col((F.col("o_custkey") % 12 + 1).cast("int")).alias("letter")).distinct()
+    known = A.column_regions(_rows(spark, sf_dir), _regions(spark, sf_dir)).select("sheet", index_to_col(F.col("col")).alias("letter"), "region")
+    return A.located(asked, known, ["sheet", "letter"])
+
+
 @query(f"""WITH r AS ({_ROWS}), s AS (SELECT sheet, 50 * ((row - 1) // 50) + 1 AS first_row, min(CASE WHEN nonempty > 0 THEN a END) AS min_col, max(CASE WHEN nonempty > 0 THEN b END) AS max_col FROM r GROUP BY 1, 2),
 e AS (SELECT DISTINCT sheet, unnest(range(1, 500, 50)) AS first_row FROM r)
 SELECT e.sheet, CAST(e.first_row AS INT) AS first_row, coalesce(max_col, 0) AS width, min_col, CASE WHEN min_col IS NOT NULL THEN chr(64 + min_col) || e.first_row || ':' || chr(64 + max_col) || (e.first_row + 49) END AS ref FROM e LEFT JOIN s USING (sheet, first_row)""")

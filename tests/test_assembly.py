@@ -84,6 +84,13 @@ def test_blocks_and_targets(spark):
     assert A.newest(ledger, "p").first().seq == 2 and A.newest(ledger, "p", "r1").first().seq == 1 and A.newest(ledger, "x").count() == 0
 
 
+def test_located(spark):
+    found = A.blocks(regions(spark), spark.createDataFrame([("S", 1, 60, 0)], "sheet string, col int, score int, duplicates int")).select("sheet", "block_id", "archetype", "ref")
+    wanted = spark.createDataFrame([("S", "b3", 1), ("S", "b9", 2), ("T", "b3", 3), ("S", None, 4), ("S", "b3", 5)], "sheet string, block_id string, n int")
+    assert rows_of(A.located(wanted, found.union(found), ["sheet", "block_id"]).select("n", "found", "ref")) == {(1, True, "A4:C6"), (2, False, None), (3, False, None), (4, False, None), (5, True, "A4:C6")}
+    assert A.located(wanted, found.where("false"), ["sheet", "block_id"]).where("found").count() == 0
+
+
 def test_words_of_documents(spark):
     runs = spark.createDataFrame([("d", 1, 1, "Dear Mr", "b"), ("d", 1, 2, " Smi", None), ("d", 1, 3, "th, dear Smith", "i"), ("d", 2, 1, "none", None), ("d", 3, 1, None, None)], "doc string, par int, run int, text string, style string")
     got = D.replace_text(runs, ["doc", "par"], "run", "Smith", "Jones")
