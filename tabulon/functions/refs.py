@@ -26,12 +26,17 @@ def index_to_col(index: Column) -> Column:
     return F.when((i >= 1) & (i <= MAX_COL), F.concat(three, two, one))
 
 
+def split_a1(ref: Column) -> Column:
+    """struct(col, row) of an address like $B$7, however far down its row is, else null."""
+    bare, shape = F.replace(ref, F.lit("$"), F.lit("")), "^([A-Za-z]{1,3})([1-9][0-9]*)$"
+    row = F.regexp_extract(bare, shape, 2).try_cast("int")
+    return F.when(row.isNotNull(), F.struct(col_to_index(F.regexp_extract(bare, shape, 1)).alias("col"), row.alias("row")))
+
+
 def parse_a1(ref: Column) -> Column:
     """struct(col, row) of an address like $B$7 within the grid's bounds, else null."""
-    bare = F.replace(ref, F.lit("$"), F.lit(""))
-    col = col_to_index(F.regexp_extract(bare, "^([A-Za-z]{1,3})([1-9][0-9]{0,6})$", 1))
-    row = F.regexp_extract(bare, "^([A-Za-z]{1,3})([1-9][0-9]{0,6})$", 2).try_cast("int")
-    return F.when(bare.rlike("^[A-Za-z]{1,3}[1-9][0-9]{0,6}$") & (col <= MAX_COL) & (row <= MAX_ROW), F.struct(col.alias("col"), row.alias("row")))
+    at = split_a1(ref)
+    return F.when((at["col"] <= MAX_COL) & (at["row"] <= MAX_ROW), at)
 
 
 def shift_point(v: Column, at: Column, n: Column, delete: Column) -> Column:

@@ -2,8 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon.functions.infer import infer_csv, infer_source, rollup_type
-from tabulon.functions.refs import col_to_index, index_to_col, parse_a1, shift_span
+from tabulon.functions.refs import col_to_index, index_to_col, parse_a1, shift_span, split_a1
 from tabulon.functions.text import is_section, looks_like_notes, normalize_header, summary_label, truncate_text
+from tabulon.plans import QUERIES
 
 
 def one(spark, expr, value, kind="string"):
@@ -61,3 +62,15 @@ def test_bounds(spark):
     assert one(spark, parse_a1, "XFE1") is None and one(spark, parse_a1, "A0") is None and one(spark, parse_a1, "$B$7") == (2, 7)
     span = lambda a, b: one(spark, lambda c: shift_span(F.lit(a), F.lit(b), c, F.lit(2), F.lit(True)), 3, "int")
     assert span(3, 4) is None and span(2, 5) == (2, 3) and span(5, 6) == (3, 4) and span(1, 3) == (1, 2)
+
+
+def test_addresses_below_the_grid(spark):
+    assert one(spark, parse_a1, "A1048577") is None and one(spark, parse_a1, "A1048576") == (1, 1048576)
+    assert one(spark, split_a1, "$A$1048577") == (1, 1048577) and one(spark, split_a1, "B54000000") == (2, 54000000)
+    assert one(spark, split_a1, "A99999999999") is None and one(spark, split_a1, "A0") is None and one(spark, split_a1, "7") is None
+
+
+def test_round_trip_of_rows_below_the_grid(spark, tmp_path):
+    spark.createDataFrame([(3, 7), (9_000_000, 16383)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = QUERIES["a1_roundtrip"](spark, str(tmp_path)).select("o_orderkey", "ref", "col_back", "row_back").collect()
+    assert sorted(map(tuple, got)) == [(3, "H4", 8, 4), (9_000_000, "XFD9000001", 16384, 9_000_001)]
