@@ -21,8 +21,9 @@ def _level(score: Column) -> Column:
 
 def _body(rows: DataFrame) -> DataFrame:
     """Rows of bands of three rows or more: ``band`` (its first row), ``place`` in it, signatures filled up to the band's width, ``block`` of equal ones."""
-    band = Window.partitionBy("sheet", "run")
-    order = band.orderBy("row")
+    order = Window.partitionBy("sheet", "run").orderBy("row")
+    # one order serves the whole band and what comes before in it: each order more would hold all rows of a task once more
+    band = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sig = F.coalesce("sig", F.lit(""))
     full = runs(rows.where("nonempty > 0").select("sheet", "row", "first_col", "last_col", sig.alias("sig")), ["sheet"], "row")
     wide = full.withColumns({"band": F.min("row").over(band), "last": F.max("row").over(band), "width": F.coalesce(F.max("last_col").over(band), F.lit(0))})
@@ -39,8 +40,8 @@ def repeated_blocks(rows: DataFrame) -> DataFrame:
     three runs on. Bands of one or two rows hold none; a null signature is an empty one. Rows are to be unique in a sheet.
     """
     per = _body(rows).groupBy("sheet", "band", "block", "sig").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.min("first_col").alias("a"), F.max("last_col").alias("b"))
-    same = Window.partitionBy("sheet", "band", "sig")
-    size = F.first(F.col("last_row") - F.col("first_row") + 1).over(same.orderBy("first_row"))
+    same = Window.partitionBy("sheet", "band", "sig").orderBy("first_row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    size = F.first(F.col("last_row") - F.col("first_row") + 1).over(same)
     per = per.withColumns({"occurrences": F.count("*").over(same), "rows_per_run": size}).where("occurrences >= 2")
     score = F.when(is_sparse(F.col("sig")), SPARSE).when(F.col("occurrences") >= 3, OFTEN).otherwise(TWICE)
     ref = range_text(F.col("a"), F.col("first_row"), F.col("b"), F.col("last_row"))
@@ -95,7 +96,8 @@ def periods(rows: DataFrame, cover: float | None = None) -> DataFrame:
     """
     body = _body(rows)
     order = Window.partitionBy("sheet", "band").orderBy("place")
-    again = F.min("block").over(Window.partitionBy("sheet", "band", "sig")) < F.max("block").over(Window.partitionBy("sheet", "band", "sig"))
+    same = Window.partitionBy("sheet", "band", "sig")
+    again = F.min("block").over(same) < F.max("block").over(same)
     body = body.withColumn("again", again.cast("int")).withColumn("known", F.sum("again").over(order))
     # a period's signatures and the last row of each stretch: seven places of a band and period at most
     places = F.array_union(F.sequence(F.col("start"), F.col("start") + F.col("period") - 1), F.array("end"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_header
 from ..operators import repeats as R
-from .registry import query, table
+from .registry import dealt, query, table
 
 _BODY = """i AS (SELECT l_suppkey AS sheet, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS row,
   CASE WHEN l_returnflag = 'N' THEN '.' ELSE 't' END || CASE WHEN l_discount < 0.03 THEN '.' ELSE 'n' END || CASE WHEN l_tax < 0.03 THEN '.' ELSE 'n' END AS sig FROM lineitem),
@@ -21,7 +21,9 @@ def _rows(spark, sf_dir):
     blank = lambda empty, letter: F.when(empty, ".").otherwise(letter)
     sig = F.concat(blank(F.col("l_returnflag") == "N", "t"), blank(F.col("l_discount") < 0.03, "n"), blank(F.col("l_tax") < 0.03, "n"))
     order = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sheet"), F.row_number().over(order).alias("row"), sig.alias("full"))
+    lines = table(spark, sf_dir, "lineitem")
+    rows = dealt(lines.select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", sig.alias("full")), lines.count(), "l_suppkey")
+    rows = rows.select(F.col("l_suppkey").alias("sheet"), F.row_number().over(order).alias("row"), "full")
     bare = F.rtrim("full", F.lit("."))
     first = F.when(F.length(bare) > 0, F.length(bare) - F.length(F.ltrim(bare, F.lit("."))) + 1)
     return rows.select("sheet", "row", F.length(F.replace("full", F.lit("."), F.lit(""))).alias("nonempty"), first.alias("first_col"), F.when(F.length(bare) > 0, F.length(bare)).alias("last_col"), bare.alias("sig"))

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tabulon.operators import repeats as R
+from tabulon.plans import QUERIES, registry
 
 ROWS = "sheet string, row int, nonempty int, first_col int, last_col int, sig string"
 
@@ -110,3 +111,14 @@ def test_headers(spark):
     labels = spark.createDataFrame([("S", r, c + 1, v) for r, h in heads.items() for c, v in enumerate(h)] + [("T", 3, 1, "date")], "sheet string, row int, col int, label string")
     # 15 shares two of three with 1; 30 shares one of one with 20 and one of two with 15
     assert rows_of(R.repeated_headers(labels).select("sheet", "row", "repeats", "occurrence")) == {("S", 9, 1, 2), ("S", 15, 1, 3), ("S", 30, 20, 2)}
+
+
+def test_tasks_do_not_grow_with_the_table(spark, monkeypatch):
+    want = rows_of(QUERIES["repeated_blocks"](spark, "/root/testdata/sf0.001"))
+    monkeypatch.setattr(registry, "DEALT", 500)
+    got = QUERIES["repeated_blocks"](spark, "/root/testdata/sf0.001")
+    # as many partitions as the line items need, and three orders in all: by date, by row and by what is alike
+    assert got.rdd.getNumPartitions() == -(-spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() // 500)
+    assert rows_of(got) == want
+    body = R.repeated_blocks(spark.createDataFrame(sheet("S", ["tt", "ti", "tt", "ti", "tq"]), ROWS))
+    assert body._jdf.queryExecution().executedPlan().toString().count("Sort [") == 3
