@@ -114,13 +114,17 @@ def edges(cells: DataFrame, most: int = MEMBERS) -> DataFrame:
     bound = cells_.select("sheet", "c", F.col("k").alias("last"), F.col("r").alias("bound"))
     one = first.join(bound, ["sheet", "c", "last"], "left").withColumn("r1", F.least("r1", F.coalesce("bound", "r1")))
     columns = ["sheet", "source", "r0", "r1", "c0", "c1"]
-    spans = one.select(*columns).unionByName(spans.where("c0 <> c1").select(*columns))
     # a whole column covers every bin: its bins are bounded by the rows that the sheet has
     last = cells_.groupBy("sheet").agg(F.max("r").alias("last"))
-    spans = spans.join(last, "sheet").withColumn("r1", F.least("r1", "last")).where("r0 <= r1")
-    inside = within_ranges(cells_, spans, "r", "r0", "r1", ["sheet"], width=1024).where("c between c0 and c1")
-    wide = Window.partitionBy("sheet", "source", "r0", "r1", "c0", "c1").orderBy("r", "c")
-    inside = inside.withColumn("n", F.when(F.col("c0") == F.col("c1"), 0).otherwise(F.row_number().over(wide))).where(F.col("n") <= most)
+
+    def members(spans: DataFrame) -> DataFrame:
+        spans = spans.select(*columns).join(last, "sheet").withColumn("r1", F.least("r1", "last")).where("r0 <= r1")
+        return within_ranges(cells_, spans, "r", "r0", "r1", ["sheet"], width=1024).where("c between c0 and c1")
+
+    # ranges in one column are cut already: only those over several need their members in order
+    wide = Window.partitionBy(*columns).orderBy("r", "c")
+    several = members(spans.where("c0 <> c1")).withColumn("n", F.row_number().over(wide)).where(F.col("n") <= most)
+    inside = members(one).select("source", "target").unionByName(several.select("source", "target"))
     return point.unionByName(inside.select("source", "target", F.lit("range").alias("kind"))).unionByName(nodes).distinct()
 
 

@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +142,14 @@ def test_target_states(spark):
     targets = spark.createDataFrame([("S", r, 1) for r in (1, 2, 3, 4)] + [("none", 1, 1)], "sheet string, row int, col int")
     got = sorted((r.sheet, r.row, r.has_formula, r.has_value) for r in O.target_states(targets, cells).collect())
     assert got == [("S", 1, True, True), ("S", 2, False, True), ("S", 3, False, False), ("S", 4, False, False), ("none", 1, False, False)]
+
+
+def test_repeated_formulas_are_read_once(spark):
+    from tabulon.functions import formulas as M
+
+    M._known.cache_clear()
+    texts = [f"=SUM(A{r}:A{r + 1})" for r in (1, 2)] * 50 + [None, "x"]
+    got = M._parse.func(*map(pa.array, (texts, [5] * 102, [2] * 102))).to_pylist()
+    assert M._known.cache_info().misses == 4
+    assert [g["signature"] for g in got] == [M.parse(t, 5, 2)["signature"] for t in texts]
+    assert got[99] == got[1] and got[0]["refs"][0]["r0"] == 1 and got[1]["refs"][0]["r0"] == 2
