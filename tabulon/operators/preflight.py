@@ -134,7 +134,9 @@ def preflight(plans: DataFrame, lists: dict[str, DataFrame], writes: DataFrame,
     transactions.idempotency() gives them; a conflict with what the ledger knows blocks,
     and so does a ledger that could not be read (unknown).
     """
-    of_writes = checked_writes(writes, live, source).where("code is not null").select("plan", "code", F.concat_ws("!", "sheet", "cell").alias("subject"))
+    # a filter by code would be pushed below what it is made of, and every rule of it be written out once more for each mention
+    told = F.when(F.col("code").isNotNull(), F.struct("code", F.concat_ws("!", "sheet", "cell").alias("subject")))
+    of_writes = checked_writes(writes, live, source).select("plan", F.explode(F.array(told)).alias("t")).where("t is not null").select("plan", "t.code", "t.subject")
     twice = writes.groupBy("plan", "sheet", "cell").count().where("count > 1").select("plan", F.lit("PLAN_INVALID").alias("code"), F.concat(F.lit("duplicate "), F.concat_ws("!", "sheet", "cell")).alias("subject"))
     found = plan_gates(plans).unionByName(list_gates(plans.select("plan", "missing_required", "on_conflict"), lists["blocked"], lists["conflicts"], lists["unresolved"])).unionByName(of_writes).unionByName(twice)
     if decisions is not None:
