@@ -23,6 +23,9 @@ from pyspark.sql import types as T
 from .common import plain_string, slices, tidy, word_codes
 from .segments import assemble
 
+#: Bytes of text that are encoded at once: smaller than elsewhere, as texts are held as pieces, words and ids side by side.
+ENCODED_BYTES = 2 << 20
+
 SPACE = "▁"
 CUT = "\x1e"
 PROBE = "Aé ﬁ①\u00a0  x\n\ty "  # what no normalisation may change but for spaces
@@ -164,7 +167,7 @@ def encode_documents(docs: DataFrame, model: str, carry: list[str] | None = None
 
     def run(batches):
         table = decimal = None
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", ENCODED_BYTES):
             if table is None:
                 table = PrefixTable(model)
                 end = table.library.eos_id()
