@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_text, plain_string, slices, split_words, tidy, word_codes
+from .common import give_back, id_text, plain_string, slices, split_words, tidy, word_codes
 
 PAIRS = 2048
 SIGNS = 8
@@ -138,18 +138,48 @@ def fit(sample: DataFrame, params: VoteParams = VoteParams()) -> VoteModel:
             yield pa.record_batch([b.column("__id"), b.column("label"), pa.array([x.tobytes() for x in w], pa.binary())], names=["__id", "label", "w"])
 
     schema = T.StructType([sample.schema["__id"], T.StructField("label", T.DoubleType()), T.StructField("w", T.BinaryType())])
-    got = sample.mapInArrow(tidy(run), schema).toArrow().sort_by("__id")
-    labels = got["label"].to_numpy()
-    w = np.frombuffer(b"".join(got["w"].to_pylist()), np.float16).reshape(-1, TERMS).astype(np.float32)
-    idf = np.log((1 + len(w)) / (1 + (w > 0).sum(0))).astype(np.float32) + 1
+    got = sample.mapInArrow(tidy(run), schema).toArrow()
+    order = pc.sort_indices(got["__id"])
+    labels, blobs = got["label"].take(order).to_numpy(), got["w"]
+    w = np.empty((len(labels), TERMS), np.float16)
+    for i, j in enumerate(order.to_pylist()):
+        w[i] = np.frombuffer(blobs[j].as_buffer(), np.float16)
+    del got, blobs
+    model = latent_space(w, labels, params)
+    give_back()
+    return model
+
+
+def top_axes(gram: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Eigenvectors of the ``k`` largest eigenvalues, largest first, by block Krylov spaces: no work space of the matrix's size."""
+    v = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(gram), min(2 * k, len(gram)))))[0]
+    for _ in range(100):
+        blocks = [v]
+        for _ in range(4):
+            blocks.append(np.linalg.qr(gram @ blocks[-1])[0])
+        q = np.linalg.qr(np.hstack(blocks)[:, : len(gram)])[0]
+        values, vectors = np.linalg.eigh(q.T @ (gram @ q))
+        v, values = q @ vectors[:, ::-1][:, : v.shape[1]], values[::-1][:k]
+        if np.abs(gram @ v[:, :k] - v[:, :k] * values).max() <= 1e-11 * max(values[0], 1e-300):
+            break
+    return v[:, :k]
+
+
+def latent_space(w: np.ndarray, labels: np.ndarray, params: VoteParams) -> VoteModel:
+    """The model of term weights in half precision; they are widened block by block, and only the axes that are kept are worked out."""
+    blocks = [slice(a, a + BLOCK) for a in range(0, len(w), BLOCK)]
+    idf = np.log((1 + len(w)) / (1 + np.count_nonzero(w, axis=0))).astype(np.float32) + 1
     if not len(w):
         return VoteModel(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels, 0.5, params)
-    x = w * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-    keep = np.argsort(values)[::-1][: params.dims]
-    model = VoteModel(idf, vectors[:, keep].astype(np.float32), np.zeros((0, 0)), labels, float(labels.mean()), params)
-    model.vectors = model.latent(w)
+    gram = np.zeros((TERMS, TERMS))
+    for b in blocks:
+        x = w[b].astype(np.float32) * idf
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        gram += x.T @ x
+    basis = top_axes(gram, params.dims, params.seed).astype(np.float32)
+    del gram
+    model = VoteModel(idf, basis, np.zeros((0, 0)), labels, float(labels.mean()), params)
+    model.vectors = np.concatenate([model.latent(w[b].astype(np.float32)) for b in blocks])
     return model
 
 
