@@ -18,6 +18,11 @@ corpus, that falls with the root of their number: contexts grow with the corpus,
 but slower, and don't depend on how the table is cut. The cells of the byte
 restaurants are of a fixed number. Of both only totals travel through the driver.
 Words and the contexts of words grow with the corpus.
+
+With ``own``, every other word is a context of its own too. These restaurants, the
+leaves, lie in partitions by the context, so that one has all its dishes in one
+place; they have less customers than a common word. In every sweep the words'
+partitions send them what the parent offers and get back the tables that they have.
 """
 
 from __future__ import annotations
@@ -57,6 +62,7 @@ class ModelParams:
     word_strength: float = 10.0
     byte_strength: float = 1.0
     seed: int = 17
+    own: bool = False  # words that are less common are contexts of their own too, in place of what they end in
 
 
 def squeezed(x: np.ndarray) -> bytes:
@@ -333,8 +339,11 @@ def context_kind(n: int) -> str:
 # ------------------------------------------------------------------- chunks
 
 
-def _chunks(partitions: int, shared):
-    """Rows of kind stream (a chunk's tokens as numbers of its pairs of word and context) and of kind word (its distinct words and pairs, by partition)."""
+def _chunks(partitions: int, shared, own: bool = False):
+    """Rows of kind stream (a chunk's tokens as numbers of its pairs of word and context) and of kind word (its distinct words and pairs, by partition).
+
+    With ``own``, pairs whose context is no common word follow in rows of kind leaf, by the partition of the context.
+    """
 
     def run(batches):
         task, k = TaskContext.get().partitionId(), 0
@@ -352,16 +361,23 @@ def _chunks(partitions: int, shared):
             rank = np.empty(n + 1, np.int64)
             rank[order] = np.arange(n + 1)
             tokens = np.insert(index, offsets[1:], n)  # each document, then its end; before a document stands the end of another
-            context = known.of(names)[np.concatenate([[n], tokens[:-1]]).astype(np.int64)]
-            pairs, which = np.unique(rank[tokens] * known.n + context, return_inverse=True)
+            before = np.concatenate([[n], tokens[:-1]]).astype(np.int64)
+            key, top = rank[tokens] * known.n + known.of(names)[before], (n + 1) * known.n
+            if own:  # after all others, by the rank of the context
+                rare = np.array([w not in known.words for w in names])[before]
+                key = np.where(rare, top + rank[before] * (n + 1) + rank[tokens], key)
+            pairs, which = np.unique(key, return_inverse=True)
             counts = np.bincount(which, np.repeat(~held, lengths + 1), len(pairs)).astype("<i4")
-            word, context = (pairs // known.n).astype("<i4"), (pairs % known.n).astype(context_kind(known.n))
+            shared_pairs = int(np.searchsorted(pairs, top))
+            after, word = np.divmod(pairs[shared_pairs:] - top, n + 1)
+            word = np.concatenate([pairs[:shared_pairs] // known.n, word]).astype("<i4")
+            context = (pairs[:shared_pairs] % known.n).astype(context_kind(known.n))
             bounds = np.searchsorted(part[order], np.arange(partitions + 1))
             rows = [q for q in range(partitions) if bounds[q + 1] > bounds[q]]
-            at = np.searchsorted(word, bounds)
-            own = [(slice(bounds[q], bounds[q + 1]), slice(at[q], at[q + 1])) for q in rows]
+            at = np.searchsorted(word[:shared_pairs], bounds)
+            cut = [(slice(bounds[q], bounds[q + 1]), slice(at[q], at[q + 1])) for q in rows]
             m, none = len(rows), [None]
-            packed = [zstandard.ZstdCompressor(1).compress(" ".join([names[i] for i in order[w]]).encode()) for w, _ in own]
+            packed = [zstandard.ZstdCompressor(1).compress(" ".join([names[i] for i in order[w]]).encode()) for w, _ in cut]
             doc_ids = pa.array([batch.column("doc_id").to_pylist()], pa.list_(batch.column("doc_id").type))
             yield pa.record_batch(
                 [
@@ -369,26 +385,40 @@ def _chunks(partitions: int, shared):
                     pa.array([chunk] * (m + 1)),
                     pa.array([-1, *rows], pa.int32()),
                     pa.array(none + packed, pa.binary()),
-                    pa.array([squeezed(which.astype("<i4"))] + [squeezed(word[x] - np.int32(w.start)) for w, x in own], pa.binary()),
-                    pa.array([squeezed(held.astype("u1"))] + [squeezed(counts[x]) for _, x in own], pa.binary()),
-                    pa.array([squeezed(word)] + [squeezed(context[x]) for _, x in own], pa.binary()),
-                    pa.array([len(pairs)] + [int(x.start) for _, x in own], pa.int64()),
-                    pa.array([n + 1] + [int(w.start) for w, _ in own], pa.int64()),
+                    pa.array([squeezed(which.astype("<i4"))] + [squeezed(word[x] - np.int32(w.start)) for w, x in cut], pa.binary()),
+                    pa.array([squeezed(held.astype("u1"))] + [squeezed(counts[x]) for _, x in cut], pa.binary()),
+                    pa.array([squeezed(word)] + [squeezed(context[x]) for _, x in cut], pa.binary()),
+                    pa.array([len(pairs)] + [int(x.start) for _, x in cut], pa.int64()),
+                    pa.array([n + 1] + [int(w.start) for w, _ in cut], pa.int64()),
                     pa.concat_arrays([doc_ids, pa.nulls(m, doc_ids.type)]),
                     pa.array([squeezed(lengths.astype("<i4")), *none * m], pa.binary()),
                 ],
                 names=CHUNK,
             )
+            ends = np.searchsorted(after, bounds)
+            for q in rows:
+                if ends[q + 1] > ends[q]:
+                    x = slice(ends[q], ends[q + 1])
+                    y = slice(shared_pairs + x.start, shared_pairs + x.stop)
+                    (ours, i), (theirs, j) = np.unique(word[y], return_inverse=True), np.unique(after[x], return_inverse=True)
+                    yield pa.record_batch(
+                        [
+                            pa.array(["leaf"]), pa.array([chunk]), pa.array([q], pa.int32()), pa.array([_joined_names(names, order[ours])], pa.binary()), pa.array([squeezed(i.astype("<i4"))]),
+                            pa.array([squeezed(counts[y])]), pa.array([squeezed(j.astype("<i4"))]), pa.array([y.start], pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, doc_ids.type),
+                            pa.array([_joined_names(names, order[theirs])], pa.binary()),
+                        ],
+                        names=CHUNK,
+                    )
 
     return run
 
 
-#: Of a stream row: pairs of the tokens, held-out flags, words of the pairs. Of a word row: words, each pair's word, customers and context. first, word: where the row's pairs and words begin.
+#: Of a leaf row: words, each pair's word, customers and context, names of the contexts (lengths). Of a stream row: pairs of the tokens, held-out flags, words of the pairs. Of a word row: words, each pair's word, customers and context. first, word: where the row's pairs and words begin.
 CHUNK = ["kind", "chunk", "part", "words", "pairs", "counts", "contexts", "first", "word", "doc_ids", "lengths"]
 
 STATE = (
     "part int, words binary, n binary, pos binary, context binary, c binary, t binary, sizes binary, wt binary, wsizes binary, sums binary, probs binary, "
-    "cells binary, spelled binary, tables binary, tokens long, types long, ones long, twos long, wtokens long, wtables long, wones long, wtwos long, mass double"
+    "cells binary, spelled binary, tables binary, tokens long, types long, ones long, twos long, wtokens long, wtables long, wones long, wtwos long, mass double, leaf binary, asks array<struct<part:int,x:binary>>"
 )
 
 
@@ -396,10 +426,17 @@ def _names(data: bytes) -> list[str]:
     return zstandard.ZstdDecompressor().decompress(data).decode().split(" ")
 
 
+def _joined_names(names: list[str], which) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(" ".join([names[i] for i in which]).encode())
+
+
 def _merge(n_contexts: int):
-    """All chunks' words and pairs of one partition: customers, and one table for each dish to begin with."""
+    """All chunks' words and pairs of one partition: customers, and one table for each dish to begin with.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    ``asked``: of each partition of leaves the words that it has, and the customers and tables that these have there.
+    """
+
+    def run(pdf: pd.DataFrame, asked: pd.DataFrame | None = None) -> pd.DataFrame:
         lists = [_names(x) for x in pdf["words"]]
         code, distinct = pd.factorize(np.concatenate([np.array(x, object) for x in lists]), sort=False)
         order = np.argsort(np.array(distinct, str), kind="stable")  # the order of rows in a group is not fixed
@@ -416,22 +453,28 @@ def _merge(n_contexts: int):
         n = np.bincount(pos, c, len(order)).astype(np.int64)
         t = np.ones(len(c), np.int64)
         words = [str(w) for w in distinct[order]]
-        customers = np.bincount(pos, minlength=len(words))
+        leaf, asks, names = np.zeros(len(words), np.int64), [], pd.Index(words)
+        for ask in asked.itertuples(index=False) if asked is not None else ():
+            at = names.get_indexer(_names(ask.names))
+            leaf[at] += spread(ask.x, "<i4")
+            n[at] += spread(ask.n, "<i8")
+            asks.append({"part": ask.sender, "x": squeezed(at.astype("<i4"))})
+        customers = np.bincount(pos, minlength=len(words)) + leaf
         wt = np.minimum(customers, 1)
-        out = _state(int(pdf["part"].iloc[0]), words, n, pos, context, c, t, c.copy(), wt, customers[customers > 0], np.zeros(len(c), "<f4"), np.zeros((0, len(words))), 0.0, n_contexts)
+        out = _state(int(pdf["part"].iloc[0]), words, n, pos, context, c, t, c.copy(), wt, customers[customers > 0], np.zeros(len(c), "<f4"), np.zeros((0, len(words))), 0.0, n_contexts, leaf, asks)
         give_back()
         return out
 
     return run
 
 
-def _state(part, words, n, pos, context, c, t, sizes, wt, wsizes, sums, probs, mass, n_contexts) -> pd.DataFrame:
+def _state(part, words, n, pos, context, c, t, sizes, wt, wsizes, sums, probs, mass, n_contexts, leaf, asks) -> pd.DataFrame:
     """A partition: ``n`` tokens of each word, its pairs with customers and tables, the words' own tables, and what the samples have added up."""
     some = np.flatnonzero(wt)
     lengths, cell = letters(pa.array(np.asarray(words, dtype=object)[some], pa.large_string()))
     cells, where = np.unique(cell, return_inverse=True)
     spelled = np.bincount(where, np.repeat(wt[some], lengths), len(cells)).astype("<i8") if len(cells) else np.zeros(0, "<i8")
-    customers = np.bincount(pos, t, len(words)).astype(np.int64)
+    customers = np.bincount(pos, t, len(words)).astype(np.int64) + leaf
     of_context = np.bincount(context, t, n_contexts).astype("<i8")
     return pd.DataFrame(
         {
@@ -439,7 +482,7 @@ def _state(part, words, n, pos, context, c, t, sizes, wt, wsizes, sums, probs, m
             "c": [squeezed(c.astype("<i8"))], "t": [squeezed(t.astype("<i4"))], "sizes": [squeezed(sizes.astype("<i8"))], "wt": [squeezed(wt.astype("<i8"))], "wsizes": [squeezed(wsizes.astype("<i8"))],
             "sums": [squeezed(sums.astype("<f4"))], "probs": [squeezed(probs.astype("<f8"))], "cells": [cells.astype("<i4").tobytes()], "spelled": [spelled.tobytes()], "tables": [squeezed(of_context)],
             "tokens": [int(n.sum())], "types": [int((n > 0).sum())], "ones": [int((c == 1).sum())], "twos": [int((c == 2).sum())],
-            "wtokens": [int(customers.sum())], "wtables": [int(wt.sum())], "wones": [int((customers == 1).sum())], "wtwos": [int((customers == 2).sum())], "mass": [mass],
+            "wtokens": [int(customers.sum())], "wtables": [int(wt.sum())], "wones": [int((customers == 1).sum())], "wtwos": [int((customers == 2).sum())], "mass": [mass], "leaf": [squeezed(leaf.astype("<i8"))], "asks": [asks],
         }
     )
 
@@ -487,6 +530,7 @@ class Fitted:
     """The seated restaurants; ``state`` has words and pairs by partition with what the samples add up to, ``contexts`` what each context leaves to its parent."""
 
     state: DataFrame
+    leaves: DataFrame | None  # the contexts that are no common words, by partition of the context
     chunks: DataFrame
     samples: int
     tokens: int
@@ -494,6 +538,7 @@ class Fitted:
     customers: np.ndarray  # of each context, with its strength
     left: np.ndarray  # (samples, contexts): what it offers its parent
     unknown: np.ndarray  # (samples,): what the words' restaurant leaves to words not seen
+    strength: float = ModelParams.context_strength
 
 
 def fit(docs: DataFrame, held_out: Column, p: ModelParams = ModelParams()) -> Fitted:
@@ -509,10 +554,18 @@ def fit(docs: DataFrame, held_out: Column, p: ModelParams = ModelParams()) -> Fi
     shared = spark.sparkContext.broadcast(known)
     kinds = [T.StringType(), T.LongType(), T.IntegerType(), *[T.BinaryType()] * 4, T.LongType(), T.LongType(), T.ArrayType(docs.schema["doc_id"].dataType), T.BinaryType()]
     schema = T.StructType([T.StructField(c, k) for c, k in zip(CHUNK, kinds, strict=True)])
-    chunks = store(rows.mapInArrow(tidy(_chunks(parts(spark), shared)), schema), "chunks", "kind")
+    chunks = store(rows.mapInArrow(tidy(_chunks(parts(spark), shared, p.own)), schema), "chunks", "kind")
     shared.destroy()  # the chunks are written
     words = chunks.where("kind = 'word'").select("part", "words", "pairs", "counts", "contexts")
-    state = store(words.groupBy("part").applyInPandas(_merge(known.n), STATE), "words")
+    leaves = None
+    if p.own:
+        given = chunks.where("kind = 'leaf'").select("part", "words", "pairs", "counts", "contexts", "lengths")
+        leaves = store(given.groupBy("part").applyInPandas(_merge_leaves(parts(spark)), LEAVES), "leaves")
+        asked = leaves.select(F.col("part").alias("sender"), F.explode("up").alias("u")).select("u.part", "sender", "u.names", "u.n", "u.x")
+        state = store(words.groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(_merge(known.n), STATE), "words")
+    else:
+        merge = _merge(known.n)
+        state = store(words.groupBy("part").applyInPandas(lambda pdf: merge(pdf), STATE), "words")  # of two arguments the first would be the key
     spelling, rng = Spelling(p), np.random.default_rng(p.seed)
     names = ("tokens", "types", "ones", "twos", "wtokens", "wtables", "wones", "wtwos")
     tokens = types = 0
@@ -530,14 +583,24 @@ def fit(docs: DataFrame, held_out: Column, p: ModelParams = ModelParams()) -> Fi
         keep, last = sweep > p.burn_in, sweep == p.burn_in + p.samples
         offer0 = p.word_strength + d0 * sums["wtables"]
         now = spark.sparkContext.broadcast((spelling.compact(), p.context_strength + d1 * tables))
-        was, state = state, store(state.mapInPandas(_sweep(now, d1, d0, offer0, sums["wtokens"], sweep, keep, last, known.n, p), STATE), "sweep")
+        was, move = state, _sweep(now, d1, d0, offer0, sums["wtokens"], sweep, keep, last, known.n, p)
+        if p.own:
+            many = leaves.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("ones", "twos")]).first()
+            down = state.select("part", "words", "n", "pos", "t", "wt", "leaf", "asks").mapInArrow(tidy(_offers(now, d0, offer0, sums["wtokens"], p)), "part int, sender int, x binary")
+            old = leaves
+            leaves = store(leaves.groupBy("part").cogroup(down.groupBy("part")).applyInPandas(_sweep_leaves(discount(many["ones"], many["twos"]), sweep, keep, last, p), LEAVES), "leaves")
+            drop(old)
+            up = leaves.select(F.col("part").alias("sender"), F.explode("up").alias("u")).select("u.part", "sender", "u.x")
+            state = store(state.groupBy("part").cogroup(up.groupBy("part")).applyInPandas(move, STATE), "sweep")
+        else:
+            state = store(state.mapInPandas(tidy(lambda frames: (move(pdf) for pdf in frames)), STATE), "sweep")
         drop(was)
         now.destroy()  # the sweep is written
         if keep:
             mass = state.agg(F.sum("mass")).first()[0]
             left.append(p.context_strength + d1 * tables)
             unknown.append(offer0 / (p.word_strength + sums["wtokens"]) * (1 - mass))
-    return Fitted(state, chunks, p.samples, tokens, types, customers + p.context_strength, np.array(left).reshape(-1, known.n), np.array(unknown))
+    return Fitted(state, leaves, chunks, p.samples, tokens, types, customers + p.context_strength, np.array(left).reshape(-1, known.n), np.array(unknown), p.context_strength)
 
 
 def _by_context(state: DataFrame, n: int, what: str) -> np.ndarray:
@@ -561,33 +624,147 @@ def _by_context(state: DataFrame, n: int, what: str) -> np.ndarray:
 def _sweep(now, d1: float, d0: float, offer0: float, wtokens: int, sweep: int, keep: bool, last: bool, n_contexts: int, p: ModelParams):
     """Add the probabilities of the state as it stands, if it counts, then move customers: of the contexts' restaurants, then of the words'."""
 
-    def run(frames):
+    def run(pdf: pd.DataFrame, up: pd.DataFrame | None = None) -> pd.DataFrame:
         table, left = now.value
-        for pdf in frames:
-            for row in pdf.itertuples(index=False):
-                words, n, pos, context = _names(row.words), spread(row.n, "<i8"), spread(row.pos, "<i4").astype(np.int64), spread(row.context, context_kind(n_contexts)).astype(np.int64)
-                c, t, sizes, wt, wsizes = spread(row.c, "<i8"), spread(row.t, "<i4").astype(np.int64), spread(row.sizes, "<i8"), spread(row.wt, "<i8"), spread(row.wsizes, "<i8")
-                sums, probs = spread(row.sums, "<f4"), spread(row.probs, "<f8").reshape(-1, len(words))
-                base = _word_base(words, table)
-                customers = np.bincount(pos, t, len(words))
-                prob = (customers - d0 * wt + offer0 * base) / (p.word_strength + wtokens)
-                if keep:
-                    sums, probs = sums + (c - d1 * t), np.concatenate([probs, prob[None]])
-                if not last:
-                    rng = np.random.default_rng((p.seed, sweep, row.part))
-                    if not sweep:  # all are seated one after another to begin with
-                        t = seat(c, left[context] * prob[pos], d1, rng)
-                        wanted = np.bincount(pos, t, len(words)).astype(np.int64)
-                        wt = seat(wanted, offer0 * base, d0, rng)
-                        sizes, wsizes = tables_of(c, t), tables_of(wanted, wt)
-                    else:
-                        sizes, t = reseat(sizes, t, left[context] * prob[pos], d1, p.moves, rng)
-                        wanted = np.bincount(pos, t, len(words)).astype(np.int64)
-                        wsizes, wt = settle(wsizes, wt, wanted, offer0 * base, d0, rng)
-                        wsizes, wt = reseat(wsizes, wt, offer0 * base, d0, p.moves, rng)
-                yield _state(row.part, words, n, pos, context, c, t, sizes, wt, wsizes, sums, probs, float(base[n > 0].sum()), n_contexts)
-
-    return tidy(run)
+        out = []
+        for row in pdf.itertuples(index=False):
+            words, n, pos, context = _names(row.words), spread(row.n, "<i8"), spread(row.pos, "<i4").astype(np.int64), spread(row.context, context_kind(n_contexts)).astype(np.int64)
+            c, t, sizes, wt, wsizes = spread(row.c, "<i8"), spread(row.t, "<i4").astype(np.int64), spread(row.sizes, "<i8"), spread(row.wt, "<i8"), spread(row.wsizes, "<i8")
+            sums, probs, leaf = spread(row.sums, "<f4"), spread(row.probs, "<f8").reshape(-1, len(words)), spread(row.leaf, "<i8")
+            base = _word_base(words, table)
+            customers = np.bincount(pos, t, len(words)) + leaf
+            prob = (customers - d0 * wt + offer0 * base) / (p.word_strength + wtokens)
+            if keep:
+                sums, probs = sums + (c - d1 * t), np.concatenate([probs, prob[None]])
+            if not last:
+                if up is not None:  # the tables that the leaves have now
+                    asks, leaf = {x["part"]: x["x"] for x in row.asks}, np.zeros(len(words), np.int64)
+                    for x in up.itertuples(index=False):
+                        leaf[spread(asks[x.sender], "<i4")] += spread(x.x, "<i4")
+                rng = np.random.default_rng((p.seed, sweep, row.part))
+                if not sweep:  # all are seated one after another to begin with
+                    t = seat(c, left[context] * prob[pos], d1, rng)
+                    wanted = np.bincount(pos, t, len(words)).astype(np.int64) + leaf
+                    wt = seat(wanted, offer0 * base, d0, rng)
+                    sizes, wsizes = tables_of(c, t), tables_of(wanted, wt)
+                else:
+                    sizes, t = reseat(sizes, t, left[context] * prob[pos], d1, p.moves, rng)
+                    wanted = np.bincount(pos, t, len(words)).astype(np.int64) + leaf
+                    wsizes, wt = settle(wsizes, wt, wanted, offer0 * base, d0, rng)
+                    wsizes, wt = reseat(wsizes, wt, offer0 * base, d0, p.moves, rng)
+            out.append(_state(row.part, words, n, pos, context, c, t, sizes, wt, wsizes, sums, probs, float(base[n > 0].sum()), n_contexts, leaf, list(row.asks)))
+        give_back()
+        return pd.concat(out) if out else pdf
+
+    return run
+
+
+# -------------------------------------------------------------------- leaves
+
+LEAVES = (
+    "part int, words binary, contexts binary, at binary, pos binary, context binary, c binary, t binary, sizes binary, sums binary, probs binary, lefts binary, "
+    "up array<struct<part:int,names:binary,n:binary,x:binary>>, ones long, twos long"
+)
+
+
+def _coded(lists: list[list[str]], indexes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct names in order, the number of each name that an index of its list stands for)."""
+    code, distinct = pd.factorize(np.concatenate([np.array(x, object) for x in lists]), sort=False)
+    order = np.argsort(np.array(distinct, str), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    starts = np.cumsum([0, *map(len, lists)])
+    return distinct[order], np.concatenate([rank[code[a + x]] for a, x in zip(starts, indexes)])
+
+
+def _merge_leaves(partitions: int):
+    """All chunks' pairs of one partition of contexts. Its words stand in order of their own partitions, which get what tables they have here."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        words, pos = _coded([_names(x) for x in pdf["words"]], [spread(x, "<i4") for x in pdf["pairs"]])
+        contexts, context = _coded([_names(x) for x in pdf["lengths"]], [spread(x, "<i4") for x in pdf["contexts"]])
+        c = np.concatenate([spread(x, "<i4") for x in pdf["counts"]])
+        part = (hash_strings(pa.array(words, pa.large_string())) % np.uint64(partitions)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        words, at = words[order].tolist(), np.searchsorted(part[order], np.arange(partitions + 1))
+        some = c > 0
+        pairs, which = np.unique(context[some] * len(words) + rank[pos[some]], return_inverse=True)
+        c = np.bincount(which, c[some], len(pairs)).astype(np.int64) if len(pairs) else np.zeros(0, np.int64)
+        t = np.ones(len(c), np.int64)
+        none = np.zeros(0)
+        out = _leaf_state(int(pdf["part"].iloc[0]), words, contexts.tolist(), at, pairs % len(words), pairs // len(words), c, t, c, np.zeros(len(c)), none, none, True)
+        give_back()
+        return out
+
+    return run
+
+
+def _leaf_state(part, words, contexts, at, pos, context, c, t, sizes, sums, probs, lefts, first=False) -> pd.DataFrame:
+    tables = np.bincount(pos, t, len(words)).astype("<i4")
+    up = [{"part": int(q), "names": None, "n": None, "x": squeezed(tables[at[q] : at[q + 1]])} for q in np.flatnonzero(np.diff(at))]
+    if first:  # what does not change any more
+        tokens = np.bincount(pos, c, len(words)).astype("<i8")
+        for x in up:
+            own = slice(at[x["part"]], at[x["part"] + 1])
+            x |= {"names": _joined_names(words, range(own.start, own.stop)), "n": squeezed(tokens[own])}
+    return pd.DataFrame(
+        {
+            "part": [part], "words": [_joined_names(words, range(len(words)))], "contexts": [_joined_names(contexts, range(len(contexts)))], "at": [squeezed(at.astype("<i8"))],
+            "pos": [squeezed(pos.astype("<i4"))], "context": [squeezed(np.diff(context, prepend=0).astype("<i4"))], "c": [squeezed(c.astype("<i4"))], "t": [squeezed(t.astype("<i4"))], "sizes": [squeezed(sizes.astype("<i4"))],
+            "sums": [squeezed(sums.astype("<f4"))], "probs": [squeezed(probs.astype("<f4"))], "lefts": [squeezed(lefts.astype("<f4"))], "up": [up], "ones": [int((c == 1).sum())], "twos": [int((c == 2).sum())],
+        }
+    )
+
+
+def _offers(now, d0: float, offer0: float, wtokens: int, p: ModelParams):
+    """To each partition of leaves the probabilities of its words without context; 0 for words not seen in training."""
+
+    def run(batches):
+        table, _ = now.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, n = _names(row["words"]), spread(row["n"], "<i8")
+                customers = np.bincount(spread(row["pos"], "<i4"), spread(row["t"], "<i4"), len(words)) + spread(row["leaf"], "<i8")
+                prob = np.where(n > 0, (customers - d0 * spread(row["wt"], "<i8") + offer0 * _word_base(words, table)) / (p.word_strength + wtokens), 0).astype("<f4")
+                for ask in row["asks"]:
+                    yield pa.record_batch([pa.array([ask["part"]], pa.int32()), pa.array([row["part"]], pa.int32()), pa.array([squeezed(prob[spread(ask["x"], "<i4")])], pa.binary())], names=["part", "sender", "x"])
+
+    return run
+
+
+def _sweep_leaves(d: float, sweep: int, keep: bool, last: bool, p: ModelParams):
+    """As ``_sweep``, for the restaurants of a partition of leaves: all of a context's dishes are in it."""
+
+    def run(pdf: pd.DataFrame, down: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.iloc[0]
+        words, contexts, at, pos, context = _names(row["words"]), _names(row["contexts"]), spread(row["at"], "<i8"), spread(row["pos"], "<i4").astype(np.int64), np.cumsum(spread(row["context"], "<i4"), dtype=np.int64)
+        c, t, sizes = (spread(row[x], "<i4").astype(np.int64) for x in ("c", "t", "sizes"))
+        sums, probs, lefts = (spread(row[x], "<f4") for x in ("sums", "probs", "lefts"))
+        prob = np.zeros(len(words), "<f4")
+        for x in down.itertuples(index=False):
+            prob[at[x.sender] : at[x.sender + 1]] = spread(x.x, "<f4")
+        left = p.context_strength + d * np.bincount(context, t, len(contexts))
+        if keep:
+            sums, probs, lefts = sums + (c - d * t), np.concatenate([probs, prob]), np.concatenate([lefts, left])
+        if not last:
+            offer, rng = left[context] * prob[pos], np.random.default_rng((p.seed, sweep, int(row["part"]), 1))
+            if not sweep:
+                t = seat(c, offer, d, rng)
+                sizes = tables_of(c, t)
+            elif len(some := np.flatnonzero(c > 1)):  # a customer alone has one table, whatever is drawn
+                own = np.repeat(c > 1, t)
+                new, moved = reseat(sizes[own], t[some], offer[some], d, p.moves, rng)
+                t = t.copy()
+                t[some] = moved
+                sizes = np.ones(int(t.sum()), np.int64)
+                sizes[np.repeat(c > 1, t)] = new
+        out = _leaf_state(int(row["part"]), words, contexts, at, pos, context, c, t, sizes, sums, probs, lefts)
+        give_back()
+        return out
+
+    return run
 
 
 def score(model: Fitted) -> DataFrame:
@@ -602,7 +779,7 @@ def score(model: Fitted) -> DataFrame:
     """
     id_type = model.chunks.schema["doc_ids"].dataType.elementType
     n, v, samples = model.tokens, model.types, model.samples
-    given, left, unknown = model.customers, model.left, model.unknown
+    given, left, unknown, strength = model.customers, model.left, model.unknown, model.strength
     nothing = np.log10(np.maximum((left * unknown[:, None]).mean(0) / given, 1e-300)) if n else np.zeros(len(given))
 
     def answer(asked: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
@@ -630,6 +807,33 @@ def score(model: Fitted) -> DataFrame:
     asked = model.chunks.where("kind = 'word'").select("part", "chunk", "words", "pairs", "contexts", "first", "word")
     answers = asked.groupBy("part").cogroup(model.state.select("part", "words", "n", "pos", "context", "sums", "probs").groupBy("part"))
     answers = answers.applyInPandas(answer, "chunk long, first long, word long, n binary, log binary")
+
+    def answer_leaves(asked: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
+        row, out = leaves.iloc[0], []
+        words, names = pd.Index(_names(row["words"])), pd.Index(_names(row["contexts"]))
+        c, context = spread(row["c"], "<i4"), np.cumsum(spread(row["context"], "<i4"), dtype=np.int64)
+        given = strength + np.bincount(context, c, len(names))
+        keys, sums = context * len(words) + spread(row["pos"], "<i4"), spread(row["sums"], "<f4")
+        probs, lefts = spread(row["probs"], "<f4").reshape(-1, len(words)).astype(np.float64), spread(row["lefts"], "<f4").reshape(-1, len(names)).astype(np.float64)
+        for ask in asked.itertuples(index=False):
+            word = words.get_indexer(_names(ask.words))[spread(ask.pairs, "<i4")]
+            ctx = names.get_indexer(_names(ask.lengths))[spread(ask.contexts, "<i4")]
+            log = np.zeros(len(word))
+            if n:
+                total, rest = (sum((lefts[s][ctx] * x for s, x in enumerate(y)), np.zeros(len(word))) for y in (probs[:, word], unknown))
+                if len(keys):
+                    key = ctx * len(words) + word
+                    i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    total += np.where(keys[i] == key, sums[i], 0)
+                log = np.log10(np.maximum(np.where(probs[0][word] > 0, total, rest) / samples / given[ctx], 1e-300))
+            out.append((ask.chunk, ask.first, 0, squeezed(np.zeros(0, "<i8")), squeezed(log.astype("<f4"))))
+        give_back()
+        return pd.DataFrame(out, columns=["chunk", "first", "word", "n", "log"])
+
+    if model.leaves is not None:
+        asked = model.chunks.where("kind = 'leaf'").select("part", "chunk", "words", "pairs", "contexts", "first", "lengths")
+        leaves = model.leaves.select("part", "words", "contexts", "pos", "context", "c", "sums", "probs", "lefts")
+        answers = answers.union(asked.groupBy("part").cogroup(leaves.groupBy("part")).applyInPandas(answer_leaves, answers.schema))
     streams = model.chunks.where("kind = 'stream'").select("chunk", "pairs", "counts", "contexts", "first", "word", "doc_ids", "lengths")
     columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
 
