@@ -23,6 +23,10 @@ With ``own``, every other word is a context of its own too. These restaurants, t
 leaves, lie in partitions by the context, so that one has all its dishes in one
 place; they have less customers than a common word. In every sweep the words'
 partitions send them what the parent offers and get back the tables that they have.
+Most of their dishes have one customer, at one table: these are stored once and no
+sweep carries them. A chunk's pairs are sent once; where they went to is kept as
+numbers, and scoring brings back customers and tables, from which the chunk works
+out the probabilities itself.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop, give_back, hash_strings, id_text, parts, plain_string, slices, split_words, store, tidy, word_codes
+from .common import drop, drop_kind, forget, give_back, hash_strings, id_text, parts, plain_string, slices, split_words, store, tidy, word_codes
 
 END = 256  # the symbol after a word's last byte, and the context before its first
 SYMBOLS = 257
@@ -50,6 +54,9 @@ SHAPE = (SYMBOLS * CLASSES[0] * CLASSES[1], SYMBOLS)
 #: Bytes of text in a chunk: the larger, the fewer words are sent more than once.
 CHUNK_BYTES = 24 << 20
 
+#: Training words for each partition of the model, of which there are no more than shuffle partitions: partitions send each other what they have, so that small ones only cost messages.
+PARTITION_WORDS = 1 << 21
+
 
 @dataclass(frozen=True)
 class ModelParams:
@@ -66,11 +73,23 @@ class ModelParams:
 
 
 def squeezed(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x).tobytes())
+    """The first bytes of all numbers, then the second ones, and so on, compressed."""
+    x = np.ascontiguousarray(x).ravel()
+    return zstandard.ZstdCompressor(1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
 
 
 def spread(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def steps(x: np.ndarray) -> bytes:
+    """Numbers that mostly rise by little, as differences."""
+    return squeezed(np.diff(x, prepend=0).astype("<i4"))
+
+
+def walked(data: bytes) -> np.ndarray:
+    return np.cumsum(spread(data, "<i4"), dtype=np.int64)
 
 
 # ----------------------------------------------------------------- seating
@@ -294,13 +313,17 @@ class Contexts:
     """Number of each context: of words by name, the end (an empty word) first; of others by their last byte."""
 
     words: dict[str, int]
+    tokens: int = 0  # training words
 
     @property
     def n(self) -> int:
         return len(self.words) + 256
 
-    def of(self, words: list[str]) -> np.ndarray:
-        own = self.words
+    def of(self, words: list[str], own_only: bool = False) -> np.ndarray:
+        """With ``own_only``, ``n`` for all but the words that have a number."""
+        own, n = self.words, self.n
+        if own_only:
+            return np.array([own.get(w, n) for w in words], np.int64)
         return np.array([own[w] if w in own else len(own) + w.encode()[-1] for w in words], np.int64)
 
 
@@ -328,26 +351,43 @@ def contexts(rows: DataFrame, p: ModelParams) -> Contexts:
     if unsure:
         again = rows.mapInArrow(tidy(_counted(spread_, unsure)), "word string, n long, cut long").where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
         found |= {r.word: r.n for r in again.collect()}
-    return Contexts({w: i for i, w in enumerate(["", *sorted(w for w, k in found.items() if k >= need)])})
+    return Contexts({w: i for i, w in enumerate(["", *sorted(w for w, k in found.items() if k >= need)])}, int(n))
 
 
 def context_kind(n: int) -> str:
     """How the numbers of ``n`` contexts are written."""
-    return "<u2" if n <= 1 << 16 else "<u4"
+    return "<u2" if n < 1 << 16 else "<u4"
 
 
 # ------------------------------------------------------------------- chunks
 
 
+def _keys(tokens: np.ndarray, of: np.ndarray, n_contexts: int) -> tuple[np.ndarray, int]:
+    """(a number for each token's pair of word and context, the first that is a leaf's).
+
+    Common contexts' pairs go by word, then context; leaves' ones by context, then word.
+    """
+    before, top = np.roll(tokens, 1), len(of) * n_contexts  # before a chunk's first document stands the end of its last
+    number = of[before]
+    return np.where(number < n_contexts, tokens * n_contexts + number, top + before * len(of) + tokens), top
+
+
+def _part(hashes: np.ndarray, partitions: int) -> np.ndarray:
+    """The partition of each hash; rises with the hash."""
+    return ((hashes >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32)).astype(np.int64)
+
+
 def _chunks(partitions: int, shared, own: bool = False):
-    """Rows of kind stream (a chunk's tokens as numbers of its pairs of word and context) and of kind word (its distinct words and pairs, by partition).
+    """Rows of kind stream (a chunk's tokens as numbers of its words) and of kind word (its distinct words and pairs, by partition).
 
     With ``own``, pairs whose context is no common word follow in rows of kind leaf, by the partition of the context.
+    Words are numbered by their hashes, so that all chunks and partitions have them in the same order.
     """
 
     def run(batches):
         task, k = TaskContext.get().partitionId(), 0
         known = shared.value
+        kind = context_kind(known.n)
         for batch in slices(batches, limit=CHUNK_BYTES):
             chunk = task << 24 | k
             k += 1
@@ -355,39 +395,37 @@ def _chunks(partitions: int, shared, own: bool = False):
             offsets, flat = split_words(plain_string(batch.column("text")))
             index, words = word_codes(flat)
             lengths, n = np.diff(offsets), len(words)  # n: number of the end, which every document has
-            names = [*words.to_pylist(), ""]
-            part = (hash_strings(pa.array(names, pa.large_string())) % np.uint64(partitions)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
+            names = np.array([*words.to_pylist(), ""], object)
+            hashes = pd.util.hash_array(names, categorize=False)
+            order = np.argsort(hashes, kind="stable")
+            names, part = names[order].tolist(), _part(hashes[order], partitions)
             rank = np.empty(n + 1, np.int64)
             rank[order] = np.arange(n + 1)
-            tokens = np.insert(index, offsets[1:], n)  # each document, then its end; before a document stands the end of another
-            before = np.concatenate([[n], tokens[:-1]]).astype(np.int64)
-            key, top = rank[tokens] * known.n + known.of(names)[before], (n + 1) * known.n
-            if own:  # after all others, by the rank of the context
-                rare = np.array([w not in known.words for w in names])[before]
-                key = np.where(rare, top + rank[before] * (n + 1) + rank[tokens], key)
-            pairs, which = np.unique(key, return_inverse=True)
-            counts = np.bincount(which, np.repeat(~held, lengths + 1), len(pairs)).astype("<i4")
-            shared_pairs = int(np.searchsorted(pairs, top))
-            after, word = np.divmod(pairs[shared_pairs:] - top, n + 1)
-            word = np.concatenate([pairs[:shared_pairs] // known.n, word]).astype("<i4")
-            context = (pairs[:shared_pairs] % known.n).astype(context_kind(known.n))
-            bounds = np.searchsorted(part[order], np.arange(partitions + 1))
+            tokens = rank[np.insert(index, offsets[1:], n)]  # each document, then its end
+            of = known.of(names, own)
+            key, top = _keys(tokens, of, known.n)
+            key = np.sort(key << 1 | np.repeat(~held, lengths + 1))
+            ends = np.append(np.flatnonzero(np.diff(key >> 1)) + 1, len(key))
+            pairs, counts = key[ends - 1] >> 1, np.diff(np.cumsum(key & 1)[ends - 1], prepend=0).astype("<i4")
+            del key
+            bounds = np.searchsorted(part, np.arange(partitions + 1))
             rows = [q for q in range(partitions) if bounds[q + 1] > bounds[q]]
-            at = np.searchsorted(word[:shared_pairs], bounds)
+            shared_pairs = int(np.searchsorted(pairs, top))
+            word, context = np.divmod(pairs[:shared_pairs], known.n)
+            after, follower = np.divmod(pairs[shared_pairs:] - top, n + 1)
+            at = np.searchsorted(word, bounds)
             cut = [(slice(bounds[q], bounds[q + 1]), slice(at[q], at[q + 1])) for q in rows]
             m, none = len(rows), [None]
-            packed = [zstandard.ZstdCompressor(1).compress(" ".join([names[i] for i in order[w]]).encode()) for w, _ in cut]
             doc_ids = pa.array([batch.column("doc_id").to_pylist()], pa.list_(batch.column("doc_id").type))
             yield pa.record_batch(
                 [
                     pa.array(["stream"] + ["word"] * m),
                     pa.array([chunk] * (m + 1)),
                     pa.array([-1, *rows], pa.int32()),
-                    pa.array(none + packed, pa.binary()),
-                    pa.array([squeezed(which.astype("<i4"))] + [squeezed(word[x] - np.int32(w.start)) for w, x in cut], pa.binary()),
+                    pa.array(none + [_joined_names(names[w]) for w, _ in cut], pa.binary()),
+                    pa.array([squeezed(tokens.astype("<i4"))] + [squeezed((word[x] - w.start).astype("<i4")) for w, x in cut], pa.binary()),
                     pa.array([squeezed(held.astype("u1"))] + [squeezed(counts[x]) for _, x in cut], pa.binary()),
-                    pa.array([squeezed(word)] + [squeezed(context[x]) for _, x in cut], pa.binary()),
+                    pa.array([squeezed(of.astype(kind))] + [squeezed(context[x].astype(kind)) for _, x in cut], pa.binary()),
                     pa.array([len(pairs)] + [int(x.start) for _, x in cut], pa.int64()),
                     pa.array([n + 1] + [int(w.start) for w, _ in cut], pa.int64()),
                     pa.concat_arrays([doc_ids, pa.nulls(m, doc_ids.type)]),
@@ -395,39 +433,88 @@ def _chunks(partitions: int, shared, own: bool = False):
                 ],
                 names=CHUNK,
             )
-            ends = np.searchsorted(after, bounds)
-            for q in rows:
-                if ends[q + 1] > ends[q]:
-                    x = slice(ends[q], ends[q + 1])
-                    y = slice(shared_pairs + x.start, shared_pairs + x.stop)
-                    (ours, i), (theirs, j) = np.unique(word[y], return_inverse=True), np.unique(after[x], return_inverse=True)
-                    yield pa.record_batch(
-                        [
-                            pa.array(["leaf"]), pa.array([chunk]), pa.array([q], pa.int32()), pa.array([_joined_names(names, order[ours])], pa.binary()), pa.array([squeezed(i.astype("<i4"))]),
-                            pa.array([squeezed(counts[y])]), pa.array([squeezed(j.astype("<i4"))]), pa.array([y.start], pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, doc_ids.type),
-                            pa.array([_joined_names(names, order[theirs])], pa.binary()),
-                        ],
-                        names=CHUNK,
-                    )
+            first = np.flatnonzero(np.diff(after, prepend=-1))  # where each context's pairs begin
+            theirs, sizes = after[first], np.diff(np.append(first, len(after)))
+            ends, at = np.searchsorted(after, bounds), np.searchsorted(theirs, bounds)
+            rows = [q for q in rows if ends[q + 1] > ends[q]]
+            m = len(rows)
+            cut = [(slice(ends[q], ends[q + 1]), slice(shared_pairs + ends[q], shared_pairs + ends[q + 1]), slice(at[q], at[q + 1])) for q in rows]
+            ours = [np.unique(follower[x], return_inverse=True) for x, _, _ in cut]
+            yield pa.record_batch(
+                [
+                    pa.array(["leaf"] * m, pa.string()),
+                    pa.array([chunk] * m, pa.int64()),
+                    pa.array(rows, pa.int32()),
+                    pa.array([_joined_names([names[i] for i in ws]) for ws, _ in ours], pa.binary()),
+                    pa.array([squeezed(i.astype("<i4")) for _, i in ours], pa.binary()),
+                    pa.array([squeezed(counts[y]) for _, y, _ in cut], pa.binary()),
+                    pa.array([squeezed(sizes[z].astype("<i4")) for _, _, z in cut], pa.binary()),
+                    pa.array([y.start for _, y, _ in cut], pa.int64()),
+                    pa.array([z.start for _, _, z in cut], pa.int64()),
+                    pa.nulls(m, doc_ids.type),
+                    pa.array([_joined_names([names[i] for i in theirs[z]]) for _, _, z in cut], pa.binary()),
+                ],
+                names=CHUNK,
+            )
 
     return run
 
 
-#: Of a leaf row: words, each pair's word, customers and context, names of the contexts (lengths). Of a stream row: pairs of the tokens, held-out flags, words of the pairs. Of a word row: words, each pair's word, customers and context. first, word: where the row's pairs and words begin.
+#: Of a stream row: words of the tokens, held-out flags, each word's number as a context. Of a word row: words, each pair's word, customers and context. Of a leaf row: words, each pair's word and customers, pairs of each context, names of the contexts (lengths). first, word: where the row's pairs and its words (contexts) begin; of a stream how many there are.
 CHUNK = ["kind", "chunk", "part", "words", "pairs", "counts", "contexts", "first", "word", "doc_ids", "lengths"]
 
 STATE = (
     "part int, words binary, n binary, pos binary, context binary, c binary, t binary, sizes binary, wt binary, wsizes binary, sums binary, probs binary, "
-    "cells binary, spelled binary, tables binary, tokens long, types long, ones long, twos long, wtokens long, wtables long, wones long, wtwos long, mass double, leaf binary, asks array<struct<part:int,x:binary>>"
+    "cells binary, spelled binary, tables binary, tokens long, types long, ones long, twos long, wtokens long, wtables long, wones long, wtwos long, mass double, leaf binary, fixed binary, asks array<struct<part:int,x:binary>>"
 )
+#: Of each chunk the words (at), its pairs (pairs) and which of these training has (seen), as numbers of the partition.
+ASKED = "kind string, part int, chunk long, first long, word long, at binary, pairs binary, seen binary"
 
 
 def _names(data: bytes) -> list[str]:
     return zstandard.ZstdDecompressor().decompress(data).decode().split(" ")
 
 
-def _joined_names(names: list[str], which) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(" ".join([names[i] for i in which]).encode())
+def _joined_names(names: list[str]) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(" ".join(names).encode())
+
+
+def _coded(lists) -> tuple[pa.Array, np.ndarray, list[np.ndarray]]:
+    """(distinct names in order of their hashes, hashes, the number of each name of each list)."""
+    lists = [pc.split_pattern(pa.array([zstandard.ZstdDecompressor().decompress(x).decode()], pa.large_string()), " ").flatten() for x in lists]
+    code = pa.concat_arrays(lists).dictionary_encode()
+    by_name = pc.sort_indices(code.dictionary).to_numpy()  # the order of rows in a group is not fixed
+    hashes = hash_strings(code.dictionary)
+    order = by_name[np.argsort(hashes[by_name], kind="stable")]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    every, ends = rank[code.indices.to_numpy()], np.cumsum([0, *map(len, lists)])
+    return code.dictionary.take(pa.array(order)), hashes[order], [every[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def _counted_pairs(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[tuple[bytes, bytes]]]:
+    """(keys that training has, customers, for each list its numbers among these and which it has): one before stands for a key that training has not."""
+    pairs, which = np.unique(np.concatenate(keys), return_inverse=True)
+    c = np.bincount(which, np.concatenate(counts), len(pairs)).astype(np.int64)
+    number, ends = np.cumsum(c > 0) - 1, np.cumsum([0, *map(len, keys)])
+    found = [(steps(number[which[a:b]]), np.packbits(c[which[a:b]] > 0).tobytes()) for a, b in zip(ends, ends[1:])]
+    return pairs[c > 0], c[c > 0], found
+
+
+def _looked_up(pairs: bytes, seen: bytes, *values: np.ndarray) -> list[np.ndarray]:
+    """Values of the pairs that a chunk asks for, 0 where training has none."""
+    at = walked(pairs)
+    has = np.unpackbits(np.frombuffer(seen, np.uint8), count=len(at)).astype(bool)
+    return [np.where(has, np.append(x, 0)[at], 0).astype("<i4") for x in values]
+
+
+def _columns(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _frame(rows: list[dict], schema: str) -> pd.DataFrame:
+    names = _columns(schema)
+    return pd.DataFrame([[r.get(x) for x in names] for r in rows], columns=names, dtype=object)
 
 
 def _merge(n_contexts: int):
@@ -437,52 +524,51 @@ def _merge(n_contexts: int):
     """
 
     def run(pdf: pd.DataFrame, asked: pd.DataFrame | None = None) -> pd.DataFrame:
-        lists = [_names(x) for x in pdf["words"]]
-        code, distinct = pd.factorize(np.concatenate([np.array(x, object) for x in lists]), sort=False)
-        order = np.argsort(np.array(distinct, str), kind="stable")  # the order of rows in a group is not fixed
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        starts = np.cumsum([0, *map(len, lists)])
-        pos = np.concatenate([rank[code[a + spread(x, "<i4")]] for a, x in zip(starts, pdf["pairs"])])
-        c = np.concatenate([spread(x, "<i4") for x in pdf["counts"]]).astype(np.int64)
-        context = np.concatenate([spread(x, context_kind(n_contexts)) for x in pdf["contexts"]]).astype(np.int64)
-        some = c > 0
-        pairs, which = np.unique(pos[some] * n_contexts + context[some], return_inverse=True)
-        c = np.bincount(which, c[some], len(pairs)).astype(np.int64) if len(pairs) else np.zeros(0, np.int64)
+        distinct, _, codes = _coded(pdf["words"])
+        words, part = distinct.to_pylist(), int(pdf["part"].iloc[0])
+        keys = [code[spread(x, "<i4")] * n_contexts + spread(y, context_kind(n_contexts)) for code, x, y in zip(codes, pdf["pairs"], pdf["contexts"])]
+        pairs, c, found = _counted_pairs(keys, [spread(x, "<i4") for x in pdf["counts"]])
         pos, context = pairs // n_contexts, pairs % n_contexts
-        n = np.bincount(pos, c, len(order)).astype(np.int64)
+        n = np.bincount(pos, c, len(words)).astype(np.int64)
         t = np.ones(len(c), np.int64)
-        words = [str(w) for w in distinct[order]]
-        leaf, asks, names = np.zeros(len(words), np.int64), [], pd.Index(words)
+        leaf, fixed, asks, names = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], pd.Index(words)
         for ask in asked.itertuples(index=False) if asked is not None else ():
-            at = names.get_indexer(_names(ask.names))
-            leaf[at] += spread(ask.x, "<i4")
-            n[at] += spread(ask.n, "<i8")
-            asks.append({"part": ask.sender, "x": squeezed(at.astype("<i4"))})
+            at = names.get_indexer(_names(ask.words))
+            n[at] += spread(ask.n, "<i4")
+            leaf[at] += spread(ask.t, "<i4")
+            fixed[at] += spread(ask.base, "<i4")
+            if len(live := walked(ask.pos)):
+                asks.append({"part": int(ask.sender), "x": squeezed(at[live].astype("<i4"))})
         customers = np.bincount(pos, minlength=len(words)) + leaf
         wt = np.minimum(customers, 1)
-        out = _state(int(pdf["part"].iloc[0]), words, n, pos, context, c, t, c.copy(), wt, customers[customers > 0], np.zeros(len(c), "<f4"), np.zeros((0, len(words))), 0.0, n_contexts, leaf, asks)
+        out = _state(part, words, n, pos, context, c, t, c.copy(), wt, customers[customers > 0], np.zeros(len(c)), np.zeros((0, len(words))), 0.0, n_contexts, leaf, fixed, asks)
+        rows = [{"kind": "asked", "part": part, "chunk": int(k), "first": int(a), "word": int(b), "at": steps(code), "pairs": x, "seen": y} for k, a, b, code, (x, y) in zip(pdf["chunk"], pdf["first"], pdf["word"], codes, found)]
+        out = _frame([{"kind": "state", **out.iloc[0].to_dict()}, *rows], MERGED)
         give_back()
         return out
 
     return run
 
 
-def _state(part, words, n, pos, context, c, t, sizes, wt, wsizes, sums, probs, mass, n_contexts, leaf, asks) -> pd.DataFrame:
-    """A partition: ``n`` tokens of each word, its pairs with customers and tables, the words' own tables, and what the samples have added up."""
+MERGED = ASKED + STATE.removeprefix("part int")
+
+
+def _state(part, words, n, pos, context, c, t, sizes, wt, wsizes, sums, probs, mass, n_contexts, leaf, fixed, asks) -> pd.DataFrame:
+    """A partition: ``n`` tokens of each word, its pairs with customers and tables, the words' own tables, and what the samples have added up: their tables (sums)."""
     some = np.flatnonzero(wt)
     lengths, cell = letters(pa.array(np.asarray(words, dtype=object)[some], pa.large_string()))
-    cells, where = np.unique(cell, return_inverse=True)
-    spelled = np.bincount(where, np.repeat(wt[some], lengths), len(cells)).astype("<i8") if len(cells) else np.zeros(0, "<i8")
+    spelled = np.bincount(cell, np.repeat(wt[some], lengths))
+    cells = np.flatnonzero(spelled)
+    spelled = spelled[cells].astype("<i8")
     customers = np.bincount(pos, t, len(words)).astype(np.int64) + leaf
     of_context = np.bincount(context, t, n_contexts).astype("<i8")
     return pd.DataFrame(
         {
             "part": [part], "words": [zstandard.ZstdCompressor(1).compress(" ".join(words).encode())], "n": [squeezed(n.astype("<i8"))], "pos": [squeezed(pos.astype("<i4"))], "context": [squeezed(context.astype(context_kind(n_contexts)))],
             "c": [squeezed(c.astype("<i8"))], "t": [squeezed(t.astype("<i4"))], "sizes": [squeezed(sizes.astype("<i8"))], "wt": [squeezed(wt.astype("<i8"))], "wsizes": [squeezed(wsizes.astype("<i8"))],
-            "sums": [squeezed(sums.astype("<f4"))], "probs": [squeezed(probs.astype("<f8"))], "cells": [cells.astype("<i4").tobytes()], "spelled": [spelled.tobytes()], "tables": [squeezed(of_context)],
+            "sums": [squeezed(sums.astype("<i4"))], "probs": [squeezed(probs.astype("<f8"))], "cells": [cells.astype("<i4").tobytes()], "spelled": [spelled.tobytes()], "tables": [squeezed(of_context)],
             "tokens": [int(n.sum())], "types": [int((n > 0).sum())], "ones": [int((c == 1).sum())], "twos": [int((c == 2).sum())],
-            "wtokens": [int(customers.sum())], "wtables": [int(wt.sum())], "wones": [int((customers == 1).sum())], "wtwos": [int((customers == 2).sum())], "mass": [mass], "leaf": [squeezed(leaf.astype("<i8"))], "asks": [asks],
+            "wtokens": [int(customers.sum())], "wtables": [int(wt.sum())], "wones": [int((customers == 1).sum())], "wtwos": [int((customers == 2).sum())], "mass": [mass], "leaf": [squeezed(leaf.astype("<i8"))], "fixed": [squeezed(fixed.astype("<i4"))], "asks": [asks],
         }
     )
 
@@ -531,6 +617,9 @@ class Fitted:
 
     state: DataFrame
     leaves: DataFrame | None  # the contexts that are no common words, by partition of the context
+    live: DataFrame | None  # what of these the sweeps move, and has been added up
+    asked: DataFrame  # what each chunk wants to know of the words' partitions,
+    asked_leaves: DataFrame | None  # and of the leaves', with the customers that these have
     chunks: DataFrame
     samples: int
     tokens: int
@@ -538,7 +627,8 @@ class Fitted:
     customers: np.ndarray  # of each context, with its strength
     left: np.ndarray  # (samples, contexts): what it offers its parent
     unknown: np.ndarray  # (samples,): what the words' restaurant leaves to words not seen
-    strength: float = ModelParams.context_strength
+    strength: float
+    discounts: tuple[float, float]  # of common contexts and of the leaves
 
 
 def fit(docs: DataFrame, held_out: Column, p: ModelParams = ModelParams()) -> Fitted:
@@ -554,18 +644,28 @@ def fit(docs: DataFrame, held_out: Column, p: ModelParams = ModelParams()) -> Fi
     shared = spark.sparkContext.broadcast(known)
     kinds = [T.StringType(), T.LongType(), T.IntegerType(), *[T.BinaryType()] * 4, T.LongType(), T.LongType(), T.ArrayType(docs.schema["doc_id"].dataType), T.BinaryType()]
     schema = T.StructType([T.StructField(c, k) for c, k in zip(CHUNK, kinds, strict=True)])
-    chunks = store(rows.mapInArrow(tidy(_chunks(parts(spark), shared, p.own)), schema), "chunks", "kind")
+    partitions = min(parts(spark), max(spark.sparkContext.defaultParallelism, -(-known.tokens // PARTITION_WORDS)))
+    chunks = store(rows.mapInArrow(tidy(_chunks(partitions, shared, p.own)), schema), "chunks", "kind")
     shared.destroy()  # the chunks are written
-    words = chunks.where("kind = 'word'").select("part", "words", "pairs", "counts", "contexts")
-    leaves = None
+    words = chunks.where("kind = 'word'").select("part", "chunk", "first", "word", "words", "pairs", "counts", "contexts")
+    leaves = live = None
+    d1 = d2 = 0.0
     if p.own:
-        given = chunks.where("kind = 'leaf'").select("part", "words", "pairs", "counts", "contexts", "lengths")
-        leaves = store(given.groupBy("part").applyInPandas(_merge_leaves(parts(spark)), LEAVES), "leaves")
-        asked = leaves.select(F.col("part").alias("sender"), F.explode("up").alias("u")).select("u.part", "sender", "u.names", "u.n", "u.x")
-        state = store(words.groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(_merge(known.n), STATE), "words")
+        given = chunks.where("kind = 'leaf'").select("part", "chunk", "first", "word", "words", "pairs", "counts", "contexts", "lengths")
+        leaves = store(given.groupBy("part").applyInPandas(_merge_leaves(partitions), LEAVES), "leaves", "kind")
+        drop_kind(chunks, "leaf")
+        asked = leaves.where("kind = 'up'").select("part", "sender", "words", "n", "t", "base", "pos")
+        merged = store(words.groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(_merge(known.n), MERGED), "words", "kind")
+        drop_kind(leaves, "up")
+        live = leaves.where("kind = 'live'").select(*_columns(LIVE))
+        d2 = discount(*live.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("ones", "twos")]).first())
     else:
         merge = _merge(known.n)
-        state = store(words.groupBy("part").applyInPandas(lambda pdf: merge(pdf), STATE), "words")  # of two arguments the first would be the key
+        merged = store(words.groupBy("part").applyInPandas(lambda pdf: merge(pdf), MERGED), "words", "kind")  # of two arguments the first would be the key
+    drop_kind(chunks, "word")
+    state = merged.where("kind = 'state'").select(*_columns(STATE))
+    del words
+    forget(spark)
     spelling, rng = Spelling(p), np.random.default_rng(p.seed)
     names = ("tokens", "types", "ones", "twos", "wtokens", "wtables", "wones", "wtwos")
     tokens = types = 0
@@ -583,24 +683,35 @@ def fit(docs: DataFrame, held_out: Column, p: ModelParams = ModelParams()) -> Fi
         keep, last = sweep > p.burn_in, sweep == p.burn_in + p.samples
         offer0 = p.word_strength + d0 * sums["wtables"]
         now = spark.sparkContext.broadcast((spelling.compact(), p.context_strength + d1 * tables))
-        was, move = state, _sweep(now, d1, d0, offer0, sums["wtokens"], sweep, keep, last, known.n, p)
+        was, move = [state, live], _sweep(now, d1, d0, offer0, sums["wtokens"], sweep, keep, last, known.n, p)
+        carried = state.drop("cells", "spelled", "tables")
         if p.own:
-            many = leaves.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("ones", "twos")]).first()
             down = state.select("part", "words", "n", "pos", "t", "wt", "leaf", "asks").mapInArrow(tidy(_offers(now, d0, offer0, sums["wtokens"], p)), "part int, sender int, x binary")
-            old = leaves
-            leaves = store(leaves.groupBy("part").cogroup(down.groupBy("part")).applyInPandas(_sweep_leaves(discount(many["ones"], many["twos"]), sweep, keep, last, p), LEAVES), "leaves")
-            drop(old)
-            up = leaves.select(F.col("part").alias("sender"), F.explode("up").alias("u")).select("u.part", "sender", "u.x")
-            state = store(state.groupBy("part").cogroup(up.groupBy("part")).applyInPandas(move, STATE), "sweep")
+            live = store(live.drop("up").groupBy("part").cogroup(down.groupBy("part")).applyInPandas(_sweep_leaves(d2, sweep, keep, last, p), LIVE), "leaves")
+            up = live.select(F.col("part").alias("sender"), F.explode("up").alias("u")).select("u.part", "sender", "u.x")
+            state = store(carried.groupBy("part").cogroup(up.groupBy("part")).applyInPandas(move, STATE), "sweep")
+            del down, up
+        else:
+            state = store(carried.mapInPandas(tidy(lambda frames: (move(pdf) for pdf in frames)), STATE), "sweep")
+        if sweep:
+            drop(*[x for x in was if x is not None])
         else:
-            state = store(state.mapInPandas(tidy(lambda frames: (move(pdf) for pdf in frames)), STATE), "sweep")
-        drop(was)
+            drop_kind(merged, "state")
+            if p.own:
+                drop_kind(leaves, "live")
+        del was, carried
+        forget(spark)
         now.destroy()  # the sweep is written
         if keep:
             mass = state.agg(F.sum("mass")).first()[0]
             left.append(p.context_strength + d1 * tables)
             unknown.append(offer0 / (p.word_strength + sums["wtokens"]) * (1 - mass))
-    return Fitted(state, leaves, chunks, p.samples, tokens, types, customers + p.context_strength, np.array(left).reshape(-1, known.n), np.array(unknown), p.context_strength)
+    asked = merged.where("kind = 'asked'").select(*_columns(ASKED))
+    asked_leaves = leaves.where("kind in ('asked', 'kept')").select(*_columns(ASKED), "context", "c") if p.own else None
+    if p.own:
+        kept = leaves.where("kind = 'kept'").select("part", "words", "contexts", "pos", "context", "c")
+        leaves = kept.groupBy("part").cogroup(live.select("part", "t").groupBy("part")).applyInPandas(_restaurants, "part int, words binary, contexts binary, pos binary, context binary, c binary, t binary")
+    return Fitted(state, leaves, live, asked, asked_leaves, chunks, p.samples, tokens, types, customers + p.context_strength, np.array(left).reshape(-1, known.n), np.array(unknown), p.context_strength, (d1, d2))
 
 
 def _by_context(state: DataFrame, n: int, what: str) -> np.ndarray:
@@ -630,15 +741,15 @@ def _sweep(now, d1: float, d0: float, offer0: float, wtokens: int, sweep: int, k
         for row in pdf.itertuples(index=False):
             words, n, pos, context = _names(row.words), spread(row.n, "<i8"), spread(row.pos, "<i4").astype(np.int64), spread(row.context, context_kind(n_contexts)).astype(np.int64)
             c, t, sizes, wt, wsizes = spread(row.c, "<i8"), spread(row.t, "<i4").astype(np.int64), spread(row.sizes, "<i8"), spread(row.wt, "<i8"), spread(row.wsizes, "<i8")
-            sums, probs, leaf = spread(row.sums, "<f4"), spread(row.probs, "<f8").reshape(-1, len(words)), spread(row.leaf, "<i8")
+            sums, probs, leaf, fixed = spread(row.sums, "<i4"), spread(row.probs, "<f8").reshape(-1, len(words)), spread(row.leaf, "<i8"), spread(row.fixed, "<i4")
             base = _word_base(words, table)
             customers = np.bincount(pos, t, len(words)) + leaf
             prob = (customers - d0 * wt + offer0 * base) / (p.word_strength + wtokens)
             if keep:
-                sums, probs = sums + (c - d1 * t), np.concatenate([probs, prob[None]])
+                sums, probs = sums + t, np.concatenate([probs, prob[None].astype(np.float32)])
             if not last:
                 if up is not None:  # the tables that the leaves have now
-                    asks, leaf = {x["part"]: x["x"] for x in row.asks}, np.zeros(len(words), np.int64)
+                    asks, leaf = {x["part"]: x["x"] for x in row.asks}, fixed.astype(np.int64)
                     for x in up.itertuples(index=False):
                         leaf[spread(asks[x.sender], "<i4")] += spread(x.x, "<i4")
                 rng = np.random.default_rng((p.seed, sweep, row.part))
@@ -652,7 +763,7 @@ def _sweep(now, d1: float, d0: float, offer0: float, wtokens: int, sweep: int, k
                     wanted = np.bincount(pos, t, len(words)).astype(np.int64) + leaf
                     wsizes, wt = settle(wsizes, wt, wanted, offer0 * base, d0, rng)
                     wsizes, wt = reseat(wsizes, wt, offer0 * base, d0, p.moves, rng)
-            out.append(_state(row.part, words, n, pos, context, c, t, sizes, wt, wsizes, sums, probs, float(base[n > 0].sum()), n_contexts, leaf, list(row.asks)))
+            out.append(_state(row.part, words, n, pos, context, c, t, sizes, wt, wsizes, sums, probs, float(base[n > 0].sum()), n_contexts, leaf, fixed, list(row.asks)))
         give_back()
         return pd.concat(out) if out else pdf
 
@@ -661,106 +772,113 @@ def _sweep(now, d1: float, d0: float, offer0: float, wtokens: int, sweep: int, k
 
 # -------------------------------------------------------------------- leaves
 
-LEAVES = (
-    "part int, words binary, contexts binary, at binary, pos binary, context binary, c binary, t binary, sizes binary, sums binary, probs binary, lefts binary, "
-    "up array<struct<part:int,names:binary,n:binary,x:binary>>, ones long, twos long"
-)
-
-
-def _coded(lists: list[list[str]], indexes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct names in order, the number of each name that an index of its list stands for)."""
-    code, distinct = pd.factorize(np.concatenate([np.array(x, object) for x in lists]), sort=False)
-    order = np.argsort(np.array(distinct, str), kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    starts = np.cumsum([0, *map(len, lists)])
-    return distinct[order], np.concatenate([rank[code[a + x]] for a, x in zip(starts, indexes)])
+#: What may still change of a partition's leaves: dishes of several customers (pos: among the words that have such ones, which begin for each partition of words at ``at``), and of the contexts that have some (ctxs) the dishes of one customer (base) and all tables at each sample.
+LIVE = "part int, at binary, pos binary, context binary, ctxs binary, base binary, c binary, t binary, sizes binary, sums binary, tables binary, up array<struct<part:int,x:binary>>, ones long, twos long"
+LEAVES = ASKED + ", sender int, words binary, contexts binary, n binary" + LIVE.removeprefix("part int, at binary")
 
 
 def _merge_leaves(partitions: int):
-    """All chunks' pairs of one partition of contexts. Its words stand in order of their own partitions, which get what tables they have here."""
+    """All chunks' pairs of one partition of contexts, in rows of several kinds.
+
+    kept: names, and all pairs with their customers. live: see ``LIVE``. asked: what each chunk asks for. up: to each
+    partition of words those that are here, their customers and tables, the tables of dishes of one customer, and
+    which of them have other ones.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        words, pos = _coded([_names(x) for x in pdf["words"]], [spread(x, "<i4") for x in pdf["pairs"]])
-        contexts, context = _coded([_names(x) for x in pdf["lengths"]], [spread(x, "<i4") for x in pdf["contexts"]])
-        c = np.concatenate([spread(x, "<i4") for x in pdf["counts"]])
-        part = (hash_strings(pa.array(words, pa.large_string())) % np.uint64(partitions)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        words, at = words[order].tolist(), np.searchsorted(part[order], np.arange(partitions + 1))
-        some = c > 0
-        pairs, which = np.unique(context[some] * len(words) + rank[pos[some]], return_inverse=True)
-        c = np.bincount(which, c[some], len(pairs)).astype(np.int64) if len(pairs) else np.zeros(0, np.int64)
-        t = np.ones(len(c), np.int64)
+        part, (words, hashes, word), (contexts, _, met) = int(pdf["part"].iloc[0]), _coded(pdf["words"]), _coded(pdf["lengths"])
+        keys = [np.repeat(x, spread(k, "<i4")) * len(words) + w[spread(i, "<i4")] for x, k, w, i in zip(met, pdf["contexts"], word, pdf["pairs"])]
+        pairs, c, found = _counted_pairs(keys, [spread(x, "<i4") for x in pdf["counts"]])
+        del keys
+        pos, context = pairs % len(words), pairs // len(words)
+        rows = [{"kind": "asked", "chunk": int(k), "first": int(a), "word": int(b), "at": steps(code), "pairs": x, "seen": y} for k, a, b, code, (x, y) in zip(pdf["chunk"], pdf["first"], pdf["word"], met, found)]
+        names = words.to_pylist()
+        rows.append({"kind": "kept", "words": _joined_names(names), "contexts": _joined_names(contexts.to_pylist()), "pos": squeezed(pos.astype("<i4")), "context": steps(context), "c": squeezed(c.astype("<i4"))})
+        of, live = _part(hashes, partitions), c > 1
+        ours, mine = np.unique(pos[live], return_inverse=True)
+        ctxs, theirs = np.unique(context[live], return_inverse=True)
+        base, at, mc = np.bincount(context[~live], minlength=len(contexts))[ctxs], np.searchsorted(of[ours], np.arange(partitions + 1)), c[live]
         none = np.zeros(0)
-        out = _leaf_state(int(pdf["part"].iloc[0]), words, contexts.tolist(), at, pairs % len(words), pairs // len(words), c, t, c, np.zeros(len(c)), none, none, True)
+        state = _live_state(part, at, mine, theirs, ctxs, base, mc, np.ones(len(mc), np.int64), mc, np.zeros(len(mc)), none, int((c == 1).sum()), int((c == 2).sum()))
+        rows.append({"kind": "live", **state.iloc[0].to_dict()})
+        n, t, fixed = (np.bincount(pos[x], y, len(words)).astype("<i4") for x, y in ((slice(None), c), (slice(None), None), (~live, None)))
+        bounds = np.searchsorted(of, np.arange(partitions + 1))
+        for q in np.flatnonzero(np.diff(bounds)):
+            own = slice(bounds[q], bounds[q + 1])
+            rows.append({"kind": "up", "part": int(q), "sender": part, "words": _joined_names(names[own]), "n": squeezed(n[own]), "t": squeezed(t[own]), "base": squeezed(fixed[own]), "pos": steps(ours[at[q] : at[q + 1]] - own.start)})
+        out = _frame([{"part": part} | x for x in rows], LEAVES)
         give_back()
         return out
 
     return run
 
 
-def _leaf_state(part, words, contexts, at, pos, context, c, t, sizes, sums, probs, lefts, first=False) -> pd.DataFrame:
-    tables = np.bincount(pos, t, len(words)).astype("<i4")
-    up = [{"part": int(q), "names": None, "n": None, "x": squeezed(tables[at[q] : at[q + 1]])} for q in np.flatnonzero(np.diff(at))]
-    if first:  # what does not change any more
-        tokens = np.bincount(pos, c, len(words)).astype("<i8")
-        for x in up:
-            own = slice(at[x["part"]], at[x["part"] + 1])
-            x |= {"names": _joined_names(words, range(own.start, own.stop)), "n": squeezed(tokens[own])}
+def _live_state(part, at, pos, context, ctxs, base, c, t, sizes, sums, tables, ones, twos) -> pd.DataFrame:
+    seated = np.bincount(pos, t, int(at[-1])).astype("<i4")
+    up = [{"part": int(q), "x": squeezed(seated[at[q] : at[q + 1]])} for q in np.flatnonzero(np.diff(at))]
     return pd.DataFrame(
         {
-            "part": [part], "words": [_joined_names(words, range(len(words)))], "contexts": [_joined_names(contexts, range(len(contexts)))], "at": [squeezed(at.astype("<i8"))],
-            "pos": [squeezed(pos.astype("<i4"))], "context": [squeezed(np.diff(context, prepend=0).astype("<i4"))], "c": [squeezed(c.astype("<i4"))], "t": [squeezed(t.astype("<i4"))], "sizes": [squeezed(sizes.astype("<i4"))],
-            "sums": [squeezed(sums.astype("<f4"))], "probs": [squeezed(probs.astype("<f4"))], "lefts": [squeezed(lefts.astype("<f4"))], "up": [up], "ones": [int((c == 1).sum())], "twos": [int((c == 2).sum())],
+            "part": [part], "at": [steps(at)], "pos": [squeezed(pos.astype("<i4"))], "context": [steps(context)], "ctxs": [steps(ctxs)], "base": [squeezed(base.astype("<i4"))],
+            "c": [squeezed(c.astype("<i4"))], "t": [squeezed(t.astype("<i4"))], "sizes": [squeezed(sizes.astype("<i4"))], "sums": [squeezed(sums.astype("<i4"))], "tables": [squeezed(tables.astype("<i4"))],
+            "up": [up], "ones": [ones], "twos": [twos],
         }
     )
 
 
+def _restaurants(kept: pd.DataFrame, live: pd.DataFrame) -> pd.DataFrame:
+    """A partition of leaves with the tables of all dishes."""
+    out = kept[["part", "words", "contexts", "pos", "context", "c"]].reset_index(drop=True)
+    c = spread(out["c"].iloc[0], "<i4")
+    t = np.ones(len(c), "<i4")
+    t[c > 1] = spread(live["t"].iloc[0], "<i4")
+    return out.assign(t=[squeezed(t)])
+
+
 def _offers(now, d0: float, offer0: float, wtokens: int, p: ModelParams):
-    """To each partition of leaves the probabilities of its words without context; 0 for words not seen in training."""
+    """To each partition of leaves the probabilities without context of the words that it asks for."""
 
     def run(batches):
         table, _ = now.value
         for batch in batches:
             for row in batch.to_pylist():
-                words, n = _names(row["words"]), spread(row["n"], "<i8")
-                customers = np.bincount(spread(row["pos"], "<i4"), spread(row["t"], "<i4"), len(words)) + spread(row["leaf"], "<i8")
-                prob = np.where(n > 0, (customers - d0 * spread(row["wt"], "<i8") + offer0 * _word_base(words, table)) / (p.word_strength + wtokens), 0).astype("<f4")
-                for ask in row["asks"]:
-                    yield pa.record_batch([pa.array([ask["part"]], pa.int32()), pa.array([row["part"]], pa.int32()), pa.array([squeezed(prob[spread(ask["x"], "<i4")])], pa.binary())], names=["part", "sender", "x"])
+                n, asks = spread(row["n"], "<i8"), [spread(ask["x"], "<i4") for ask in row["asks"]]
+                wanted = np.zeros(len(n), bool)
+                for at in asks:
+                    wanted[at] = True
+                some, prob = np.flatnonzero(wanted), np.zeros(len(n), "<f4")
+                customers = np.bincount(spread(row["pos"], "<i4"), spread(row["t"], "<i4"), len(n)) + spread(row["leaf"], "<i8")
+                base = _word_base(np.array(_names(row["words"]), object)[some], table)
+                prob[some] = (customers[some] - d0 * spread(row["wt"], "<i8")[some] + offer0 * base) / (p.word_strength + wtokens)
+                for ask, at in zip(row["asks"], asks, strict=True):
+                    yield pa.record_batch([pa.array([ask["part"]], pa.int32()), pa.array([row["part"]], pa.int32()), pa.array([squeezed(prob[at])], pa.binary())], names=["part", "sender", "x"])
 
     return run
 
 
 def _sweep_leaves(d: float, sweep: int, keep: bool, last: bool, p: ModelParams):
-    """As ``_sweep``, for the restaurants of a partition of leaves: all of a context's dishes are in it."""
+    """As ``_sweep``, for the restaurants of a partition of leaves: all of a context's dishes are in it.
+
+    A dish of one customer has one table, whatever is drawn, so that only the others are here.
+    """
 
     def run(pdf: pd.DataFrame, down: pd.DataFrame) -> pd.DataFrame:
         row = pdf.iloc[0]
-        words, contexts, at, pos, context = _names(row["words"]), _names(row["contexts"]), spread(row["at"], "<i8"), spread(row["pos"], "<i4").astype(np.int64), np.cumsum(spread(row["context"], "<i4"), dtype=np.int64)
-        c, t, sizes = (spread(row[x], "<i4").astype(np.int64) for x in ("c", "t", "sizes"))
-        sums, probs, lefts = (spread(row[x], "<f4") for x in ("sums", "probs", "lefts"))
-        prob = np.zeros(len(words), "<f4")
+        at, context, ctxs = (walked(row[x]) for x in ("at", "context", "ctxs"))
+        pos, base, c, t, sizes, sums, tables = (spread(row[x], "<i4").astype(np.int64) for x in ("pos", "base", "c", "t", "sizes", "sums", "tables"))
+        prob = np.zeros(int(at[-1]), "<f4")
         for x in down.itertuples(index=False):
             prob[at[x.sender] : at[x.sender + 1]] = spread(x.x, "<f4")
-        left = p.context_strength + d * np.bincount(context, t, len(contexts))
+        now = base + np.bincount(context, t, len(base)).astype(np.int64)
         if keep:
-            sums, probs, lefts = sums + (c - d * t), np.concatenate([probs, prob]), np.concatenate([lefts, left])
+            sums, tables = sums + t, np.concatenate([tables, now])
         if not last:
-            offer, rng = left[context] * prob[pos], np.random.default_rng((p.seed, sweep, int(row["part"]), 1))
+            offer, rng = (p.context_strength + d * now)[context] * prob[pos], np.random.default_rng((p.seed, sweep, int(row["part"]), 1))
             if not sweep:
                 t = seat(c, offer, d, rng)
                 sizes = tables_of(c, t)
-            elif len(some := np.flatnonzero(c > 1)):  # a customer alone has one table, whatever is drawn
-                own = np.repeat(c > 1, t)
-                new, moved = reseat(sizes[own], t[some], offer[some], d, p.moves, rng)
-                t = t.copy()
-                t[some] = moved
-                sizes = np.ones(int(t.sum()), np.int64)
-                sizes[np.repeat(c > 1, t)] = new
-        out = _leaf_state(int(row["part"]), words, contexts, at, pos, context, c, t, sizes, sums, probs, lefts)
+            else:
+                sizes, t = reseat(sizes, t, offer, d, p.moves, rng)
+        out = _live_state(int(row["part"]), at, pos, context, ctxs, base, c, t, sizes, sums, tables, int(row["ones"]), int(row["twos"]))
         give_back()
         return out
 
@@ -779,73 +897,71 @@ def score(model: Fitted) -> DataFrame:
     """
     id_type = model.chunks.schema["doc_ids"].dataType.elementType
     n, v, samples = model.tokens, model.types, model.samples
-    given, left, unknown, strength = model.customers, model.left, model.unknown, model.strength
-    nothing = np.log10(np.maximum((left * unknown[:, None]).mean(0) / given, 1e-300)) if n else np.zeros(len(given))
+    given, left, unknown, strength, (d1, d2) = model.customers, model.left, model.unknown, model.strength, model.discounts
+    names = ["leaf", "chunk", "first", "word", "n", "x", "c", "t"]  # of words: customers and probabilities; of leaves: customers and tables; of both: customers and tables of pairs
 
     def answer(asked: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(state):
-            row = state.iloc[0]
-            names = pd.Index(_names(row["words"]))
-            tokens, pos, context = spread(row["n"], "<i8"), spread(row["pos"], "<i4").astype(np.int64), spread(row["context"], context_kind(len(given))).astype(np.int64)
-            sums, probs = spread(row["sums"], "<f4"), spread(row["probs"], "<f8").reshape(-1, len(names))
-            keys = pos * len(given) + context
-            for ask in asked.itertuples(index=False):
-                at = names.get_indexer(_names(ask.words))
-                word, ctx = at[spread(ask.pairs, "<i4")], spread(ask.contexts, context_kind(len(given))).astype(np.int64)
-                log = nothing[ctx]
-                if n:
-                    total = sum((left[s][ctx] * probs[s][word] for s in range(samples)), np.zeros(len(word)))
-                    if len(keys):
-                        i = np.minimum(np.searchsorted(keys, word * len(given) + ctx), len(keys) - 1)
-                        total += np.where(keys[i] == word * len(given) + ctx, sums[i], 0)
-                    log = np.where(tokens[word] > 0, np.log10(np.maximum(total / samples / given[ctx], 1e-300)), log)
-                out.append((ask.chunk, ask.first, ask.word, squeezed(tokens[at].astype("<i8")), squeezed(log.astype("<f4"))))
-        give_back()
-        return pd.DataFrame(out, columns=["chunk", "first", "word", "n", "log"])
-
-    asked = model.chunks.where("kind = 'word'").select("part", "chunk", "words", "pairs", "contexts", "first", "word")
-    answers = asked.groupBy("part").cogroup(model.state.select("part", "words", "n", "pos", "context", "sums", "probs").groupBy("part"))
-    answers = answers.applyInPandas(answer, "chunk long, first long, word long, n binary, log binary")
-
-    def answer_leaves(asked: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
-        row, out = leaves.iloc[0], []
-        words, names = pd.Index(_names(row["words"])), pd.Index(_names(row["contexts"]))
-        c, context = spread(row["c"], "<i4"), np.cumsum(spread(row["context"], "<i4"), dtype=np.int64)
-        given = strength + np.bincount(context, c, len(names))
-        keys, sums = context * len(words) + spread(row["pos"], "<i4"), spread(row["sums"], "<f4")
-        probs, lefts = spread(row["probs"], "<f4").reshape(-1, len(words)).astype(np.float64), spread(row["lefts"], "<f4").reshape(-1, len(names)).astype(np.float64)
+        row, out = state.iloc[0], []
+        tokens, c, sums = spread(row["n"], "<i8"), spread(row["c"], "<i8"), spread(row["sums"], "<i4")
+        probs = np.where(tokens > 0, spread(row["probs"], "<f8").reshape(-1, len(tokens)), 0).astype("<f4")
         for ask in asked.itertuples(index=False):
-            word = words.get_indexer(_names(ask.words))[spread(ask.pairs, "<i4")]
-            ctx = names.get_indexer(_names(ask.lengths))[spread(ask.contexts, "<i4")]
-            log = np.zeros(len(word))
-            if n:
-                total, rest = (sum((lefts[s][ctx] * x for s, x in enumerate(y)), np.zeros(len(word))) for y in (probs[:, word], unknown))
-                if len(keys):
-                    key = ctx * len(words) + word
-                    i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    total += np.where(keys[i] == key, sums[i], 0)
-                log = np.log10(np.maximum(np.where(probs[0][word] > 0, total, rest) / samples / given[ctx], 1e-300))
-            out.append((ask.chunk, ask.first, 0, squeezed(np.zeros(0, "<i8")), squeezed(log.astype("<f4"))))
+            at = walked(ask.at)
+            out.append((False, ask.chunk, ask.first, ask.word, squeezed(tokens[at]), squeezed(probs[:, at]), *map(squeezed, _looked_up(ask.pairs, ask.seen, c, sums))))
         give_back()
-        return pd.DataFrame(out, columns=["chunk", "first", "word", "n", "log"])
+        return pd.DataFrame(out, columns=names)
+
+    def answer_leaves(asked: pd.DataFrame, live: pd.DataFrame) -> pd.DataFrame:
+        kept, row, out = asked[asked["kind"] == "kept"].iloc[0], live.iloc[0], []
+        asked = asked[asked["kind"] == "asked"]
+        c, context, ctxs = spread(kept["c"], "<i4"), walked(kept["context"]), walked(row["ctxs"])
+        sums = np.full(len(c), samples, np.int64)
+        sums[c > 1] = spread(row["sums"], "<i4")
+        met = [walked(x) for x in asked["at"]]
+        size = 1 + max(int(x.max()) for x in met)
+        customers, tables = np.bincount(context, c, size).astype("<i8"), np.tile(np.bincount(context, minlength=size), (samples if n else 0, 1))
+        tables[:, ctxs] = spread(row["tables"], "<i4").reshape(len(tables), len(ctxs))
+        for at, ask in zip(met, asked.itertuples(index=False), strict=True):
+            out.append((True, ask.chunk, ask.first, ask.word, squeezed(customers[at]), squeezed(tables[:, at].astype("<i4")), *map(squeezed, _looked_up(ask.pairs, ask.seen, c, sums))))
+        give_back()
+        return pd.DataFrame(out, columns=names)
 
-    if model.leaves is not None:
-        asked = model.chunks.where("kind = 'leaf'").select("part", "chunk", "words", "pairs", "contexts", "first", "lengths")
-        leaves = model.leaves.select("part", "words", "contexts", "pos", "context", "c", "sums", "probs", "lefts")
-        answers = answers.union(asked.groupBy("part").cogroup(leaves.groupBy("part")).applyInPandas(answer_leaves, answers.schema))
+    schema = "leaf boolean, chunk long, first long, word long, n binary, x binary, c binary, t binary"
+    answers = model.asked.groupBy("part").cogroup(model.state.select("part", "n", "c", "sums", "probs").groupBy("part")).applyInPandas(answer, schema)
+    if model.asked_leaves is not None:
+        answers = answers.union(model.asked_leaves.groupBy("part").cogroup(model.live.select("part", "ctxs", "sums", "tables").groupBy("part")).applyInPandas(answer_leaves, schema))
     streams = model.chunks.where("kind = 'stream'").select("chunk", "pairs", "counts", "contexts", "first", "word", "doc_ids", "lengths")
     columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
 
     def documents(stream: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in stream.itertuples(index=False):
-            count, log = np.zeros(row.word, np.int64), np.zeros(row.first)
+            tokens, of = spread(row.pairs, "<i4").astype(np.int64), spread(row.contexts, context_kind(len(given))).astype(np.int64)
+            key, top = _keys(tokens, of, len(given))
+            pairs, which = np.unique(key, return_inverse=True)
+            common = int(np.searchsorted(pairs, top))
+            word, context = np.divmod(pairs[:common], len(given))
+            after, follower = np.divmod(pairs[common:] - top, row.word)
+            leaf = np.cumsum(np.diff(after, prepend=-1) > 0) - 1
+            word, leaves, some = np.concatenate([word, follower]), int(leaf[-1]) + 1 if len(leaf) else 0, len(left)
+            count, prob, seated, tables = np.zeros(row.word, np.int64), np.zeros((some, row.word)), np.zeros(leaves, np.int64), np.zeros((some, leaves))
+            customers, own = np.zeros((2, row.first))
             for a in answers.itertuples(index=False):
-                x, y = spread(a.n, "<i8"), spread(a.log, "<f4")
-                count[a.word : a.word + len(x)], log[a.first : a.first + len(y)] = x, y
-            which, lengths = spread(row.pairs, "<i4"), spread(row.lengths, "<i4").astype(np.int64) + 1
-            c = count[spread(row.contexts, "<i4")[which]]
+                x = spread(a.n, "<i8")
+                at, (of_all, per) = slice(a.word, a.word + len(x)), (seated, tables) if a.leaf else (count, prob)
+                of_all[at], per[:, at] = x, spread(a.x, "<i4" if a.leaf else "<f4").reshape(some, len(x))
+                x = spread(a.c, "<i4")
+                customers[a.first : a.first + len(x)], own[a.first : a.first + len(x)] = x, spread(a.t, "<i4")
+            log = np.zeros(len(pairs))
+            if n:
+                total = some * customers
+                total[:common] -= d1 * own[:common]
+                total[common:] -= d2 * own[common:]
+                for k in range(some):
+                    offer = np.concatenate([left[k][context], (strength + d2 * tables[k])[leaf]])
+                    total += offer * np.where(count > 0, prob[k], unknown[k])[word]
+                log = np.log10(np.maximum(total / some / np.concatenate([given[context], (strength + seated)[leaf]]), 1e-300))
+            lengths = spread(row.lengths, "<i4").astype(np.int64) + 1
+            c = count[tokens]
             starts = np.cumsum(lengths) - lengths
             sums = [np.add.reduceat(x, starts) for x in ((c > 0).astype(np.int64), np.log10((c + 1) / (n + v + 1)), log[which])]
             ids = pd.Series(list(row.doc_ids), dtype=object)

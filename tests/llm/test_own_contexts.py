@@ -92,3 +92,40 @@ def test_own_contexts_on_odd_rows(odd, none):
     assert language_model.score(language_model.fit(odd, F.lit(False), p)).count() == 12
     assert language_model.score(language_model.fit(none, F.lit(False), p)).count() == 0
     assert {r.score for r in language_model.score(language_model.fit(odd, F.lit(True), p)).collect()} == {0.0}
+
+
+def test_sweeps_carry_no_dish_of_one_customer_and_scoring_sends_no_names(spark):
+    """What travels in every sweep grows with the dishes of several customers alone; chunks' pairs are stored once."""
+    rows = [(i, " ".join(f"a{k} b{i}x{k}y" for k in range(400)) + " a1 c a1 c") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    p = language_model.ModelParams(own=True, common=20)
+    model = language_model.fit(df, F.lit(False), p)
+    dishes = [c for r in model.leaves.collect() for c in spread(r.c, "<i4").tolist()]
+    live = [c for r in model.live.collect() for c in spread(r.c, "<i4").tolist()]
+    assert sorted(live) == sorted(c for c in dishes if c > 1) and 10 * len(live) < len(dishes)
+    assert {*model.asked.columns, *model.asked_leaves.columns}.isdisjoint({"words", "contexts"})
+    assert {r.kind for r in spark.read.parquet(model.chunks.stored_at).select("kind").distinct().collect()} == {"stream"}
+    known = language_model.contexts(df.select("text"), p)
+    customers, tables, *_ = restaurants(model, known)
+    assert customers["c", "a1"] == 20 and customers["b3x7y", "a7"] == 1 and tables["b3x7y", "a7"] == 1
+
+
+def test_partitions_by_words_not_by_the_shuffle_setting(spark):
+    """Partitions send each other messages: a small corpus has no more of them for a larger setting."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").where("doc_id < 60")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        model = language_model.fit(docs, language_model.every_seventh(), language_model.ModelParams(burn_in=0, samples=1, own=True))
+        assert model.live.count() <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_numbers_are_stored_by_byte():
+    for kind in ("u1", "<u2", "<i4", "<i8", "<f4", "<f8"):
+        for x in (np.arange(1000).astype(kind), np.zeros(0, kind), np.arange(6).reshape(2, 3).astype(kind)):
+            assert spread(language_model.squeezed(x), kind).tolist() == x.ravel().tolist()
+    small = np.random.default_rng(1).integers(0, 256, 100000)
+    assert len(language_model.squeezed(small.astype("<i4"))) < 1.02 * 100000
+    assert language_model.walked(language_model.steps(np.array([3, 3, 9, -1, 7]))).tolist() == [3, 3, 9, -1, 7]
