@@ -384,78 +384,79 @@ def _chunks(partitions: int, shared, own: bool = False):
     Words are numbered by their hashes, so that all chunks and partitions have them in the same order.
     """
 
-    def run(batches):
-        task, k = TaskContext.get().partitionId(), 0
+    def one(batch, chunk):  # of its own, so that nothing of a chunk is held while the next one is read
         known = shared.value
         kind = context_kind(known.n)
-        for batch in slices(batches, limit=CHUNK_BYTES):
-            chunk = task << 24 | k
-            k += 1
-            held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            offsets, flat = split_words(plain_string(batch.column("text")))
-            index, words = word_codes(flat)
-            lengths, n = np.diff(offsets), len(words)  # n: number of the end, which every document has
-            names = np.array([*words.to_pylist(), ""], object)
-            hashes = pd.util.hash_array(names, categorize=False)
-            order = np.argsort(hashes, kind="stable")
-            names, part = names[order].tolist(), _part(hashes[order], partitions)
-            rank = np.empty(n + 1, np.int64)
-            rank[order] = np.arange(n + 1)
-            tokens = rank[np.insert(index, offsets[1:], n)]  # each document, then its end
-            of = known.of(names, own)
-            key, top = _keys(tokens, of, known.n)
-            key = np.sort(key << 1 | np.repeat(~held, lengths + 1))
-            ends = np.append(np.flatnonzero(np.diff(key >> 1)) + 1, len(key))
-            pairs, counts = key[ends - 1] >> 1, np.diff(np.cumsum(key & 1)[ends - 1], prepend=0).astype("<i4")
-            del key
-            bounds = np.searchsorted(part, np.arange(partitions + 1))
-            rows = [q for q in range(partitions) if bounds[q + 1] > bounds[q]]
-            shared_pairs = int(np.searchsorted(pairs, top))
-            word, context = np.divmod(pairs[:shared_pairs], known.n)
-            after, follower = np.divmod(pairs[shared_pairs:] - top, n + 1)
-            at = np.searchsorted(word, bounds)
-            cut = [(slice(bounds[q], bounds[q + 1]), slice(at[q], at[q + 1])) for q in rows]
-            m, none = len(rows), [None]
-            doc_ids = pa.array([batch.column("doc_id").to_pylist()], pa.list_(batch.column("doc_id").type))
-            yield pa.record_batch(
-                [
-                    pa.array(["stream"] + ["word"] * m),
-                    pa.array([chunk] * (m + 1)),
-                    pa.array([-1, *rows], pa.int32()),
-                    pa.array(none + [_joined_names(names[w]) for w, _ in cut], pa.binary()),
-                    pa.array([squeezed(tokens.astype("<i4"))] + [squeezed((word[x] - w.start).astype("<i4")) for w, x in cut], pa.binary()),
-                    pa.array([squeezed(held.astype("u1"))] + [squeezed(counts[x]) for _, x in cut], pa.binary()),
-                    pa.array([squeezed(of.astype(kind))] + [squeezed(context[x].astype(kind)) for _, x in cut], pa.binary()),
-                    pa.array([len(pairs)] + [int(x.start) for _, x in cut], pa.int64()),
-                    pa.array([n + 1] + [int(w.start) for w, _ in cut], pa.int64()),
-                    pa.concat_arrays([doc_ids, pa.nulls(m, doc_ids.type)]),
-                    pa.array([squeezed(lengths.astype("<i4")), *none * m], pa.binary()),
-                ],
-                names=CHUNK,
-            )
-            first = np.flatnonzero(np.diff(after, prepend=-1))  # where each context's pairs begin
-            theirs, sizes = after[first], np.diff(np.append(first, len(after)))
-            ends, at = np.searchsorted(after, bounds), np.searchsorted(theirs, bounds)
-            rows = [q for q in rows if ends[q + 1] > ends[q]]
-            m = len(rows)
-            cut = [(slice(ends[q], ends[q + 1]), slice(shared_pairs + ends[q], shared_pairs + ends[q + 1]), slice(at[q], at[q + 1])) for q in rows]
-            ours = [np.unique(follower[x], return_inverse=True) for x, _, _ in cut]
-            yield pa.record_batch(
-                [
-                    pa.array(["leaf"] * m, pa.string()),
-                    pa.array([chunk] * m, pa.int64()),
-                    pa.array(rows, pa.int32()),
-                    pa.array([_joined_names([names[i] for i in ws]) for ws, _ in ours], pa.binary()),
-                    pa.array([squeezed(i.astype("<i4")) for _, i in ours], pa.binary()),
-                    pa.array([squeezed(counts[y]) for _, y, _ in cut], pa.binary()),
-                    pa.array([squeezed(sizes[z].astype("<i4")) for _, _, z in cut], pa.binary()),
-                    pa.array([y.start for _, y, _ in cut], pa.int64()),
-                    pa.array([z.start for _, _, z in cut], pa.int64()),
-                    pa.nulls(m, doc_ids.type),
-                    pa.array([_joined_names([names[i] for i in theirs[z]]) for _, _, z in cut], pa.binary()),
-                ],
-                names=CHUNK,
-            )
+        held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        offsets, flat = split_words(plain_string(batch.column("text")))
+        index, words = word_codes(flat)
+        lengths, n = np.diff(offsets), len(words)  # n: number of the end, which every document has
+        names = np.array([*words.to_pylist(), ""], object)
+        hashes = pd.util.hash_array(names, categorize=False)
+        order = np.argsort(hashes, kind="stable")
+        names, part = names[order].tolist(), _part(hashes[order], partitions)
+        rank = np.empty(n + 1, np.int64)
+        rank[order] = np.arange(n + 1)
+        tokens = rank[np.insert(index, offsets[1:], n)]  # each document, then its end
+        of = known.of(names, own)
+        key, top = _keys(tokens, of, known.n)
+        key = np.sort(key << 1 | np.repeat(~held, lengths + 1))
+        ends = np.append(np.flatnonzero(np.diff(key >> 1)) + 1, len(key))
+        pairs, counts = key[ends - 1] >> 1, np.diff(np.cumsum(key & 1)[ends - 1], prepend=0).astype("<i4")
+        del key
+        bounds = np.searchsorted(part, np.arange(partitions + 1))
+        rows = [q for q in range(partitions) if bounds[q + 1] > bounds[q]]
+        shared_pairs = int(np.searchsorted(pairs, top))
+        word, context = np.divmod(pairs[:shared_pairs], known.n)
+        after, follower = np.divmod(pairs[shared_pairs:] - top, n + 1)
+        at = np.searchsorted(word, bounds)
+        cut = [(slice(bounds[q], bounds[q + 1]), slice(at[q], at[q + 1])) for q in rows]
+        m, none = len(rows), [None]
+        doc_ids = pa.array([batch.column("doc_id").to_pylist()], pa.list_(batch.column("doc_id").type))
+        yield pa.record_batch(
+            [
+                pa.array(["stream"] + ["word"] * m),
+                pa.array([chunk] * (m + 1)),
+                pa.array([-1, *rows], pa.int32()),
+                pa.array(none + [_joined_names(names[w]) for w, _ in cut], pa.binary()),
+                pa.array([squeezed(tokens.astype("<i4"))] + [squeezed((word[x] - w.start).astype("<i4")) for w, x in cut], pa.binary()),
+                pa.array([squeezed(held.astype("u1"))] + [squeezed(counts[x]) for _, x in cut], pa.binary()),
+                pa.array([squeezed(of.astype(kind))] + [squeezed(context[x].astype(kind)) for _, x in cut], pa.binary()),
+                pa.array([len(pairs)] + [int(x.start) for _, x in cut], pa.int64()),
+                pa.array([n + 1] + [int(w.start) for w, _ in cut], pa.int64()),
+                pa.concat_arrays([doc_ids, pa.nulls(m, doc_ids.type)]),
+                pa.array([squeezed(lengths.astype("<i4")), *none * m], pa.binary()),
+            ],
+            names=CHUNK,
+        )
+        first = np.flatnonzero(np.diff(after, prepend=-1))  # where each context's pairs begin
+        theirs, sizes = after[first], np.diff(np.append(first, len(after)))
+        ends, at = np.searchsorted(after, bounds), np.searchsorted(theirs, bounds)
+        rows = [q for q in rows if ends[q + 1] > ends[q]]
+        m = len(rows)
+        cut = [(slice(ends[q], ends[q + 1]), slice(shared_pairs + ends[q], shared_pairs + ends[q + 1]), slice(at[q], at[q + 1])) for q in rows]
+        ours = [np.unique(follower[x], return_inverse=True) for x, _, _ in cut]
+        yield pa.record_batch(
+            [
+                pa.array(["leaf"] * m, pa.string()),
+                pa.array([chunk] * m, pa.int64()),
+                pa.array(rows, pa.int32()),
+                pa.array([_joined_names([names[i] for i in ws]) for ws, _ in ours], pa.binary()),
+                pa.array([squeezed(i.astype("<i4")) for _, i in ours], pa.binary()),
+                pa.array([squeezed(counts[y]) for _, y, _ in cut], pa.binary()),
+                pa.array([squeezed(sizes[z].astype("<i4")) for _, _, z in cut], pa.binary()),
+                pa.array([y.start for _, y, _ in cut], pa.int64()),
+                pa.array([z.start for _, _, z in cut], pa.int64()),
+                pa.nulls(m, doc_ids.type),
+                pa.array([_joined_names([names[i] for i in theirs[z]]) for _, _, z in cut], pa.binary()),
+            ],
+            names=CHUNK,
+        )
+
+    def run(batches):
+        task = TaskContext.get().partitionId()
+        for k, batch in enumerate(slices(batches, limit=CHUNK_BYTES)):
+            yield from one(batch, task << 24 | k)
 
     return run
 
