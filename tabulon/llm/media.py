@@ -3,8 +3,9 @@
 Every text becomes an image of 8-bit RGB samples, 64 pixels wide, stored as PNG
 under the digest of its payload. Tasks append payloads to tar shards where they
 read them, once for each digest that they meet, so that no payload is shuffled;
-rows carry digest, shard, offset and length. Metadata columns come from the first
-bytes of a member alone; features from the samples read back.
+rows carry digest (32 bytes), shard, offset and length. Metadata columns come from
+the first bytes of a member alone; features from the samples read back. Both are
+added to the rows of places in one pass, so that they need no join.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import open_fs, parts, plain_string, scratch, slices, store, tidy
+from .common import forget, keep, open_fs, parts, plain_string, scope, scratch, slices, store, tidy
 
 WIDTH, CHANNELS = 64, 3
 ROW = WIDTH * CHANNELS
@@ -129,7 +130,7 @@ def write_media(docs: DataFrame, folder: str | None = None) -> DataFrame:
             n_bytes, digests, places = [], [], []
             for text in plain_string(batch.column("text")).cast(pa.large_binary()).to_pylist():
                 data = payload_of(text)
-                digest = hashlib.sha256(data).hexdigest()
+                digest = hashlib.sha256(data).digest()
                 if digest not in known:
                     if shard is None or shard.size >= SHARD_BYTES:
                         if shard:
@@ -138,20 +139,20 @@ def write_media(docs: DataFrame, folder: str | None = None) -> DataFrame:
                     if len(known) >= 1 << 20:
                         known.clear()
                     image = to_png(data)
-                    known[digest] = (shard.path, shard.add(f"{digest}.png", image), len(image))
+                    known[digest] = (shard.path, shard.add(f"{digest.hex()}.png", image), len(image))
                 n_bytes.append(len(text))
                 digests.append(digest)
                 places.append(known[digest])
             paths, offsets, lengths = zip(*places, strict=True) if places else ((), (), ())
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(digests, pa.string()), pa.array(paths, pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())],
+                [batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(digests, pa.binary()), pa.array(paths, pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())],
                 names=["doc_id", "n_bytes", "digest", "shard", "offset", "length"],
             )
         if shard:
             shard.close()
 
     schema = T.StructType(
-        [docs.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("shard", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())]
+        [docs.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("shard", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())]
     )
     return store(docs.select("doc_id", "text").mapInArrow(tidy(run), schema), "media")
 
@@ -162,42 +163,56 @@ def canonical(media: DataFrame) -> DataFrame:
     return media.groupBy("digest").agg(place).select("digest", "at.shard", "at.offset", "at.length")
 
 
+def dealt(places: DataFrame) -> DataFrame:
+    """Neighbouring members of a shard go to one task, which opens the shard once."""
+    return places.repartitionByRange(parts(places.sparkSession), "shard", "offset").sortWithinPartitions("shard", "offset")
+
+
 def read_headers(places: DataFrame) -> DataFrame:
-    """digest, media_bytes, width, height, bit_depth, channels: reads the first bytes of each member only."""
+    """Adds width, height, bit_depth, channels to places: reads the first bytes of each member only."""
 
-    def run(batches):
-        for key, f, row in _opened(batches):
-            start = f.read_at(HEADER, row["offset"]) if hasattr(f, "read_at") else _range(f, row["offset"], HEADER)
-            width, height, depth, channels = png_header(start)
-            yield pa.record_batch([[key], [row["length"]], [width], [height], [depth], [channels]], names=["digest", "media_bytes", "width", "height", "bit_depth", "channels"])
+    def read(f, row):
+        return png_header(_range(f, row["offset"], HEADER))
 
-    return _dealt(places).mapInArrow(tidy(_batched(run)), "digest string, media_bytes long, width long, height long, bit_depth long, channels long")
+    return _adding(places, read, "width long, height long, bit_depth long, channels long")
 
 
 def read_features(places: DataFrame) -> DataFrame:
-    """digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature: from the stored bytes."""
+    """Adds payload_bytes, tail_crc32, media_sha256 (32 bytes), feature to places: from the stored bytes, whose payload must have the digest."""
 
-    def run(batches):
-        for key, f, row in _opened(batches):
-            data = _range(f, row["offset"], row["length"])
-            samples = from_png(data)
-            payload = samples.tobytes()
-            sha = hashlib.sha256(payload).hexdigest()
-            if sha != key:
-                raise ValueError(f"{row['shard']} at {row['offset']}: the payload is not {key}")
-            yield pa.record_batch(
-                [[key], [len(payload)], [sha], [zlib.crc32(payload[-16:])], [len(data)], [hashlib.sha256(data).hexdigest()], [features(samples)]],
-                names=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
+    def read(f, row):
+        data = _range(f, row["offset"], row["length"])
+        samples = from_png(data)
+        payload = samples.tobytes()
+        if hashlib.sha256(payload).digest() != row["digest"]:
+            raise ValueError(f"{row['shard']} at {row['offset']}: the payload is not {row['digest'].hex()}")
+        return len(payload), zlib.crc32(payload[-16:]), hashlib.sha256(data).digest(), features(samples)
 
-    return _dealt(places).mapInArrow(tidy(
-        _batched(run)), "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
+    return _adding(places, read, "payload_bytes long, tail_crc32 long, media_sha256 binary, feature string")
 
 
-def _dealt(places: DataFrame) -> DataFrame:
-    """Neighbouring members of a shard go to one task, which opens the shard once."""
-    return places.repartitionByRange(parts(places.sparkSession), "shard", "offset").sortWithinPartitions("shard", "offset")
+def _adding(places: DataFrame, read, columns: str) -> DataFrame:
+    """``places`` with what ``read`` finds at each of them in its open shard."""
+    added = T.StructType.fromDDL(columns)
+    types = [{"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}[f.dataType.simpleString()] for f in added]
+
+    def run(batches):
+        now = f = None
+        for batch in batches:
+            found = []
+            for row in batch.select(["digest", "shard", "offset", "length"]).to_pylist():
+                if row["shard"] != now:
+                    if f:
+                        f.close()
+                    fs, at = open_fs(row["shard"])
+                    now, f = row["shard"], fs.open_input_file(at)
+                found.append(read(f, row))
+            own = [pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [()] * len(types), types, strict=True)]
+            yield pa.record_batch([*batch.columns, *own], names=[*batch.schema.names, *added.names])
+        if f:
+            f.close()
+
+    return places.mapInArrow(tidy(run), T.StructType([*places.schema, *added]))
 
 
 def _range(f, offset: int, length: int) -> bytes:
@@ -205,38 +220,18 @@ def _range(f, offset: int, length: int) -> bytes:
     return f.read(length)
 
 
-def _opened(batches):
-    now, f = None, None
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["shard"] != now:
-                fs, at = open_fs(row["shard"])
-                now, f = row["shard"], fs.open_input_file(at)
-            yield row["digest"], f, row
-
-
-def _batched(run, rows: int = 2048):
-    def out(batches):
-        held = []
-        for b in run(batches):
-            held.append(b)
-            if len(held) >= rows:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    return out
-
-
 def media_columns(docs: DataFrame) -> DataFrame:
     """Every row's payload, stored form and feature, joined by digest: equal texts, equal values.
 
-    doc_id, n_bytes, shard, offset, length, width, height, then read_features' columns.
+    doc_id, n_bytes, shard, offset, length, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature,
+    width, height, bit_depth, channels. The SHA-256 of a payload is its digest, which was compared as it was read back.
     """
-    media = write_media(docs)
-    places = store(canonical(media), "places")
-    known = store(read_features(places), "features")
-    heads = read_headers(places).drop("media_bytes")
-    looks = store(places.join(known, "digest").join(heads, "digest"), "looks")
-    return media.select("doc_id", "n_bytes", "digest").join(looks, "digest").drop("digest")
+    with scope():
+        media = keep(write_media(docs))
+        places = store(canonical(media), "places")
+        looks = keep(store(read_headers(read_features(dealt(places))), "looks"))
+    forget(docs.sparkSession)
+    return media.select("doc_id", "n_bytes", "digest").join(looks, "digest").select(
+        "doc_id", "n_bytes", "shard", "offset", "length", "payload_bytes", F.lower(F.hex("digest")).alias("payload_sha256"), "tail_crc32",
+        F.col("length").alias("media_bytes"), F.lower(F.hex("media_sha256")).alias("media_sha256"), "feature", "width", "height", "bit_depth", "channels",
+    )
