@@ -12,6 +12,8 @@ from .transactions import within_ranges
 # Kinds of values that fit each other.
 # Fixed value: characters of a value that a dry run shows.
 PREVIEW = 60
+#: Rows of a band, by which the ranges of a sheet are looked up.
+BAND = 64
 FITTING = ["exact", "numeric_family", "date_family", "blank_tolerant"]
 COMPARED = {"greaterThan": lambda x, y: x > y, "lessThan": lambda x, y: x < y, "greaterThanOrEqual": lambda x, y: x >= y, "lessThanOrEqual": lambda x, y: x <= y}
 
@@ -70,6 +72,26 @@ def covering(cells: DataFrame, ranges: DataFrame, keep: list[str], order: str) -
     return cells.join(first, ["sheet", "row", "col"], "left")
 
 
+def band(row: Column) -> Column:
+    """The band of rows that a row is in."""
+    return F.floor(row / BAND)
+
+
+def by_band(ranges: DataFrame, keep: list[str], order: str, on: list[str], name: str) -> DataFrame:
+    """on, band and ``name``: the ranges that reach into each band of rows, for ``first_of``.
+
+    One array for a band, which has at most as many merges as cells. A range without its order is left out.
+    """
+    r = bounded(ranges).where(F.col(order).isNotNull()).withColumn("band", F.explode(F.sequence(band(F.col("r0")), band(F.col("r1")))))
+    return r.groupBy(*on, "band").agg(F.collect_list(F.struct(F.col(order).alias("order"), F.struct(*keep).alias("hit"), "c0", "r0", "c1", "r1")).alias(name))
+
+
+def first_of(ranges: Column, row: Column, col: Column) -> Column:
+    """Of the ranges of a cell's band, what was kept of the first by order that covers it, else null."""
+    covers = lambda x: (x["r0"] <= row) & (row <= x["r1"]) & (x["c0"] <= col) & (col <= x["c1"])
+    return F.array_min(F.filter(ranges, covers))["hit"]
+
+
 def validated_columns(validations: DataFrame) -> DataFrame:
     """sheet, col, n: how many validations cover each column."""
     return bounded(validations).select("sheet", F.explode(F.sequence("c0", "c1")).alias("col")).groupBy("sheet", "col").agg(F.count("*").alias("n"))

@@ -7,16 +7,23 @@ fails, in the order of the gates. Nothing is written here.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.infer import compatible, infer_source
 from ..functions.refs import parse_a1
-from .filling import PREVIEW, check_validation, covering, resolve_sources
+from .filling import PREVIEW, band, by_band, check_validation, first_of
 
 # The characters of a plan's id that approve it, and the kinds of lookup tables.
 TOKEN = 12
 LOOKUPS = ["source_json_tables", "target_range"]
+#: What is read of writes, and of the workbooks as they are.
+WRITTEN = ["plan", "seq", "sheet", "cell", "source", "write_policy", "preview", "format_compatible", "role_compatible"]
+LIVE = ["sheets", "cells", "merges", "validations", "columns"]
+#: What repartition() gets for every table of a plan.
+DEALT = ("plan",)
 
 
 def _of_plan(codes: list[tuple[str, str, Column]], plans: DataFrame) -> DataFrame:
@@ -76,33 +83,74 @@ def list_gates(plans: DataFrame, blocked: DataFrame, conflicts: DataFrame, unres
     return said(hard, "blocked cells").unionByName(said(odd, "conflicts")).unionByName(said(open_, "unresolved"))
 
 
-def checked_writes(writes: DataFrame, live: dict[str, DataFrame], source: DataFrame) -> DataFrame:
-    """Every planned write once, with code (the first gate that it fails, else null), warning, kind and value.
+def _facts(writes: DataFrame, *facts: DataFrame) -> DataFrame:
+    """Writes (side 1) and what is known of the places that they name (side 0), in one relation."""
+    both = writes.withColumn("side", F.lit(1))
+    for f in facts:
+        both = both.unionByName(f.withColumn("side", F.lit(0)), allowMissingColumns=True)
+    return both
+
+
+def _of_places(w: DataFrame, live: dict[str, DataFrame]) -> DataFrame:
+    """The first write of each cell with again (there are others), there, corner, rule and formula_now, in one ordered pass over each sheet.
+
+    In its order a fact comes before the writes that it holds for: a sheet before its
+    bands, a band's ranges before its cells, a cell before its writes.
+    """
+    merges = live["merges"].withColumn("corner", parse_a1(F.split("ref", ":")[0]))
+    both = _facts(
+        w.withColumn("band", band(F.col("row"))),
+        live["sheets"].select("plan", "sheet", F.lit(True).alias("there")),
+        by_band(merges, ["corner"], "ref", ["plan", "sheet"], "merges"),
+        by_band(live["validations"], ["type", "operator", "formula1", "formula2"], "n", ["plan", "sheet"], "rules"),
+        live["cells"].select("plan", "sheet", band(F.col("row")).alias("band"), "row", "col", F.startswith(F.coalesce("text", F.lit("")), F.lit("=")).alias("formula")),
+    )
+    order = Window.partitionBy("plan", "sheet").orderBy("band", "row", "col", "side", "formula", "cell", "seq")
+    known = lambda c, *at: F.last(F.when(F.col(c).isNotNull(), F.struct(*at, c)), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    entry = F.struct("side", "cell")
+    seen = both.withColumns({
+        "first": ~F.lag(entry).over(order).eqNullSafe(entry), "again": F.lead(entry).over(order).eqNullSafe(entry), "known_sheet": known("there"),
+        "known_merges": known("merges", "band"), "known_rules": known("rules", "band"), "known_cell": known("formula", "row", "col"),
+    }).where("side = 1 and first")
+    row, col = F.col("row"), F.col("col")
+    covering = lambda c: F.when(F.col(f"known_{c}.band") == F.col("band"), first_of(F.col(f"known_{c}.{c}"), row, col))
+    same = (F.col("known_cell.row") == row) & (F.col("known_cell.col") == col)
+    return seen.select(*w.columns, "again", F.col("known_sheet.there").alias("there"), covering("merges")["corner"].alias("corner"), covering("rules").alias("rule"), F.when(same, F.col("known_cell.formula")).alias("formula_now"))
+
+
+def _with(w: DataFrame, facts: DataFrame, on: list[str], name: str) -> DataFrame:
+    """w with a struct ``name`` of what ``facts`` has besides ``on``, else null; of several rows the largest."""
+    got = F.struct(*[c for c in facts.columns if c not in on])
+    running = Window.partitionBy(*on).orderBy("side").rowsBetween(Window.unboundedPreceding, 0)
+    both = _facts(w, facts.select(*on, got.alias("fact")))
+    return both.withColumn(name, F.max("fact").over(running)).where("side = 1").select(*w.columns, name)
+
+
+def checked_writes(writes: DataFrame, live: dict[str, DataFrame], source: DataFrame, dealt: Sequence[int | str] = DEALT) -> DataFrame:
+    """Every planned write once, with code (the first gate that it fails, else null), warning, kind, value and again.
 
     ``writes``: plan, seq, sheet, cell, source (Key[n]), write_policy, preview,
     format_compatible, role_compatible. ``live``, by plan: ``sheets`` (sheet), ``cells``
     (sheet, row, col, text), ``merges`` (sheet, ref), ``validations`` (sheet, ref, n,
     type, operator, formula1, formula2), ``columns`` of the profile (sheet, col,
     value_kind, required). ``source``: plan, source_key, offset, value. The first entry
-    of a cell by seq counts; the cell is told as a duplicate beside it.
+    of a cell by seq counts; ``again`` tells that there are others.
+
+    All tables are dealt by plan, once: ``dealt`` is what repartition() gets, a number of
+    tasks may come first. What comes dealt so is not dealt again, and unions of what is
+    dealt alike are dealt so too. The rows of a plan meet in one task and are put in order
+    there: joins by sheet, place or source would each deal all writes anew.
     """
-    whole = F.concat_ws("\x1f", "plan", "sheet")
-    first = F.row_number().over(Window.partitionBy("plan", "sheet", "cell").orderBy("seq"))
-    at = parse_a1(F.upper("cell"))
-    w = writes.withColumns({"first": first, "place": at}).where("first = 1").withColumns({"row": F.col("place.row"), "col": F.col("place.col"), "plain_sheet": F.col("sheet"), "sheet": whole})
-    keyed = lambda df: df.withColumn("sheet", whole).drop("plan")
-    sheets = keyed(live["sheets"]).select("sheet").distinct().withColumn("there", F.lit(True))
-    w = w.join(sheets, "sheet", "left")
-    merges, rules = keyed(live["merges"]), keyed(live["validations"])
-    inside = covering(w, merges.withColumn("m", F.lit(0)), ["ref"], "ref").withColumn("corner", parse_a1(F.split(F.col("hit.ref"), ":")[0])).drop("hit")
-    ruled = covering(inside, rules, ["type", "operator", "formula1", "formula2"], "n").withColumnRenamed("hit", "rule")
-    now = keyed(live["cells"]).select("sheet", "row", "col", F.startswith(F.coalesce("text", F.lit("")), F.lit("=")).alias("formula_now"))
-    known = keyed(live["columns"]).select("sheet", "col", "value_kind", F.coalesce("required", F.lit(False)).alias("needed"), F.lit(True).alias("known"))
-    out = ruled.join(now, ["sheet", "row", "col"], "left").join(known, ["sheet", "col"], "left")
+    live, source = {k: live[k].repartition(*dealt) for k in LIVE}, source.repartition(*dealt)
+    place = parse_a1(F.upper("cell"))
+    w = writes.select(*WRITTEN).repartition(*dealt).withColumn("place", place).withColumns({"row": F.col("place.row"), "col": F.col("place.col")}).drop("place")
+    out = _of_places(w, live).drop("seq")
+    out = _with(out, live["columns"].select("plan", "sheet", "col", "value_kind", F.coalesce("required", F.lit(False)).alias("needed")), ["plan", "sheet", "col"], "column")
     # references are looked up in the plan's own source
-    refs = out.withColumn("ref", F.concat_ws("\x1f", "plan", "source"))
-    values = source.withColumn("source_key", F.concat_ws("\x1f", "plan", "source_key")).drop("plan")
-    out = resolve_sources(refs, values).withColumnRenamed("value", "raw")
+    part = lambda i: F.regexp_extract("source", r"^(.*)\[([0-9]+)\]$", i)
+    out = out.withColumns({"source_key": part(1), "offset": part(2).try_cast("long")})
+    out = _with(out, source.select("plan", "source_key", F.col("offset").cast("long").alias("offset"), F.col("value").alias("raw")), ["plan", "source_key", "offset"], "found")
+    out = out.withColumns({"resolved": F.col("found").isNotNull() & F.col("offset").isNotNull(), "raw": F.when(F.col("offset").isNotNull(), F.col("found.raw"))})
     x = infer_source(F.col("raw"))
     out = out.withColumns({"kind": x["kind"], "value": x["value"]})
     corner = (F.col("corner.row") == F.col("row")) & (F.col("corner.col") == F.col("col"))
@@ -111,22 +159,22 @@ def checked_writes(writes: DataFrame, live: dict[str, DataFrame], source: DataFr
     hollow = F.trim(F.coalesce("value", F.lit(""))) == ""
     code = (
         F.when(~F.col("write_policy").eqNullSafe(F.lit("write_value")), "PLAN_INVALID")
-        .when(F.col("place").isNull(), "PLAN_INVALID")
+        .when(F.col("row").isNull(), "PLAN_INVALID")
         .when(F.col("there").isNull(), "EXECUTION_BLOCKED")
         .when(F.col("corner").isNotNull() & ~F.coalesce(corner, F.lit(False)), "MERGED_CELL_WRITE_FORBIDDEN")
         .when(F.col("formula_now"), "FORMULA_MODIFICATION_FORBIDDEN")
         .when(~F.col("resolved"), "SOURCE_CHANGED")
         .when(F.col("preview").isNotNull() & (F.left(F.coalesce("raw", F.lit("None")), F.lit(PREVIEW)) != F.col("preview")), "SOURCE_CHANGED")
-        .when(hollow & F.coalesce("needed", F.lit(False)), "EXECUTION_BLOCKED")
-        .when(F.col("known").isNull(), "PLAN_INVALID")
-        .when((compatible(F.col("kind"), F.col("value_kind")) == "mismatch") | ~F.coalesce("format_compatible", F.lit(True)), "TYPE_MISMATCH")
+        .when(hollow & F.coalesce("column.needed", F.lit(False)), "EXECUTION_BLOCKED")
+        .when(F.col("column").isNull(), "PLAN_INVALID")
+        .when((compatible(F.col("kind"), F.col("column.value_kind")) == "mismatch") | ~F.coalesce("format_compatible", F.lit(True)), "TYPE_MISMATCH")
         .when(verdict == "invalid", "VALIDATION_MISMATCH")
     )
     warning = F.when(~F.coalesce("role_compatible", F.lit(True)), "ROLE_MISMATCH_REPORTED").when(verdict == "unsupported", "UNSUPPORTED_VALIDATION")
-    return out.select("plan", F.col("plain_sheet").alias("sheet"), "cell", "row", "col", "source", "kind", "value", code.alias("code"), F.when(code.isNull(), warning).alias("warning"))
+    return out.select("plan", "sheet", "cell", "row", "col", "source", "kind", "value", code.alias("code"), F.when(code.isNull(), warning).alias("warning"), "again")
 
 
-def preflight(plans: DataFrame, lists: dict[str, DataFrame], writes: DataFrame, live: dict[str, DataFrame], source: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+def preflight(plans: DataFrame, lists: dict[str, DataFrame], writes: DataFrame, live: dict[str, DataFrame], source: DataFrame, decisions: DataFrame | None = None, dealt: Sequence[int | str] = DEALT) -> DataFrame:
     """plan, code, subject: one row for each blocker of every plan; a plan without rows may go ahead.
 
     See ``plan_gates``, ``list_gates`` and ``checked_writes`` for what is read;
@@ -134,11 +182,12 @@ def preflight(plans: DataFrame, lists: dict[str, DataFrame], writes: DataFrame,
     transactions.idempotency() gives them; a conflict with what the ledger knows blocks,
     and so does a ledger that could not be read (unknown).
     """
+    name = F.concat_ws("!", "sheet", "cell")
+    told = F.when(F.col("code").isNotNull(), F.struct("code", name.alias("subject")))
+    twice = F.when(F.col("again"), F.struct(F.lit("PLAN_INVALID").alias("code"), F.concat(F.lit("duplicate "), name).alias("subject")))
     # a filter by code would be pushed below what it is made of, and every rule of it be written out once more for each mention
-    told = F.when(F.col("code").isNotNull(), F.struct("code", F.concat_ws("!", "sheet", "cell").alias("subject")))
-    of_writes = checked_writes(writes, live, source).select("plan", F.explode(F.array(told)).alias("t")).where("t is not null").select("plan", "t.code", "t.subject")
-    twice = writes.groupBy("plan", "sheet", "cell").count().where("count > 1").select("plan", F.lit("PLAN_INVALID").alias("code"), F.concat(F.lit("duplicate "), F.concat_ws("!", "sheet", "cell")).alias("subject"))
-    found = plan_gates(plans).unionByName(list_gates(plans.select("plan", "missing_required", "on_conflict"), lists["blocked"], lists["conflicts"], lists["unresolved"])).unionByName(of_writes).unionByName(twice)
+    of_writes = checked_writes(writes, live, source, dealt).select("plan", F.explode(F.array(told, twice)).alias("t")).where("t is not null").select("plan", "t.code", "t.subject")
+    found = plan_gates(plans).unionByName(list_gates(plans.select("plan", "missing_required", "on_conflict"), lists["blocked"], lists["conflicts"], lists["unresolved"])).unionByName(of_writes)
     if decisions is not None:
         bad = decisions.where(F.col("decision").isin("conflict", "unknown")).select("plan", F.lit("PLAN_CONFLICT").alias("code"), F.col("decision").alias("subject"))
         found = found.unionByName(bad.distinct())
